@@ -48,8 +48,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_key() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with the number inside ``props`` as column ``k``."""
+    key = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").withColumn("k", key)
 
 
 def host(number_column: str) -> Column:
@@ -58,9 +60,9 @@ def host(number_column: str) -> Column:
 
 def conn(spark: SparkSession, sf_dir: str, auth: bool = False) -> DataFrame:
     """``events`` as a connection log; ``auth`` moves half of the ports to 22."""
-    port = event_key()
+    port = F.col("k")
     time = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
+    return events(spark, sf_dir).select(
         host("user_id").alias("src_ip"),
         F.col("event_type").alias("dst_ip"),
         (F.when(port < 50, 22).otherwise(port) if auth else port).alias("dst_port"),
@@ -138,11 +140,11 @@ def conn_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(event_key() < 50, F.concat(event_key(), F.lit(".0"))).otherwise(
-        F.col("event_type")
-    )
-    return table(spark, sf_dir, "events").select(
-        "event_id", to_double(text).alias("number"), to_long(text).alias("whole")
+    text = F.when(F.col("k") < 50, F.concat("k", F.lit(".0"))).otherwise(F.col("event_type"))
+    return (
+        events(spark, sf_dir)
+        .withColumn("text", text)
+        .select("event_id", to_double(F.col("text")).alias("number"), to_long(F.col("text")).alias("whole"))
     )
 
 
