@@ -173,7 +173,8 @@ def failed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failed_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return failed_to_port(auth_conn(spark, sf_dir), 22).select("uid", "src_ip", "conn_state")
+    rows = auth_conn(spark, sf_dir)
+    return rows.where(failed_to_port(rows, 22)).select("uid", "src_ip", "conn_state")
 
 
 def beacon_intervals(spark: SparkSession, sf_dir: str, **options) -> DataFrame:

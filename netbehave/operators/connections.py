@@ -24,12 +24,12 @@ def address(df: DataFrame, logical: str) -> Column:
     return value(df, logical).cast("string")
 
 
-def failed_to_port(conn: DataFrame, port: int) -> DataFrame:
-    """Rows aimed at ``port`` in a failed state; every row if no state is recorded."""
-    rows = conn.where(number(conn, "port") == F.lit(port))
+def failed_to_port(conn: DataFrame, port: int) -> Column:
+    """Whether a row went to ``port`` and failed; any row to it if no state is recorded."""
+    to_port = number(conn, "port") == F.lit(port)
     if has(conn, "state"):
-        rows = rows.where(value(conn, "state").isin(*FAILED_STATES))
-    return rows
+        return to_port & value(conn, "state").isin(*FAILED_STATES)
+    return to_port
 
 
 def first_target(conn: DataFrame) -> Column:
@@ -68,7 +68,7 @@ def brute_force_features(conn: DataFrame, port: int = 22) -> DataFrame:
     """Per source: failed connections to ``port`` and the first destination."""
     if not has(conn, "src", "port"):
         return empty(conn, schemas.BRUTE_FORCE)
-    rows = failed_to_port(conn, port).where(value(conn, "src").isNotNull())
+    rows = conn.where(failed_to_port(conn, port) & value(conn, "src").isNotNull())
     return rows.groupBy(address(conn, "src").alias("src_ip")).agg(
         F.count("*").alias("failed_attempts"),
         first_target(conn).alias("dst_ip"),

@@ -81,15 +81,22 @@ def brute_force_windowed(
     slide: str | None = None,
     watermark: str = WATERMARK,
 ) -> DataFrame:
-    """Brute force features per window."""
+    """Brute force features per window.
+
+    A filter before the aggregation would run before the watermark too, and rows it drops
+    would not move the stream's clock: the last window of an attack would stay open until
+    the next failed login. On a stream other rows therefore join one group without source.
+    """
     conn = with_event_time(conn, watermark)
-    rows = failed_to_port(conn, port).where(value(conn, "src").isNotNull())
+    failed = failed_to_port(conn, port) & value(conn, "src").isNotNull()
     return (
-        rows.groupBy(
+        (conn if conn.isStreaming else conn.where(failed))
+        .groupBy(
             F.window("event_time", duration, slide or duration),
-            address(conn, "src").alias("src_ip"),
+            F.when(failed, address(conn, "src")).alias("src_ip"),
         )
-        .agg(F.count("*").alias("failed_attempts"), first_target(conn).alias("dst_ip"))
+        .agg(F.count_if(failed).alias("failed_attempts"), first_target(conn).alias("dst_ip"))
+        .where("failed_attempts > 0")
         .select(*bounds(), "src_ip", "failed_attempts", "dst_ip")
     )
 
