@@ -48,21 +48,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_key(events: DataFrame) -> DataFrame:
     """``events`` with the number inside ``props`` as column ``k``."""
-    key = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").withColumn("k", key)
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def host(number_column: str) -> Column:
     return F.concat(F.lit("10.0."), F.col(number_column) % 4, F.lit("."), F.col(number_column))
 
 
-def conn(spark: SparkSession, sf_dir: str, auth: bool = False) -> DataFrame:
+def as_conn(events: DataFrame, auth: bool = False) -> DataFrame:
     """``events`` as a connection log; ``auth`` moves half of the ports to 22."""
     port = F.col("k")
     time = F.col("ts").cast("timestamp")
-    return events(spark, sf_dir).select(
+    return with_key(events).select(
         host("user_id").alias("src_ip"),
         F.col("event_type").alias("dst_ip"),
         (F.when(port < 50, 22).otherwise(port) if auth else port).alias("dst_port"),
@@ -77,8 +76,12 @@ def conn(spark: SparkSession, sf_dir: str, auth: bool = False) -> DataFrame:
     )
 
 
+def conn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_conn(table(spark, sf_dir, "events"))
+
+
 def auth_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conn(spark, sf_dir, auth=True)
+    return as_conn(table(spark, sf_dir, "events"), auth=True)
 
 
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +145,13 @@ def conn_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numeric_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("k") < 50, F.concat("k", F.lit(".0"))).otherwise(F.col("event_type"))
     return (
-        events(spark, sf_dir)
+        with_key(table(spark, sf_dir, "events"))
         .withColumn("text", text)
-        .select("event_id", to_double(F.col("text")).alias("number"), to_long(F.col("text")).alias("whole"))
+        .select(
+            "event_id",
+            to_double(F.col("text")).alias("number"),
+            to_long(F.col("text")).alias("whole"),
+        )
     )
 
 
@@ -250,6 +257,33 @@ def beaconing_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def streamed(feature: Callable[[DataFrame], DataFrame], auth: bool = False) -> Callable:
+    """Run a windowed feature as a stream over the files of ``events``.
+
+    The stream works off what is there and stops; its result is read back from the files
+    it wrote. Windows that the watermark has not passed stay open and are not part of it.
+    """
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schema = table(spark, sf_dir, "events").schema
+        folder = scratch(spark)
+        # A pattern, because a stream takes a folder or a pattern but no single file.
+        source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+        result = feature(as_conn(source, auth)).withColumns(ntz("window_start", "window_end"))
+        stream = (
+            result.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{folder}/result")
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        stream.awaitTermination()
+        return spark.read.schema(result.schema).parquet(f"{folder}/result")
+
+    return query
+
+
 def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the connections as a Zeek log and read them with the log reader."""
     folder = scratch(spark)
@@ -319,6 +353,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "port_scan_sliding": lambda s, d: port_scan_windowed(s, d, slide="12 hours"),
         "brute_force_windowed": brute_force_windowed,
         "beaconing_windowed": beaconing_windowed,
+        "port_scan_stream": streamed(lambda log: nb.port_scan_windowed(log, "1 day")),
+        "brute_force_stream": streamed(
+            lambda log: nb.brute_force_windowed(log, 22, "5 days"), auth=True
+        ),
+        "beaconing_stream": streamed(lambda log: nb.beaconing_windowed(log, "10 days")),
         "log_scan": log_scan,
         "alert_table": alert_table,
     }
@@ -416,6 +455,31 @@ FROM (SELECT *, {starts} AS window_start FROM conn) GROUP BY ALL"""
 
 
 EPOCH = "TIMESTAMP '1970-01-01'"
+CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+DAILY_SCANS_SQL = windowed_scan_sql(
+    f"time_bucket(INTERVAL 1 DAY, event_time, {EPOCH})", "1 DAY"
+)
+WINDOWED_ATTEMPTS_SQL = f"""
+SELECT window_start, window_start + INTERVAL 5 DAY AS window_end, src_ip,
+       count(*) AS failed_attempts, arg_min(dst_ip, (ts, uid)) AS dst_ip
+FROM (SELECT *, time_bucket(INTERVAL 5 DAY, event_time, {EPOCH}) AS window_start FROM failed)
+GROUP BY window_start, src_ip"""
+WINDOWED_BEACONS_SQL = f"""
+SELECT window_start, window_start + INTERVAL 10 DAY AS window_end, src_ip, dst_ip,
+       count(*) AS n_conns,
+       CAST(format('{{:.2f}}', avg(gap)) AS DOUBLE) AS mean_interval,
+       CAST(format('{{:.4f}}', stddev_pop(gap) / avg(gap)) AS DOUBLE) AS jitter
+FROM (SELECT window_start, src_ip, dst_ip,
+             ts - lag(ts) OVER (PARTITION BY window_start, src_ip, dst_ip ORDER BY ts) AS gap
+      FROM (SELECT *, time_bucket(INTERVAL 10 DAY, event_time, {EPOCH}) AS window_start
+            FROM conn))
+GROUP BY window_start, src_ip, dst_ip HAVING count(*) >= 3 AND avg(gap) > 0"""
+
+
+def closed(sql: str) -> str:
+    """Windows that a stream has closed: those the watermark has passed."""
+    return f"{WITH_CONN} SELECT * FROM ({sql}) WHERE {CLOSED}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -506,32 +570,18 @@ FROM alerts""",
 FROM alerts a LEFT JOIN (
   SELECT concat('10.0.', doc_id % 4, '.', doc_id) AS src_ip, count(*) AS matches,
          max(quality) AS confidence FROM labels GROUP BY 1) i ON a.src_ip = i.src_ip""",
-        "port_scan_windowed": WITH_CONN
-        + windowed_scan_sql(
-            f"time_bucket(INTERVAL 1 DAY, event_time, {EPOCH})", "1 DAY"
-        ),
+        "port_scan_windowed": WITH_CONN + DAILY_SCANS_SQL,
         "port_scan_sliding": WITH_CONN
         + windowed_scan_sql(
             f"""unnest([time_bucket(INTERVAL 12 HOUR, event_time, {EPOCH}),
               time_bucket(INTERVAL 12 HOUR, event_time, {EPOCH}) - INTERVAL 12 HOUR])""",
             "1 DAY",
         ),
-        "brute_force_windowed": WITH_CONN
-        + f"""SELECT window_start, window_start + INTERVAL 5 DAY AS window_end, src_ip,
-       count(*) AS failed_attempts, arg_min(dst_ip, (ts, uid)) AS dst_ip
-FROM (SELECT *, time_bucket(INTERVAL 5 DAY, event_time, {EPOCH}) AS window_start FROM failed)
-GROUP BY window_start, src_ip""",
-        "beaconing_windowed": WITH_CONN
-        + f""", placed AS (
-  SELECT *, time_bucket(INTERVAL 10 DAY, event_time, {EPOCH}) AS window_start FROM conn),
-steps AS (SELECT window_start, src_ip, dst_ip,
-                 ts - lag(ts) OVER (PARTITION BY window_start, src_ip, dst_ip ORDER BY ts)
-                   AS gap FROM placed)
-SELECT window_start, window_start + INTERVAL 10 DAY AS window_end, src_ip, dst_ip,
-       count(*) AS n_conns,
-       CAST(format('{{:.2f}}', avg(gap)) AS DOUBLE) AS mean_interval,
-       CAST(format('{{:.4f}}', stddev_pop(gap) / avg(gap)) AS DOUBLE) AS jitter
-FROM steps GROUP BY window_start, src_ip, dst_ip HAVING count(*) >= 3 AND avg(gap) > 0""",
+        "brute_force_windowed": WITH_CONN + WINDOWED_ATTEMPTS_SQL,
+        "beaconing_windowed": WITH_CONN + WINDOWED_BEACONS_SQL,
+        "port_scan_stream": closed(DAILY_SCANS_SQL),
+        "brute_force_stream": closed(WINDOWED_ATTEMPTS_SQL),
+        "beaconing_stream": closed(WINDOWED_BEACONS_SQL),
         "log_scan": WITH_CONN
         + """SELECT CAST(uid AS VARCHAR) AS uid, src_ip AS id_orig_h, dst_ip AS id_resp_h,
        CASE WHEN dst_port < 90 THEN dst_port END AS id_resp_p,

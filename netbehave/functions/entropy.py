@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Characters of a long text that are split at a time. The pattern keeps to whole
+# characters and does not backtrack.
+PIECE = 262_144
+PIECES = rf"(?s).{{1,{PIECE}}}+"
+
 
 def bits(count: Column) -> Column:
     """One character's term: its count times the logarithm of its count."""
@@ -33,9 +38,15 @@ def entropy_by_key(df: DataFrame, key: str, text: str) -> DataFrame:
     """Entropy of long texts: characters become rows and are counted per unique key.
 
     Counting happens before the shuffle, which moves one row per key and distinct
-    character, never the text. Null and empty texts keep one row and get 0.
+    character, never the text. A very long text is cut into pieces first, so its
+    characters are never all in one array. Null and empty texts keep one row and get 0.
     """
-    characters = df.select(key, F.explode_outer(F.split(text, "")).alias("char"))
+    pieces = F.when(F.length(text) <= PIECE, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    )
+    characters = df.select(key, F.explode_outer(pieces).alias("piece")).select(
+        key, F.explode_outer(F.split("piece", "")).alias("char")
+    )
     counts = characters.groupBy(key, "char").agg(F.count("*").alias("n"))
     return counts.groupBy(key).agg(
         (F.log2(F.sum("n").cast("double")) - F.sum(bits(F.col("n"))) / F.sum("n")).alias(

@@ -13,12 +13,16 @@ that many rows into one task, so such pairs take a second route:
 A log stores microseconds, so a slice holds at most ten million distinct timestamps of a
 pair, and a year of one pair is three million slices. Both routes give the same rows.
 
-The hot pairs are broadcast. Each has more than ``hot_rows`` rows, so there are fewer
-than (rows of the log / hot_rows) of them: 100,000 for 10**12 rows.
+The hot pairs are broadcast: each has more than ``hot_rows`` rows, so there are fewer
+than (rows of the log / hot_rows) of them, 100,000 for 10**12 rows. With ``hot_rows`` below
+``BROADCAST_HOT_ROWS`` that bound is weak, and the join is left to Spark, which broadcasts
+or shuffles by measured size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,60 +32,65 @@ from netbehave.operators import schemas
 from netbehave.operators.connections import address, empty
 
 HOT_ROWS = 10_000_000
+BROADCAST_HOT_ROWS = 1_000_000
 SLICE_SECONDS = 10
 
-PAIR = ["src_ip", "dst_ip"]
-SLICE = [*PAIR, "slice"]
+PAIR = ("src_ip", "dst_ip")
 
 
-def timed_pairs(conn: DataFrame) -> DataFrame:
+def timed_pairs(conn: DataFrame, *more: str) -> DataFrame:
     """(src_ip, dst_ip, ts) of the rows that have all three."""
     return conn.select(
         address(conn, "src").alias("src_ip"),
         address(conn, "dst").alias("dst_ip"),
         number(conn, "time").cast("double").alias("ts"),
+        *more,
     ).where("src_ip is not null and dst_ip is not null and ts is not null")
 
 
-def split_hot(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary pairs and rows of hot pairs."""
-    counts = rows.groupBy(*PAIR).agg(F.count("*").alias("n"))
-    hot = F.broadcast(counts.where(F.col("n") > hot_rows).select(*PAIR))
-    return rows.join(hot, PAIR, "left_anti"), rows.join(hot, PAIR, "left_semi")
+def split_hot(
+    rows: DataFrame, keys: Sequence[str], hot_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys and rows of hot keys."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") > hot_rows).select(*keys)
+    if hot_rows >= BROADCAST_HOT_ROWS:
+        hot = F.broadcast(hot)
+    return rows.join(hot, list(keys), "left_anti"), rows.join(hot, list(keys), "left_semi")
 
 
 def since_previous(*keys: str) -> Column:
     return F.col("ts") - F.lag("ts").over(Window.partitionBy(*keys).orderBy("ts"))
 
 
-def ordinary_intervals(rows: DataFrame) -> DataFrame:
-    """Intervals by one window per pair; equal timestamps keep their first row."""
+def ordinary_intervals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Intervals by one window per key; equal timestamps keep their first row."""
     same_time = (
-        Window.partitionBy(*PAIR)
+        Window.partitionBy(*keys)
         .orderBy("ts")
         .rangeBetween(Window.currentRow, Window.currentRow)
     )
     return rows.select(
-        *PAIR,
+        *keys,
         "ts",
-        since_previous(*PAIR).alias("interval"),
+        since_previous(*keys).alias("interval"),
         F.count("*").over(same_time).alias("n_conns"),
     ).where("interval is null or interval > 0")
 
 
-def hot_intervals(rows: DataFrame) -> DataFrame:
-    """Intervals by one window per pair and time slice, with boundary rows."""
+def hot_intervals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Intervals by one window per key and time slice, with boundary rows."""
     times = (
-        rows.groupBy(*PAIR, "ts")
+        rows.groupBy(*keys, "ts")
         .agg(F.count("*").alias("n_conns"))
         .withColumn("slice", F.floor(F.col("ts") / SLICE_SECONDS))
     )
-    in_order = Window.partitionBy(*PAIR).orderBy("slice")
+    in_order = Window.partitionBy(*keys).orderBy("slice")
     handed_on = (
-        times.groupBy(*SLICE)
+        times.groupBy(*keys, "slice")
         .agg(F.max("ts").alias("ts"))
         .select(
-            *PAIR,
+            *keys,
             "ts",
             F.lit(None).cast("bigint").alias("n_conns"),
             F.lead("slice").over(in_order).alias("slice"),
@@ -90,7 +99,7 @@ def hot_intervals(rows: DataFrame) -> DataFrame:
     )
     return (
         times.unionByName(handed_on)
-        .select(*PAIR, "ts", since_previous(*SLICE).alias("interval"), "n_conns")
+        .select(*keys, "ts", since_previous(*keys, "slice").alias("interval"), "n_conns")
         .where("n_conns is not null")
     )
 
@@ -103,18 +112,18 @@ def beacon_intervals(conn: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     if not has(conn, "src", "dst", "time"):
         return empty(conn, schemas.BEACON_INTERVALS)
-    ordinary, hot = split_hot(timed_pairs(conn), hot_rows)
-    return ordinary_intervals(ordinary).unionByName(hot_intervals(hot))
+    ordinary, hot = split_hot(timed_pairs(conn), PAIR, hot_rows)
+    return ordinary_intervals(ordinary, PAIR).unionByName(hot_intervals(hot, PAIR))
 
 
-def regularity(intervals: DataFrame) -> DataFrame:
-    """Per pair: connections, mean interval and jitter = population deviation / mean.
+def moments(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: connections, mean interval and jitter = population deviation / mean.
 
     The aggregated intervals are those between distinct timestamps; the zero intervals
     of equal timestamps enter by their number.
     """
-    moments = (
-        intervals.groupBy(*PAIR)
+    totals = (
+        intervals.groupBy(*keys)
         .agg(
             F.sum("n_conns").alias("n_conns"),
             F.count("interval").alias("moves"),
@@ -122,25 +131,29 @@ def regularity(intervals: DataFrame) -> DataFrame:
             F.var_pop("interval").alias("move_var"),
         )
         .where((F.col("n_conns") >= MIN_BEACON_CONNECTIONS) & (F.col("moves") > 0))
-        .withColumn("gaps", F.col("n_conns") - 1)
-        .withColumn("share", F.col("moves") / F.col("gaps"))
+        .withColumn("share", F.col("moves") / (F.col("n_conns") - 1))
     )
     share, move = F.col("share"), F.col("move")
     mean = move * share
     variance = share * F.col("move_var") + move * move * share * (1 - share)
-    return moments.select(
-        *PAIR,
+    return totals.select(
+        *keys,
         "n_conns",
         round_places(mean, 2).alias("mean_interval"),
         round_places(F.sqrt(variance) / mean, 4).alias("jitter"),
     )
 
 
+def regularity(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Moments of the intervals between rows of a key."""
+    ordinary, hot = split_hot(rows, keys, hot_rows)
+    return moments(ordinary_intervals(ordinary, keys), keys).unionByName(
+        moments(hot_intervals(hot, keys), keys)
+    )
+
+
 def beaconing_features(conn: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per pair with at least three connections and a positive mean interval."""
     if not has(conn, "src", "dst", "time"):
         return empty(conn, schemas.BEACONING)
-    ordinary, hot = split_hot(timed_pairs(conn), hot_rows)
-    return regularity(ordinary_intervals(ordinary)).unionByName(
-        regularity(hot_intervals(hot))
-    )
+    return regularity(timed_pairs(conn), PAIR, hot_rows)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from netbehave.constants import MIN_BEACON_CONNECTIONS
 from netbehave.functions.columns import epoch_time, has, number, round_places, value
+from netbehave.operators.beaconing import HOT_ROWS, PAIR, regularity, timed_pairs
 from netbehave.operators.connections import address, failed_to_port, first_target
 
 WINDOW = "60 seconds"
@@ -116,32 +117,41 @@ def beaconing_windowed(
     slide: str | None = None,
     watermark: str = WATERMARK,
     slice_duration: str = BEACON_SLICE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Beaconing features per window; intervals across window edges do not count.
 
+    A batch frame takes the route of the unwindowed feature, with the window as part of
+    the key. A stream cannot order rows across batches and gathers timestamps by slice.
+    """
+    conn = with_event_time(conn, watermark)
+    rows = timed_pairs(conn, "event_time")
+    if conn.isStreaming:
+        return beaconing_by_slice(rows, duration, slide, slice_duration)
+    window = F.window("event_time", duration, slide or duration)
+    placed = rows.withColumn("window", window).select(*bounds(), *PAIR, "ts")
+    return regularity(placed, ("window_start", "window_end", *PAIR), hot_rows)
+
+
+def beaconing_by_slice(
+    rows: DataFrame, duration: str, slide: str | None, slice_duration: str
+) -> DataFrame:
+    """Beaconing features of a stream.
+
     ``duration`` and ``slide`` must be multiples of ``slice_duration``. A slice keeps a
     pair's distinct timestamps, at most one per microsecond; a window keeps one entry per
     slice of the pair.
     """
-    conn = with_event_time(conn, watermark)
-    rows = conn.select(
-        "event_time",
-        address(conn, "src").alias("src_ip"),
-        address(conn, "dst").alias("dst_ip"),
-        number(conn, "time").cast("double").alias("ts"),
-    ).where("src_ip is not null and dst_ip is not null and ts is not null")
-
     times = F.col("times")
     slices = (
-        rows.groupBy(F.window("event_time", slice_duration).alias("slice"), "src_ip", "dst_ip")
+        rows.groupBy(F.window("event_time", slice_duration).alias("slice"), *PAIR)
         .agg(
             F.array_sort(F.collect_set("ts")).alias("times"),
             F.count("*").alias("n"),
         )
         .select(
             F.window_time("slice").alias("event_time"),
-            "src_ip",
-            "dst_ip",
+            *PAIR,
             F.struct(
                 F.element_at(times, 1).alias("first"),
                 F.element_at(times, -1).alias("last"),
@@ -156,9 +166,7 @@ def beaconing_windowed(
 
     parts = F.col("parts")
     windows = (
-        slices.groupBy(
-            F.window("event_time", duration, slide or duration), "src_ip", "dst_ip"
-        )
+        slices.groupBy(F.window("event_time", duration, slide or duration), *PAIR)
         .agg(
             F.array_sort(F.collect_list("part")).alias("parts"),
             F.sum("part.n").alias("n_conns"),
@@ -184,8 +192,7 @@ def beaconing_windowed(
     spread = (F.col("inner_squares") + F.col("edge_squares")) / F.col("gaps") - mean * mean
     return windows.select(
         *bounds(),
-        "src_ip",
-        "dst_ip",
+        *PAIR,
         "n_conns",
         round_places(mean, 2).alias("mean_interval"),
         round_places(F.sqrt(F.greatest(spread, F.lit(0.0))) / mean, 4).alias("jitter"),

@@ -63,18 +63,15 @@ def stage_logs(logs: Mapping[str, DataFrame], path: str) -> dict[str, DataFrame]
     """Write parsed logs as Parquet by date under ``path`` and read them back.
 
     Text logs are parsed once instead of once per detector, and later scans read only the
-    columns and dates they need. ``path`` must be shared storage on a cluster.
+    columns and dates they need. Nothing is shuffled: rotated logs cover a day or two per
+    file, so a task writes few files. ``path`` must be shared storage on a cluster.
     """
     staged = {}
     for name, rows in logs.items():
         target = f"{path}/{name}"
-        dated = rows.withColumn("event_date", F.to_date("event_time"))
-        (
-            dated.hint("rebalance", "event_date")
-            .write.mode("overwrite")
-            .partitionBy("event_date")
-            .parquet(target)
-        )
+        folders = ["event_date"] if "event_time" in rows.columns else []
+        dated = rows.withColumns({day: F.to_date("event_time") for day in folders})
+        dated.write.mode("overwrite").partitionBy(*folders).parquet(target)
         staged[name] = rows.sparkSession.read.schema(dated.schema).parquet(target)
     return staged
 

@@ -238,6 +238,13 @@ def test_entropy_of_nothing(spark):
     assert rows_of(nb.text_entropy(frame, "id", "t")) == [(1, 0.0), (2, 0.0), (3, 0.918)]
 
 
+def test_entropy_of_a_very_long_text(spark):
+    """Longer than a piece, with characters beyond 16 bits in turn with others."""
+    text = "a💡\n" * 200_000
+    frame = spark.createDataFrame([(1, text), (2, text[: 2**18])], "id int, t string")
+    assert rows_of(nb.text_entropy(frame, "id", "t")) == [(1, 1.585), (2, 1.585)]
+
+
 def test_bytes(spark):
     frame = spark.createDataFrame(
         [("a", "b", v) for v in ["10", "2.0", "x", None, "-"]] + [("a", None, "5"), (None, "b", "5")],
