@@ -122,7 +122,9 @@ def moments(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     The aggregated intervals are those between distinct timestamps; the zero intervals
     of equal timestamps enter by their number.
     """
-    totals = (
+    share, move, move_var = F.col("share"), F.col("move"), F.col("move_var")
+    variance = share * move_var + move * move * share * (1 - share)
+    return (
         intervals.groupBy(*keys)
         .agg(
             F.sum("n_conns").alias("n_conns"),
@@ -132,24 +134,27 @@ def moments(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
         .where((F.col("n_conns") >= MIN_BEACON_CONNECTIONS) & (F.col("moves") > 0))
         .withColumn("share", F.col("moves") / (F.col("n_conns") - 1))
-    )
-    share, move = F.col("share"), F.col("move")
-    mean = move * share
-    variance = share * F.col("move_var") + move * move * share * (1 - share)
-    return totals.select(
-        *keys,
-        "n_conns",
-        round_places(mean, 2).alias("mean_interval"),
-        round_places(F.sqrt(variance) / mean, 4).alias("jitter"),
+        .select(
+            *keys,
+            "n_conns",
+            (move * share).alias("mean"),
+            (F.sqrt(variance) / (move * share)).alias("jitter"),
+        )
     )
 
 
 def regularity(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Moments of the intervals between rows of a key."""
+    """Rounded moments of the intervals between rows of a key."""
     ordinary, hot = split_hot(rows, keys, hot_rows)
-    return moments(ordinary_intervals(ordinary, keys), keys).unionByName(
+    both = moments(ordinary_intervals(ordinary, keys), keys).unionByName(
         moments(hot_intervals(hot, keys), keys)
     )
+    return both.select(
+        *keys,
+        "n_conns",
+        round_places(F.col("mean"), 2).alias("mean_interval"),
+        round_places(F.col("jitter"), 4).alias("jitter"),
+    )
 
 
 def beaconing_features(conn: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -98,6 +98,7 @@ class TestBeaconing:
         return rows_of(nb.beaconing_features(frame, hot_rows))
 
     def test_group_size(self, conn, hot_rows):
+        assert self.features(conn(beat([1.0])), hot_rows) == []
         assert self.features(conn(beat([1.0, 2.0])), hot_rows) == []
         assert self.features(conn(beat([1.0, 2.0, 3.0])), hot_rows) == [
             ("10.0.0.1", "10.0.0.2", 3, 1.0, 0.0)
