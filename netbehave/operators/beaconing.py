@@ -80,14 +80,11 @@ def ordinary_intervals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def hot_intervals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Intervals by one window per key and time slice, with boundary rows."""
-    times = (
-        rows.groupBy(*keys, "ts")
-        .agg(F.count("*").alias("n_conns"))
-        .withColumn("slice", F.floor(F.col("ts") / SLICE_SECONDS))
-    )
+    placed = rows.withColumn("slice", F.floor(F.col("ts") / SLICE_SECONDS))
+    times = placed.groupBy(*keys, "slice", "ts").agg(F.count("*").alias("n_conns"))
     in_order = Window.partitionBy(*keys).orderBy("slice")
     handed_on = (
-        times.groupBy(*keys, "slice")
+        placed.groupBy(*keys, "slice")
         .agg(F.max("ts").alias("ts"))
         .select(
             *keys,
