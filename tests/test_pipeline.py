@@ -82,6 +82,12 @@ def test_run_over_staged_logs(spark, logs, tmp_path):
     result.release()
 
 
+def test_staged_log_without_time(spark, tmp_path):
+    frame = spark.createDataFrame([("h",)], "host string")
+    staged = nb.stage_logs({"http": frame}, str(tmp_path / "staged"))
+    assert [tuple(row) for row in staged["http"].collect()] == [("h",)]
+
+
 def test_store(spark, store):
     assert store.count() == 0
     start = datetime(2026, 1, 1)
