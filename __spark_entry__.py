@@ -327,11 +327,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "failed_states": failed_states,
         "failed_logins": failed_logins,
         "port_scan_features": lambda s, d: nb.port_scan_features(conn(s, d)),
+        "port_scan_ranked": lambda s, d: nb.ranked(nb.port_scan_features(conn(s, d))),
         "brute_force_features": lambda s, d: nb.brute_force_features(auth_conn(s, d)),
         "beacon_intervals": beacon_intervals,
         "beacon_intervals_hot": lambda s, d: beacon_intervals(s, d, hot_rows=HOT_ROWS),
         "beaconing_features": lambda s, d: nb.beaconing_features(conn(s, d)),
         "beaconing_features_hot": lambda s, d: nb.beaconing_features(conn(s, d), HOT_ROWS),
+        "beaconing_ranked": lambda s, d: nb.ranked(nb.beaconing_features(conn(s, d))),
         "dns_features": lambda s, d: nb.dns_features(dns(s, d)),
         "text_entropy": text_entropy,
         "exfil_features": lambda s, d: nb.exfil_features(conn(s, d)),
@@ -503,11 +505,15 @@ FROM (SELECT event_id, CASE event_type WHEN 'view' THEN '-' WHEN 'click' THEN '(
 WHERE conn_state IN ('REJ', 'S0', 'RSTO', 'RSTR', 'RSTOS0', 'SH')""",
         "failed_logins": WITH_CONN + "SELECT uid, src_ip, conn_state FROM failed",
         "port_scan_features": WITH_CONN + "SELECT * FROM scans",
+        "port_scan_ranked": WITH_CONN
+        + "SELECT * FROM scans ORDER BY distinct_ports DESC, src_ip",
         "brute_force_features": WITH_CONN + "SELECT * FROM attempts",
         "beacon_intervals": INTERVALS_SQL,
         "beacon_intervals_hot": INTERVALS_SQL,
         "beaconing_features": WITH_CONN + "SELECT * FROM beacons",
         "beaconing_features_hot": WITH_CONN + "SELECT * FROM beacons",
+        "beaconing_ranked": WITH_CONN
+        + "SELECT * FROM beacons ORDER BY jitter, src_ip, dst_ip",
         "dns_features": WITH_DNS + "SELECT * FROM names",
         "text_entropy": """
 SELECT doc_id, round_even(coalesce(list_aggregate(string_split(text, ''), 'entropy'), 0), 3)

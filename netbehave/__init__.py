@@ -24,7 +24,7 @@ from netbehave.plans.detectors import (
     to_alerts,
 )
 from netbehave.plans.pipeline import Run, detect, run, stage_logs
-from netbehave.plans.report import alert_json, render, severity_histogram, summary
+from netbehave.plans.report import alert_json, ranked, render, severity_histogram, summary
 from netbehave.sources.alert_store import AlertStore, new_alert
 from netbehave.sources.logs import load_logs, read_log
 
@@ -52,6 +52,7 @@ __all__ = [
     "new_alert",
     "port_scan_features",
     "port_scan_windowed",
+    "ranked",
     "read_log",
     "render",
     "run",

@@ -1,4 +1,4 @@
-"""Alerts for reading: counts per severity, a summary, text lines and JSON."""
+"""Features and alerts for reading: rankings, counts per severity, a summary, lines, JSON."""
 
 from __future__ import annotations
 
@@ -9,6 +9,17 @@ from netbehave import constants as C
 
 WORST_FIRST = C.SEVERITIES[::-1]
 
+# The column that ranks a feature table; jitter ranks the most regular pair first.
+RANKS = ("distinct_ports", "failed_attempts", "jitter", "entropy", "total_orig_bytes")
+
+
+def ranked(features: DataFrame) -> DataFrame:
+    """A feature table in order of its metric, ties by address and name."""
+    metric = next(name for name in RANKS if name in features.columns)
+    order = F.asc(metric) if metric == "jitter" else F.desc(metric)
+    ties = [name for name in ("src_ip", "dst_ip", "query") if name in features.columns]
+    return features.orderBy(order, *ties)
+
 
 def severity_histogram(alerts: DataFrame) -> DataFrame:
     """Alerts per known severity, worst first."""

@@ -246,6 +246,19 @@ def test_entropy_of_a_very_long_text(spark):
     assert rows_of(nb.text_entropy(frame, "id", "t")) == [(1, 1.585), (2, 1.585)]
 
 
+def test_ranking(spark):
+    scans = spark.createDataFrame(
+        [("b", 5), ("a", 5), ("c", 9)], "src_ip string, distinct_ports bigint"
+    )
+    assert [row.src_ip for row in nb.ranked(scans).collect()] == ["c", "a", "b"]
+    beacons = spark.createDataFrame(
+        [("a", "y", 0.2), ("b", "x", 0.1), ("a", "x", 0.2)],
+        "src_ip string, dst_ip string, jitter double",
+    )
+    order = [(row.src_ip, row.dst_ip) for row in nb.ranked(beacons).collect()]
+    assert order == [("b", "x"), ("a", "x"), ("a", "y")]
+
+
 def test_bytes(spark):
     frame = spark.createDataFrame(
         [("a", "b", v) for v in ["10", "2.0", "x", None, "-"]] + [("a", None, "5"), (None, "b", "5")],
