@@ -6,9 +6,12 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import tempfile
 import uuid
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -317,7 +320,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return all_alerts(spark, SMOKE_DIR).select(*FOUND)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "conn_project": conn_project,
         "numeric_coerce": numeric_coerce,
@@ -484,7 +487,7 @@ def closed(sql: str) -> str:
     return f"{WITH_CONN} SELECT * FROM ({sql}) WHERE {CLOSED}"
 
 
-def oracle_sql() -> dict[str, str]:
+def own_sql() -> dict[str, str]:
     return {
         "conn_project": WITH_CONN
         + "SELECT uid, src_ip, dst_ip, dst_port, conn_state, orig_bytes FROM conn",
@@ -597,3 +600,33 @@ FROM alerts a LEFT JOIN (
 FROM conn""",
         "alert_table": WITH_CONN + "SELECT * FROM brute_alerts",
     }
+
+
+# ---------------------------------------------------------------- optional parts
+
+
+def optional(name: str) -> ModuleType | None:
+    """Module of this name, or None where it is not part of this copy of the repository."""
+    try:
+        there = importlib.util.find_spec(name)
+    except ModuleNotFoundError:
+        there = None
+    return importlib.import_module(name) if there else None
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = own_queries()
+    if llm := optional("netbehave.llm.queries"):
+        found |= llm.QUERIES
+    if pipeline := optional("corpus_pipeline"):
+        found["pipeline"] = pipeline.run
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found = own_sql()
+    if llm := optional("netbehave.llm.queries"):
+        found |= llm.ORACLE_SQL
+    if (pipeline := optional("corpus_pipeline")) and pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
+    return found

@@ -40,13 +40,13 @@ def table(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(driver.own_queries()) == set(driver.own_sql())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.own_queries()))
 def test_query_equals_sql(spark, duck, name):
-    result = driver.queries()[name](spark, SF_DIR)
-    expected = duck.execute(driver.oracle_sql()[name])
+    result = driver.own_queries()[name](spark, SF_DIR)
+    expected = duck.execute(driver.own_sql()[name])
     columns = [item[0] for item in expected.description]
     want = table(columns, expected.fetchall())
     got = table(result.columns, result.collect())
