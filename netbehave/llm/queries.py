@@ -4,18 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netbehave.llm import quality
-from netbehave.llm.words import table
+from netbehave.llm import pii, quality, tokencount, tokenfile
+from netbehave.llm.words import shared_folder, table
+
+PII_KEY = b"key of the registered query"
 
 
 def op1_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    docs = table(spark, sf_dir, "documents")
+    return tokenfile.token_digests(docs, shared_folder(spark, "tokens"), tokenizer)
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = tokencount.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents")
+    return tokencount.section_counts(docs, tokens, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_quality": op1_suffix_quality,
+    "op2_token_files": op2_token_files,
+    "op6_pseudonyms": op6_pseudonyms,
+    "op10_section_tokens": op10_section_tokens,
 }
 
 # Repeated sequences as runs on diagonals: equal MIN_REPEAT-word windows at i and i + d.

@@ -6,7 +6,10 @@ A word is a longest run of bytes other than the six ASCII blanks, which is what
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +82,23 @@ class Numbering(dict):
 def bounds(counts: list[int]) -> np.ndarray:
     """Start of each group, and the end of the last, from group sizes."""
     return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New folder that driver and executors share.
+
+    It lies in ``spark.checkpoint.dir`` or, where that is unset, in the warehouse.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """Object that lives as long as the Python worker, which runs many tasks in turn.
+
+    For caches only: what is kept must not change a result.
+    """
+    module = sys.modules.setdefault("llm_worker_state", ModuleType("llm_worker_state"))
+    if name not in vars(module):
+        setattr(module, name, make())
+    return getattr(module, name)
