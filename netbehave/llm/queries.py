@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netbehave.llm import pii, quality, tokencount, tokenfile
+from netbehave.llm import langid, pii, quality, secretscan, tokencount, tokenfile
 from netbehave.llm.words import shared_folder, table
 
 PII_KEY = b"key of the registered query"
@@ -24,10 +25,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(docs, shared_folder(spark, "tokens"), tokenizer)
 
 
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.find_secrets(docs, secretscan.fit(docs))
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op8_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.remainder(4) == 2, F.lit(False))
+    identifier = langid.fit(docs.where(~held_out))
+    found = langid.predict(docs, identifier)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tokencount.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents")
@@ -37,7 +51,9 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_quality": op1_suffix_quality,
     "op2_token_files": op2_token_files,
+    "op5_secret_spans": op5_secret_spans,
     "op6_pseudonyms": op6_pseudonyms,
+    "op8_word_languages": op8_word_languages,
     "op10_section_tokens": op10_section_tokens,
 }
 

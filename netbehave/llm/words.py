@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_CHARS = 2_000_000
 
@@ -102,3 +104,53 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     if name not in vars(module):
         setattr(module, name, make())
     return getattr(module, name)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is computed once."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def count_words(docs: DataFrame, group: str, lower: bool = False, held: int = 400_000) -> DataFrame:
+    """Rows (group, word, n) over every text, ``word`` in binary.
+
+    Tasks count in a table of at most about ``held`` words before they hand it on, so a
+    frequent word costs a task a row or two and not one per occurrence.
+    """
+    schema = docs.select(F.col(group).alias("group")).schema.add("word", "binary").add("n", "long")
+    kind = pa.binary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[object, Counter] = {}
+
+        def hand_on(to: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for key, counter in counts.items():
+                found = list(counter)
+                for at in range(0, len(found), 50_000):
+                    part = found[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([key] * len(part), to),
+                            pa.array(part, kind),
+                            pa.array([counter[word] for word in part], pa.int64()),
+                        ],
+                        names=["group", "word", "n"],
+                    )
+            counts.clear()
+
+        to = pa.null()
+        for part in slices(batches):
+            to = part.schema.field("group").type
+            pairs = zip(part.column("text").to_pylist(), part.column("group").to_pylist())
+            for text, key in pairs:
+                raw = utf8(text) if text else b""
+                words = (raw.lower() if lower else raw).split()
+                counts.setdefault(key, Counter()).update(words)
+            if sum(map(len, counts.values())) > held:
+                yield from hand_on(to)
+        yield from hand_on(to)
+
+    partial = docs.select("text", F.col(group).alias("group")).mapInArrow(run, schema)
+    return partial.groupBy("group", "word").agg(F.sum("n").alias("n"))
