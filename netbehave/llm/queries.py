@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netbehave.llm import langid, pii, quality, secretscan, tokencount, tokenfile
+from netbehave.llm import langid, neardup, pii, quality, secretscan, tokencount, tokenfile
 from netbehave.llm.words import shared_folder, table
 
 PII_KEY = b"key of the registered query"
@@ -34,6 +34,10 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(langid.remainder(4) == 2, F.lit(False))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op5_secret_spans": op5_secret_spans,
     "op6_pseudonyms": op6_pseudonyms,
+    "op7_bbit_minhash": op7_bbit_minhash,
     "op8_word_languages": op8_word_languages,
     "op10_section_tokens": op10_section_tokens,
 }
