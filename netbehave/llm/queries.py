@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netbehave.llm import langid, neardup, pii, quality, secretscan, tokencount, tokenfile
+from netbehave.llm import decontam, langid, neardup, pii, quality, secretscan, tokencount, tokenfile
 from netbehave.llm.words import shared_folder, table
 
 PII_KEY = b"key of the registered query"
@@ -25,6 +25,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(docs, shared_folder(spark, "tokens"), tokenizer)
 
 
+def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secretscan.find_secrets(docs, secretscan.fit(docs))
@@ -55,6 +60,7 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_quality": op1_suffix_quality,
     "op2_token_files": op2_token_files,
+    "op3_simhash_leaks": op3_simhash_leaks,
     "op5_secret_spans": op5_secret_spans,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_bbit_minhash": op7_bbit_minhash,
