@@ -69,7 +69,7 @@ def features(core: bytes, lexicon: dict[bytes, list[int]]) -> list[int]:
 
 def lexicons(training: DataFrame, langs: list[str]) -> dict[bytes, list[int]]:
     """Words with at least ``LEXICON_SHARE`` of a language's words, over all rows."""
-    counts = stored(count_words(training, "lang", lower=True), "lang-words")
+    counts = stored(count_words(training, "lang"), "lang-words")
     totals = {row["group"]: row["n"] for row in counts.groupBy("group").agg(F.sum("n").alias("n")).collect()}
     least = F.lit(None)
     for lang in langs:

@@ -8,21 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netbehave.llm import decontam, langid, neardup, pii, quality, secretscan, tokencount, tokenfile
+from netbehave.llm import decontam, langid, lm, neardup, pieces, pii, quality, secretscan, tokencount, tokenfile
 from netbehave.llm.words import shared_folder, table
 
+END_OF_TEXT = 49_407  # last id of the word tokenizer
 PII_KEY = b"key of the registered query"
 
 
+def word_tokenizer() -> str:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
 def op1_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        tokenizer = file.read()
     docs = table(spark, sf_dir, "documents")
-    return tokenfile.token_digests(docs, shared_folder(spark, "tokens"), tokenizer)
+    return tokenfile.token_digests(docs, shared_folder(spark, "tokens"), word_tokenizer())
 
 
 def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,11 @@ def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = pieces.read_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encoded_totals(table(spark, sf_dir, "documents"), known)
+
+
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secretscan.find_secrets(docs, secretscan.fit(docs))
@@ -51,6 +60,13 @@ def op8_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.remainder(7) == 2, F.lit(False))
+    found = lm.score(docs, docs.where(~held_out), word_tokenizer(), END_OF_TEXT)
+    return found.withColumn("held_out", held_out)
+
+
 def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tokencount.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents")
@@ -61,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_quality": op1_suffix_quality,
     "op2_token_files": op2_token_files,
     "op3_simhash_leaks": op3_simhash_leaks,
+    "op4_piece_lattice": op4_piece_lattice,
     "op5_secret_spans": op5_secret_spans,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_bbit_minhash": op7_bbit_minhash,
     "op8_word_languages": op8_word_languages,
+    "op9_attention_scores": op9_attention_scores,
     "op10_section_tokens": op10_section_tokens,
 }
 

@@ -113,7 +113,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def count_words(docs: DataFrame, group: str, lower: bool = False, held: int = 400_000) -> DataFrame:
+def lower_words(text: str | None) -> list[bytes]:
+    return utf8(text).lower().split() if text else []
+
+
+def count_words(
+    docs: DataFrame,
+    group: str,
+    split: Callable[[str | None], list[bytes]] = lower_words,
+    held: int = 400_000,
+) -> DataFrame:
     """Rows (group, word, n) over every text, ``word`` in binary.
 
     Tasks count in a table of at most about ``held`` words before they hand it on, so a
@@ -145,9 +154,7 @@ def count_words(docs: DataFrame, group: str, lower: bool = False, held: int = 40
             to = part.schema.field("group").type
             pairs = zip(part.column("text").to_pylist(), part.column("group").to_pylist())
             for text, key in pairs:
-                raw = utf8(text) if text else b""
-                words = (raw.lower() if lower else raw).split()
-                counts.setdefault(key, Counter()).update(words)
+                counts.setdefault(key, Counter()).update(split(text))
             if sum(map(len, counts.values())) > held:
                 yield from hand_on(to)
         yield from hand_on(to)
