@@ -41,7 +41,7 @@ from netbehave.llm.words import slices, words_of, worker_state
 
 END_ID = 2
 FRAME_TOKENS = 65_536
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000  # in each half of a worker's cache
 
 # Fixed values of the seekable format.
 INDEX_MAGIC = 0x184D2A50
@@ -70,6 +70,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.mark = self.ids_of(self.SEPARATOR)
         if len(self.mark) != 1:
             raise ValueError("the separator must be one token")
@@ -84,8 +85,8 @@ class WordEncoder:
         for at in apart:
             self.known[new[at]] = self.ids_of(texts[at]).tobytes()
         together = sorted(set(range(len(new))).difference(apart)) if apart else range(len(new))
-        for start in range(0, len(together), 2000):
-            part = together[start : start + 2000]
+        for start in range(0, len(together), 500):
+            part = together[start : start + 500]
             ids = self.ids_of(f" {self.SEPARATOR} ".join([texts[at] for at in part]))
             cuts = np.flatnonzero(ids == self.mark[0])
             raw, low = ids.tobytes(), 0
@@ -93,11 +94,29 @@ class WordEncoder:
                 self.known[new[at]] = raw[4 * low : 4 * cut]
                 low = cut + 1
 
+    def know(self, words: set[bytes]) -> None:
+        """Have the ids of these words at hand."""
+        if len(self.known) > CACHED_WORDS:
+            # Words in use move over from the older half, the others go with it.
+            self.known, self.older = {}, self.known
+        new = words - self.known.keys()
+        kept = new & self.older.keys()
+        self.known.update((word, self.older[word]) for word in kept)
+        self.learn(list(new - kept))
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        self.know(set(words))
+        return [self.known[word] for word in words]
+
+    def ids_of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in turn, and how many each has."""
+        found = self.encode_words(words)
+        sizes = np.array([len(one) // 4 for one in found], np.int64)
+        return np.frombuffer(b"".join(found), "<u4"), sizes
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         words = [words_of(text) for text in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        self.learn(list({word for one in words for word in one} - self.known.keys()))
+        self.know({word for one in words for word in one})
         last = np.array([end], "<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, one)) + last for one in words]
@@ -310,7 +329,8 @@ def token_digests(docs: DataFrame, folder: str, tokenizer_json: str) -> DataFram
     read = read_token_files(spark, folder).select(
         "file", "doc_id", "start_in_file", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
-    return read.join(file_starts(spark, folder), "file").select(
+    # One row per file, and a file per task that wrote: small at any size of the corpus.
+    return read.join(F.broadcast(file_starts(spark, folder)), "file").select(
         "doc_id",
         (F.col("start_in_file") + F.col("before")).alias("start"),
         "n_tokens",
