@@ -24,8 +24,7 @@ the sum over units of their place (from 1, modulo 65,521) times the low 16 bits
 CRC-32 of their ids, so it depends on the order.
 
 Results for odd rows: a null text is encoded as an empty one, which is a single blank. The
-blank sign of the pieces is read as a blank. Repeated rows add up under one ``doc_id`` in
-``encoded_totals``; ``encode`` keys them by row. Columns other than ``doc_id`` and
+blank sign of the pieces is read as a blank. Repeated rows are each answered. Columns other than ``doc_id`` and
 ``text`` are not read.
 """
 
@@ -36,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,13 +295,13 @@ def common_units(values: DataFrame, most: int) -> DataFrame:
 
 TOTALS = ("n_units", "n_pieces", "n_unknown", "score", "checksum", "decoded_chars", "n_changed")
 TOTALS_SCHEMA = (
-    "doc_id long, unit string, n long, places long, n_units long, n_pieces long, "
+    "row long, doc_id long, unit string, n long, places long, n_units long, n_pieces long, "
     "n_unknown long, score double, checksum long, decoded_chars long, n_changed long"
 )
 
 
 def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNITS) -> DataFrame:
-    """One row per ``doc_id``: units, pieces, characters without a piece, score, checksum,
+    """For every row of ``docs``: units, pieces, characters without a piece, score, checksum,
     decoded characters, and whether the ids decode to the text."""
     values = stored(unit_values(lexicon(docs, pieces), pieces), "unit-values")
     known = common_units(values, common).drop("n").toPandas()
@@ -314,6 +314,7 @@ def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNIT
         names, arrays = carried.value
         number = dict(zip(names, range(len(names))))
         n_pieces, unknown, score, digest, chars, same = arrays
+        row = TaskContext.get().partitionId() << 40
         for part in slices(batches):
             ids = part.column("doc_id").to_pylist()
             rest: list[tuple] = []
@@ -324,9 +325,10 @@ def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNIT
                 weights = np.arange(1, len(units) + 1) % PLACES
                 hit = found >= 0
                 at = found[hit]
+                row += 1
                 sums.append(
                     (
-                        doc_id, int(hit.sum()), int(n_pieces[at].sum()), int(unknown[at].sum()),
+                        row, doc_id, int(hit.sum()), int(n_pieces[at].sum()), int(unknown[at].sum()),
                         float(score[at].sum()), int((weights[hit] * digest[at]).sum()),
                         int(chars[at].sum()), int((~same[at].astype(bool)).sum()),
                     )
@@ -336,18 +338,19 @@ def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNIT
                     entry = others.setdefault(units[place], [0, 0])
                     entry[0] += 1
                     entry[1] += int(weights[place])
-                rest += [(doc_id, unit, n, places) for unit, (n, places) in others.items()]
+                rest += [(row, doc_id, unit, n, places) for unit, (n, places) in others.items()]
             yield batch(sums, rest)
 
     mixed = docs.select("doc_id", "text").mapInArrow(run, TOTALS_SCHEMA)
     mixed = stored(mixed, "unit-sums")
-    sums = mixed.where("unit IS NULL").select("doc_id", *TOTALS)
+    sums = mixed.where("unit IS NULL").select("row", "doc_id", *TOTALS)
     n = F.col("times")
     rest = (
         mixed.where("unit IS NOT NULL")
-        .select("doc_id", "unit", F.col("n").alias("times"), "places")
+        .select("row", "doc_id", "unit", F.col("n").alias("times"), "places")
         .join(values, "unit")
         .select(
+            "row",
             "doc_id",
             n.alias("n_units"),
             (n * F.col("pieces")).alias("n_pieces"),
@@ -360,7 +363,7 @@ def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNIT
     )
     return (
         sums.union(rest)
-        .groupBy("doc_id")
+        .groupBy("row", "doc_id")
         .agg(*[F.sum(name).alias(name) for name in TOTALS])
         .select("doc_id", *TOTALS[:-1], (F.col("n_changed") == 0).alias("round_trip"))
     )
@@ -370,13 +373,14 @@ def batch(sums: list[tuple], rest: list[tuple]) -> pa.RecordBatch:
     """Rows of sums, without a unit, and rows of units that were not looked up."""
     n, m = len(sums), len(rest)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-    left = list(zip(*sums)) if sums else [()] * 8
-    right = list(zip(*rest)) if rest else [()] * 4
+    left = list(zip(*sums)) if sums else [()] * 9
+    right = list(zip(*rest)) if rest else [()] * 5
     arrays = [
         pa.array([*left[0], *right[0]], pa.int64()),
-        pa.array([*[None] * n, *right[1]], pa.string()),
-        pa.array([*[None] * n, *right[2]], pa.int64()),
+        pa.array([*left[1], *right[1]], pa.int64()),
+        pa.array([*[None] * n, *right[2]], pa.string()),
         pa.array([*[None] * n, *right[3]], pa.int64()),
-        *(pa.array([*column, *[None] * m], kind) for column, kind in zip(left[1:], kinds)),
+        pa.array([*[None] * n, *right[4]], pa.int64()),
+        *(pa.array([*column, *[None] * m], kind) for column, kind in zip(left[2:], kinds)),
     ]
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in TOTALS_SCHEMA.split(", ")])

@@ -1,0 +1,89 @@
+import hashlib
+
+import pytest
+
+from netbehave.llm import secretscan
+from tests.llm.conftest import by_id
+
+
+def kinds(text):
+    return [(kind, text[start:end]) for start, end, kind in secretscan.rule_spans(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("PassWord: hunter22 x", [("assign", "PassWord: hunter22")]),
+        ('api_key="abcdef" apikey=abcdef', [("assign", 'api_key="abcdef'), ("assign", "apikey=abcdef")]),
+        ("token: abcde", []),
+        ("secret=token:abcdefgh", []),
+        ("password=token=abcdef", [("assign", "password=token=abcdef")]),
+        ("AKIA" + "A" * 15, []),
+        ("xAKIA" + "A1" * 8 + "a", [("access", "AKIA" + "A1" * 8)]),
+        ("0123456789abcdef01234567", [("hex", "0123456789abcdef01234567")]),
+        ("0123456789abcdef0123456", []),
+        ("ſecret=abcdefgh", []),
+        ("é password=é", []),
+    ],
+)
+def test_rules(text, want):
+    assert kinds(text) == want
+
+
+def noise(seed, n):
+    return " ".join(f"w{chr(97 + seed * 7 % 26)}{'abcdefghij'[k * (seed + 3) % 10]}o" for k in range(n))
+
+
+def corpus():
+    rows = []
+    for at in range(120):
+        secret = hashlib.sha1(str(at).encode()).hexdigest()
+        middle = f'token = "{secret}"' if at % 3 == 0 else f"call 555-{at:04d} now"
+        rows.append((at, f"{noise(at, 20)} {middle} {noise(at + 1, 20)}"))
+    return rows
+
+
+def test_field_finds_what_rules_miss(docs):
+    given = docs(corpus())
+    model = secretscan.fit(given)
+    hidden = hashlib.sha1(b"new").hexdigest()
+    broken = hidden[:20] + "-" + hidden[20:]
+    text = f'{noise(5, 10)} token = "{broken}" {noise(6, 10)}'
+    tagger = secretscan.Tagger(model)
+    assert any(broken in text[a:b] for a, b in tagger.spans([text])[0])
+    clean = [text for at, text in corpus() if at % 3]
+    assert not any(tagger.spans(clean))
+    want = [secretscan.rule_spans(text) for at, text in corpus() if at % 3 == 0]
+    got = tagger.spans([text for at, text in corpus() if at % 3 == 0])
+    assert all(any(a < y and x < b for x, y in more) for spans, more in zip(want, got) for a, b, _ in spans)
+
+
+def test_result_columns(docs):
+    given = docs(corpus())
+    found = by_id(secretscan.find_secrets(given, secretscan.fit(given)))
+    for at, text in corpus():
+        base = secretscan.rule_spans(text)
+        told = ",".join(f"{kind}:{start}:{end}" for start, end, kind in base)
+        assert found[at]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert found[at]["n_hex"] == sum(kind == "hex" for *_, kind in base)
+        assert set(told.split(",")) - {""} <= set(found[at]["spans"].split(","))
+
+
+def test_masks_cover_overlaps():
+    spans = [(2, 6, "assign"), (4, 8, "hex"), (10, 12, "crf")]
+    assert secretscan.masked("0123456789abcdef", spans) == "01[secret]89[secret]cdef"
+
+
+def test_fit_is_bounded(docs):
+    assert secretscan.fit(docs(corpus()), limit=30) is not None
+    assert secretscan.fit(docs(["nothing to see 12"] * 5)) is None
+
+
+def test_odd_rows(odd, none):
+    assert secretscan.fit(odd) is None
+    found = secretscan.find_secrets(odd, None).collect()
+    assert len(found) == odd.count()
+    assert {row["spans"] for row in found} == {""}
+    redacted = secretscan.redact_secrets(odd, None)
+    assert sorted(redacted.collect(), key=repr) == sorted(odd.collect(), key=repr)
+    assert secretscan.find_secrets(none, secretscan.fit(none)).collect() == []
