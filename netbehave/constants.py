@@ -75,7 +75,7 @@ NO_TARGET = "N/A"
 # Texts of the two detectors that have thresholds but no reference wording.
 DNS_TUNNEL_TEXT = "Tunnel DNS suspect : %s (entropie %.3f, longueur %d, seuil : %s)"
 EXFILTRATION_TEXT = (
-    "Exfiltration suspecte : %d octets sortants sur %d connexions (seuil : %s)"
+    "Exfiltration suspecte : %s octets sortants sur %d connexions (seuil : %s)"
 )
 
 # Summary breakdown.

@@ -62,11 +62,11 @@ def to_double(column: Column) -> Column:
 def to_long(column: Column) -> Column:
     """Whole number from text: "22" and "22.0" are 22, "abc" is null.
 
-    Digits are looked for first because a failed cast to a whole number costs many times
-    what the look does.
+    Exact over the whole 64-bit range. Digits are looked for first because a failed cast
+    costs many times what the look does; either way the same text gives the same number.
     """
     return F.when(column.rlike("^[0-9]{1,18}$"), column.try_cast("bigint")).otherwise(
-        to_double(column).try_cast("bigint")
+        column.try_cast("decimal(38,18)").try_cast("bigint")
     )
 
 
@@ -84,14 +84,17 @@ def round_places(column: Column, places: int) -> Column:
     """A non-negative double rounded to the nearest decimal, exact ties to even.
 
     The stored binary value decides, not its shortest text, so 0.10005 (stored slightly
-    above) becomes 0.1001. The value is cut into a short and a small part; either times
-    twice the scale is exact, so the sign of ``side`` tells which neighbour is nearer.
+    above) becomes 0.1001. Only the fraction is rounded. It is cut into a short and a small
+    part; either times twice the scale is exact, so the sign of ``side`` tells which
+    neighbour is nearer. From 2^53 / scale on, doubles lie further apart than decimals, and
+    the nearest double to the rounded value is the value itself.
     """
     scale = 10**places
-    below = F.floor(column * scale).cast("double")
-    short = column.cast("float").cast("double")
-    side = (short * (2 * scale) - (below * 2 + 1)) + (column - short) * (2 * scale)
-    step = F.when(side > 0, 1).when(side < 0, 0).otherwise(below % 2)
-    return F.when(column < 2.0**32, (below + step) / F.lit(float(scale))).otherwise(
-        F.bround(column, places)
-    )
+    whole = F.floor(column).cast("double")
+    fraction = column - whole
+    below = F.floor(fraction * scale).cast("double")
+    short = fraction.cast("float").cast("double")
+    side = (short * (2 * scale) - (below * 2 + 1)) + (fraction - short) * (2 * scale)
+    step = F.when(side > 0, 1).when(side < 0, 0).otherwise((whole * scale + below) % 2)
+    rounded = (whole * scale + below + step) / F.lit(float(scale))
+    return F.when(column * scale < 2.0**53, rounded).otherwise(column)

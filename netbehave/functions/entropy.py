@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters of a long text that are split at a time. The pattern keeps to whole
-# characters and does not backtrack.
-PIECE = 262_144
+# Characters of a text that are split at a time. The pattern keeps to whole characters
+# and does not backtrack.
+PIECE = 65_536
 PIECES = rf"(?s).{{1,{PIECE}}}+"
 
 
@@ -17,14 +17,22 @@ def bits(count: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Entropy of a short text such as a host name, inside the row: no shuffle.
+    """Entropy of a text of any length, inside the row: no shuffle.
 
     With n characters of which one occurs c times, entropy is log2(n) - sum(c log2 c) / n.
+    The distinct characters are gathered piece by piece, so the characters of a long text
+    are never all in one array; each is then counted by the length that goes with it.
     A null or empty text has entropy 0.
     """
     length = F.length(text)
+    none = F.array().cast("array<string>")
+    characters = F.aggregate(
+        F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)),
+        none,
+        lambda known, piece: F.array_union(known, F.array_distinct(F.split(piece, ""))),
+    )
     weighted = F.aggregate(
-        F.array_distinct(F.split(text, "")),
+        characters,
         F.lit(0.0),
         lambda total, char: total
         + bits(length - F.length(F.replace(text, char, F.lit("")))),
@@ -32,24 +40,3 @@ def entropy(text: Column) -> Column:
     return F.when(length > 0, F.log2(length.cast("double")) - weighted / length).otherwise(
         F.lit(0.0)
     )
-
-
-def entropy_by_key(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Entropy of long texts: characters become rows and are counted per unique key.
-
-    Counting happens before the shuffle, which moves one row per key and distinct
-    character, never the text. A very long text is cut into pieces first, so its
-    characters are never all in one array. Null and empty texts keep one row and get 0.
-    """
-    pieces = F.when(F.length(text) <= PIECE, F.array(text)).otherwise(
-        F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
-    )
-    characters = df.select(key, F.explode_outer(pieces).alias("piece")).select(
-        key, F.explode_outer(F.split("piece", "")).alias("char")
-    )
-    counts = characters.groupBy(key, "char").agg(F.count("*").alias("n"))
-    return counts.groupBy(key).agg(
-        (F.log2(F.sum("n").cast("double")) - F.sum(bits(F.col("n"))) / F.sum("n")).alias(
-            "entropy"
-        )
-    )

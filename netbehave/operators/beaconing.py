@@ -1,29 +1,19 @@
 """Regularity of a pair's connections in time.
 
-The intervals of a pair need its timestamps in order. Ordinary pairs are ordered by one
-window over (source, destination). A pair with more than ``hot_rows`` rows would put
-that many rows into one task, so such pairs take a second route:
-
-1. equal timestamps collapse to one row with a count, before and while shuffling;
-2. the timestamps are ordered inside time slices of ``SLICE_SECONDS``, each slice being
-   its own window partition;
-3. the last timestamp of each slice is handed to the pair's next slice as an extra
-   ordering row, so the interval that crosses the boundary is not lost.
-
-A log stores microseconds, so a slice holds at most ten million distinct timestamps of a
-pair, and a year of one pair is three million slices. Both routes give the same rows.
-
-The hot pairs are broadcast: each has more than ``hot_rows`` rows, so there are fewer
-than (rows of the log / hot_rows) of them, 100,000 for 10**12 rows. With ``hot_rows`` below
-``BROADCAST_HOT_ROWS`` that bound is weak, and the join is left to Spark, which broadcasts
-or shuffles by measured size.
+The intervals of a pair need its timestamps in order, and a pair may own a third of all
+rows. So every pair is cut into time slices of ``SLICE_SECONDS``, and rows are dealt out and
+ordered by (pair, slice): one scan, one shuffle. A second shuffle, by pair, takes only one
+row per slice and adds the interval from one slice to the next. A year of one pair is
+three million such rows.
+
+A slice that itself holds very many rows is sorted on disk as far as memory does not do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netbehave.constants import MIN_BEACON_CONNECTIONS
@@ -31,8 +21,6 @@ from netbehave.functions.columns import has, number, round_places
 from netbehave.operators import schemas
 from netbehave.operators.connections import address, empty
 
-HOT_ROWS = 10_000_000
-BROADCAST_HOT_ROWS = 1_000_000
 SLICE_SECONDS = 10
 
 PAIR = ("src_ip", "dst_ip")
@@ -48,114 +36,81 @@ def timed_pairs(conn: DataFrame, *more: str) -> DataFrame:
     ).where("src_ip is not null and dst_ip is not null and ts is not null")
 
 
-def split_hot(
-    rows: DataFrame, keys: Sequence[str], hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys and rows of hot keys."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") > hot_rows).select(*keys)
-    if hot_rows >= BROADCAST_HOT_ROWS:
-        hot = F.broadcast(hot)
-    return rows.join(hot, list(keys), "left_anti"), rows.join(hot, list(keys), "left_semi")
-
-
-def since_previous(*keys: str) -> Column:
-    return F.col("ts") - F.lag("ts").over(Window.partitionBy(*keys).orderBy("ts"))
-
-
-def ordinary_intervals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Intervals by one window per key; equal timestamps keep their first row."""
-    same_time = (
-        Window.partitionBy(*keys)
-        .orderBy("ts")
-        .rangeBetween(Window.currentRow, Window.currentRow)
-    )
-    return rows.select(
-        *keys,
-        "ts",
-        since_previous(*keys).alias("interval"),
-        F.count("*").over(same_time).alias("n_conns"),
-    ).where("interval is null or interval > 0")
-
-
-def hot_intervals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Intervals by one window per key and time slice, with boundary rows."""
+def in_slices(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with their slice and the time since the previous row of the slice."""
+    in_order = Window.partitionBy(*keys, "slice").orderBy("ts")
     placed = rows.withColumn("slice", F.floor(F.col("ts") / SLICE_SECONDS))
-    times = placed.groupBy(*keys, "slice", "ts").agg(F.count("*").alias("n_conns"))
-    in_order = Window.partitionBy(*keys).orderBy("slice")
-    handed_on = (
-        placed.groupBy(*keys, "slice")
-        .agg(F.max("ts").alias("ts"))
-        .select(
-            *keys,
-            "ts",
-            F.lit(None).cast("bigint").alias("n_conns"),
-            F.lead("slice").over(in_order).alias("slice"),
-        )
-        .where("slice is not null")
-    )
-    return (
-        times.unionByName(handed_on)
-        .select(*keys, "ts", since_previous(*keys, "slice").alias("interval"), "n_conns")
-        .where("n_conns is not null")
-    )
+    return placed.withColumn("gap", F.col("ts") - F.lag("ts").over(in_order))
 
 
-def beacon_intervals(conn: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Per pair and distinct timestamp: time since the pair's previous timestamp.
+def beacon_intervals(conn: DataFrame) -> DataFrame:
+    """Per connection: time since the pair's previous one, null for the pair's first.
 
-    ``n_conns`` connections share the timestamp; the zero intervals between them are
-    implied. The first timestamp of a pair has a null interval.
+    The first row of a slice looks up the end of the pair's previous slice; the other rows
+    have their interval already and stay spread by slice.
     """
     if not has(conn, "src", "dst", "time"):
         return empty(conn, schemas.BEACON_INTERVALS)
-    ordinary, hot = split_hot(timed_pairs(conn), PAIR, hot_rows)
-    return ordinary_intervals(ordinary, PAIR).unionByName(hot_intervals(hot, PAIR))
+    whole_slice = Window.partitionBy(*PAIR, "slice")
+    rows = in_slices(timed_pairs(conn), PAIR).withColumn("last", F.max("ts").over(whole_slice))
+    opens = F.col("gap").isNull()
+    spread = F.when(~opens, F.col("slice"))
+    slices = Window.partitionBy(*PAIR, spread).orderBy("slice")
+    return rows.select(
+        *PAIR,
+        "ts",
+        F.when(opens, F.col("ts") - F.lag("last").over(slices))
+        .otherwise(F.col("gap"))
+        .alias("interval"),
+    )
 
 
-def moments(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key: connections, mean interval and jitter = population deviation / mean.
+def regularity(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: connections, mean interval, and jitter = population deviation / mean.
 
-    The aggregated intervals are those between distinct timestamps; the zero intervals
-    of equal timestamps enter by their number.
+    A slice sends the number, mean and variance of its inner intervals. Deviations are
+    taken from the mean of the key, part by part, so nothing is lost by cancellation.
     """
-    share, move, move_var = F.col("share"), F.col("move"), F.col("move_var")
-    variance = share * move_var + move * move * share * (1 - share)
-    return (
-        intervals.groupBy(*keys)
+    slices = (
+        in_slices(rows, keys)
+        .groupBy(*keys, "slice")
         .agg(
-            F.sum("n_conns").alias("n_conns"),
-            F.count("interval").alias("moves"),
-            F.avg("interval").alias("move"),
-            F.var_pop("interval").alias("move_var"),
-        )
-        .where((F.col("n_conns") >= MIN_BEACON_CONNECTIONS) & (F.col("moves") > 0))
-        .withColumn("share", F.col("moves") / (F.col("n_conns") - 1))
-        .select(
-            *keys,
-            "n_conns",
-            (move * share).alias("mean"),
-            (F.sqrt(variance) / (move * share)).alias("jitter"),
+            F.count("*").alias("n"),
+            F.min("ts").alias("first"),
+            F.max("ts").alias("last"),
+            F.coalesce(F.avg("gap"), F.lit(0.0)).alias("inner_mean"),
+            F.coalesce(F.var_pop("gap"), F.lit(0.0)).alias("inner_var"),
         )
     )
-
-
-def regularity(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Rounded moments of the intervals between rows of a key."""
-    ordinary, hot = split_hot(rows, keys, hot_rows)
-    both = moments(ordinary_intervals(ordinary, keys), keys).unionByName(
-        moments(hot_intervals(hot, keys), keys)
+    of_key = Window.partitionBy(*keys)
+    n_inner, inner, cross, mean = F.col("n") - 1, F.col("inner_mean"), F.col("cross"), F.col("mean")
+    n_gaps = F.sum("n").over(of_key) - 1
+    total = F.sum(n_inner * inner + F.coalesce(cross, F.lit(0.0))).over(of_key)
+    parts = slices.withColumn(
+        "cross", F.col("first") - F.lag("last").over(of_key.orderBy("slice"))
+    ).withColumn("mean", total / F.nullif(n_gaps, F.lit(0)))
+    squares = n_inner * (F.col("inner_var") + (inner - mean) * (inner - mean))
+    squares += F.coalesce((cross - mean) * (cross - mean), F.lit(0.0))
+    moments = (
+        parts.groupBy(*keys)
+        .agg(
+            F.sum("n").alias("n_conns"),
+            F.first("mean").alias("mean"),
+            F.sum(squares).alias("squares"),
+        )
+        .where((F.col("n_conns") >= MIN_BEACON_CONNECTIONS) & (mean > 0))
     )
-    return both.select(
+    deviation = F.sqrt(F.col("squares") / (F.col("n_conns") - 1))
+    return moments.select(
         *keys,
         "n_conns",
-        round_places(F.col("mean"), 2).alias("mean_interval"),
-        round_places(F.col("jitter"), 4).alias("jitter"),
+        round_places(mean, 2).alias("mean_interval"),
+        round_places(deviation / mean, 4).alias("jitter"),
     )
 
 
-def beaconing_features(conn: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def beaconing_features(conn: DataFrame) -> DataFrame:
     """Per pair with at least three connections and a positive mean interval."""
     if not has(conn, "src", "dst", "time"):
         return empty(conn, schemas.BEACONING)
-    return regularity(timed_pairs(conn), PAIR, hot_rows)
+    return regularity(timed_pairs(conn), PAIR)

@@ -33,14 +33,18 @@ def failed_to_port(conn: DataFrame, port: int) -> Column:
 
 
 def first_target(conn: DataFrame) -> Column:
-    """Aggregate: destination of the earliest row that has one, by time and uid."""
+    """Aggregate: destination of the earliest row that has one, by time and uid.
+
+    A row without a time or uid comes after those that have one.
+    """
     name = find(conn, "dst")
     if name is None or not isinstance(conn.schema[name].dataType, T.StringType):
         return F.max(F.lit(None).cast("string"))
     order = [number(conn, "time")] if has(conn, "time") else []
     order += [ref("uid")] if "uid" in conn.columns else []
+    known_first = [part for column in order for part in (column.isNull(), column)]
     target = ref(name)
-    return F.min_by(target, F.when(target.isNotNull(), F.struct(*order, target)))
+    return F.min_by(target, F.when(target.isNotNull(), F.struct(*known_first, target)))
 
 
 def port_scan_features(conn: DataFrame, approx: bool = False) -> DataFrame:
@@ -78,8 +82,8 @@ def brute_force_features(conn: DataFrame, port: int = 22) -> DataFrame:
 def exfil_features(conn: DataFrame) -> DataFrame:
     """Per (source, destination): bytes sent and connections.
 
-    Unreadable byte counts are 0. A sum beyond the 64-bit range stays at its maximum
-    rather than failing the job.
+    Unreadable byte counts are 0. The sum is a decimal of 38 digits, which no number of
+    64-bit counts that a cluster holds can exceed.
     """
     if not has(conn, "src", "dst", "bytes"):
         return empty(conn, schemas.EXFILTRATION)
@@ -89,6 +93,6 @@ def exfil_features(conn: DataFrame) -> DataFrame:
         F.coalesce(whole_number(conn, "bytes"), F.lit(0)).alias("sent"),
     ).where("src_ip is not null and dst_ip is not null")
     return rows.groupBy("src_ip", "dst_ip").agg(
-        F.coalesce(F.try_sum("sent"), F.lit(2**63 - 1)).alias("total_orig_bytes"),
+        F.sum(F.col("sent").cast("decimal(28,0)")).alias("total_orig_bytes"),
         F.count("*").alias("n_conns"),
     )

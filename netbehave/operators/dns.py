@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netbehave.constants import NO_SOURCE
-from netbehave.functions.columns import has, value
-from netbehave.functions.entropy import entropy, entropy_by_key
+from netbehave.functions.columns import has, number, ref, value
+from netbehave.functions.entropy import entropy
 from netbehave.operators import schemas
 from netbehave.operators.connections import address, empty
 
@@ -17,24 +17,31 @@ def three_places(column):
     return F.rint(column * 1000) / 1000
 
 
-def dns_features(dns: DataFrame) -> DataFrame:
-    """Per row with a query: source, query, length and entropy of the query."""
+def dns_features(dns: DataFrame, identity: bool = False) -> DataFrame:
+    """Per row with a query: source, query, length and entropy of the query.
+
+    ``identity`` adds the row's time and uid, as far as the log has them.
+    """
     if not has(dns, "query"):
         return empty(dns, schemas.DNS)
     source = address(dns, "src") if has(dns, "src") else F.lit(NO_SOURCE)
+    more = []
+    if identity and has(dns, "time"):
+        more.append(number(dns, "time").alias("ts"))
+    if identity and "uid" in dns.columns:
+        more.append(ref("uid"))
     rows = dns.where(value(dns, "query").isNotNull()).select(
-        source.alias("src_ip"), address(dns, "query").alias("query")
+        source.alias("src_ip"), address(dns, "query").alias("query"), *more
     )
     return rows.select(
         "src_ip",
         "query",
         F.length("query").alias("qlen"),
         three_places(entropy(F.col("query"))).alias("entropy"),
+        *rows.columns[2:],
     )
 
 
 def text_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Per unique key: entropy of a whole long text."""
-    return entropy_by_key(df, key, text).select(
-        key, three_places(F.col("entropy")).alias("entropy")
-    )
+    """Per row: its key and the entropy of a whole text of any length."""
+    return df.select(key, three_places(entropy(F.col(text))).alias("entropy"))

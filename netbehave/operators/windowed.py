@@ -8,17 +8,21 @@ chained and emit in append mode once the watermark passes the window.
 
 from __future__ import annotations
 
+import re
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netbehave.constants import MIN_BEACON_CONNECTIONS
-from netbehave.functions.columns import epoch_time, has, number, round_places, value
-from netbehave.operators.beaconing import HOT_ROWS, PAIR, regularity, timed_pairs
-from netbehave.operators.connections import address, failed_to_port, first_target
+from netbehave.functions.columns import epoch_time, find, has, number, ref, round_places, value
+from netbehave.operators import schemas
+from netbehave.operators.beaconing import PAIR, regularity, timed_pairs
+from netbehave.operators.connections import address, empty, failed_to_port, first_target
 
 WINDOW = "60 seconds"
 WATERMARK = "10 minutes"
-BEACON_SLICE = "1 second"
+SLICES = 1000  # of a pane, at most
 
 
 def with_event_time(conn: DataFrame, watermark: str) -> DataFrame:
@@ -30,6 +34,28 @@ def with_event_time(conn: DataFrame, watermark: str) -> DataFrame:
     return conn
 
 
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+BOUNDS_SCHEMA = "window_start timestamp, window_end timestamp"
+
+
+def seconds(duration: str) -> int:
+    """Length of a duration such as "90 seconds"; several parts add up."""
+    parts = re.findall(r"(\d+)\s*([a-z]+?)s?\b", duration.lower())
+    if not parts or any(unit not in UNITS for _, unit in parts):
+        raise ValueError(f"not a duration: {duration}")
+    return sum(int(number) * UNITS[unit] for number, unit in parts)
+
+
+def slice_seconds(pane: int) -> int:
+    """Shortest whole-second slice that divides a pane into at most ``SLICES``."""
+    return next(n for n in range(max(1, -(-pane // SLICES)), pane + 1) if pane % n == 0)
+
+
+def can_window(conn: DataFrame, *logical: str) -> bool:
+    timed = "event_time" in conn.columns or has(conn, "time")
+    return timed and has(conn, *logical)
+
+
 def bounds() -> list[Column]:
     return [
         F.col("window.start").alias("window_start"),
@@ -43,7 +69,13 @@ def port_scan_windowed(
     slide: str | None = None,
     watermark: str = WATERMARK,
 ) -> DataFrame:
-    """Port scan features per window; tumbling unless ``slide`` is given."""
+    """Port scan features per window; tumbling unless ``slide`` is given.
+
+    Sliding windows are put together from panes, the longest pieces that every window
+    consists of: distinct items are found per pane, and only they are spread over windows.
+    """
+    if not can_window(conn, "src", "dst", "port"):
+        return empty(conn, f"{BOUNDS_SCHEMA}, {schemas.PORT_SCAN}")
     conn = with_event_time(conn, watermark)
     touched = F.explode(
         F.array(
@@ -51,17 +83,28 @@ def port_scan_windowed(
             F.struct(F.lit("host").alias("kind"), address(conn, "dst").alias("item")),
         )
     )
+    # On a stream, rows without a source join one group so that they too move the clock.
+    known_source = value(conn, "src").isNotNull()
+    pane = f"{gcd(seconds(duration), seconds(slide))} seconds" if slide else duration
     items = (
-        conn.where(value(conn, "src").isNotNull())
+        (conn if conn.isStreaming else conn.where(known_source))
         .select("event_time", address(conn, "src").alias("src_ip"), touched.alias("touched"))
         .groupBy(
-            F.window("event_time", duration, slide or duration),
+            F.window("event_time", pane),
             "src_ip",
-            F.col("touched.kind").alias("kind"),
-            F.col("touched.item").alias("item"),
+            F.when(F.col("src_ip").isNotNull(), F.col("touched.kind")).alias("kind"),
+            F.when(F.col("src_ip").isNotNull(), F.col("touched.item")).alias("item"),
         )
         .agg(F.count("*").alias("n"))
+        .where("src_ip is not null")
     )
+    if slide:
+        items = (
+            items.groupBy(
+                F.window(F.window_time("window"), duration, slide), "src_ip", "kind", "item"
+            )
+            .agg(F.sum("n").alias("n"))
+        )
     is_port = F.col("kind") == "port"
     known = F.col("item").isNotNull()
     return (
@@ -86,17 +129,28 @@ def brute_force_windowed(
 
     A filter before the aggregation would run before the watermark too, and rows it drops
     would not move the stream's clock: the last window of an attack would stay open until
-    the next failed login. On a stream other rows therefore join one group without source.
+    the next failed login. On a stream other rows therefore join one group without source,
+    which is combined before the shuffle and keeps a count and no target.
     """
+    if not can_window(conn, "src", "port"):
+        return empty(conn, f"{BOUNDS_SCHEMA}, {schemas.BRUTE_FORCE}")
     conn = with_event_time(conn, watermark)
     failed = failed_to_port(conn, port) & value(conn, "src").isNotNull()
+    target = first_target(conn)
+    if conn.isStreaming:
+        # The rows that only move the clock look for no target.
+        marked = {"__failed": failed, "__src": address(conn, "src")}
+        if name := find(conn, "dst"):
+            marked[name] = F.when(failed, ref(name))
+        conn = conn.withColumns(marked)
+        failed, source = F.col("__failed"), F.when(F.col("__failed"), F.col("__src"))
+    else:
+        conn, source = conn.where(failed), address(conn, "src")
     return (
-        (conn if conn.isStreaming else conn.where(failed))
-        .groupBy(
-            F.window("event_time", duration, slide or duration),
-            F.when(failed, address(conn, "src")).alias("src_ip"),
+        conn.groupBy(
+            F.window("event_time", duration, slide or duration), source.alias("src_ip")
         )
-        .agg(F.count_if(failed).alias("failed_attempts"), first_target(conn).alias("dst_ip"))
+        .agg(F.count_if(failed).alias("failed_attempts"), target.alias("dst_ip"))
         .where("failed_attempts > 0")
         .select(*bounds(), "src_ip", "failed_attempts", "dst_ip")
     )
@@ -116,21 +170,29 @@ def beaconing_windowed(
     duration: str = WINDOW,
     slide: str | None = None,
     watermark: str = WATERMARK,
-    slice_duration: str = BEACON_SLICE,
-    hot_rows: int = HOT_ROWS,
+    slice_duration: str | None = None,
 ) -> DataFrame:
     """Beaconing features per window; intervals across window edges do not count.
 
     A batch frame takes the route of the unwindowed feature, with the window as part of
     the key. A stream cannot order rows across batches and gathers timestamps by slice.
+
+    State of a stream: a pair's slice holds its distinct timestamps, 8 bytes each, until the
+    watermark passes the slice. A pair's window holds one summary of 40 bytes per slice; a
+    pane (the greatest common divisor of duration and slide) has at most ``SLICES``, so a
+    tumbling window holds at most 40 kB. ``slice_duration`` overrides that choice.
     """
+    if not can_window(conn, "src", "dst", "time"):
+        return empty(conn, f"{BOUNDS_SCHEMA}, {schemas.BEACONING}")
     conn = with_event_time(conn, watermark)
     rows = timed_pairs(conn, "event_time")
     if conn.isStreaming:
+        pane = gcd(seconds(duration), seconds(slide or duration))
+        slice_duration = slice_duration or f"{slice_seconds(pane)} seconds"
         return beaconing_by_slice(rows, duration, slide, slice_duration)
     window = F.window("event_time", duration, slide or duration)
     placed = rows.withColumn("window", window).select(*bounds(), *PAIR, "ts")
-    return regularity(placed, ("window_start", "window_end", *PAIR), hot_rows)
+    return regularity(placed, ("window_start", "window_end", *PAIR))
 
 
 def beaconing_by_slice(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netbehave import constants as C
 from netbehave.functions.columns import round_places
-from netbehave.operators.beaconing import HOT_ROWS, beaconing_features
+from netbehave.operators.beaconing import beaconing_features
 from netbehave.operators.connections import (
     brute_force_features,
     exfil_features,
@@ -42,9 +42,16 @@ class Detector(ABC):
     LOG: ClassVar[str] = "conn"
 
     @classmethod
-    def from_thresholds(cls, thresholds: Mapping[str, Mapping] = C.THRESHOLDS):
-        """Detector with the thresholds listed under its key; others keep their default."""
-        listed = thresholds.get(cls.THRESHOLD_KEY, {})
+    def from_thresholds(
+        cls, thresholds: Mapping[str, Mapping] = C.THRESHOLDS, windowed: bool = False
+    ):
+        """Detector with the thresholds listed under its key; others keep their default.
+
+        ``windowed`` makes it count per window of the listed ``window_sec``.
+        """
+        listed = dict(thresholds.get(cls.THRESHOLD_KEY, {}))
+        if windowed and "window_sec" in listed:
+            listed["window"] = f"{listed['window_sec']} seconds"
         return cls(**{f.name: listed[f.name] for f in fields(cls) if f.name in listed})
 
     @abstractmethod
@@ -73,11 +80,14 @@ def to_alerts(
     description: Column,
     evidence: Mapping[str, Column],
 ) -> DataFrame:
-    """Suspects as alert rows. An empty target is null; a window enters the evidence."""
+    """Suspects as alert rows. An empty target is null; the window, or the time and uid of
+    a single row, enter the evidence and so the identity."""
     target = F.nullif("dst_ip", F.lit("")) if "dst_ip" in suspects.columns else F.lit(None)
     facts = dict(evidence)
-    if "window_start" in suspects.columns:
-        facts |= {name: F.col(name) for name in ("window_start", "window_end")}
+    # What tells alerts of one kind apart: their window, or the row they stand for.
+    for name in ("window_start", "window_end", "ts", "uid"):
+        if name in suspects.columns:
+            facts[name] = F.col(name)
     return (
         suspects.select(
             F.current_timestamp().alias("timestamp"),
@@ -184,13 +194,12 @@ class BeaconingDetector(Detector):
     min_connections: int = 10
     window: str | None = None
     slide: str | None = None
-    hot_rows: int = HOT_ROWS
 
     def suspects(self, log: DataFrame) -> DataFrame:
         features = (
             beaconing_windowed(log, self.window, self.slide)
             if self.window
-            else beaconing_features(log, self.hot_rows)
+            else beaconing_features(log)
         )
         return features.where(
             (F.col("jitter") <= self.max_jitter) & (F.col("n_conns") >= self.min_connections)
@@ -227,7 +236,7 @@ class DnsTunnelDetector(Detector):
     min_entropy: float = 3.5
 
     def suspects(self, log: DataFrame) -> DataFrame:
-        return dns_features(log).where(F.col("entropy") >= self.min_entropy)
+        return dns_features(log, identity=True).where(F.col("entropy") >= self.min_entropy)
 
     def description(self) -> Column:
         return F.format_string(
@@ -259,7 +268,10 @@ class ExfiltrationDetector(Detector):
 
     def description(self) -> Column:
         return F.format_string(
-            C.EXFILTRATION_TEXT, "total_orig_bytes", "n_conns", text(self.max_bytes)
+            C.EXFILTRATION_TEXT,
+            F.col("total_orig_bytes").cast("string"),
+            "n_conns",
+            text(self.max_bytes),
         )
 
     def evidence(self) -> dict[str, Column]:

@@ -43,10 +43,17 @@ def analyses(
             plans[position] = detector.analyze(logs)
         except Exception as error:
             log.warning("%s failed: %s", detector.NAME, error)
-            failures[detector.NAME] = str(error)
+            failures[place_of(detectors, position)] = str(error)
     return plans, failures
 
 
+def place_of(detectors: Sequence[Detector], position: int) -> str:
+    """Name of a detector, with its position where several have the name."""
+    name = detectors[position].NAME
+    alone = sum(detector.NAME == name for detector in detectors) == 1
+    return name if alone else f"{name} {position}"
+
+
 def union(plans: Sequence[DataFrame]) -> DataFrame:
     if not plans:
         return SparkSession.active().createDataFrame([], ALERT_SCHEMA)
@@ -83,19 +90,26 @@ def run(
     store: AlertStore | None = None,
     staging: str | None = None,
     isolate: bool = False,
+    fields: Mapping[str, tuple[str, ...]] | None = None,
 ) -> Run:
     """Load logs, detect and, with a store, append the alerts.
 
+    Only the logs of the chosen detectors are looked at. ``fields`` gives the layouts that
+    are known, by log; others are looked up in the headers. Files without a header are
+    named in ``Run.failures``. Staging parses the text once for all detectors.
     By default all detectors are one plan and one write, which fails as a whole if data
     breaks one of them. ``isolate`` computes and writes per detector and keeps the others.
     Computed alerts are persisted for the write and later reports; ``Run.release`` frees
     them.
     """
-    logs = load_logs(spark, logs_dir)
+    chosen = default_detectors() if detectors is None else detectors
+    needed = dict.fromkeys(detector.LOG for detector in chosen)
+    headerless: list[str] = []
+    logs = load_logs(spark, logs_dir, needed, fields, headerless)
     if staging:
         logs = stage_logs(logs, staging)
-    chosen = default_detectors() if detectors is None else detectors
     plans, failures = analyses(logs, chosen)
+    failures |= {file: "no header" for file in headerless}
     if not isolate:
         alerts = union(list(plans.values())).persist(StorageLevel.MEMORY_AND_DISK)
         return Run(alerts, failures, store.append(alerts) if store else 0, [alerts])
@@ -107,7 +121,7 @@ def run(
             found = store.append(plan) if store else plan.count()
         except Exception as error:
             log.warning("%s failed: %s", chosen[position].NAME, error)
-            failures[chosen[position].NAME] = str(error)
+            failures[place_of(chosen, position)] = str(error)
             plan.unpersist()
             continue
         log.info("%s: %d alerts", chosen[position].NAME, found)

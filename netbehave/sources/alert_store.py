@@ -1,19 +1,25 @@
-"""The alert table: Parquet files partitioned by date and severity."""
+"""The alert table: Parquet files by batch, date and severity.
+
+Every append is a folder of its own, written as a whole. A stream names its batches, so a
+repeated batch replaces itself and nothing is stored twice or left out.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netbehave.sources.schemas import ALERT_COLUMNS, ALERT_SCHEMA
 
 PARTITIONS = ("alert_date", "severity")
-STORE_SCHEMA = T.StructType([*ALERT_SCHEMA.fields, T.StructField("alert_date", T.DateType())])
+DATED_SCHEMA = T.StructType([*ALERT_SCHEMA.fields, T.StructField("alert_date", T.DateType())])
+STORE_SCHEMA = T.StructType([*DATED_SCHEMA.fields, T.StructField("batch", T.StringType())])
 LATEST = 50
 
 
@@ -87,23 +93,24 @@ class AlertStore:
 
     def create(self) -> None:
         """Make an empty table unless something is stored already."""
-        self._write(self.spark.createDataFrame([], ALERT_SCHEMA), "ignore")
+        self._write(self.spark.createDataFrame([], ALERT_SCHEMA), "ignore", self.path)
 
-    def append(self, alerts: DataFrame) -> int:
-        """Add alerts and return their number, counted while they are written.
+    def append(self, alerts: DataFrame, batch: str | None = None) -> int:
+        """Add alerts, none included, and return how many were written.
 
-        Rows are balanced by target folder before the write: small folders get one file
-        and a large one is split over several tasks.
+        The number comes from the footers of the files. Rows are balanced by target folder
+        before the write: small folders get one file and a large one is split over several
+        tasks. A batch that has been appended under the same name is replaced.
         """
-        written = Observation()
-        counted = alerts.observe(written, F.count("*").alias("rows"))
-        self._write(counted, "append")
-        return written.get["rows"]
+        folder = f"{self.path}/batch={batch or uuid.uuid4().hex}"
+        self._write(alerts, "overwrite", folder)
+        return self.spark.read.schema(DATED_SCHEMA).parquet(folder).count()
 
     def append_one(self, alert: DataFrame) -> str:
         """Add a frame of one alert and return its id."""
-        self._write(alert, "append")
-        return alert.first()["id"]
+        row = alert.select(*ALERT_COLUMNS).first()
+        self.append(self.spark.createDataFrame([row], ALERT_SCHEMA))
+        return row["id"]
 
     def alerts(self) -> DataFrame:
         return self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
@@ -115,14 +122,14 @@ class AlertStore:
         return self.alerts().count()
 
     def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], ALERT_SCHEMA), "overwrite")
+        self._write(self.spark.createDataFrame([], ALERT_SCHEMA), "overwrite", self.path)
 
-    def _write(self, alerts: DataFrame, mode: str) -> None:
+    def _write(self, alerts: DataFrame, mode: str, path: str) -> None:
         (
             stored(alerts)
             .hint("rebalance", *PARTITIONS)
             .write.mode(mode)
             .option("partitionOverwriteMode", "static")
             .partitionBy(*PARTITIONS)
-            .parquet(self.path)
+            .parquet(path)
         )

@@ -7,9 +7,11 @@ headers name different fields are read per layout and united by name.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import logging
+import re
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -35,9 +37,15 @@ CSV_OPTIONS = {
     "mode": "PERMISSIVE",
 }
 
-# Lines looked at first for the header, and headers looked up at a time.
-HEADER_LINES = 64
-PARALLEL_HEADERS = 16
+log = logging.getLogger(__name__)
+
+
+@dataclass
+class Layouts:
+    """Files by the fields their headers name, and files without a header."""
+
+    by_fields: dict[tuple[str, ...], list[str]] = field(default_factory=dict)
+    headerless: list[str] = field(default_factory=list)
 
 
 def text_schema(fields: tuple[str, ...]) -> T.StructType:
@@ -67,43 +75,49 @@ def typed_column(log_name: str, field: str) -> Column:
 
 def typed(text: DataFrame, log_name: str, fields: tuple[str, ...]) -> DataFrame:
     """Typed columns of a log read as text, with ``event_time`` beside ``ts``."""
-    log = text.select(*[typed_column(log_name, field) for field in fields])
-    return log.withColumn("event_time", epoch_time(F.col("ts"))) if "ts" in fields else log
+    rows = text.select(*[typed_column(log_name, name) for name in fields])
+    return rows.withColumn("event_time", epoch_time(F.col("ts"))) if "ts" in fields else rows
 
 
-def empty_log(spark: SparkSession, log_name: str) -> DataFrame:
-    fields = fields_of(log_name)
+def empty_log(
+    spark: SparkSession, log_name: str, fields: tuple[str, ...] | None = None
+) -> DataFrame:
+    fields = fields or fields_of(log_name)
     return typed(spark.createDataFrame([], text_schema(fields)), log_name, fields)
 
 
-def header_fields(spark: SparkSession, file: str) -> tuple[str, ...] | None:
-    """Names on the header line of one file; reading stops where the data starts."""
-    wanted = HEADER_LINES
-    while True:
-        lines = [row.value for row in spark.read.text(file).head(wanted)]
-        for line in lines:
-            if line.startswith(FIELDS_TAG):
-                return tuple(line.strip().split("\t")[1:]) or None
-            if not line.startswith("#"):
-                return None
-        if len(lines) < wanted:
-            return None
-        wanted *= 4
+def plain_name(uri: str) -> str:
+    """File name as Spark reads it, the same from a listing and from file metadata."""
+    return re.sub("^file:/+", "file:/", unquote(uri))
+
 
+def layouts(spark: SparkSession, path: str) -> Layouts:
+    """Layouts of the files of a path, by one job over all of them.
 
-def layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of a path by the fields their headers name; files without header are left out."""
+    The first header line of a file counts. What reaches the driver is the list of files,
+    which it needs to read them, and one header for each.
+    """
     try:
-        files = [unquote(file) for file in spark.read.text(path).inputFiles()]
+        text = spark.read.text(path)
+        files = [plain_name(file) for file in text.inputFiles()]
     except AnalysisException:
-        return {}
-    with ThreadPool(min(PARALLEL_HEADERS, max(len(files), 1))) as pool:
-        headers = pool.map(lambda file: header_fields(spark, file), files)
-    found = defaultdict(list)
-    for file, fields in zip(files, headers):
+        return Layouts()
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    headers = (
+        text.select("value", "_metadata.file_path", place.alias("place"))
+        .where(F.col("value").startswith(FIELDS_TAG))
+        .groupBy("file_path")
+        .agg(F.min_by("value", "place").alias("header"))
+    )
+    named = {plain_name(row["file_path"]): row["header"] for row in headers.collect()}
+    found = Layouts()
+    for file in files:
+        fields = tuple(named.get(file, "").strip().split("\t")[1:])
         if fields:
-            found[fields].append(file)
-    return dict(found)
+            found.by_fields.setdefault(fields, []).append(file)
+        else:
+            found.headerless.append(file)
+    return found
 
 
 def read_files(
@@ -118,24 +132,47 @@ def read_log(
     logs_dir: str,
     log_name: str,
     fields: tuple[str, ...] | None = None,
+    headerless: list[str] | None = None,
 ) -> DataFrame:
     """Log ``<logs_dir>/<log_name>.log``; empty when it or its header is missing.
 
-    Layouts come from the headers: the first lines of each file are read, one small job
-    per file. For very many files of one known layout pass ``fields`` and skip that.
+    Layouts come from the headers, which costs one job that reads the text; with ``fields``
+    all files are taken to have that layout and the job is saved. Files without a header
+    are left out with a warning and added to ``headerless``, if given.
     """
     path = f"{logs_dir}/{log_name}.log"
     if fields:
-        return read_files(spark, path, log_name, tuple(fields))
+        try:
+            return read_files(spark, path, log_name, tuple(fields))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return empty_log(spark, log_name, tuple(fields))
     found = layouts(spark, path)
-    if not found:
+    for file in found.headerless:
+        log.warning("%s has no header and is left out", file)
+    if headerless is not None:
+        headerless += found.headerless
+    if not found.by_fields:
         return empty_log(spark, log_name)
     return reduce(
         lambda left, right: left.unionByName(right, allowMissingColumns=True),
-        [read_files(spark, files, log_name, names) for names, files in found.items()],
+        [read_files(spark, files, log_name, names) for names, files in found.by_fields.items()],
     )
 
 
-def load_logs(spark: SparkSession, logs_dir: str) -> dict[str, DataFrame]:
-    """The logs detectors may use, by name. All are lazy: an unused log is not scanned."""
-    return {name: read_log(spark, logs_dir, name) for name in BUNDLE}
+def load_logs(
+    spark: SparkSession,
+    logs_dir: str,
+    names: Iterable[str] = BUNDLE,
+    fields: Mapping[str, tuple[str, ...]] | None = None,
+    headerless: list[str] | None = None,
+) -> dict[str, DataFrame]:
+    """The logs detectors may use, by name. All are lazy: an unused log is not scanned.
+
+    ``fields`` gives the layouts that are known, by log.
+    """
+    known = fields or {}
+    return {
+        name: read_log(spark, logs_dir, name, known.get(name), headerless) for name in names
+    }

@@ -9,11 +9,13 @@ The windowed detectors take a streaming log as they take a batch one:
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from netbehave.sources.alert_store import AlertStore
-from netbehave.sources.logs import CSV_OPTIONS, text_schema, typed
+from netbehave.sources.logs import CSV_OPTIONS, layouts, text_schema, typed
 from netbehave.sources.schemas import fields_of
 
 
@@ -24,8 +26,15 @@ def read_log_stream(
     fields: tuple[str, ...] | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Log files dropped into a folder, all of one layout (the usual one by default)."""
+    """Log files dropped into a folder, all of one layout (the usual one by default).
+
+    The headers of the files that are there at the start are checked, and another layout
+    is refused, because its values would stand in the wrong columns.
+    """
     names = tuple(fields or fields_of(log_name))
+    others = [found for found in layouts(spark, folder).by_fields if found != names]
+    if others:
+        raise ValueError(f"{folder}: files have the fields {others[0]}, not {names}")
     reader = spark.readStream.schema(text_schema(names)).options(**CSV_OPTIONS)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -49,22 +58,22 @@ def write_alert_stream(
 ) -> StreamingQuery:
     """Append a stream of alerts to a store; ``once`` works off what has arrived.
 
-    A restarted stream may repeat its last batch. The first batch after a start therefore
-    leaves out alerts whose content id is stored already.
+    A restarted stream may repeat its last batch. Batches are stored under the identity of
+    the stream's checkpoint and their number, so a repeated one replaces itself.
     """
-    starting = [True]
+    spark = alerts.sparkSession
+    place = checkpoint or checkpoint_location(spark, name)
+    identity: list[str] = []
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        if starting.pop() if starting else False:
-            batch = batch.join(store.alerts().select("id"), "id", "left_anti")
-        store.append(batch)
+        if not identity:
+            metadata = spark.read.text(f"{place}/metadata").first()["value"]
+            identity.append(json.loads(metadata)["id"])
+        store.append(batch, f"{identity[0]}-{batch_id}")
 
     writer = (
         alerts.writeStream.outputMode("append")
-        .option(
-            "checkpointLocation",
-            checkpoint or checkpoint_location(alerts.sparkSession, name),
-        )
+        .option("checkpointLocation", place)
         .foreachBatch(add)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import netbehave as nb
-from netbehave.functions.columns import round_places
+from netbehave.functions.columns import round_places, to_long
 from tests.conftest import rows_of
 
 STATES = ["REJ", "S0", "RSTO", "RSTR", "RSTOS0", "SH"]
@@ -92,30 +92,29 @@ def beat(times, **more):
     return [{"ts": t, **more} for t in times]
 
 
-@pytest.mark.parametrize("hot_rows", [10**7, 0])
 class TestBeaconing:
-    def features(self, frame, hot_rows):
-        return rows_of(nb.beaconing_features(frame, hot_rows))
+    def features(self, frame):
+        return rows_of(nb.beaconing_features(frame))
 
-    def test_group_size(self, conn, hot_rows):
-        assert self.features(conn(beat([1.0])), hot_rows) == []
-        assert self.features(conn(beat([1.0, 2.0])), hot_rows) == []
-        assert self.features(conn(beat([1.0, 2.0, 3.0])), hot_rows) == [
+    def test_group_size(self, conn):
+        assert self.features(conn(beat([1.0]))) == []
+        assert self.features(conn(beat([1.0, 2.0]))) == []
+        assert self.features(conn(beat([1.0, 2.0, 3.0]))) == [
             ("10.0.0.1", "10.0.0.2", 3, 1.0, 0.0)
         ]
 
-    def test_equal_times(self, conn, hot_rows):
-        assert self.features(conn(beat([5.0] * 4)), hot_rows) == []
+    def test_equal_times(self, conn):
+        assert self.features(conn(beat([5.0] * 4))) == []
 
-    def test_copies_count_as_zero_intervals(self, conn, hot_rows):
+    def test_copies_count_as_zero_intervals(self, conn):
         times = [0.0, 0.0, 10.0, 10.0, 10.0, 40.0]
         gaps = [0.0, 10.0, 0.0, 0.0, 30.0]
         jitter = round(statistics.pstdev(gaps) / statistics.mean(gaps), 4)
-        assert self.features(conn(beat(times)), hot_rows) == [
+        assert self.features(conn(beat(times))) == [
             ("10.0.0.1", "10.0.0.2", 6, 8.0, jitter)
         ]
 
-    def test_order_and_bad_times(self, spark, hot_rows):
+    def test_order_and_bad_times(self, spark):
         frame = spark.createDataFrame(
             [("a", "b", t) for t in ["30", "10", "x", None, "nan", "20", "1e1"]]
             + [(None, "b", "1"), ("a", None, "1")],
@@ -123,14 +122,14 @@ class TestBeaconing:
         )
         mean = 20 / 3
         jitter = statistics.pstdev([0, 10, 10]) / mean
-        assert self.features(frame, hot_rows) == [("a", "b", 4, round(mean, 2), round(jitter, 4))]
+        assert self.features(frame) == [("a", "b", 4, round(mean, 2), round(jitter, 4))]
 
-    def test_slice_edges(self, conn, hot_rows):
+    def test_slice_edges(self, conn):
         """Times on, just before and far beyond a slice's edge."""
         times = [9.999999, 10.0, 10.000001, 20.0, 95.5, 4000.25, 4000.25]
         gaps = [b - a for a, b in zip(times, times[1:])]
         mean = statistics.mean(gaps)
-        assert self.features(conn(beat(times[::-1])), hot_rows) == [
+        assert self.features(conn(beat(times[::-1]))) == [
             ("10.0.0.1", "10.0.0.2", 7, round(mean, 2), round(statistics.pstdev(gaps) / mean, 4))
         ]
 
@@ -141,11 +140,9 @@ def brute_intervals(rows):
         pairs.setdefault((src, dst), []).append(ts)
     result = []
     for (src, dst), times in pairs.items():
-        counts = Counter(times)
-        previous = None
-        for ts in sorted(counts):
-            result.append((src, dst, ts, None if previous is None else ts - previous, counts[ts]))
-            previous = ts
+        times.sort()
+        result += [(src, dst, b, b - a) for a, b in zip(times, times[1:])]
+        result.append((src, dst, times[0], None))
     return sorted(result, key=repr)
 
 
@@ -165,11 +162,10 @@ SLOW = settings(
         min_size=1,
         max_size=60,
     ),
-    st.integers(0, 20),
 )
-def test_both_routes_give_the_same_intervals(spark, rows, hot_rows):
+def test_intervals_are_those_of_every_connection(spark, rows):
     frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, ts double").repartition(3)
-    assert rows_of(nb.beacon_intervals(frame, hot_rows)) == brute_intervals(rows)
+    assert rows_of(nb.beacon_intervals(frame)) == brute_intervals(rows)
 
 
 def test_one_pair_with_a_third_of_all_rows(spark):
@@ -185,7 +181,14 @@ def test_one_pair_with_a_third_of_all_rows(spark):
         (F.col("id") * F.col("id") % 7919 / 4).alias("ts"),
     )
     frame = hot.unionByName(rest)
-    assert rows_of(nb.beaconing_features(frame, 1000)) == rows_of(nb.beaconing_features(frame))
+    found = {(row[0], row[1]): row[2:] for row in rows_of(nb.beaconing_features(frame))}
+    for pair in [("hot", "c2"), ("s7", "d")]:
+        times = sorted(row.ts for row in frame.where(f"src_ip = '{pair[0]}'").collect())
+        gaps = [b - a for a, b in zip(times, times[1:])]
+        mean = statistics.fmean(gaps)
+        jitter = statistics.pstdev(gaps) / mean
+        assert found[pair] == (len(times), round(mean, 2), pytest.approx(jitter, abs=6e-5))
+    assert len(found) == 501
 
 
 def test_query_names(spark):
@@ -276,7 +279,70 @@ def test_bytes_prefer_the_first_name_even_if_null(spark):
 
 def test_sum_beyond_64_bits(conn):
     frame = conn([{"orig_bytes": 2**63 - 1}, {"orig_bytes": 5}])
-    assert rows_of(nb.exfil_features(frame)) == [("10.0.0.1", "10.0.0.2", 2**63 - 1, 2)]
+    assert rows_of(nb.exfil_features(frame)) == [("10.0.0.1", "10.0.0.2", 2**63 + 4, 2)]
+    below = conn([{"orig_bytes": -(2**63)}, {"orig_bytes": -5}])
+    assert rows_of(nb.exfil_features(below)) == [("10.0.0.1", "10.0.0.2", -(2**63) - 5, 2)]
+    assert nb.ExfiltrationDetector().analyze({"conn": below}).isEmpty()
+    (alert,) = nb.ExfiltrationDetector().analyze({"conn": frame}).collect()
+    assert str(2**63 + 4) in alert.description and str(2**63 + 4) in alert.evidence
+
+
+@pytest.mark.parametrize(
+    ("text", "number"),
+    [
+        (str(2**63 - 1), 2**63 - 1),
+        (str(2**63), None),
+        (str(-(2**63)), -(2**63)),
+        ("-9007199254740993", -9007199254740993),
+        (" 1000000000000000001 ", 1000000000000000001),
+        ("999999999999999999", 999999999999999999),
+        ("0.9999999", 0),
+        ("2.2e1", 22),
+        ("nan", None),
+        ("inf", None),
+        ("abc", None),
+    ],
+)
+def test_whole_numbers_are_exact(spark, text, number):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(to_long(F.col("t"))).first()[0] == number
+
+
+def test_target_of_the_earliest_known_time(spark):
+    rows = [
+        ("a", None, "u1", "without a time"),
+        ("a", 5.0, None, "without a uid"),
+        ("a", 5.0, "u2", "first"),
+        ("a", 6.0, "u0", "later"),
+        ("a", 1.0, "u0", None),
+        ("b", None, None, "z"),
+        ("b", None, None, "y"),
+    ]
+    frame = spark.createDataFrame(rows, "src_ip string, ts double, uid string, dst_ip string").withColumn(
+        "dst_port", F.lit(22)
+    )
+    assert rows_of(nb.brute_force_features(frame)) == [("a", 5, "first"), ("b", 2, "y")]
+
+
+def test_windowed_forms_without_their_columns(spark):
+    bare = spark.createDataFrame([("a",)], "src_ip string")
+    for feature in (nb.port_scan_windowed, nb.brute_force_windowed, nb.beaconing_windowed):
+        found = feature(bare)
+        assert found.isEmpty() and found.columns[:3] == ["window_start", "window_end", "src_ip"]
+
+
+def test_sliding_windows_of_uneven_panes(spark):
+    rows = [("s", f"h{n % 3}", n % 7, float(n * 11)) for n in range(60)]
+    frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, dst_port int, ts double")
+    found = {
+        row.window_start.timestamp(): row for row in nb.port_scan_windowed(frame, "100 seconds", "40 seconds").collect()
+    }
+    for start, row in found.items():
+        inside = [r for r in rows if start <= r[3] < start + 100]
+        assert row.total_conns == len(inside)
+        assert (row.distinct_ports, row.distinct_hosts) == (len({r[2] for r in inside}), len({r[1] for r in inside}))
+    covering = sum(start <= r[3] < start + 100 for r in rows for start in range(-80, 700, 40))
+    assert sum(row.total_conns for row in found.values()) == covering
 
 
 @SLOW
@@ -286,6 +352,7 @@ def test_sum_beyond_64_bits(conn):
             st.floats(0, 1e6),
             st.integers(0, 10**6).map(lambda n: n / 10**5),
             st.integers(0, 10**6).map(lambda n: n / 2**4),
+            st.floats(2**31, 2**60),
         ),
         min_size=1,
         max_size=200,

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 import netbehave as nb
-from netbehave.sources.logs import header_fields, layouts
+from netbehave.sources.logs import layouts
 from tests.conftest import rows_of
 
 CONN_HEADER = """#separator \\x09
@@ -168,7 +168,28 @@ def test_mixed_layouts_are_united(spark, tmp_path):
         (2.0, "b", "ssh"),
         (3.0, "c", None),
     ]
-    assert len(layouts(spark, str(folder))) == 2
+    found = layouts(spark, str(folder))
+    assert len(found.by_fields) == 2
+    assert [file.rsplit("/", 1)[1] for file in found.headerless] == ["d.log"]
+    left_out = []
+    nb.read_log(spark, str(tmp_path), "conn", headerless=left_out)
+    assert left_out == found.headerless
+
+
+def test_first_header_counts(spark, logs):
+    folder = logs(conn="#fields\tts\tuid\n1\ta\n#fields\tuid\tts\n")
+    assert list(layouts(spark, f"{folder}/conn.log").by_fields) == [("ts", "uid")]
+
+
+def test_missing_file_with_known_fields(spark, tmp_path):
+    log = nb.read_log(spark, str(tmp_path), "conn", fields=("ts", "uid"))
+    assert log.columns == ["ts", "uid", "event_time"] and log.isEmpty()
+
+
+def test_fields_and_names_reach_the_reader(spark, logs):
+    folder = logs(conn="1\ta\n", dns="2\tb\n")
+    found = nb.load_logs(spark, folder, ("conn",), {"conn": ("ts", "uid")})
+    assert list(found) == ["conn"] and rows_of(found["conn"].select("uid")) == [("a",)]
 
 
 def test_known_fields_skip_the_headers(spark, logs):
@@ -179,7 +200,7 @@ def test_known_fields_skip_the_headers(spark, logs):
 
 def test_late_header(spark, logs):
     folder = logs(conn="#note\n" * 300 + "#fields\tts\n1\n")
-    assert header_fields(spark, f"{folder}/conn.log") == ("ts",)
+    assert list(layouts(spark, f"{folder}/conn.log").by_fields) == [("ts",)]
 
 
 def test_only_used_columns_are_parsed(spark, logs):

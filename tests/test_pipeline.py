@@ -121,6 +121,27 @@ def test_store(spark, store):
     assert store.count() == 1
 
 
+def test_appending_nothing(spark, store, conn):
+    """Plans that turn out empty only when they run."""
+    log = {"conn": conn([{}] * 5)}
+    assert store.append(nb.PortScanDetector(min_ports=10**6).analyze(log)) == 0
+    assert store.append(nb.ExfiltrationDetector(max_bytes=10**12).analyze(log)) == 0
+    assert store.count() == 0
+
+
+def test_a_named_batch_replaces_itself(spark, store):
+    for text in ("one", "two"):
+        assert store.append(nb.new_alert(spark, "D", "LOW", "s", text), "stream-7") == 1
+    assert [row.description for row in store.alerts().collect()] == ["two"]
+
+
+def test_repeats_of_a_query_are_told_apart(spark):
+    rows = [(1.0, "u1", "s", "x" * 9 + "abcdefghijklmnop")] * 1 + [(2.0, "u2", "s", "x" * 9 + "abcdefghijklmnop")]
+    dns = spark.createDataFrame(rows, "ts double, uid string, src_ip string, query string")
+    alerts = nb.DnsTunnelDetector(min_entropy=1.0).analyze({"dns": dns})
+    assert alerts.select("id").distinct().count() == 2
+
+
 def test_severity_prunes_folders(spark, store):
     store.append(nb.new_alert(spark, "D", "LOW", "s", "text"))
     plan = store.recent(severity="LOW")._jdf.queryExecution().executedPlan().toString()

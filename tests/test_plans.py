@@ -55,22 +55,21 @@ def test_no_row_by_row_python_and_no_cross_join(spark, name):
         ("exfil_features", 1),
         ("brute_force_features", 1),
         ("port_scan_features", 2),
-        ("beaconing_features", 1),
-        ("beaconing_alerts", 1),
-        ("text_entropy", 2),
+        ("beaconing_features", 2),
+        ("beaconing_alerts", 2),
+        ("text_entropy", 0),
+        ("beacon_intervals", 2),
     ],
 )
 def test_shuffles(spark, name, count):
     assert shuffles(final_plan(driver.queries()[name](spark, SF_DIR))) == count
 
 
-def test_ordinary_pairs_leave_no_trace_of_the_hot_route(spark):
-    plan = final_plan(driver.queries()["beaconing_features"](spark, SF_DIR))
+@pytest.mark.parametrize("name", ["beacon_intervals", "beaconing_features", "beaconing_features_hot"])
+def test_beaconing_reads_once_and_joins_nothing(spark, name):
+    plan = static_plan(driver.queries()[name](spark, SF_DIR))
+    assert plan.count("FileScan") == 1
     assert "Union" not in plan and "Join" not in plan
-
-
-def test_hot_pairs_are_ordered_by_slice(spark):
-    plan = static_plan(driver.queries()["beaconing_features_hot"](spark, SF_DIR))
     assert any("Window [lag" in line and "slice" in line for line in plan.splitlines())
 
 

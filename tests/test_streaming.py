@@ -95,6 +95,33 @@ def test_alert_stream(spark, tmp_path, drop):
     assert expected and "window_start" in json.loads(expected[0][3])
 
 
+def test_restarts_lose_nothing(spark, tmp_path):
+    """A stream started three times over files that repeat a finding, one at a time."""
+    store = nb.AlertStore(spark, str(tmp_path / "alerts"))
+    folder = tmp_path / "drop"
+    folder.mkdir()
+    line = "{ts}\t{uid}\th\td\t53\t{query}"
+    names = ("ts", "uid", "id.orig_h", "id.resp_h", "id.resp_p", "query")
+    finding = {"A": "abcdefghijklmnopqrstuvwxyz", "B": "zyxwvutsrqponmlkjihgfedcba"}
+    header = "#fields\t" + "\t".join(names)
+    for number, found in enumerate(("A", "AB", "A")):
+        rows = [
+            line.format(ts=number, uid=f"u{number}{name}", query=finding[name]) for name in found
+        ]
+        (folder / f"{number}.log").write_text("\n".join([header, *rows]) + "\n")
+        alerts = nb.DnsTunnelDetector().analyze({"dns": read_log_stream(spark, str(folder), "dns", names)})
+        query = write_alert_stream(alerts, store, str(tmp_path / "state"), once=True)
+        query.awaitTermination(240)
+        assert query.exception() is None
+    assert store.count() == 4
+    assert store.alerts().select("id").distinct().count() == 4
+
+
+def test_another_layout_is_refused(spark, tmp_path, drop):
+    with pytest.raises(ValueError, match="fields"):
+        read_log_stream(spark, str(drop), "conn", FIELDS[::-1])
+
+
 def test_repeated_batch_adds_nothing_twice(spark, tmp_path, drop):
     """A stream that dies between writing a batch and recording it repeats the batch."""
     store = nb.AlertStore(spark, str(tmp_path / "alerts"))
