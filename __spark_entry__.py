@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import importlib
 import importlib.util
-import tempfile
 import uuid
 from collections.abc import Callable
 from types import ModuleType
@@ -38,7 +37,6 @@ BRUTE_FORCE = nb.BruteForceDetector(min_attempts=10)
 BEACONING = nb.BeaconingDetector(max_jitter=0.6, min_connections=10)
 DNS_TUNNEL = nb.DnsTunnelDetector(min_entropy=4.2)
 EXFILTRATION = nb.ExfiltrationDetector(max_bytes=1000)
-HOT_ROWS = 12
 
 FOUND = ["detector", "severity", "src_ip", "dst_ip", "description", "mitre", "evidence"]
 
@@ -87,9 +85,54 @@ def auth_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_conn(table(spark, sf_dir, "events"), auth=True)
 
 
+def hot_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with a third of its rows moved to one pair, and times in whole minutes."""
+    rows = conn(spark, sf_dir)
+    hot = F.col("uid") % 3 == 0
+    return rows.withColumns(
+        {
+            "src_ip": F.when(hot, "hot").otherwise(F.col("src_ip")),
+            "dst_ip": F.when(hot, "hot").otherwise(F.col("dst_ip")),
+            "ts": F.floor(F.col("ts") / 60) * F.lit(60.0),
+        }
+    )
+
+
+def odd_conn(spark: SparkSession, sf_dir: str, auth: bool = False) -> DataFrame:
+    """The log with nulls, unreadable values and repeated rows, as texts."""
+    rows = as_conn(table(spark, sf_dir, "events"), auth)
+    uid = F.col("uid")
+
+    def gap(name: str, every: int, at: int, bad: str | None = None) -> Column:
+        return F.when(uid % every == at, F.lit(bad)).otherwise(F.col(name).cast("string"))
+
+    return rows.unionByName(rows.where(uid % 13 == 0)).select(
+        gap("src_ip", 11, 1).alias("src_ip"),
+        gap("dst_ip", 7, 2).alias("dst_ip"),
+        gap("dst_port", 17, 3, "abc").alias("dst_port"),
+        gap("conn_state", 19, 4).alias("conn_state"),
+        F.when(uid % 5 == 0, F.lit(None)).otherwise(F.floor("ts")).cast("double").alias("ts"),
+        gap("orig_bytes", 6, 5, "-").alias("orig_bytes"),
+        F.when(uid % 4 != 1, uid.cast("string")).alias("uid"),
+    )
+
+
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
-        host("page_id").alias("src_ip"), F.col("url").alias("query")
+        host("page_id").alias("src_ip"),
+        F.col("url").alias("query"),
+        F.col("page_id").cast("string").alias("uid"),
+    )
+
+
+def odd_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DNS rows without a source column, some without a query and some with an empty one."""
+    page = F.col("page_id")
+    return table(spark, sf_dir, "pages").select(
+        F.when(page % 9 == 0, F.lit(None))
+        .when(page % 9 == 1, F.lit(""))
+        .otherwise(F.col("url"))
+        .alias("query")
     )
 
 
@@ -127,9 +170,18 @@ def dated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """New folder on the cluster's shared storage; a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="netbehave-")
+    """New folder on the cluster's shared storage, in one place for each application.
+
+    That is the checkpoint folder the session names, or else its warehouse.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.sql.warehouse.dir"
+    )
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def volumes_ranked(log: DataFrame) -> DataFrame:
+    return nb.ranked(volumes(log))
 
 
 def ntz(*names: str) -> dict[str, Column]:
@@ -187,12 +239,18 @@ def failed_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(failed_to_port(rows, 22)).select("uid", "src_ip", "conn_state")
 
 
-def beacon_intervals(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return nb.beacon_intervals(conn(spark, sf_dir), **options).withColumns(
-        {
-            "ts": F.round("ts", 3),
-            "interval": F.round("interval", 3),
-        }
+def intervals_of(log: Callable) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rounded = {name: F.round(name, 3) for name in ("ts", "interval")}
+        return nb.beacon_intervals(log(spark, sf_dir)).withColumns(rounded)
+
+    return query
+
+
+def volumes(log: DataFrame) -> DataFrame:
+    """Byte sums as whole numbers; those of the tables fit."""
+    return nb.exfil_features(log).withColumn(
+        "total_orig_bytes", F.col("total_orig_bytes").cast("bigint")
     )
 
 
@@ -264,7 +322,8 @@ def streamed(feature: Callable[[DataFrame], DataFrame], auth: bool = False) -> C
     """Run a windowed feature as a stream over the files of ``events``.
 
     The stream works off what is there and stops; its result is read back from the files
-    it wrote. Windows that the watermark has not passed stay open and are not part of it.
+    it wrote. A last row far ahead of all others ends the input and closes every window but
+    its own.
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,6 +331,12 @@ def streamed(feature: Callable[[DataFrame], DataFrame], auth: bool = False) -> C
         folder = scratch(spark)
         # A pattern, because a stream takes a folder or a pattern but no single file.
         source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+        last = table(spark, sf_dir, "events").agg(
+            *[F.max(name).cast(schema[name].dataType).alias(name) for name in schema.names]
+        )
+        last = last.withColumn("ts", F.expr("ts + INTERVAL 1000 DAYS"))
+        last.select(*schema.names).write.parquet(f"{folder}/last")
+        source = source.union(spark.readStream.schema(schema).parquet(f"{folder}/last"))
         result = feature(as_conn(source, auth)).withColumns(ntz("window_start", "window_end"))
         stream = (
             result.writeStream.outputMode("append")
@@ -287,32 +352,109 @@ def streamed(feature: Callable[[DataFrame], DataFrame], auth: bool = False) -> C
     return query
 
 
-def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the connections as a Zeek log and read them with the log reader."""
+def log_columns() -> dict[str, Column]:
+    port = F.col("dst_port").cast("string")
+    return {
+        "ts": F.format_string("%.6f", "ts"),
+        "uid": F.col("uid").cast("string"),
+        "id.orig_h": F.col("src_ip"),
+        "id.resp_h": F.col("dst_ip"),
+        "id.resp_p": F.when(F.col("dst_port") < 90, port).otherwise("-"),
+        "conn_state": F.when(F.col("dst_ip") == "view", "(empty)").otherwise(F.col("conn_state")),
+        "orig_bytes": F.when(F.col("dst_ip") == "click", "bad").otherwise(
+            F.col("orig_bytes").cast("string")
+        ),
+    }
+
+
+def write_log(rows: DataFrame, path: str, columns: dict[str, Column]) -> None:
+    """Rows as a Zeek log of one file with a header, comment lines and a closing line."""
+    line = F.concat_ws("\t", *columns.values())
+    fields = "\t".join(["#fields", *columns])
+    marks = rows.sparkSession.createDataFrame(
+        [(0, "#path\tconn"), (1, fields), (2, "#note"), (4, "#close\tnow")], "place int, line string"
+    )
+    body = rows.select(F.lit(3).alias("place"), line.alias("line"))
+    ordered = marks.union(body).coalesce(1).sortWithinPartitions("place")
+    ordered.select("line").write.mode("append").text(path)
+
+
+def written_log(spark: SparkSession, sf_dir: str, columns: dict[str, Column]) -> str:
+    """Folder with the connections as a log in two layouts, the second in another order."""
     folder = scratch(spark)
     rows = conn(spark, sf_dir)
-    unset = F.lit("-")
-    line = F.concat_ws(
-        "\t",
-        F.format_string("%.6f", "ts"),
-        F.col("uid").cast("string"),
-        "src_ip",
-        "dst_ip",
-        F.when(F.col("dst_port") < 90, F.col("dst_port").cast("string")).otherwise(unset),
-        F.when(F.col("dst_ip") == "view", "(empty)").otherwise(F.col("conn_state")),
-        F.when(F.col("dst_ip") == "click", "bad").otherwise(F.col("orig_bytes").cast("string")),
-    )
-    rows.select(line).write.text(f"{folder}/conn.log")
-    names = ("ts", "uid", "id.orig_h", "id.resp_h", "id.resp_p", "conn_state", "orig_bytes")
-    return read_log(spark, folder, "conn", names).withColumns(ntz("event_time")).drop("ts")
+    write_log(rows.where("uid % 2 = 0"), f"{folder}/conn.log", columns)
+    turned = dict(reversed(list(columns.items())))
+    write_log(rows.where("uid % 2 = 1"), f"{folder}/conn.log", turned)
+    return folder
+
+
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written log, read by its headers."""
+    log = read_log(spark, written_log(spark, sf_dir, log_columns()), "conn")
+    names = [name.replace(".", "_") for name in log_columns() if name != "ts"]
+    return log.withColumns(ntz("event_time")).select(*names, "event_time")
+
+
+def run_over_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run: read the written logs, detect, store, and read the stored alerts."""
+    columns = log_columns() | {"id.resp_p": F.col("dst_port").cast("string")}
+    folder = written_log(spark, sf_dir, columns)
+    store = nb.AlertStore(spark, f"{folder}/alerts")
+    done = nb.run(spark, folder, [PORT_SCAN, BEACONING], store, staging=f"{folder}/staged")
+    done.release()
+    return store.alerts().select(*FOUND)
 
 
 def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append alerts to a new table twice and read the rows of one severity."""
+    """Append alerts of two kinds and an empty result to a new table and read all of it."""
     store = nb.AlertStore(spark, f"{scratch(spark)}/alerts")
     store.append(found(PORT_SCAN, conn=conn(spark, sf_dir)))
+    store.append(found(nb.PortScanDetector(min_ports=10**6), conn=conn(spark, sf_dir)))
     store.append(found(BRUTE_FORCE, conn=auth_conn(spark, sf_dir)))
-    return store.alerts().where("severity = 'HIGH'").select(*FOUND)
+    return store.alerts().select(*FOUND)
+
+
+def store_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts in a table before and after it is cleared and filled again."""
+    store = nb.AlertStore(spark, f"{scratch(spark)}/alerts")
+    alerts = found(PORT_SCAN, conn=conn(spark, sf_dir))
+    store.append(alerts)
+    before = store.count()
+    store.clear()
+    cleared = store.count()
+    store.append(alerts.union(alerts))
+    return store.alerts().agg(
+        F.lit(before).cast("long").alias("before"),
+        F.lit(cleared).cast("long").alias("cleared"),
+        F.count("*").alias("after"),
+    )
+
+
+def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts by listed thresholds, windowed where a window is listed."""
+    listed = {"port_scan": {"min_ports": 3, "window_sec": 86_400}}
+    detector = nb.PortScanDetector.from_thresholds(listed, windowed=True)
+    alerts = found(detector, conn=conn(spark, sf_dir))
+    return alerts.groupBy("src_ip", "description").agg(F.count("*").alias("alerts"))
+
+
+def alert_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as JSON, with some of the fields read back out of it."""
+    rendered = nb.alert_json(all_alerts(spark, sf_dir))
+    names = ("detector", "severity", "src_ip", "dst_ip", "mitre")
+    return rendered.select(
+        *[F.get_json_object("json", f"$.{name}").alias(name) for name in names],
+        F.json_object_keys("json").alias("keys"),
+    ).withColumn("keys", F.array_join("keys", ","))
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert lines after enrichment, with the mark of a known source."""
+    indicators = table(spark, sf_dir, "labels").select(
+        host("doc_id").alias("src_ip"), F.col("quality").alias("confidence")
+    )
+    return nb.render(nb.enrich(all_alerts(spark, sf_dir), indicators))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -332,14 +474,14 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "port_scan_features": lambda s, d: nb.port_scan_features(conn(s, d)),
         "port_scan_ranked": lambda s, d: nb.ranked(nb.port_scan_features(conn(s, d))),
         "brute_force_features": lambda s, d: nb.brute_force_features(auth_conn(s, d)),
-        "beacon_intervals": beacon_intervals,
-        "beacon_intervals_hot": lambda s, d: beacon_intervals(s, d, hot_rows=HOT_ROWS),
+        "beacon_intervals": intervals_of(conn),
+        "beacon_intervals_hot": intervals_of(hot_conn),
         "beaconing_features": lambda s, d: nb.beaconing_features(conn(s, d)),
-        "beaconing_features_hot": lambda s, d: nb.beaconing_features(conn(s, d), HOT_ROWS),
+        "beaconing_features_hot": lambda s, d: nb.beaconing_features(hot_conn(s, d)),
         "beaconing_ranked": lambda s, d: nb.ranked(nb.beaconing_features(conn(s, d))),
         "dns_features": lambda s, d: nb.dns_features(dns(s, d)),
         "text_entropy": text_entropy,
-        "exfil_features": lambda s, d: nb.exfil_features(conn(s, d)),
+        "exfil_features": lambda s, d: volumes(conn(s, d)),
         "port_scan_alerts": alerts_of(PORT_SCAN, conn),
         "brute_force_alerts": alerts_of(BRUTE_FORCE, auth_conn),
         "beaconing_alerts": alerts_of(BEACONING, conn),
@@ -365,6 +507,20 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "beaconing_stream": streamed(lambda log: nb.beaconing_windowed(log, "10 days")),
         "log_scan": log_scan,
         "alert_table": alert_table,
+        "run_over_logs": run_over_logs,
+        "store_count": store_count,
+        "threshold_alerts": threshold_alerts,
+        "alert_objects": alert_objects,
+        "marked_lines": marked_lines,
+        "brute_force_ranked": lambda s, d: nb.ranked(nb.brute_force_features(auth_conn(s, d))),
+        "dns_ranked": lambda s, d: nb.ranked(nb.dns_features(dns(s, d))),
+        "exfil_ranked": lambda s, d: volumes_ranked(conn(s, d)),
+        "port_scan_odd": lambda s, d: nb.port_scan_features(odd_conn(s, d)),
+        "brute_force_odd": lambda s, d: nb.brute_force_features(odd_conn(s, d, auth=True)),
+        "beacon_intervals_odd": intervals_of(odd_conn),
+        "beaconing_odd": lambda s, d: nb.beaconing_features(odd_conn(s, d)),
+        "exfil_odd": lambda s, d: volumes(odd_conn(s, d)),
+        "dns_odd": lambda s, d: nb.dns_features(odd_dns(s, d)),
     }
 
 
@@ -437,17 +593,43 @@ alerts AS (SELECT * FROM scan_alerts UNION ALL SELECT * FROM brute_alerts
 WITH_DNS = """
 WITH names AS (
   SELECT concat('10.0.', page_id % 4, '.', page_id) AS src_ip, url AS query,
-         CAST(length(url) AS INTEGER) AS qlen,
+         CAST(page_id AS VARCHAR) AS uid, CAST(length(url) AS INTEGER) AS qlen,
          round_even(list_aggregate(string_split(url, ''), 'entropy'), 3) AS entropy
   FROM pages WHERE url IS NOT NULL)
 """
-INTERVALS_SQL = (
-    WITH_CONN
-    + """, stamps AS (SELECT src_ip, dst_ip, ts, count(*) AS n_conns
-                      FROM conn GROUP BY src_ip, dst_ip, ts)
+INTERVALS_SQL = """
 SELECT src_ip, dst_ip, round(ts, 3) AS ts,
-       round(ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts), 3) AS interval,
-       n_conns FROM stamps"""
+       round(ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts), 3) AS interval
+FROM {log} WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL AND ts IS NOT NULL"""
+BEACONS_SQL = """
+SELECT src_ip, dst_ip, count(*) AS n_conns,
+       CAST(format('{{:.2f}}', avg(gap)) AS DOUBLE) AS mean_interval,
+       CAST(format('{{:.4f}}', stddev_pop(gap) / avg(gap)) AS DOUBLE) AS jitter
+FROM (SELECT src_ip, dst_ip,
+             ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts) AS gap
+      FROM {log} WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL AND ts IS NOT NULL)
+GROUP BY src_ip, dst_ip HAVING count(*) >= 3 AND avg(gap) > 0"""
+WITH_HOT = (
+    WITH_CONN
+    + """, hot AS (
+SELECT CASE WHEN uid % 3 = 0 THEN 'hot' ELSE src_ip END AS src_ip,
+       CASE WHEN uid % 3 = 0 THEN 'hot' ELSE dst_ip END AS dst_ip,
+       floor(ts / 60) * 60 AS ts FROM conn)
+"""
+)
+WITH_ODD = (
+    WITH_CONN
+    + """, odd AS (
+SELECT CASE WHEN uid % 11 <> 1 THEN src_ip END AS src_ip,
+       CASE WHEN uid % 7 <> 2 THEN dst_ip END AS dst_ip,
+       CASE WHEN uid % 17 <> 3 THEN dst_port END AS port,
+       CASE WHEN uid % 17 = 3 THEN 'abc' ELSE CAST(dst_port AS VARCHAR) END AS dst_port,
+       CASE WHEN uid % 19 <> 4 THEN conn_state END AS conn_state,
+       CASE WHEN uid % 5 <> 0 THEN floor(ts) END AS ts,
+       CASE WHEN uid % 6 <> 5 THEN orig_bytes ELSE 0 END AS orig_bytes,
+       CASE WHEN uid % 4 <> 1 THEN CAST(uid AS VARCHAR) END AS uid
+FROM (SELECT * FROM auth_or_conn UNION ALL SELECT * FROM auth_or_conn WHERE uid % 13 = 0))
+"""
 )
 
 
@@ -460,7 +642,6 @@ FROM (SELECT *, {starts} AS window_start FROM conn) GROUP BY ALL"""
 
 
 EPOCH = "TIMESTAMP '1970-01-01'"
-CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 DAILY_SCANS_SQL = windowed_scan_sql(
     f"time_bucket(INTERVAL 1 DAY, event_time, {EPOCH})", "1 DAY"
@@ -482,9 +663,10 @@ FROM (SELECT window_start, src_ip, dst_ip,
 GROUP BY window_start, src_ip, dst_ip HAVING count(*) >= 3 AND avg(gap) > 0"""
 
 
-def closed(sql: str) -> str:
-    """Windows that a stream has closed: those the watermark has passed."""
-    return f"{WITH_CONN} SELECT * FROM ({sql}) WHERE {CLOSED}"
+
+
+def odd(log: str) -> str:
+    return WITH_ODD.replace("auth_or_conn", log)
 
 
 def own_sql() -> dict[str, str]:
@@ -511,13 +693,13 @@ WHERE conn_state IN ('REJ', 'S0', 'RSTO', 'RSTR', 'RSTOS0', 'SH')""",
         "port_scan_ranked": WITH_CONN
         + "SELECT * FROM scans ORDER BY distinct_ports DESC, src_ip",
         "brute_force_features": WITH_CONN + "SELECT * FROM attempts",
-        "beacon_intervals": INTERVALS_SQL,
-        "beacon_intervals_hot": INTERVALS_SQL,
+        "beacon_intervals": WITH_CONN + INTERVALS_SQL.format(log="conn"),
+        "beacon_intervals_hot": WITH_HOT + INTERVALS_SQL.format(log="hot"),
         "beaconing_features": WITH_CONN + "SELECT * FROM beacons",
-        "beaconing_features_hot": WITH_CONN + "SELECT * FROM beacons",
+        "beaconing_features_hot": WITH_HOT + BEACONS_SQL.format(log="hot"),
         "beaconing_ranked": WITH_CONN
         + "SELECT * FROM beacons ORDER BY jitter, src_ip, dst_ip",
-        "dns_features": WITH_DNS + "SELECT * FROM names",
+        "dns_features": WITH_DNS + "SELECT * EXCLUDE (uid) FROM names",
         "text_entropy": """
 SELECT doc_id, round_even(coalesce(list_aggregate(string_split(text, ''), 'entropy'), 0), 3)
          AS entropy FROM documents""",
@@ -532,7 +714,8 @@ SELECT doc_id, round_even(coalesce(list_aggregate(string_split(text, ''), 'entro
               query, entropy, qlen) AS description,
        'T1071.004' AS mitre,
        CAST(json_object('query', query, 'qlen', qlen, 'entropy', entropy,
-                        'threshold', CAST(4.2 AS DOUBLE)) AS VARCHAR) AS evidence
+                        'threshold', CAST(4.2 AS DOUBLE), 'uid', uid) AS VARCHAR)
+         AS evidence
 FROM names WHERE entropy >= 4.2""",
         "exfil_alerts": WITH_CONN
         + """SELECT 'ExfiltrationDetector' AS detector, 'HIGH' AS severity, src_ip, dst_ip,
@@ -588,9 +771,9 @@ FROM alerts a LEFT JOIN (
         ),
         "brute_force_windowed": WITH_CONN + WINDOWED_ATTEMPTS_SQL,
         "beaconing_windowed": WITH_CONN + WINDOWED_BEACONS_SQL,
-        "port_scan_stream": closed(DAILY_SCANS_SQL),
-        "brute_force_stream": closed(WINDOWED_ATTEMPTS_SQL),
-        "beaconing_stream": closed(WINDOWED_BEACONS_SQL),
+        "port_scan_stream": WITH_CONN + DAILY_SCANS_SQL,
+        "brute_force_stream": WITH_CONN + WINDOWED_ATTEMPTS_SQL,
+        "beaconing_stream": WITH_CONN + WINDOWED_BEACONS_SQL,
         "log_scan": WITH_CONN
         + """SELECT CAST(uid AS VARCHAR) AS uid, src_ip AS id_orig_h, dst_ip AS id_resp_h,
        CASE WHEN dst_port < 90 THEN dst_port END AS id_resp_p,
@@ -598,7 +781,55 @@ FROM alerts a LEFT JOIN (
        CASE WHEN dst_ip <> 'click' THEN orig_bytes END AS orig_bytes,
        event_time
 FROM conn""",
-        "alert_table": WITH_CONN + "SELECT * FROM brute_alerts",
+        "alert_table": WITH_CONN
+        + "SELECT * FROM scan_alerts UNION ALL SELECT * FROM brute_alerts",
+        "run_over_logs": WITH_CONN
+        + "SELECT * FROM scan_alerts UNION ALL SELECT * FROM beacon_alerts",
+        "store_count": WITH_CONN
+        + """SELECT count(*) AS "before", CAST(0 AS BIGINT) AS cleared, 2 * count(*) AS "after"
+FROM scan_alerts""",
+        "threshold_alerts": WITH_CONN
+        + f"""SELECT src_ip,
+       format('Port scan detecte : {{}} ports distincts contactes sur {{}} hote(s) '
+              '(seuil : 3)', distinct_ports, distinct_hosts) AS description,
+       count(*) AS alerts
+FROM ({DAILY_SCANS_SQL}) WHERE distinct_ports >= 3 GROUP BY ALL""",
+        "alert_objects": WITH_CONN
+        + """SELECT detector, severity, src_ip, dst_ip, mitre,
+       'id,timestamp,detector,severity,src_ip,dst_ip,description,mitre,evidence,cti_context'
+         AS keys FROM alerts""",
+        "marked_lines": WITH_CONN
+        + """SELECT format('[{}] {} — {} → {} : {}{}', severity, detector, src_ip,
+              coalesce(dst_ip, 'N/A'), description,
+              CASE WHEN src_ip IN (SELECT concat('10.0.', doc_id % 4, '.', doc_id) FROM labels)
+                   THEN ' [CTI ✓]' ELSE '' END) AS line FROM alerts""",
+        "brute_force_ranked": WITH_CONN
+        + "SELECT * FROM attempts ORDER BY failed_attempts DESC, src_ip, dst_ip",
+        "dns_ranked": WITH_DNS
+        + "SELECT * EXCLUDE (uid) FROM names ORDER BY entropy DESC, src_ip, query",
+        "exfil_ranked": WITH_CONN
+        + "SELECT * FROM volumes ORDER BY total_orig_bytes DESC, src_ip, dst_ip",
+        "port_scan_odd": odd("conn")
+        + """SELECT src_ip, count(DISTINCT dst_port) AS distinct_ports,
+       count(DISTINCT dst_ip) AS distinct_hosts, count(*) AS total_conns
+FROM odd WHERE src_ip IS NOT NULL GROUP BY src_ip""",
+        "brute_force_odd": odd("auth")
+        + """SELECT src_ip, count(*) AS failed_attempts,
+       first(dst_ip ORDER BY ts NULLS LAST, uid NULLS LAST, dst_ip)
+         FILTER (dst_ip IS NOT NULL) AS dst_ip
+FROM odd WHERE src_ip IS NOT NULL AND port = 22
+  AND conn_state IN ('REJ', 'S0', 'RSTO', 'RSTR', 'RSTOS0', 'SH') GROUP BY src_ip""",
+        "beacon_intervals_odd": odd("conn") + INTERVALS_SQL.format(log="odd"),
+        "beaconing_odd": odd("conn") + BEACONS_SQL.format(log="odd"),
+        "exfil_odd": odd("conn")
+        + """SELECT src_ip, dst_ip, CAST(sum(orig_bytes) AS BIGINT) AS total_orig_bytes,
+       count(*) AS n_conns
+FROM odd WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL GROUP BY src_ip, dst_ip""",
+        "dns_odd": """
+SELECT 'N/A' AS src_ip, query, CAST(length(query) AS INTEGER) AS qlen,
+       coalesce(round_even(list_aggregate(string_split(query, ''), 'entropy'), 3), 0) AS entropy
+FROM (SELECT CASE WHEN page_id % 9 = 1 THEN '' WHEN page_id % 9 <> 0 THEN url END AS query
+      FROM pages) WHERE query IS NOT NULL""",
     }
 
 

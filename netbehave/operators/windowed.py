@@ -95,8 +95,9 @@ def port_scan_windowed(
             F.when(F.col("src_ip").isNotNull(), F.col("touched.kind")).alias("kind"),
             F.when(F.col("src_ip").isNotNull(), F.col("touched.item")).alias("item"),
         )
-        .agg(F.count("*").alias("n"))
-        .where("src_ip is not null")
+        .agg(F.count("*").alias("n"), F.count("src_ip").alias("known"))
+        # A condition on the source itself would move below the clock.
+        .where("known > 0")
     )
     if slide:
         items = (

@@ -109,4 +109,4 @@ def test_only_needed_columns_are_read(stored_conn, features, unread):
 def test_counting_happens_before_the_shuffle(spark):
     plan = static_plan(driver.queries()["exfil_features"](spark, SF_DIR))
     below = plan[plan.index("Exchange") :]
-    assert "partial_try_sum" in below and "partial_count" in below
+    assert "partial_sum" in below and "partial_count" in below
