@@ -26,7 +26,6 @@ read by ``near_duplicates``; ``one_of_each`` hands them through under whatever n
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -226,7 +226,13 @@ PATTERNS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...]
     ("card", r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", card),
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", ssn),
     ("ip", r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[A-Za-z0-9])", ip),
-    ("date", r"(?<![A-Za-z0-9./-])(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![A-Za-z0-9]|[./-][0-9])", day),
+    (
+        "date",
+        r"(?<![A-Za-z0-9./-])"
+        r"(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})"
+        r"(?![A-Za-z0-9]|[./-][0-9])",
+        day,
+    ),
 )
 
 COMPILED = tuple((kind, re.compile(pattern), permute) for kind, pattern, permute in PATTERNS)

@@ -5,7 +5,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
-from pyspark.sql import functions as F
 
 from netbehave.llm import tokenfile
 from netbehave.llm.words import shared_folder
