@@ -17,9 +17,9 @@ definition of the encoding and keeps the work on a unit bounded. Nothing is lost
 the pieces still join to the text.
 
 ``encode`` returns the ids of every document. ``encoded_totals`` returns what a document's
-ids add up to without bringing them together: the commonest units, at most
-``COMMON_UNITS``, are looked up where the texts are read, and only the others travel, one
-row for each document and unit, to be joined with the encoded units. Its ``checksum`` is
+ids add up to without bringing them together: units that are common in a sample of rows, at
+most ``COMMON_UNITS``, are encoded first and looked up where the texts are read, and only the
+others travel, one row for each document and unit, to be joined with the encoded units. Its ``checksum`` is
 the sum over units of their place (from 1, modulo 65,521) times the low 16 bits of the
 CRC-32 of their ids, so it depends on the order.
 
@@ -43,8 +43,11 @@ from netbehave.llm.words import count_words, slices, stored
 
 BLANK = "▁"
 MAX_UNIT = 128
-COMMON_UNITS = 500_000
+COMMON_UNITS = 250_000
+SAMPLE_ROWS = 60_000  # bound of the sample that common units are looked for in
 PLACES = 65_521
+PARTITIONS_FACTOR = 4  # partitions of units, to each shuffle partition of the session
+GROUPS_IN_MEMORY = 60_000  # about 150 MB in a task
 UNIT = re.compile(r"\n| [^ \n]*|[^ \n]+")
 
 
@@ -95,46 +98,39 @@ def unit_bytes(text: str | None) -> list[bytes]:
 
 
 def lattice(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Rows (unit, edges): the pieces found in each unit, as (end, start, id, score).
+    """The rows of ``units`` with their edges: the pieces found, as (end, start, id, score).
 
-    Every single character has an edge; without a piece its id is -1, for bytes.
+    Every single character has an edge; without a piece its id is -1, for bytes. Rows must
+    be distinct. Dealt out by unit, they stay where they are.
     """
+    keys = units.columns
     real = pieces.where("piece IS NOT NULL")
     facts = real.agg(F.max(F.length("piece")), F.min("score")).first()
     longest, worst = facts
+    # Two plain explodes run as generated code, unlike nested arrays of substrings.
     length = F.length("unit")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), length),
-            lambda start: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), length - start + 1)),
-                lambda n: F.struct(
-                    start.alias("start"), n.alias("n"), F.substring("unit", start, n).alias("piece")
-                ),
-            ),
-        )
+    starts = units.select(*keys, F.explode(F.sequence(F.lit(1), length)).alias("start"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), length - F.col("start") + 1))
+    parts = starts.select(*keys, "start", F.explode(sizes).alias("size")).withColumn(
+        "piece", F.substring("unit", F.col("start"), F.col("size"))
     )
-    parts = units.select("unit", F.explode(spans).alias("s")).select("unit", "s.start", "s.n", "s.piece")
-    # The piece table is bounded by the model; a longer table still joins, by a shuffle.
+    # The piece table has as many rows as the model, which bounds the broadcast.
     found = parts.join(F.broadcast(real.select("piece", "id", "score")), "piece", "left")
-    edges = found.where("id IS NOT NULL OR n = 1").select(
-        "unit",
+    edges = found.where("id IS NOT NULL OR size = 1").select(
+        *keys,
         F.struct(
-            (F.col("start") + F.col("n") - 1).alias("end"),
+            (F.col("start") + F.col("size") - 1).alias("end"),
             (F.col("start") - 1).alias("start"),
             F.coalesce("id", F.lit(-1)).alias("id"),
             # A byte is worse than any piece.
             F.coalesce("score", F.octet_length("piece") * F.lit(worst - 10.0)).alias("score"),
         ).alias("edge"),
     )
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-def best_path(edges: Column) -> Column:
-    """Edges of the best path, in order: a Viterbi fold, then a walk back from the end.
-
-    ``best`` holds, for each end so far, the score and the last edge of the best path to it.
-    """
+def best_ends(edges: Column) -> Column:
+    """Viterbi fold: for each end, the score and the last edge of the best path to it."""
     first = F.struct(
         F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")
     )
@@ -153,7 +149,11 @@ def best_path(edges: Column) -> Column:
             .otherwise(best)
         )
 
-    best = F.aggregate(edges, F.array(first), step)
+    return F.aggregate(edges, F.array(first), step)
+
+
+def best_path(best: Column) -> Column:
+    """Score and edges of the best path: a walk back from the last end."""
 
     def back(state: Column, end: Column) -> Column:
         last = F.get(state["best"], end)
@@ -169,9 +169,8 @@ def best_path(edges: Column) -> Column:
 
     none = F.array().cast("array<struct<start:int,id:int>>")
     start = F.struct(best.alias("best"), (F.size(best) - 1).alias("at"), none.alias("path"))
-    # The walk carries the scores along, so that the fold is computed once.
     return F.aggregate(
-        F.reverse(F.sequence(F.lit(1), F.element_at(edges, -1)["end"])),
+        F.reverse(F.sequence(F.lit(1), F.size(best) - 1)),
         start,
         back,
         lambda state: F.struct(
@@ -181,7 +180,7 @@ def best_path(edges: Column) -> Column:
 
 
 def encoded_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Rows (unit, ids, score, n_bytes) for the distinct units given as (unit)."""
+    """The distinct rows of ``units`` with ids, score and characters without a piece."""
     first_byte = pieces.where("piece IS NULL").agg(F.min("id")).first()[0]
     if first_byte is None:
         raise ValueError("the model has no pieces for bytes")
@@ -195,29 +194,33 @@ def encoded_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
         )
         return F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(values)
 
-    found = lattice(units, pieces).select("unit", best_path(F.col("edges")).alias("best"))
+    keys = units.columns
+    # Column by column, for each is used several times and worked out once.
+    ends = lattice(units, pieces).select(*keys, best_ends(F.col("edges")).alias("ends"))
+    found = ends.select(*keys, best_path(F.col("ends")).alias("best"))
     steps = F.col("best")["path"]
     return found.select(
-        "unit",
+        *keys,
         F.flatten(F.transform(steps, ids)).alias("ids"),
         F.col("best")["score"].alias("score"),
         F.size(F.filter(steps, lambda edge: edge["id"] < 0)).alias("n_unknown"),
     )
 
 
-def decoded(rows: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
-    """Rows (key, text) from rows (key, ids), with all blanks; keys must be distinct.
+def decoded(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Rows with a column ``text`` for their ``ids``, with all blanks; rows must be distinct.
 
     Bytes that are no valid text become replacement characters. An empty array gives an
     empty text.
     """
-    parts = rows.select(key, F.posexplode_outer("ids").alias("at", "id"))
+    keys = [name for name in rows.columns if name != "ids"]
+    parts = rows.select(*keys, F.posexplode_outer("ids").alias("at", "id"))
     named = parts.join(F.broadcast(pieces.select("id", F.hex("raw").alias("hex"))), "id", "left")
-    together = named.groupBy(key).agg(
+    together = named.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("at", F.coalesce("hex", F.lit("")).alias("hex")))).alias("parts")
     )
     raw = F.unhex(F.array_join(F.col("parts")["hex"], ""))
-    return together.select(key, F.decode(raw, "UTF-8").alias("text"))
+    return together.select(*keys, F.decode(raw, "UTF-8").alias("text"))
 
 
 # ---------------------------------------------------------------- documents
@@ -255,57 +258,63 @@ def encode(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     )
 
 
-def lexicon(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Every distinct unit with its count, ids and whether they decode to it."""
-    counted = count_words(docs.select("text", F.lit(0).alias("one")), "one", unit_bytes)
-    units = counted.select(F.decode("word", "UTF-8").alias("unit"), "n")
-    # Counting dealt the units out by unit; everything below keeps them where they are.
-    counted = stored(units, "unit-counts")
-    ids = encoded_units(counted.select("unit"), pieces)
-    return counted.join(ids, "unit")
-
-
 def unit_values(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """What one occurrence of a unit adds to its document."""
-    text = decoded(units.select("unit", "ids"), "unit", pieces).withColumnRenamed("text", "back")
+    """What one occurrence of each unit adds to its document; ``units`` are (unit), distinct.
+
+    The work on a unit is many times its size, so units are dealt out over all partitions
+    of the session, and everything up to the values happens where they then are.
+    """
+    spark = units.sparkSession
+    n = PARTITIONS_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A group here is a unit with some twenty edges. By default Spark sorts on disk from 128
+    # groups on; so many of this size fit in memory.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", GROUPS_IN_MEMORY)
+    dealt = units.select("unit").repartition(n, "unit").distinct()
     raw = F.concat_ws("", F.transform("ids", lambda one: F.format_string("%04x", one)))
-    return units.join(text, "unit").select(
+    found = encoded_units(dealt, pieces).select(
         "unit",
-        "n",
+        "ids",
         F.size("ids").cast("long").alias("pieces"),
         F.col("n_unknown").cast("long").alias("unknown"),
         "score",
         (F.crc32(raw.cast("binary")) % 65_536).alias("digest"),
-        F.length("back").cast("long").alias("chars"),
-        (F.col("back") == F.col("unit")).alias("same"),
+    )
+    return decoded(found, pieces).select(
+        "unit", "pieces", "unknown", "score", "digest", (F.col("text") == F.col("unit")).alias("same")
     )
 
 
-def common_units(values: DataFrame, most: int) -> DataFrame:
-    """The commonest units, whole classes of one count only, at most ``most`` rows."""
-    sizes = values.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect()
+def common_units(docs: DataFrame, most: int) -> DataFrame:
+    """Units that are common in a bounded sample of rows: whole classes of one count.
+
+    Which units these are changes no result, only how much has to travel.
+    """
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = docs.where(near).select("text", F.lit(0).alias("one"))
+    counted = count_words(sample, "one", unit_bytes).select(F.decode("word", "UTF-8").alias("unit"), "n")
+    counted = stored(counted, "unit-counts")
     least, total = None, 0
-    for row in sizes:
+    for row in counted.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect():
         total += row["units"]
         if total > most:
             break
         least = row["n"]
-    return values.where(F.lit(False) if least is None else F.col("n") >= least)
+    return counted.where(F.lit(False) if least is None else F.col("n") >= least).select("unit")
 
 
-TOTALS = ("n_units", "n_pieces", "n_unknown", "score", "checksum", "decoded_chars", "n_changed")
+TOTALS = ("n_units", "n_pieces", "n_unknown", "score", "checksum", "n_changed")
 TOTALS_SCHEMA = (
     "row long, doc_id long, unit string, n long, places long, n_units long, n_pieces long, "
-    "n_unknown long, score double, checksum long, decoded_chars long, n_changed long"
+    "n_unknown long, score double, checksum long, n_changed long"
 )
 
 
 def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNITS) -> DataFrame:
-    """For every row of ``docs``: units, pieces, characters without a piece, score, checksum,
-    decoded characters, and whether the ids decode to the text."""
-    values = stored(unit_values(lexicon(docs, pieces), pieces), "unit-values")
-    known = common_units(values, common).drop("n").toPandas()
-    columns = ["pieces", "unknown", "score", "digest", "chars", "same"]
+    """For every row of ``docs``: units, pieces, characters without a piece, score, checksum
+    and whether the ids decode to the text."""
+    known = unit_values(common_units(docs, common), pieces).toPandas()
+    columns = ["pieces", "unknown", "score", "digest", "same"]
     carried = docs.sparkSession.sparkContext.broadcast(
         (known["unit"].tolist(), [known[name].to_numpy() for name in columns])
     )
@@ -313,24 +322,24 @@ def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, arrays = carried.value
         number = dict(zip(names, range(len(names))))
-        n_pieces, unknown, score, digest, chars, same = arrays
+        n_pieces, unknown, score, digest, same = arrays
         row = TaskContext.get().partitionId() << 40
-        for part in slices(batches):
+        for part in slices(batches, size=500_000):
             ids = part.column("doc_id").to_pylist()
             rest: list[tuple] = []
             sums: list[tuple] = []
             for doc_id, text in zip(ids, part.column("text").to_pylist()):
+                row += 1
                 units = units_of(text)
                 found = np.fromiter((number.get(unit, -1) for unit in units), np.int64, len(units))
                 weights = np.arange(1, len(units) + 1) % PLACES
                 hit = found >= 0
                 at = found[hit]
-                row += 1
                 sums.append(
                     (
-                        row, doc_id, int(hit.sum()), int(n_pieces[at].sum()), int(unknown[at].sum()),
+                        row, doc_id, len(units), int(n_pieces[at].sum()), int(unknown[at].sum()),
                         float(score[at].sum()), int((weights[hit] * digest[at]).sum()),
-                        int(chars[at].sum()), int((~same[at].astype(bool)).sum()),
+                        int((~same[at].astype(bool)).sum()),
                     )
                 )
                 others: dict[str, list[int]] = {}
@@ -338,33 +347,28 @@ def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNIT
                     entry = others.setdefault(units[place], [0, 0])
                     entry[0] += 1
                     entry[1] += int(weights[place])
-                rest += [(row, doc_id, unit, n, places) for unit, (n, places) in others.items()]
+                rest += [(row, unit, n, places) for unit, (n, places) in others.items()]
             yield batch(sums, rest)
 
-    mixed = docs.select("doc_id", "text").mapInArrow(run, TOTALS_SCHEMA)
-    mixed = stored(mixed, "unit-sums")
+    mixed = stored(docs.select("doc_id", "text").mapInArrow(run, TOTALS_SCHEMA), "unit-sums")
     sums = mixed.where("unit IS NULL").select("row", "doc_id", *TOTALS)
+    rest = mixed.where("unit IS NOT NULL").select("row", "unit", F.col("n").alias("times"), "places")
     n = F.col("times")
-    rest = (
-        mixed.where("unit IS NOT NULL")
-        .select("row", "doc_id", "unit", F.col("n").alias("times"), "places")
-        .join(values, "unit")
-        .select(
-            "row",
-            "doc_id",
-            n.alias("n_units"),
-            (n * F.col("pieces")).alias("n_pieces"),
-            (n * F.col("unknown")).alias("n_unknown"),
-            (n * F.col("score")).alias("score"),
-            (F.col("places") * F.col("digest")).alias("checksum"),
-            (n * F.col("chars")).alias("decoded_chars"),
-            F.when(F.col("same"), F.lit(0)).otherwise(n).cast("long").alias("n_changed"),
-        )
+    added = rest.join(unit_values(rest, pieces), "unit").select(
+        "row",
+        F.lit(None).cast("long").alias("doc_id"),
+        F.lit(0).cast("long").alias("n_units"),
+        (n * F.col("pieces")).alias("n_pieces"),
+        (n * F.col("unknown")).alias("n_unknown"),
+        (n * F.col("score")).alias("score"),
+        (F.col("places") * F.col("digest")).alias("checksum"),
+        F.when(F.col("same"), F.lit(0)).otherwise(n).cast("long").alias("n_changed"),
     )
     return (
-        sums.union(rest)
-        .groupBy("row", "doc_id")
-        .agg(*[F.sum(name).alias(name) for name in TOTALS])
+        sums.union(added)
+        .groupBy("row")
+        # Only one of a document's rows carries its id.
+        .agg(F.max("doc_id").alias("doc_id"), *[F.sum(name).alias(name) for name in TOTALS])
         .select("doc_id", *TOTALS[:-1], (F.col("n_changed") == 0).alias("round_trip"))
     )
 
@@ -372,15 +376,15 @@ def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNIT
 def batch(sums: list[tuple], rest: list[tuple]) -> pa.RecordBatch:
     """Rows of sums, without a unit, and rows of units that were not looked up."""
     n, m = len(sums), len(rest)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-    left = list(zip(*sums)) if sums else [()] * 9
-    right = list(zip(*rest)) if rest else [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    left = list(zip(*sums)) if sums else [()] * 8
+    right = list(zip(*rest)) if rest else [()] * 4
     arrays = [
         pa.array([*left[0], *right[0]], pa.int64()),
-        pa.array([*left[1], *right[1]], pa.int64()),
-        pa.array([*[None] * n, *right[2]], pa.string()),
+        pa.array([*left[1], *[None] * m], pa.int64()),
+        pa.array([*[None] * n, *right[1]], pa.string()),
+        pa.array([*[None] * n, *right[2]], pa.int64()),
         pa.array([*[None] * n, *right[3]], pa.int64()),
-        pa.array([*[None] * n, *right[4]], pa.int64()),
         *(pa.array([*column, *[None] * m], kind) for column, kind in zip(left[2:], kinds)),
     ]
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in TOTALS_SCHEMA.split(", ")])
