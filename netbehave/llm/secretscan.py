@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netbehave.llm import crf
-from netbehave.llm.words import bounds, map_slices, slices, utf8
+from netbehave.llm.words import bounds, map_slices, slices, stored, utf8
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(
@@ -98,6 +98,16 @@ def level(value: float, edges: tuple[float, ...]) -> int:
     return sum(value >= edge for edge in edges)
 
 
+def letter_case(core: bytes, lower: int, upper: int) -> int:
+    if not lower + upper:
+        return 0
+    if not upper:
+        return 1
+    if not lower:
+        return 2
+    return 3 if upper == 1 and core[:1].isupper() else 4
+
+
 def shape(word: bytes) -> Shape:
     """Value of each feature of a word."""
     core = word.strip(b"\"'`.,;:!?()[]{}<>*#$%&|=")
@@ -117,7 +127,7 @@ def shape(word: bytes) -> Shape:
         level(len(core), LENGTHS),
         level(digits / size, (0.001, 0.3, 0.7, 1)),
         level(changes, (1, 3, 6, 10)),
-        0 if not lower + upper else 1 if not upper else 2 if not lower else 3 if core[:1].isupper() and upper == 1 else 4,
+        letter_case(core, lower, upper),
         0 if not hexadecimal else 1 if size < 16 else 2,
         sign,
         level(len(set(core)) / size, (0.25, 0.5, 0.75)) if size > 3 else 0,
@@ -151,8 +161,8 @@ def place_hash(*place: object) -> float:
     return zlib.crc32("/".join(map(str, place)).encode()) / 2**32
 
 
-def sample_windows(doc_id: int | None, text: str) -> Iterator[tuple[float, str]]:
-    """Labelled windows of one text, each with the number it is drawn by."""
+def sample_windows(doc_id: int | None, text: str) -> Iterator[tuple[str, float, str]]:
+    """Labelled windows of one text: why, the number each is drawn by, and the window."""
     spans = rule_spans(text)
     anywhere = zlib.crc32(str(doc_id).encode()) % ANY_EVERY == 0
     if not spans and not anywhere and not re.search("[0-9]", text):
@@ -183,7 +193,21 @@ def sample_windows(doc_id: int | None, text: str) -> Iterator[tuple[float, str]]
             shape(words[i]) if 0 <= i < len(words) else NO_WORD for i in range(low - 1, high + 1)
         ]
         told_ = json.dumps([around, labels[low:high].tolist(), described])
-        yield FAVOUR[reason] * place_hash(reason, doc_id, at), told_
+        yield reason, FAVOUR[reason] * place_hash(reason, doc_id, at), told_
+
+
+def draw_limit(sizes: dict[str, int], limit: int) -> float:
+    """Number below which about twice ``limit`` windows are drawn, or all there are.
+
+    Draws of a reason are spread evenly from 0 to its favour, so only about as many rows
+    as are wanted leave the tasks, however large the table.
+    """
+    low, high = 0.0, max(FAVOUR.values())
+    for _ in range(60):
+        middle = (low + high) / 2
+        drawn = sum(n * min(1.0, middle / FAVOUR[reason]) for reason, n in sizes.items())
+        low, high = (middle, high) if drawn < 2 * limit + 100 else (low, middle)
+    return high + 1e-9
 
 
 def fit(docs: DataFrame, limit: int = SAMPLE_WINDOWS) -> crf.Model | None:
@@ -196,13 +220,17 @@ def fit(docs: DataFrame, limit: int = SAMPLE_WINDOWS) -> crf.Model | None:
             if text
             for row in sample_windows(doc_id, text)
         ]
+        kinds = (pa.string(), pa.float64(), pa.string())
+        columns = zip(*rows) if rows else [[]] * 3
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.string())],
-            names=["draw", "window"],
+            [pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["reason", "draw", "window"]
         )
 
-    drawn = map_slices(docs.select("doc_id", "text"), work, "draw double, window string")
-    found = [json.loads(row.window) for row in drawn.orderBy("draw", "window").limit(limit).collect()]
+    schema = "reason string, draw double, window string"
+    drawn = stored(map_slices(docs.select("doc_id", "text"), work, schema), "windows")
+    sizes = {row["reason"]: row["count"] for row in drawn.groupBy("reason").count().collect()}
+    near = drawn.where(F.col("draw") < draw_limit(sizes, limit)).orderBy("draw", "window")
+    found = [json.loads(row["window"]) for row in near.limit(limit).collect()]
     if not any(BEGIN in labels for _, labels, _ in found):
         return None
     time = 2 * WINDOW + 1
