@@ -282,8 +282,9 @@ class Tagger:
         limits = bounds([len(one) for one in words])
         if len(self.words) > 400_000:
             self.words.clear()
-        for word in {word for one in words for word in one} - self.words.keys():
-            self.words[word] = self.row(shape(word))
+        for word in {word for one in words for word in one}:
+            if word not in self.words:
+                self.words[word] = self.row(shape(word))
         get = self.words.__getitem__
         rows = np.fromiter((get(w) for one in words for w in one), np.int64, limits[-1])
         before, after = np.roll(rows, 1), np.roll(rows, -1)

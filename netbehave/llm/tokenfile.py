@@ -99,10 +99,10 @@ class WordEncoder:
         if len(self.known) > CACHED_WORDS:
             # Words in use move over from the older half, the others go with it.
             self.known, self.older = {}, self.known
-        new = words - self.known.keys()
-        kept = new & self.older.keys()
-        self.known.update((word, self.older[word]) for word in kept)
-        self.learn(list(new - kept))
+        # Word by word, for a difference with the keys would walk through all that is known.
+        new = [word for word in words if word not in self.known]
+        self.known.update((word, self.older[word]) for word in new if word in self.older)
+        self.learn([word for word in new if word not in self.older])
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         self.know(set(words))
