@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from netbehave.llm import decontam, neardup, pieces, quality, secretscan
 from netbehave.llm.words import stored, table
 
+NEAR_PERCENT = 80  # least similarity of near duplicates; op7 has its own
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -25,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 1. Every text becomes the set of its word shingles. Texts with equal sets form a class
    and only one of them, the representative, goes on.
-2. A representative has 192 minima. Bands of six give candidate buckets; the lowest two
-   bits of each minimum, packed, give an estimate of the similarity from bit counts,
-   corrected for minima that agree in two bits by chance.
+2. A representative has 192 minima. Bands of six (of five at a threshold of 0.8) give
+   candidate buckets; the lowest two bits of each minimum, packed, give an estimate of the
+   similarity from bit counts, corrected for minima that agree in two bits by chance.
 3. The least key of a bucket is its hub. All members of buckets with one hub form a group,
    which holds every pair that shares a bucket. A large group is dealt out in chunks that
    all hold the hub. In a chunk, pairs with a sufficient estimate are confirmed on the
@@ -14,8 +14,9 @@
    round, so no pair of different components goes uncompared.
 5. Components spread over the links by label propagation, then over the classes.
 
-A pair at the threshold shares no bucket with probability (1 - 0.85^6)^32 = 3e-7, and its
-estimate is too low with about the same probability (5 standard deviations).
+A pair at the threshold shares no bucket with probability (1 - 0.85^6)^32 = 3e-7, or
+(1 - 0.8^5)^38 = 3e-7, and its estimate is too low with about the same probability (5
+standard deviations).
 
 Results for odd rows: a null text, or one without words, has an empty set and is its own
 component. Rows with the same ``doc_id`` are each answered; one text under two ids is
@@ -37,8 +38,9 @@ from netbehave.llm.shingles import mixed, shingle_sets
 from netbehave.llm.words import map_slices, stored
 
 PERCENT = 85  # least similarity of a link
-BANDS, ROWS, BITS = 32, 6, 2
-MARGIN = 0.16  # how far below the threshold an estimate may lie
+BANDS, ROWS, BITS = 32, 6, 2  # at PERCENT
+MISSED = 1e-6  # bound of the chance that a pair at the threshold shares no bucket
+DEVIATIONS = 5.27  # how far below the threshold an estimate may lie
 CHUNK_MEMBERS, CHUNK_SHINGLES = 512, 500_000  # of a group, in one comparison
 COLUMNS = 4096  # shingles per matrix product
 
@@ -68,11 +70,24 @@ def minima(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return result
 
 
-def band_hashes(least: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Most minima to a band with which a pair at the threshold is still found."""
+    rows = range(HASHES, 0, -1)
+    return next((n for n in rows if (1 - (percent / 100) ** n) ** (HASHES // n) <= MISSED), 1)
+
+
+def margin(percent: int) -> float:
+    chance = 1 / (1 << BITS)
+    agree = chance + (1 - chance) * percent / 100
+    return DEVIATIONS * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - chance)
+
+
+def band_hashes(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit hash per band, different for equal minima in different bands."""
-    parts = least.reshape(len(least), BANDS, ROWS).astype(np.uint64)
-    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
-    for row in range(ROWS):
+    bands = HASHES // rows
+    parts = least[:, : bands * rows].reshape(len(least), bands, rows).astype(np.uint64)
+    total = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2])
+    for row in range(rows):
         total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, row])
     return total
 
@@ -117,8 +132,9 @@ def lists(rows: np.ndarray, there: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat, mask=pa.array(~there))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Size and key of each set, band hashes and packed bits; nulls for empty sets."""
+    n_rows = band_rows(percent)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         values, limits = shingle_sets(part.column("text").to_pylist())
@@ -131,7 +147,7 @@ def features(docs: DataFrame) -> DataFrame:
             part.column("doc_id"),
             pa.array(sizes),
             pa.array(set_keys(values, limits), pa.binary()),
-            lists(band_hashes(least), there),
+            lists(band_hashes(least, n_rows), there),
             lists(packed(least), there),
         ]
         return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in FEATURES.split(", ")])
@@ -183,7 +199,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 def linked(sets: list[np.ndarray], bits: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs are links: a sufficient estimate, then the whole sets."""
     sizes = np.array([len(one) for one in sets])
-    likely = estimates(bits, bits) >= percent / 100 - MARGIN
+    likely = estimates(bits, bits) >= percent / 100 - margin(percent)
     likely &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
     np.fill_diagonal(likely, False)
     chosen = np.flatnonzero(likely.any(axis=1))
@@ -250,7 +266,7 @@ def across_chunks(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    rows = stored(features(docs), "features")
+    rows = stored(features(docs, percent), "features")
     real = rows.where("key IS NOT NULL")
     # Bands and bits are the same for all rows of a class.
     classes = stored(

@@ -118,3 +118,12 @@ def test_same_id_with_other_texts(docs):
     rows = [(1, long), (2, long), (2, "x " + long), (3, "quite another text of words")]
     found = by_id(neardup.near_duplicates(docs(rows)))
     assert found[2]["component_id"] == 1 and found[3]["kept"]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bands_and_margin_fit_the_threshold(percent):
+    rows, share = neardup.band_rows(percent), percent / 100
+    assert rows == {80: 5, 85: 6}[percent]
+    assert (1 - share**rows) ** (neardup.HASHES // rows) < 1e-6
+    agree = 0.25 + 0.75 * share
+    assert neardup.margin(percent) > 5 * (agree * (1 - agree) / neardup.HASHES) ** 0.5 / 0.75

@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -71,3 +72,20 @@ def test_secrets_are_masked(spark):
     for row in redacted.collect():
         assert not secretscan.rule_spans(row["text"])
         assert row["n_chars"] == len(row["text"])
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    """Sets of 100 shingles of which 90 are shared have a similarity of 90 / 110."""
+    words = [f"w{n}" for n in range(104)]
+    ends = [f"x{n}" for n in range(10)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:94] + ends)), (3, " ".join(words[:91] + ends + ["y", "z", "v"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 3"), SF_DIR).collect()
+    assert [row["doc_id"] for row in kept] == [1]
+    kept = corpus_pipeline.near_duplicates(spark, docs.where("doc_id <> 2"), SF_DIR).collect()
+    assert sorted(row["doc_id"] for row in kept) == [1, 3]
+
+
+def test_run_equals_plain_stages_from_four_fifths(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "plain_groups", partial(plain_groups, percent=80))
+    test_run_equals_plain_stages(spark)
