@@ -41,9 +41,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the SentencePiece ids of each document come to."""
+    """The SentencePiece ids of each document, the text they decode to, and their sums."""
     known = pieces.read_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    return pieces.encoded_totals(docs, known)
+    return pieces.encoded(docs, known)
 
 
 STAGES: list[tuple[str, Stage]] = [

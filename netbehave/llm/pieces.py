@@ -1,8 +1,7 @@
 """SentencePiece encoding and decoding as relations.
 
-A text gets a blank in front, as the library puts one there, and is cut before every blank
-and around every line end: no piece goes across such a place. The distinct units of the
-corpus are encoded once. A unit's substrings, up to the longest piece, are exploded and
+A text gets a blank in front, as the library puts one there, and is cut before blanks
+and around every line end. The distinct units of the corpus are encoded once. A unit's substrings, up to the longest piece, are exploded and
 joined to the piece table; the edges found are grouped by unit, and a Viterbi fold over
 them, in order of their ends, gives the best path. Of equal paths the one whose last piece
 starts first wins, and so on backwards. A character without a piece becomes its bytes.
@@ -12,16 +11,19 @@ mean nothing. So a piece of rank r gets the logarithm of its share under Zipf's
 model with real scores can be used as it is (``zipf=False``). Decoding needs no scores and
 takes ids from any encoder.
 
-Units of over ``MAX_UNIT`` characters are cut after every ``MAX_UNIT``: that is part of the
-definition of the encoding and keeps the work on a unit bounded. Nothing is lost by it,
-the pieces still join to the text.
+``encoded`` returns the ids of every document, the text they decode to and sums of both.
+Spans that are common in a
+sample of rows, at most ``COMMON_UNITS``, are encoded first and looked up where the texts
+are read. Spans of over ``MAX_UNIT`` characters get the same lattice in a loop over their
+characters, in place, with the last few ends as its state. Only the others travel, one row
+for each document and span, to be joined with the encoded spans; a document's rows are then
+sorted together and put in place. The ``checksum`` is the sum over spans of their place
+(from 1, modulo 65,521) times the low 16 bits of the CRC-32 of their ids, so it depends on
+the order. ``round_trip`` says whether the ids of the whole document decode to its text.
 
-``encode`` returns the ids of every document. ``encoded_totals`` returns what a document's
-ids add up to without bringing them together: units that are common in a sample of rows, at
-most ``COMMON_UNITS``, are encoded first and looked up where the texts are read, and only the
-others travel, one row for each document and unit, to be joined with the encoded units. Its ``checksum`` is
-the sum over units of their place (from 1, modulo 65,521) times the low 16 bits of the
-CRC-32 of their ids, so it depends on the order.
+``encode`` and ``encoded_totals`` are an older form which cuts by ``units_of``, before every
+blank and after every ``MAX_UNIT`` characters: the pieces join to the text, but none goes
+across these cuts. No query uses them.
 
 Results for odd rows: a null text is encoded as an empty one, which is a single blank. The
 blank sign of the pieces is read as a blank. Repeated rows are each answered. Columns other than ``doc_id`` and
@@ -30,8 +32,11 @@ blank sign of the pieces is read as a blank. Repeated rows are each answered. Co
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,7 @@ PLACES = 65_521
 PARTITIONS_FACTOR = 4  # partitions of units, to each shuffle partition of the session
 GROUPS_IN_MEMORY = 60_000  # about 150 MB in a task
 UNIT = re.compile(r"\n| [^ \n]*|[^ \n]+")
+SPAN = UNIT
 
 
 # ---------------------------------------------------------------- pieces and units
@@ -90,6 +96,19 @@ def units_of(text: str | None) -> list[str]:
     return units
 
 
+def spaced(text: str | None) -> str:
+    return " " + (text or "").replace(BLANK, " ")
+
+
+def spans_of(text: str | None) -> list[str]:
+    """Parts of a text between which no piece lies; they join to a blank and the text."""
+    return units_of(text)
+
+
+def short_span_bytes(text: str | None) -> list[bytes]:
+    return [span.encode() for span in spans_of(text) if len(span) <= MAX_UNIT]
+
+
 def unit_bytes(text: str | None) -> list[bytes]:
     return [unit.encode() for unit in units_of(text)]
 
@@ -284,7 +303,9 @@ def unit_values(units: DataFrame, pieces: DataFrame) -> DataFrame:
     )
 
 
-def common_units(docs: DataFrame, most: int) -> DataFrame:
+def common_units(
+    docs: DataFrame, most: int, split: Callable[[str | None], list[bytes]] = unit_bytes
+) -> DataFrame:
     """Units that are common in a bounded sample of rows: whole classes of one count.
 
     Which units these are changes no result, only how much has to travel.
@@ -292,7 +313,7 @@ def common_units(docs: DataFrame, most: int) -> DataFrame:
     share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = docs.where(near).select("text", F.lit(0).alias("one"))
-    counted = count_words(sample, "one", unit_bytes).select(F.decode("word", "UTF-8").alias("unit"), "n")
+    counted = count_words(sample, "one", split).select(F.decode("word", "UTF-8").alias("unit"), "n")
     counted = stored(counted, "unit-counts")
     least, total = None, 0
     for row in counted.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect():
@@ -303,6 +324,232 @@ def common_units(docs: DataFrame, most: int) -> DataFrame:
     return counted.where(F.lit(False) if least is None else F.col("n") >= least).select("unit")
 
 
+# ---------------------------------------------------------------- whole documents
+
+
+def digest_of(ids: list[int]) -> int:
+    return zlib.crc32("".join(f"{one:04x}" for one in ids).encode()) % 65_536
+
+
+Encoded = tuple[list[int], float, int]
+
+
+def path_finder(pieces: list) -> Callable[[str], Encoded]:
+    """The lattice of one unit in a loop over its characters: ids, score, unknown characters.
+
+    Edges, scores and the choice of equal paths are those of ``lattice`` and ``best_ends``;
+    scores are kept for as many ends as the longest piece has characters.
+    """
+    table = {row["piece"]: (row["id"], row["score"]) for row in pieces if row["piece"] is not None}
+    first_byte = min(row["id"] for row in pieces if row["piece"] is None)
+    byte = min(score for _, score in table.values()) - 10.0
+    longest = max(map(len, table))
+
+    def find(unit: str) -> Encoded:
+        scores = [0.0]
+        starts, ids = np.zeros(len(unit) + 1, np.int64), np.full(len(unit) + 1, -1, np.int64)
+        for end in range(1, len(unit) + 1):
+            best = None
+            low = max(0, end - longest)
+            for start in range(low, end):
+                edge = table.get(unit[start:end])
+                if edge is None:
+                    if start < end - 1:
+                        continue
+                    edge = (-1, len(unit[start].encode()) * byte)
+                score = scores[start - end] + edge[1]
+                if best is None or score > best:
+                    best, starts[end], ids[end] = score, start, edge[0]
+            scores.append(best)
+            del scores[:-longest]
+        path: list[list[int]] = []
+        at, unknown = len(unit), 0
+        while at:
+            if ids[at] < 0:
+                unknown += 1
+                path.append([first_byte + value for value in unit[at - 1].encode()])
+            else:
+                path.append([int(ids[at])])
+            at = int(starts[at])
+        return [one for part in reversed(path) for one in part], scores[-1], unknown
+
+    return find
+
+
+def span_values(spans: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Rows (unit, ids, score, unknown) of distinct (unit), dealt out over all partitions."""
+    spark = spans.sparkSession
+    n = PARTITIONS_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As in unit_values: groups of some twenty edges fit in memory.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", GROUPS_IN_MEMORY)
+    dealt = spans.select("unit").repartition(n, "unit").distinct()
+    return encoded_units(dealt, pieces).select(
+        "unit", "ids", "score", F.col("n_unknown").cast("long").alias("unknown")
+    )
+
+
+def common_spans(docs: DataFrame, most: int) -> DataFrame:
+    """Short spans that are common in a bounded sample of rows; these change no result."""
+    return common_units(docs, most, short_span_bytes)
+
+
+PARTS_SCHEMA = (
+    "row long, doc_id long, unit string, packed binary, n_units int, n_unknown int, score double, "
+    "checksum long, hash binary"
+)
+ENCODED_SCHEMA = (
+    "doc_id long, ids array<int>, text string, n_units long, n_pieces long, n_unknown long, "
+    "score double, checksum long, round_trip boolean"
+)
+
+
+def text_hash(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, field.type) for column, field in zip(columns, schema)], schema=schema
+    )
+
+
+PARTS = pa.schema(
+    [
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.string()), ("packed", pa.binary()),
+        ("n_units", pa.int32()), ("n_unknown", pa.int32()), ("score", pa.float64()),
+        ("checksum", pa.int64()), ("hash", pa.binary()),
+    ]
+)
+ENCODED = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string()),
+        ("n_units", pa.int64()), ("n_pieces", pa.int64()), ("n_unknown", pa.int64()),
+        ("score", pa.float64()), ("checksum", pa.int64()), ("round_trip", pa.bool_()),
+    ]
+)
+
+
+def encoded(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNITS) -> DataFrame:
+    """For every row of ``docs`` its ids, the text they decode to (with the blank in front),
+    spans, pieces, characters without a piece, score, checksum and whether the text is the same."""
+    context = docs.sparkSession.sparkContext
+    rows = pieces.collect()
+    kind = "<u2" if max(row["id"] for row in rows) < 65_536 else "<u4"
+    model = context.broadcast(rows)
+    known = span_values(common_spans(docs, common), pieces).toPandas()
+    carried = context.broadcast(
+        (
+            known["unit"].tolist(),
+            [np.asarray(ids, kind).tobytes() for ids in known["ids"]],
+            known["score"].to_numpy(),
+            known["unknown"].to_numpy(),
+            np.array([digest_of(ids) for ids in known["ids"]], np.int64),
+        )
+    )
+    del known
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, scores, unknown, digests = carried.value
+        number = dict(zip(names, range(len(names))))
+        find = path_finder(model.value)
+        row = TaskContext.get().partitionId() << 40
+        width = np.dtype(kind).itemsize
+        for part in slices(batches, size=500_000):
+            made: list[tuple] = []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                row += 1
+                spans = spans_of(text)
+                found, n_unknown, score, checksum, length = [], 0, 0.0, 0, 0
+                others: dict[str, list[int]] = {}
+                for place, span in enumerate(spans, 1):
+                    at = number.get(span)
+                    if at is not None:
+                        found.append(ids[at])
+                        length += len(ids[at])
+                        n_unknown += int(unknown[at])
+                        score += float(scores[at])
+                        checksum += place % PLACES * int(digests[at])
+                    elif len(span) > MAX_UNIT:
+                        path, more, missing = find(span)
+                        found.append(np.asarray(path, kind).tobytes())
+                        length += len(found[-1])
+                        n_unknown += missing
+                        score += more
+                        checksum += place % PLACES * digest_of(path)
+                    else:
+                        others.setdefault(span, []).extend((place, length // width))
+                made.append(
+                    (row, doc_id, None, zlib.compress(b"".join(found), 1), len(spans), n_unknown,
+                     score, checksum, text_hash(spaced(text)))
+                )
+                made += [
+                    (row, None, span, np.array(at, "<u4").tobytes(), *[None] * 5)
+                    for span, at in others.items()
+                ]
+            yield as_batch(made, PARTS)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = {row["id"]: bytes(row["raw"]) for row in model.value}
+        width = np.dtype(kind).itemsize
+
+        def lines() -> Iterator[dict]:
+            for part in batches:
+                for at in range(0, part.num_rows, 2000):
+                    yield from part.slice(at, 2000).to_pylist()
+
+        made: list[tuple] = []
+        size = 0
+        for _, group in groupby(lines(), key=lambda one: one["row"]):
+            doc: dict = {}
+            n_unknown, score, checksum = 0, 0.0, 0
+            parts: list[tuple[int, int, bytes]] = []
+            for one in group:
+                path = one["path"]
+                if path is None:
+                    doc = one
+                    continue
+                coded, digest = np.asarray(path, kind).tobytes(), digest_of(path)
+                at = np.frombuffer(one["packed"], "<u4").tolist()
+                n_unknown += len(at) // 2 * one["n_unknown"]
+                score += len(at) // 2 * one["score"]
+                checksum += digest * sum(place % PLACES for place in at[::2])
+                parts += [(place, to, coded) for place, to in zip(at[::2], at[1::2])]
+            parts.sort()
+            known_ids = zlib.decompress(doc["packed"])
+            filled, before = [], 0
+            for _, to, coded in parts:
+                filled += [known_ids[before * width : to * width], coded]
+                before = to
+            ids = np.frombuffer(b"".join([*filled, known_ids[before * width :]]), kind).astype(np.int32)
+            text = b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
+            made.append(
+                (doc["doc_id"], ids, text, doc["n_units"], len(ids), doc["n_unknown"] + n_unknown,
+                 doc["score"] + score, doc["checksum"] + checksum, text_hash(text) == doc["hash"])
+            )
+            size += len(ids)
+            if size > 500_000 or len(made) >= 1000:
+                yield as_batch(made, ENCODED)
+                made, size = [], 0
+        yield as_batch(made, ENCODED)
+
+    parts = stored(docs.select("doc_id", "text").mapInArrow(cut, PARTS_SCHEMA), "span-parts")
+    rest = parts.where("unit IS NOT NULL").select("row", "unit", "packed")
+    values = span_values(rest, pieces).select(
+        "unit", F.col("ids").alias("path"), F.col("score"), F.col("unknown").cast("int").alias("n_unknown")
+    )
+    filled = rest.join(values, "unit").select("row", "packed", "path", "score", "n_unknown")
+    # Only a document's own row has no path.
+    own = parts.where("unit IS NULL").drop("unit")
+    rows = own.unionByName(filled, allowMissingColumns=True)
+    n = PARTITIONS_FACTOR * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "row").sortWithinPartitions("row")
+    return dealt.mapInArrow(together, ENCODED_SCHEMA)
+
+
+# ---------------------------------------------------------------- totals of the older form
+
+
 TOTALS = ("n_units", "n_pieces", "n_unknown", "score", "checksum", "n_changed")
 TOTALS_SCHEMA = (
     "row long, doc_id long, unit string, n long, places long, n_units long, n_pieces long, "

@@ -36,7 +36,7 @@ def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = pieces.read_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    return pieces.encoded_totals(table(spark, sf_dir, "documents"), known)
+    return pieces.encoded(table(spark, sf_dir, "documents"), known)
 
 
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,3 +133,16 @@ def test_odd_rows(odd, none, known):
     assert [(row["n_units"], row["n_pieces"]) for row in empty] == [(1, 1)] * 2
     assert pieces.encoded_totals(none, known).collect() == []
     assert pieces.encode(none, known).collect() == []
+
+
+def test_whole_documents_decode_to_their_text(docs, known):
+    found = by_id(pieces.encoded(docs(TEXTS), known, common=12))
+    for at, text in enumerate(TEXTS):
+        row = found[at]
+        assert row["text"] == spaced(text) and row["round_trip"] and row["n_pieces"] == len(row["ids"])
+
+
+def test_whole_documents_of_odd_rows(odd, none, known):
+    rows = pieces.encoded(odd, known).collect()
+    assert len(rows) == odd.count() and all(row["round_trip"] for row in rows)
+    assert pieces.encoded(none, known).collect() == []
