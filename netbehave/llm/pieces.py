@@ -12,7 +12,8 @@ model with real scores can be used as it is (``zipf=False``). Decoding needs no
 takes ids from any encoder.
 
 ``encoded`` returns the ids of every document, the text they decode to and sums of both.
-Spans that are common in a
+It cuts by ``spans_of``, between which no piece of the model lies, so its paths are the best
+of the whole text: a run of blanks stays with the word behind it. Spans that are common in a
 sample of rows, at most ``COMMON_UNITS``, are encoded first and looked up where the texts
 are read. Spans of over ``MAX_UNIT`` characters get the same lattice in a loop over their
 characters, in place, with the last few ends as its state. Only the others travel, one row
@@ -54,7 +55,7 @@ PLACES = 65_521
 PARTITIONS_FACTOR = 4  # partitions of units, to each shuffle partition of the session
 GROUPS_IN_MEMORY = 60_000  # about 150 MB in a task
 UNIT = re.compile(r"\n| [^ \n]*|[^ \n]+")
-SPAN = UNIT
+SPAN = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
 # ---------------------------------------------------------------- pieces and units
@@ -82,6 +83,8 @@ def read_pieces(spark: SparkSession, path: str, zipf: bool = True) -> DataFrame:
         ordinary += 1
         score = -float(np.log((ordinary + 2.7) * share)) if zipf else model.get_score(at)
         text = piece.replace(BLANK, " ")
+        if len(SPAN.findall(text)) != 1:
+            raise ValueError(f"a piece goes across a cut: {piece!r}")
         rows.append((text, at, score, text.encode()))
     return spark.createDataFrame(rows, "piece string, id int, score double, raw binary")
 
@@ -102,7 +105,7 @@ def spaced(text: str | None) -> str:
 
 def spans_of(text: str | None) -> list[str]:
     """Parts of a text between which no piece lies; they join to a blank and the text."""
-    return units_of(text)
+    return SPAN.findall(spaced(text))
 
 
 def short_span_bytes(text: str | None) -> list[bytes]:

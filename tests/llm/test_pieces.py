@@ -135,11 +135,41 @@ def test_odd_rows(odd, none, known):
     assert pieces.encode(none, known).collect() == []
 
 
-def test_whole_documents_decode_to_their_text(docs, known):
-    found = by_id(pieces.encoded(docs(TEXTS), known, common=12))
-    for at, text in enumerate(TEXTS):
-        row = found[at]
-        assert row["text"] == spaced(text) and row["round_trip"] and row["n_pieces"] == len(row["ids"])
+MORE = TEXTS + [
+    "def f(x):\n    if x:\n        return  x\n" + " " * 20 + "end   ",
+    "a\n b c     d\n   \n",
+    "日本語の文章" * 60 + "  " + "0x7f," * 90,
+    "the the the of of fox",
+    None,
+]
+
+
+def test_spans_are_cut_where_no_piece_lies(known):
+    for text in MORE:
+        assert "".join(pieces.spans_of(text)) == spaced(text)
+    for row in known.where("piece IS NOT NULL").collect():
+        assert len(pieces.SPAN.findall(row["piece"])) == 1
+
+
+@pytest.mark.parametrize("common", [0, 12, 10_000])
+def test_whole_documents_have_the_best_path(docs, known, plain, common):
+    """Ids, text and sums are those of one lattice over the whole text, without any cut."""
+    found = by_id(pieces.encoded(docs(MORE * 2), known, common=common))
+    assert len(found) == 2 * len(MORE)
+    for at, text in enumerate(MORE * 2):
+        row, (ids, score) = found[at], plain(spaced(text))
+        assert row["ids"] == ids
+        assert row["text"] == spaced(text) and row["round_trip"]
+        assert (row["n_pieces"], row["n_units"]) == (len(ids), len(pieces.spans_of(text)))
+        assert np.isclose(row["score"], score)
+        paths = [plain(span)[0] for span in pieces.spans_of(text)]
+        digests = [pieces.digest_of(path) for path in paths]
+        assert row["checksum"] == sum((n + 1) % pieces.PLACES * d for n, d in enumerate(digests))
+
+
+def test_runs_of_blanks_take_one_piece(docs, known):
+    row = pieces.encoded(docs(["a\n    b"]), known).first()
+    assert known.where("piece = repeat(' ', 4)").first()["id"] in row["ids"] or len(row["ids"]) <= 4
 
 
 def test_whole_documents_of_odd_rows(odd, none, known):
