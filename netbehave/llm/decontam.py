@@ -11,9 +11,12 @@ item in the document, and there the weighted similarity of five-word shingles de
 
 with w(s) = 1 / number of items that contain s, and 1 for shingles of no item.
 
-The pieces are laid so that edits which leave a similarity of 0.8 leave a piece intact: a
-changed word in the middle of an item breaks five shingles, so items under about fifty
-words bear changes only near their ends, and longer ones have several disjoint pieces.
+The pieces are laid so that edits which leave a similarity of 0.8 leave a piece intact.
+Items of under 44 words and one weight bear changes only near their ends. Others get
+disjoint pieces of the largest size with which breaking every piece would cost more weight
+than 0.8 allows: an edit breaks all shingles across a gap between two words of its piece,
+and of those that lie in two pieces half counts for each. Where no size will do, the
+heaviest shingles themselves are the pieces, with more than that weight together.
 
 Benchmarks come in blocks of bounded size, one pass over the documents for each.
 
@@ -43,6 +46,7 @@ LEAST = 0.8
 RADIUS = 3  # bits; four blocks guarantee three
 BLOCKS = 4
 SIZES = (5, 6, 7, 8, 12, 16, 22, 30, 40, 56, 80, 112)  # of windows, in words
+EVEN = 44  # words from which a word in the middle of an item can change
 SHIFT = 2  # words by which a verified window may move or differ in length
 ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 20_000, 10_000_000
 SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -101,12 +105,46 @@ def fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
     return result
 
 
-def piece_places(length: int) -> tuple[int, list[int]]:
-    """Size of the pieces of an item of ``length`` words, and where they start."""
-    room = length // 3 if length >= 48 else length - 8 if length >= 24 else length - 2
-    size = max([s for s in SIZES if s <= room], default=max(s for s in SIZES if s <= length))
-    count = max(3, length // size) if length > size else 1
-    return size, sorted({round(at * (length - size) / max(1, count - 1)) for at in range(count)})
+def breakable(weights: np.ndarray, low: float) -> float:
+    """Most weight of an item's shingles that a window with similarity ``LEAST`` can lack.
+
+    A window has at most ``SHIFT`` words fewer, so for all but ``SHIFT`` of the shingles that
+    it lacks it has others, of weight ``low`` or more.
+    """
+    return ((1 - LEAST) * weights.sum() + LEAST * SHIFT * low) / (1 + LEAST * low)
+
+
+def least_costs(weights: np.ndarray, size: int, starts: list[int]) -> np.ndarray:
+    """Least weight to be broken for each of some disjoint pieces; the sum holds for several."""
+    costs = []
+    for start in starts:
+        mine = weights / 2
+        mine[start : start + size - 4] *= 2
+        sums = np.concatenate([[0.0], np.cumsum(mine)])
+        gaps = np.arange(start, start + size - 1)  # each behind one word of the piece
+        ends = np.minimum(gaps + 1, len(weights))
+        costs.append((sums[ends] - sums[np.maximum(gaps - 3, 0)]).min())
+    return np.array(costs)
+
+
+def piece_places(weights: np.ndarray, low: float) -> tuple[int, list[int]]:
+    """Size of the pieces of an item with these weights of its shingles, and where they start."""
+    length = len(weights) + 4
+    if length < EVEN and (weights == low).all() and low == 1:
+        room = length - 8 if length >= 24 else length - 2
+        size = max([s for s in SIZES if s <= room], default=max(s for s in SIZES if s <= length))
+        count = max(3, length // size) if length > size else 1
+        return size, sorted({round(at * (length - size) / max(1, count - 1)) for at in range(count)})
+    limit = breakable(weights, low) + 1e-9
+    for size in reversed(SIZES):
+        count = length // size
+        if count:
+            starts = [round(at * (length - size) / max(1, count - 1)) for at in range(count)]
+            if least_costs(weights, size, starts).sum() > limit:
+                return size, starts
+    order = np.argsort(-weights, kind="stable")
+    enough = int(np.searchsorted(np.cumsum(weights[order]), limit, "right")) + 1
+    return 5, sorted(order[:enough].tolist())
 
 
 # ---------------------------------------------------------------- benchmark
@@ -127,10 +165,12 @@ class Items:
         holders = Counter(s for one in self.shingles for s in one)
         self.weights = {s: 1 / n for s, n in holders.items()}
         self.totals = [self.weight(one) for one in self.shingles]
+        low = min(self.weights.values(), default=1.0)
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for at, one in enumerate(self.words):
             if len(one) >= 5:
-                size, starts = piece_places(len(one))
+                mine = values[ends[at] : ends[at + 1]].tolist()
+                size, starts = piece_places(np.array([self.weights[s] for s in mine]), low)
                 prints = fingerprints(pair_sums(one), size)
                 for start in starts:
                     pieces.setdefault(size, []).append((int(prints[start]), at, start))

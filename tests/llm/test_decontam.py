@@ -122,3 +122,59 @@ def test_odd_rows(spark, odd, none, docs):
     assert row["items"] == [4] and row["contaminated"]
     assert decontam.contamination(none, benchmark).collect() == []
     assert decontam.contamination(docs(["a b c d e f"]), none.toDF("item_id", *none.columns[1:])).first()["items"] == []
+
+
+@pytest.mark.parametrize(("length", "n"), [(45, 1), (100, 2), (150, 3), (200, 4), (300, 6), (400, 8), (500, 10)])
+def test_evenly_spread_edits_leave_a_piece(length, n):
+    """Long items are found up to as many changed words as leave a similarity of 0.8."""
+    rng = random.Random(length)
+    hits = 0
+    for _ in range(25):
+        item = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+        items = decontam.Items([0], [" ".join(item)])
+        changed = list(item)
+        for at in range(n):
+            changed[round((at + 0.5) * length / n)] = f"zz{rng.random()}"
+        given = " ".join(["before"] * 7 + changed + ["behind"] * 5)
+        words, _ = decontam.cleaned([given])
+        want = best(items, 0, words) >= decontam.LEAST
+        hits += want
+        assert bool(decontam.matches(items, [given])) == want
+    assert hits or n * 45 > length - 4
+
+
+def test_cheap_shingles_do_not_hide_an_item():
+    """Most words are shared with many items, so edits there cost next to nothing."""
+    rng = random.Random(5)
+    common = [f"c{n}" for n in range(90)]
+    texts = [" ".join(common + [f"u{at}x{n}" for n in range(60)]) for at in range(40)]
+    items = decontam.Items(list(range(40)), texts)
+    words = texts[3].split()
+    for at in range(4, 88, 6):
+        words[at] = f"zz{rng.random()}"
+    words = words[:145] + ["zz"] + words[146:]
+    kept, _ = decontam.cleaned([" ".join(words)])
+    assert (best(items, 3, kept) >= decontam.LEAST) == (3 in [match[1] for match in decontam.matches(items, [" ".join(words)])])
+
+
+def breaking(pieces, size, length):
+    """Least number of shingles that edits must break to leave no piece, edits being gaps."""
+    shingles = [set(range(max(0, gap - 3), min(gap, length - 5) + 1)) for gap in range(length - 1)]
+    gaps = [range(start, start + size - 1) for start in pieces]
+    states = {frozenset(): 0}
+    for one in gaps:
+        after = {}
+        for held, cost in states.items():
+            for gap in one:
+                kept = frozenset(s for s in held | shingles[gap] if s >= one[0])
+                after[kept] = min(after.get(kept, length), cost + len(shingles[gap] - held))
+        states = after
+    return min(states.values())
+
+
+@pytest.mark.parametrize("length", [44, 60, 100, 139, 150, 167, 300, 500])
+def test_breaking_all_pieces_costs_too_much(length):
+    weights = np.ones(length - 4)
+    size, starts = decontam.piece_places(weights, 1.0)
+    assert all(b - a >= size for a, b in zip(starts, starts[1:]))
+    assert breaking(starts, size, length) > decontam.breakable(weights, 1.0)
