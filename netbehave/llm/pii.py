@@ -8,6 +8,11 @@ outside is permuted again until it falls inside. So a pseudonym is valid too, ha
 format, the same value has the same pseudonym in every document however it is punctuated,
 no two values share one, and whoever has the key can turn it back.
 
+A match that is not valid or overlaps another value is tried by its parts between blanks and
+hyphens, and the search goes on from its next group, so a value next to other digits or
+words is found. Turning back searches in the same way: beside further digits, the digits of
+a pseudonym can by chance complete another valid number, and then that one is turned back.
+
 Results for odd rows: a null text stays null, with counts of 0 and no spans; an empty one
 stays empty. Repeated rows give equal results. Columns other than ``doc_id`` and ``text``
 are not read.
@@ -17,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -237,6 +242,7 @@ PATTERNS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...]
 
 COMPILED = tuple((kind, re.compile(pattern), permute) for kind, pattern, permute in PATTERNS)
 SIGNS = re.compile("[0-9@]")
+GAP = re.compile("[ -]")
 
 Span = tuple[int, int, str, str]
 
@@ -250,16 +256,37 @@ def pseudonyms(text: str, key: bytes, back: bool = False) -> list[Span]:
         return []
     taken: list[Span] = []
     for kind, pattern, permute in COMPILED:
-        for match in pattern.finditer(text):
-            low, high = match.span()
-            if any(low < end and start < high for start, end, *_ in taken):
-                continue
-            new = permute(match[0], key, back)
-            if new is not None:
-                taken.append((low, high, kind, new))
+        at = 0
+        while match := pattern.search(text, at):
+            found = None
+            for low, high in parts_of(pattern, match):
+                if any(low < end and start < high for start, end, *_ in taken):
+                    continue
+                new = permute(text[low:high], key, back)
+                if new is not None:
+                    found = (low, high, kind, new)
+                    break
+            if found:
+                taken.append(found)
+                at = found[1]
+            else:
+                next_group = GAP.search(text, match.start(), match.end())
+                at = next_group.end() if next_group else match.end()
     return sorted(taken)
 
 
+def parts_of(pattern: re.Pattern, match: re.Match) -> Iterator[tuple[int, int]]:
+    """The match, then its shorter parts between blanks and hyphens that fit, longest first."""
+    low, high = match.span()
+    yield low, high
+    gaps = [gap.span() for gap in GAP.finditer(match.string, low, high)]
+    starts, ends = [low, *(b for _, b in gaps)], [*(a for a, _ in gaps), high]
+    spans = [(a, b) for a in starts for b in ends if a < b and (a, b) != (low, high)]
+    for a, b in sorted(spans, key=lambda span: (span[0] - span[1], span)):
+        if pattern.fullmatch(match.string, a, b):
+            yield a, b
+
+
 def replaced(text: str, spans: list[Span]) -> str:
     pieces, at = [], 0
     for start, end, _, new in spans:
