@@ -8,7 +8,8 @@ rules label those windows, so the field learns the shapes and surroundings of se
 and finds such words also where no pattern fits. Viterbi decoding is exact: words that are
 outside on every best path are found first, and the rest is decoded between them.
 
-A span of the field counts only if it overlaps no span of the rules, which all stay.
+All spans of the rules stay. A span of the field counts if any of it lies outside of them: a
+rule stops at the first sign that it does not know, and the secret may go on behind it.
 
 Results for odd rows: a null or empty text has no spans. If the rules find nothing in the
 whole table there is nothing to learn from, and only the rules apply. Repeated rows give
@@ -312,6 +313,14 @@ class Tagger:
         return result
 
 
+def covered(start: int, end: int, base: list[Span]) -> bool:
+    """Whether spans of the rules, which are in order of their starts, cover all of a span."""
+    for low, high, _ in base:
+        if low <= start < high:
+            start = high
+    return start >= end
+
+
 def all_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
     """Spans of the rules, and all spans, of each text."""
     tagged = tagger.spans(texts) if tagger else [[]] * len(texts)
@@ -321,7 +330,7 @@ def all_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[list
         free = [
             (start, end, "crf")
             for start, end in more
-            if not any(start < high and low < end for low, high, _ in base)
+            if not covered(start, end, base)
         ]
         result.append((base, in_order(base + free)))
     return result

@@ -87,3 +87,25 @@ def test_odd_rows(odd, none):
     redacted = secretscan.redact_secrets(odd, None)
     assert sorted(redacted.collect(), key=repr) == sorted(odd.collect(), key=repr)
     assert secretscan.find_secrets(none, secretscan.fit(none)).collect() == []
+
+
+class Tagged:
+    """A tagger that finds the words of secrets as they are given."""
+
+    def __init__(self, secrets):
+        self.secrets = secrets
+
+    def spans(self, texts):
+        return [[(t.index(s), t.index(s) + len(s)) for s in self.secrets if s in t] for t in texts]
+
+
+def test_tails_behind_rules_are_kept():
+    text = "x password=abc123$9xKq!Zt7 more y"
+    secret = "password=abc123$9xKq!Zt7 more"
+    ((base, spans),) = secretscan.all_spans([text], Tagged([secret]))
+    assert [text[a:b] for a, b, _ in base] == ["password=abc123"]
+    assert set(base) <= set(spans)
+    assert [text[a:b] for a, b, kind in spans if kind == "crf"] == [secret]
+    assert secretscan.masked(text, spans) == "x [secret] y"
+    for inside in ("abc123", "password=abc123"):
+        assert secretscan.all_spans([text], Tagged([inside])) == [(base, base)]
