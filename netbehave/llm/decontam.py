@@ -18,7 +18,9 @@ than 0.8 allows: an edit breaks all shingles across a gap between two words of i
 and of those that lie in two pieces half counts for each. Where no size will do, the
 heaviest shingles themselves are the pieces, with more than that weight together.
 
-Benchmarks come in blocks of bounded size, one pass over the documents for each.
+Benchmarks come in blocks of bounded size, one pass over the documents for each. Where
+there are several, the items that contain a shingle are counted over all of them first, and
+each block has the counts above one with it (16 bytes for each such shingle).
 
 Results for odd rows: null and empty texts, of documents or items, match nothing; items of
 fewer than five words have no shingle and match nothing. Items with the same words all
@@ -150,10 +152,13 @@ def piece_places(weights: np.ndarray, low: float) -> tuple[int, list[int]]:
 # ---------------------------------------------------------------- benchmark
 
 
+Shared = tuple[np.ndarray, np.ndarray]  # shingles of several items, and of how many
+
+
 class Items:
     """A block of items with the blocks of their pieces' fingerprints."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[str | None], shared: Shared | None = None):
         words, limits = cleaned(texts)
         self.ids = ids
         self.words = [words[a:b] for a, b in zip(limits[:-1], limits[1:])]
@@ -163,6 +168,9 @@ class Items:
             for one, a, b in zip(self.words, ends[:-1], ends[1:])
         ]
         holders = Counter(s for one in self.shingles for s in one)
+        if shared is not None:
+            # Counted over all blocks; shingles that are not listed are in one item at most.
+            holders = dict.fromkeys(holders, 1) | dict(zip(*(column.tolist() for column in shared)))
         self.weights = {s: 1 / n for s, n in holders.items()}
         self.totals = [self.weight(one) for one in self.shingles]
         low = min(self.weights.values(), default=1.0)
@@ -264,16 +272,39 @@ def matches(items: Items, texts: list[str | None]) -> list[Match]:
     return sorted(best.values())
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int | None], list[str | None]]]:
+Block = tuple[list[int | None], list[str | None], Shared | None]
+
+
+def shared_shingles(items: DataFrame) -> Shared:
+    """Shingles that several items contain, counted over all items."""
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        words, limits = cleaned(part.column("text").to_pylist())
+        values, ends = shingle_hashes(words, limits)
+        found = [
+            np.unique(values[a:b])
+            for a, b, n in zip(ends[:-1], ends[1:], np.diff(limits))
+            if n >= 5
+        ]
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["shingle"])
+
+    counted = map_slices(items.select("text"), work, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    several = counted.where("n > 1").toPandas()
+    return several["shingle"].to_numpy(np.int64).view(np.uint64), several["n"].to_numpy(np.int64)
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[Block]:
     """Items in blocks of bounded size, each sent to the driver by itself."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
     size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     count = 1 + int(size["n"]) // ITEMS_PER_BLOCK + int(size["chars"] or 0) // CHARS_PER_BLOCK
+    shared = shared_shingles(items) if count > 1 else None
     for block in range(count):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()
         if rows:
             rows.sort(key=lambda row: (row["item_id"] is not None, row["item_id"] or 0, row["text"]))
-            yield [row["item_id"] for row in rows], [row["text"] for row in rows]
+            yield [row["item_id"] for row in rows], [row["text"] for row in rows], shared
 
 
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, similarity double"

@@ -178,3 +178,15 @@ def test_breaking_all_pieces_costs_too_much(length):
     size, starts = decontam.piece_places(weights, 1.0)
     assert all(b - a >= size for a, b in zip(starts, starts[1:]))
     assert breaking(starts, size, length) > decontam.breakable(weights, 1.0)
+
+
+def test_weights_do_not_depend_on_blocks(spark, docs, monkeypatch):
+    """Items that share half of their words have the same similarities in one block and in many."""
+    common = text(40)
+    items = [(at, f"{common} {text(40)}") for at in range(12)] + [(12, "one two"), (13, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(at, " ".join(edited(items[at][1].split(), 2))) for at in range(12)]
+    whole = sorted(map(tuple, decontam.leaks(docs(rows), benchmark).collect()))
+    monkeypatch.setattr(decontam, "ITEMS_PER_BLOCK", 4)
+    assert sorted(map(tuple, decontam.leaks(docs(rows), benchmark).collect())) == whole
+    assert any(row[-1] < 1 for row in whole)
