@@ -541,11 +541,14 @@ def encoded(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNITS) -> D
     values = span_values(rest, pieces).select(
         "unit", F.col("ids").alias("path"), F.col("score"), F.col("unknown").cast("int").alias("n_unknown")
     )
-    filled = rest.join(values, "unit").select("row", "packed", "path", "score", "n_unknown")
+    # Dealt out as the spans are, so that those do not travel again.
+    n = PARTITIONS_FACTOR * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = rest.repartition(n, "unit").join(values, "unit").select(
+        "row", "packed", "path", "score", "n_unknown"
+    )
     # Only a document's own row has no path.
     own = parts.where("unit IS NULL").drop("unit")
     rows = own.unionByName(filled, allowMissingColumns=True)
-    n = PARTITIONS_FACTOR * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "row").sortWithinPartitions("row")
     return dealt.mapInArrow(together, ENCODED_SCHEMA)
 
