@@ -22,8 +22,9 @@ the number of documents with each mask. So the stream keeps only these counters,
 * Each batch adds its changes up and writes them under its number, so a batch that is
   repeated after a failure replaces itself. The counters are the sum over the batches.
 
-Results do not depend on how files fall into batches. State holds one row for each distinct
-text, in RocksDB (on disk, bounded memory), with checkpoints in the shared folder.
+Results do not depend on how files fall into batches or texts into buckets. State holds an
+entry of about 80 bytes for each distinct text, in RocksDB (on disk, bounded memory), with
+checkpoints in the shared folder; a task has one bucket in memory at a time.
 
 ``interactions`` turns counters into one row for each part, order and step, in place: the
 120 orders are a constant array.
@@ -60,6 +61,7 @@ SIGNS = b"#$%&*|"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COPY = 1 << FILTERS.index("E")
 BATCHES = 4  # micro-batches that a table is processed in, if it has so many files
+BUCKET_BYTES = 64 << 20
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -150,20 +152,19 @@ def brought_together(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, KEYED)
 
 
-def changes(rows: DataFrame) -> DataFrame:
-    """Changes (part, mask, good, toxic, n) to the counters, from the keyed state of each text.
+def changes(rows: DataFrame, buckets: int) -> DataFrame:
+    """Changes (part, mask, good, toxic, n) to the counters, from the keyed state of texts.
 
-    The state of a text is its least ``doc_id`` so far and what this has added.
+    The state of a bucket has for each text the least ``doc_id`` so far and what it has added.
     """
 
     def update(
-        key: tuple[bytes], frames: Iterator[pd.DataFrame], state: GroupState
+        key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        least, held = None, Counter()
+        held: dict[str, tuple[int, Counter]] = {}
         if state.exists:
-            least, text = state.get
-            held = Counter({tuple(kind): n for *kind, n in json.loads(text)})
-        before = least
+            for text, least, kinds in json.loads(state.get[0]):
+                held[text] = least, Counter({tuple(kind): n for *kind, n in kinds})
         out: Counter = Counter()
 
         def add(kinds: Counter, copy: bool, sign: int = 1) -> None:
@@ -172,29 +173,36 @@ def changes(rows: DataFrame) -> DataFrame:
 
         changed = False
         for frame in frames:
-            for ids, *kind, n in frame[["least", *KINDS, "n"]].itertuples(index=False, name=None):
-                kind = Counter({(kind[0], int(kind[1]), bool(kind[2]), bool(kind[3])): int(n)})
-                if pd.isna(ids):
-                    add(kind, False)
-                elif least is None or int(ids) < least:
-                    add(held, False, -1)
-                    add(held, True)
-                    least, held, changed = int(ids), kind, True
-                    add(held, False)
-                elif int(ids) == least:
-                    held, changed = held + kind, True
-                    add(kind, False)
+            columns = [frame[name].tolist() for name in ["key", "least", *KINDS, "n"]]
+            for raw, least, part, mask, good, toxic, n in zip(*columns):
+                new = Counter({(part, mask, good, toxic): n})
+                if least is None:
+                    add(new, False)
+                    continue
+                text, doc_id = raw.hex(), int(least)
+                known, kinds = held.get(text, (None, Counter()))
+                if known is None or doc_id < known:
+                    add(kinds, False, -1)
+                    add(kinds, True)
+                    held[text], changed = (doc_id, new), True
+                    add(new, False)
+                elif doc_id == known:
+                    held[text], changed = (known, kinds + new), True
+                    add(new, False)
                 else:
-                    add(kind, True)
-        if changed or least != before:
-            state.update((least, json.dumps([[*kind, n] for kind, n in held.items()])))
+                    add(new, True)
+        if changed:
+            kept = [(text, least, [(*kind, n) for kind, n in kinds.items()]) for text, (least, kinds) in held.items()]
+            state.update((json.dumps(kept),))
         rows = [(*kind, n) for kind, n in out.items() if n]
         yield pd.DataFrame(rows, columns=[*KINDS, "n"])
 
     # Ids travel as decimals of text: a column of floats with gaps would lose digits.
-    texts = rows.withColumn("least", F.col("least").cast("string"))
-    return texts.groupBy("key").applyInPandasWithState(
-        update, CHANGES, "least long, held string", "append", GroupStateTimeout.NoTimeout
+    texts = rows.withColumns(
+        {"least": F.col("least").cast("string"), "bucket": F.pmod(F.xxhash64("key"), F.lit(buckets))}
+    )
+    return texts.groupBy("bucket").applyInPandasWithState(
+        update, CHANGES, "held string", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -211,11 +219,11 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def counters(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+def counters(docs: DataFrame, labels: DataFrame, folder: str, buckets: int) -> DataFrame:
     """Counters (part, mask, good, toxic, n) of the stream ``docs``, after all its files.
 
-    ``folder`` keeps the state and the changes; called again with the same folder, only files
-    that came later are read.
+    ``folder`` keeps the state and the changes; called again with the same folder and number
+    of buckets, only files that came later are read.
     """
     spark = docs.sparkSession
 
@@ -223,8 +231,9 @@ def counters(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
         added = batch.groupBy(*KINDS).agg(F.sum("n").alias("n")).where("n <> 0")
         added.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
+    # Something to read if there is no file at all.
     spark.createDataFrame([], CHANGES).write.mode("overwrite").parquet(f"{folder}/changes/batch=-1")
-    rows = changes(brought_together(labelled(masks(docs), labels)))
+    rows = changes(brought_together(labelled(masks(docs), labels)), buckets)
     writer = (
         rows.writeStream.outputMode("append").foreachBatch(add)
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
@@ -312,6 +321,13 @@ def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataF
     return spark.readStream.schema(still.schema).option("maxFilesPerTrigger", files).parquet(pattern)
 
 
+def bucket_count(spark: SparkSession, path: str) -> int:
+    """Buckets of state for a table: two for each shuffle partition, more for a large one."""
+    size = int(spark.read.parquet(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+
+
 def audit(spark: SparkSession, docs_path: str, labels: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row for each part, order of the filters and step, over all files of ``docs_path``."""
-    return interactions(counters(file_stream(spark, docs_path, batches), labels, shared_folder(spark, "audit")))
+    docs, buckets = file_stream(spark, docs_path, batches), bucket_count(spark, docs_path)
+    return interactions(counters(docs, labels, shared_folder(spark, "audit"), buckets))

@@ -97,10 +97,10 @@ def test_files_that_come_later_retract_earlier_masks(spark, tmp_path, corpus):
     early = [row for row in docs if row not in late]
     spark.createDataFrame(early, DOCS).coalesce(1).write.parquet(path)
     stream = spark.readStream.schema(DOCS).parquet(path)
-    first = audit.interactions(audit.counters(stream, known, folder))
+    first = audit.interactions(audit.counters(stream, known, folder, 5))
     assert rows_of(first) == plain(early, labels)
     spark.createDataFrame(late, DOCS).coalesce(1).write.mode("append").parquet(path)
-    changes = audit.counters(spark.readStream.schema(DOCS).parquet(path), known, folder)
+    changes = audit.counters(spark.readStream.schema(DOCS).parquet(path), known, folder, 5)
     assert rows_of(audit.interactions(changes)) == plain(docs, labels)
     assert spark.read.parquet(f"{folder}/changes").where("n < 0").count() > 0
     assert "rocksdb" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass") or "").lower()
