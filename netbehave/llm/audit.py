@@ -23,8 +23,10 @@ the number of documents with each mask. So the stream keeps only these counters,
   repeated after a failure replaces itself. The counters are the sum over the batches.
 
 Results do not depend on how files fall into batches or texts into buckets. State holds an
-entry of about 80 bytes for each distinct text, in RocksDB (on disk, bounded memory), with
-checkpoints in the shared folder; a task has one bucket in memory at a time.
+entry of about 80 bytes for each distinct text, with checkpoints in the shared folder; a task
+works on one bucket at a time. The state store is the session's: Spark's default keeps state in
+the executors' memory, so set the RocksDB provider (``spark.sql.streaming.stateStore.
+providerClass``), which keeps it on disk, where distinct texts are more than memory holds.
 
 ``interactions`` turns counters into one row for each part, order and step, in place: the
 120 orders are a constant array.
@@ -62,11 +64,6 @@ UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COPY = 1 << FILTERS.index("E")
 BATCHES = 4  # micro-batches that a table is processed in, if it has so many files
 BUCKET_BYTES = 64 << 20
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
-}
 
 MASKS = "doc_id long, part string, mask int, key binary"
 KEYED = "key binary, least long, part string, mask int, good boolean, toxic boolean, n long"
@@ -234,18 +231,10 @@ def counters(docs: DataFrame, labels: DataFrame, folder: str, buckets: int) -> D
     # Something to read if there is no file at all.
     spark.createDataFrame([], CHANGES).write.mode("overwrite").parquet(f"{folder}/changes/batch=-1")
     rows = changes(brought_together(labelled(masks(docs), labels)), buckets)
-    writer = (
+    stream = (
         rows.writeStream.outputMode("append").foreachBatch(add)
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
-    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
-    try:
-        for name, value in STATE_STORE.items():
-            spark.conf.set(name, value)
-        stream = writer.start()  # from here on the stream has settings of its own
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     stream.awaitTermination()
     added = spark.read.schema(CHANGES + ", batch long").parquet(f"{folder}/changes")
     return added.groupBy(*KINDS).agg(F.sum("n").alias("n")).where("n <> 0")
