@@ -10,6 +10,7 @@ import importlib
 import importlib.util
 import uuid
 from collections.abc import Callable
+from datetime import date
 from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,8 @@ from netbehave.operators.connections import failed_to_port
 from netbehave.sources.alert_store import alert_id, latest
 from netbehave.sources.logs import read_log
 from netbehave.sources.schemas import ALERT_COLUMNS
+from netbehave.sources.sketch_store import bound
+from netbehave.streaming.stream import read_staged, stage_log_stream
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -318,7 +321,11 @@ def beaconing_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def streamed(feature: Callable[[DataFrame], DataFrame], auth: bool = False) -> Callable:
+def streamed(
+    feature: Callable[[DataFrame], DataFrame],
+    auth: bool = False,
+    times: tuple[str, ...] = ("window_start", "window_end"),
+) -> Callable:
     """Run a windowed feature as a stream over the files of ``events``.
 
     The stream works off what is there and stops; its result is read back from the files
@@ -337,7 +344,8 @@ def streamed(feature: Callable[[DataFrame], DataFrame], auth: bool = False) -> C
         last = last.withColumn("ts", F.expr("ts + INTERVAL 1000 DAYS"))
         last.select(*schema.names).write.parquet(f"{folder}/last")
         source = source.union(spark.readStream.schema(schema).parquet(f"{folder}/last"))
-        result = feature(as_conn(source, auth)).withColumns(ntz("window_start", "window_end"))
+        result = feature(as_conn(source, auth))
+        result = result.withColumns(ntz(*times)) if times else result
         stream = (
             result.writeStream.outputMode("append")
             .format("parquet")
@@ -457,6 +465,109 @@ def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb.render(nb.enrich(all_alerts(spark, sf_dir), indicators))
 
 
+def cti_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections from addresses of both families, marked by the longest known prefix."""
+    user, label = F.col("user_id"), F.col("doc_id")
+    rows = with_key(table(spark, sf_dir, "events")).select(
+        "event_id",
+        F.when(
+            F.col("event_id") % 2 == 0,
+            F.concat(F.lit("10."), user % 256, F.lit("."), "k", F.lit("."), F.col("event_id") % 256),
+        )
+        .otherwise(
+            F.concat(
+                F.lit("2001:DB8:"), F.hex(user % 65_536), F.lit("::"), F.hex(F.col("event_id") % 65_536)
+            )
+        )
+        .alias("dst_ip"),
+        F.lit("{}").alias("cti_context"),
+    )
+    six = F.concat(F.lit("2001:db8:"), F.lower(F.hex(label % 65_536)), F.lit("::/48"))
+    four = F.concat(F.lit("10."), label % 256, F.lit("."))
+    indicators = table(spark, sf_dir, "labels").select(
+        F.when(label % 3 == 0, F.concat(four, F.lit("0.0/16")))
+        .when(label % 3 == 1, F.concat(four, label % 100, F.lit("."), label % 5, F.lit("/24")))
+        .otherwise(six)
+        .alias("prefix"),
+        F.col("quality").alias("confidence"),
+    )
+    return nb.enrich_prefixes(rows, indicators, "dst_ip").select("event_id", "cti_context")
+
+
+def port_bitmap_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nb.port_bitmap_windowed(conn(spark, sf_dir), "1 day", "12 hours").withColumns(
+        ntz("window_start", "window_end")
+    )
+
+
+def port_bitmap_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ports of which some are no numbers, from the words of two parts of the log."""
+    log = odd_conn(spark, sf_dir)
+    late = F.coalesce(F.col("ts") > 1.7e9, F.lit(False))
+    parts = [nb.port_words(log.where(late)), nb.port_words(log.where(~late))]
+    return nb.merged_ports(parts[0].unionByName(parts[1]))
+
+
+SPAN = (date(2024, 1, 3), date(2024, 1, 20))
+
+
+def sketch_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts of a span of days from stored sketches, held against exact ones."""
+    log = conn(spark, sf_dir)
+    store = nb.SketchStore(spark, f"{scratch(spark)}/sketches")
+    store.write(log)
+    store.write(log)  # a rerun replaces its days
+    exact = nb.port_scan_features(log.where(F.to_date("event_time").between(*map(F.lit, SPAN))))
+    estimated = store.features(*SPAN)
+    both = exact.alias("exact").join(estimated.alias("estimated"), "src_ip", "full")
+
+    def within(name: str) -> Column:
+        real, found = F.col(f"exact.{name}"), F.col(f"estimated.{name}")
+        return (F.abs(found - real) <= F.lit(bound()) * real).alias(f"{name}_within")
+
+    return both.select(
+        "src_ip",
+        F.col("estimated.total_conns").alias("total_conns"),
+        within("distinct_ports"),
+        within("distinct_hosts"),
+    )
+
+
+def recent_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest alerts of one severity out of a stored table of many dates."""
+    store = nb.AlertStore(spark, f"{scratch(spark)}/alerts")
+    store.append(dated_alerts(spark, sf_dir))
+    return store.recent(50, "HIGH").select(
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+        "severity",
+        "src_ip",
+        "description",
+        F.variant_get("evidence", "$.k", "int").alias("k"),
+    )
+
+
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written log of two layouts, read as a stream of files and staged."""
+    folder = written_log(spark, sf_dir, log_columns())
+    stream = stage_log_stream(
+        spark, f"{folder}/conn.log", "conn", f"{folder}/staged", f"{folder}/state", max_files=1, once=True
+    )
+    stream.awaitTermination()
+    log = read_staged(spark, f"{folder}/staged", "conn")
+    names = [name.replace(".", "_") for name in log_columns() if name != "ts"]
+    return log.withColumns(ntz("event_time")).select(*names, "event_time")
+
+
+def sessions_of(log: DataFrame) -> DataFrame:
+    """Sessions with byte sums as whole numbers; those of the tables fit."""
+    found = nb.exfil_sessions(log, "12 hours")
+    return found.withColumn("total_orig_bytes", F.col("total_orig_bytes").cast("bigint"))
+
+
+def exfil_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions_of(conn(spark, sf_dir)).withColumns(ntz("session_start", "session_end"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Port scan, brute force and beaconing alerts of the smallest tables."""
     return all_alerts(spark, SMOKE_DIR).select(*FOUND)
@@ -521,6 +632,18 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "beaconing_odd": lambda s, d: nb.beaconing_features(odd_conn(s, d)),
         "exfil_odd": lambda s, d: volumes(odd_conn(s, d)),
         "dns_odd": lambda s, d: nb.dns_features(odd_dns(s, d)),
+        "cti_prefix": cti_prefix,
+        "port_bitmap_sliding": port_bitmap_sliding,
+        "port_bitmap_odd": port_bitmap_odd,
+        "port_bitmap_stream": streamed(lambda log: nb.port_bitmap_windowed(log, "1 day")),
+        "sketch_span": sketch_span,
+        "exfil_sessions": exfil_sessions,
+        "recent_from_store": recent_from_store,
+        "log_stream": log_stream,
+        "beaconing_stateful": streamed(
+            lambda log: nb.beaconing_stateful(log, "400 days"), times=()
+        ),
+        "exfil_sessions_stream": streamed(sessions_of, times=("session_start", "session_end")),
     }
 
 
@@ -662,7 +785,61 @@ FROM (SELECT window_start, src_ip, dst_ip,
             FROM conn))
 GROUP BY window_start, src_ip, dst_ip HAVING count(*) >= 3 AND avg(gap) > 0"""
 
-
+SLIDING_SCANS_SQL = windowed_scan_sql(
+    f"""unnest([time_bucket(INTERVAL 12 HOUR, event_time, {EPOCH}),
+              time_bucket(INTERVAL 12 HOUR, event_time, {EPOCH}) - INTERVAL 12 HOUR])""",
+    "1 DAY",
+)
+ODD_SCANS_SQL = """SELECT src_ip, count(DISTINCT dst_port) AS distinct_ports,
+       count(DISTINCT dst_ip) AS distinct_hosts, count(*) AS total_conns
+FROM odd WHERE src_ip IS NOT NULL GROUP BY src_ip"""
+SESSIONS_SQL = """
+SELECT src_ip, dst_ip, min(event_time) AS session_start, max(event_time) AS session_end,
+       CAST(sum(coalesce(orig_bytes, 0)) AS BIGINT) AS total_orig_bytes, count(*) AS n_conns
+FROM (SELECT *, sum(starts) OVER (PARTITION BY src_ip, dst_ip ORDER BY event_time
+                                  RANGE UNBOUNDED PRECEDING) AS session
+      FROM (SELECT *, CASE WHEN event_time - lag(event_time) OVER (
+                             PARTITION BY src_ip, dst_ip ORDER BY event_time) <= INTERVAL 12 HOUR
+                           THEN 0 ELSE 1 END AS starts FROM conn))
+GROUP BY src_ip, dst_ip, session"""
+RECENT_SQL = """
+SELECT ts AS timestamp, 'HIGH' AS severity,
+       concat('10.0.', user_id % 4, '.', user_id) AS src_ip,
+       concat('event ', event_id) AS description,
+       CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+FROM events WHERE event_type = 'error' ORDER BY ts DESC LIMIT 50"""
+LOG_SQL = """SELECT CAST(uid AS VARCHAR) AS uid, src_ip AS id_orig_h, dst_ip AS id_resp_h,
+       CASE WHEN dst_port < 90 THEN dst_port END AS id_resp_p,
+       CASE WHEN dst_ip <> 'view' THEN conn_state END AS conn_state,
+       CASE WHEN dst_ip <> 'click' THEN orig_bytes END AS orig_bytes,
+       event_time
+FROM conn"""
+PREFIX_SQL = """
+WITH log AS (
+  SELECT event_id, user_id % 256 AS a, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         user_id % 65536 AS u FROM events
+), wide AS (
+  SELECT doc_id % 256 AS a, count(*) AS n, max(quality) AS c, concat('10.', a, '.0.0/16') AS p
+  FROM labels WHERE doc_id % 3 = 0 GROUP BY a
+), narrow AS (
+  SELECT doc_id % 256 AS a, doc_id % 100 AS k, count(*) AS n, max(quality) AS c,
+         min(concat('10.', doc_id % 256, '.', doc_id % 100, '.', doc_id % 5, '/24')) AS p
+  FROM labels WHERE doc_id % 3 = 1 GROUP BY ALL
+), six AS (
+  SELECT doc_id % 65536 AS u, count(*) AS n, max(quality) AS c,
+         concat('2001:db8:', lower(to_hex(u)), '::/48') AS p
+  FROM labels WHERE doc_id % 3 = 2 GROUP BY u
+), found AS (
+  SELECT event_id, coalesce(narrow.p, wide.p) AS p, coalesce(narrow.n, wide.n) AS n,
+         coalesce(narrow.c, wide.c) AS c
+  FROM log LEFT JOIN wide ON wide.a = log.a LEFT JOIN narrow ON narrow.a = log.a AND narrow.k = log.k
+  WHERE event_id % 2 = 0
+  UNION ALL
+  SELECT event_id, p, n, c FROM log LEFT JOIN six ON six.u = log.u WHERE event_id % 2 <> 0
+)
+SELECT event_id, CASE WHEN p IS NULL THEN '{}' ELSE
+  format('{{"prefix":"{}","matches":{},"confidence":{}}}', p, n, c) END AS cti_context
+FROM found"""
 
 
 def odd(log: str) -> str:
@@ -734,12 +911,7 @@ FROM volumes WHERE total_orig_bytes > 1000""",
 FROM (SELECT severity, count(*) AS n,
              list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity) AS place
       FROM alerts GROUP BY severity)""",
-        "recent_alerts": """
-SELECT ts AS timestamp, 'HIGH' AS severity,
-       concat('10.0.', user_id % 4, '.', user_id) AS src_ip,
-       concat('event ', event_id) AS description,
-       CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
-FROM events WHERE event_type = 'error' ORDER BY ts DESC LIMIT 50""",
+        "recent_alerts": RECENT_SQL,
         "alert_count": WITH_CONN + "SELECT count(*) AS alerts FROM alerts",
         "alert_render": WITH_CONN
         + """SELECT format('[{}] {} — {} → {} : {}', severity, detector, src_ip,
@@ -763,24 +935,13 @@ FROM alerts a LEFT JOIN (
   SELECT concat('10.0.', doc_id % 4, '.', doc_id) AS src_ip, count(*) AS matches,
          max(quality) AS confidence FROM labels GROUP BY 1) i ON a.src_ip = i.src_ip""",
         "port_scan_windowed": WITH_CONN + DAILY_SCANS_SQL,
-        "port_scan_sliding": WITH_CONN
-        + windowed_scan_sql(
-            f"""unnest([time_bucket(INTERVAL 12 HOUR, event_time, {EPOCH}),
-              time_bucket(INTERVAL 12 HOUR, event_time, {EPOCH}) - INTERVAL 12 HOUR])""",
-            "1 DAY",
-        ),
+        "port_scan_sliding": WITH_CONN + SLIDING_SCANS_SQL,
         "brute_force_windowed": WITH_CONN + WINDOWED_ATTEMPTS_SQL,
         "beaconing_windowed": WITH_CONN + WINDOWED_BEACONS_SQL,
         "port_scan_stream": WITH_CONN + DAILY_SCANS_SQL,
         "brute_force_stream": WITH_CONN + WINDOWED_ATTEMPTS_SQL,
         "beaconing_stream": WITH_CONN + WINDOWED_BEACONS_SQL,
-        "log_scan": WITH_CONN
-        + """SELECT CAST(uid AS VARCHAR) AS uid, src_ip AS id_orig_h, dst_ip AS id_resp_h,
-       CASE WHEN dst_port < 90 THEN dst_port END AS id_resp_p,
-       CASE WHEN dst_ip <> 'view' THEN conn_state END AS conn_state,
-       CASE WHEN dst_ip <> 'click' THEN orig_bytes END AS orig_bytes,
-       event_time
-FROM conn""",
+        "log_scan": WITH_CONN + LOG_SQL,
         "alert_table": WITH_CONN
         + "SELECT * FROM scan_alerts UNION ALL SELECT * FROM brute_alerts",
         "run_over_logs": WITH_CONN
@@ -809,10 +970,7 @@ FROM ({DAILY_SCANS_SQL}) WHERE distinct_ports >= 3 GROUP BY ALL""",
         + "SELECT * EXCLUDE (uid) FROM names ORDER BY entropy DESC, src_ip, query",
         "exfil_ranked": WITH_CONN
         + "SELECT * FROM volumes ORDER BY total_orig_bytes DESC, src_ip, dst_ip",
-        "port_scan_odd": odd("conn")
-        + """SELECT src_ip, count(DISTINCT dst_port) AS distinct_ports,
-       count(DISTINCT dst_ip) AS distinct_hosts, count(*) AS total_conns
-FROM odd WHERE src_ip IS NOT NULL GROUP BY src_ip""",
+        "port_scan_odd": odd("conn") + ODD_SCANS_SQL,
         "brute_force_odd": odd("auth")
         + """SELECT src_ip, count(*) AS failed_attempts,
        first(dst_ip ORDER BY ts NULLS LAST, uid NULLS LAST, dst_ip)
@@ -830,6 +988,19 @@ SELECT 'N/A' AS src_ip, query, CAST(length(query) AS INTEGER) AS qlen,
        coalesce(round_even(list_aggregate(string_split(query, ''), 'entropy'), 3), 0) AS entropy
 FROM (SELECT CASE WHEN page_id % 9 = 1 THEN '' WHEN page_id % 9 <> 0 THEN url END AS query
       FROM pages) WHERE query IS NOT NULL""",
+        "cti_prefix": PREFIX_SQL,
+        "port_bitmap_sliding": WITH_CONN + SLIDING_SCANS_SQL,
+        "port_bitmap_odd": odd("conn") + ODD_SCANS_SQL,
+        "port_bitmap_stream": WITH_CONN + DAILY_SCANS_SQL,
+        "sketch_span": WITH_CONN
+        + f"""SELECT src_ip, count(*) AS total_conns, true AS distinct_ports_within,
+       true AS distinct_hosts_within
+FROM conn WHERE CAST(event_time AS DATE) BETWEEN '{SPAN[0]}' AND '{SPAN[1]}' GROUP BY src_ip""",
+        "exfil_sessions": WITH_CONN + SESSIONS_SQL,
+        "recent_from_store": RECENT_SQL,
+        "log_stream": WITH_CONN + LOG_SQL,
+        "beaconing_stateful": WITH_CONN + "SELECT * FROM beacons",
+        "exfil_sessions_stream": WITH_CONN + SESSIONS_SQL,
     }
 
 
@@ -849,8 +1020,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = own_queries()
     if llm := optional("netbehave.llm.queries"):
         found |= llm.QUERIES
-    if pipeline := optional("corpus_pipeline"):
-        found["pipeline"] = pipeline.run
+        if pipeline := optional("corpus_pipeline"):
+            found["pipeline"] = pipeline.run
     return found
 
 
@@ -858,6 +1029,6 @@ def oracle_sql() -> dict[str, str]:
     found = own_sql()
     if llm := optional("netbehave.llm.queries"):
         found |= llm.ORACLE_SQL
-    if (pipeline := optional("corpus_pipeline")) and pipeline.ORACLE_SQL:
-        found["pipeline"] = pipeline.ORACLE_SQL
+        if (pipeline := optional("corpus_pipeline")) and pipeline.ORACLE_SQL:
+            found["pipeline"] = pipeline.ORACLE_SQL
     return found

@@ -8,6 +8,10 @@ from netbehave.operators.connections import (
 )
 from netbehave.operators.dns import dns_features, text_entropy
 from netbehave.operators.enrich import enrich
+from netbehave.operators.pair_state import beaconing_stateful
+from netbehave.operators.port_bitmaps import merged_ports, port_bitmap_windowed, port_words
+from netbehave.operators.prefixes import enrich_prefixes
+from netbehave.operators.sessions import exfil_sessions
 from netbehave.operators.windowed import (
     beaconing_windowed,
     brute_force_windowed,
@@ -27,6 +31,7 @@ from netbehave.plans.pipeline import Run, detect, run, stage_logs
 from netbehave.plans.report import alert_json, ranked, render, severity_histogram, summary
 from netbehave.sources.alert_store import AlertStore, new_alert
 from netbehave.sources.logs import load_logs, read_log
+from netbehave.sources.sketch_store import SketchStore
 
 __all__ = [
     "AlertStore",
@@ -37,9 +42,11 @@ __all__ = [
     "ExfiltrationDetector",
     "PortScanDetector",
     "Run",
+    "SketchStore",
     "alert_json",
     "beacon_intervals",
     "beaconing_features",
+    "beaconing_stateful",
     "beaconing_windowed",
     "brute_force_features",
     "brute_force_windowed",
@@ -47,11 +54,16 @@ __all__ = [
     "detect",
     "dns_features",
     "enrich",
+    "enrich_prefixes",
     "exfil_features",
+    "exfil_sessions",
     "load_logs",
+    "merged_ports",
     "new_alert",
+    "port_bitmap_windowed",
     "port_scan_features",
     "port_scan_windowed",
+    "port_words",
     "ranked",
     "read_log",
     "render",

@@ -191,8 +191,8 @@ def changes(rows: DataFrame, buckets: int) -> DataFrame:
         if changed:
             kept = [(text, least, [(*kind, n) for kind, n in kinds.items()]) for text, (least, kinds) in held.items()]
             state.update((json.dumps(kept),))
-        rows = [(*kind, n) for kind, n in out.items() if n]
-        yield pd.DataFrame(rows, columns=[*KINDS, "n"])
+        if rows := [(*kind, n) for kind, n in out.items() if n]:
+            yield pd.DataFrame(rows, columns=[*KINDS, "n"])
 
     # Ids travel as decimals of text: a column of floats with gaps would lose digits.
     texts = rows.withColumns(

@@ -17,6 +17,7 @@ equal results. ``predict`` reads ``doc_id`` and ``text`` alone; ``fit`` reads ``
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netbehave.llm import crf
-from netbehave.llm.words import bounds, count_words, slices, stored, words_of
+from netbehave.llm.words import bounds, count_words, ragged, slices, stored, worker_state, words_of
 
 SAMPLE_ROWS = 1500  # bound of the labelled rows of each language that weights are fitted on
 WINDOW = 40  # words taken from a sampled row
@@ -64,6 +65,63 @@ def features(core: bytes, lexicon: dict[bytes, list[int]]) -> list[int]:
     return found + [BUCKETS + lang for lang in lexicon.get(core, ())]
 
 
+def crc_table() -> np.ndarray:
+    values = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        values = np.where(values & 1, values >> 1 ^ np.uint32(0xEDB88320), values >> 1)
+    return values
+
+
+CRC = crc_table()
+
+
+def crc_on(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The state of a CRC-32 after one more byte."""
+    return CRC[(state ^ byte) & 0xFF] ^ state >> 8
+
+
+def features_of(cores: list[bytes], lexicon: dict[bytes, list[int]], n_features: int) -> crf.Features:
+    """The features of many words at once, the same as ``features`` gives for each."""
+    real = np.flatnonzero([bool(core) for core in cores])
+    framed = [b"^" + cores[at] + b"$" for at in real.tolist()]
+    data = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint32)
+    limits = bounds([len(one) for one in framed])
+    start, end, size = limits[:-1], limits[1:], np.diff(limits)
+
+    def hashed(first: bytes, at: np.ndarray, n: int) -> np.ndarray:
+        state = np.full(len(at), zlib.crc32(first) ^ 0xFFFFFFFF, np.uint32)
+        for shift in range(n):
+            state = crc_on(state, data[at + shift])
+        return state ^ np.uint32(0xFFFFFFFF)
+
+    def affix(first: bytes, at: np.ndarray, n: int) -> np.ndarray:
+        """Words shorter than the affix have all of their letters in it."""
+        found = np.zeros(len(size), np.uint32)
+        for fits, width in ((size >= n, n), (size < n, 3)):
+            where = start if at is start else end - width
+            found[fits] = hashed(first, where[fits], width)
+        return found
+
+    grams = size - 2
+    types = [np.repeat(real, grams), real, real, real, real, real]
+    found = [
+        hashed(b"", ragged(start, grams), 3),
+        affix(b"p", start, 3),
+        affix(b"P", start, 4),
+        affix(b"s", end, 3),
+        affix(b"S", end, 4),
+        np.array([zlib.crc32(b"w" + cores[at]) for at in real.tolist()], np.uint32),
+    ]
+    listed = [(at, lang) for at, core in enumerate(cores) for lang in lexicon.get(core, ())]
+    known = np.array(listed, np.int64).reshape(-1, 2)
+    return crf.Features(
+        np.concatenate([*types, known[:, 0]]),
+        np.concatenate([np.concatenate(found).astype(np.int64) % BUCKETS, BUCKETS + known[:, 1]]),
+        len(cores),
+        n_features,
+    )
+
+
 # ---------------------------------------------------------------- fitting
 
 
@@ -169,7 +227,7 @@ class Scorer:
         new = [word for word in distinct if word not in self.rows]
         if new:
             cores = [core_of(word) for word in new]
-            view = crf.Features.of([features(c, self.of.lexicon) for c in cores], len(self.weights))
+            view = features_of(cores, self.of.lexicon, len(self.weights))
             letters = [
                 bool(core and LETTER.search(core.decode("utf-8", "surrogatepass"))) for core in cores
             ]
@@ -188,8 +246,17 @@ class Scorer:
 def predict(docs: DataFrame, identifier: Identifier | None) -> DataFrame:
     """Language of every text with its share of the words."""
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(rebuilt(*carried.value)) if carried else None
+        scorer = None
+        if carried:
+            # The words met stay known from task to task, for the last identifier used.
+            kept = worker_state("languages", dict)
+            if name not in kept:
+                kept.clear()
+                kept[name] = Scorer(rebuilt(*carried.value))
+            scorer = kept[name]
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             known = [bool(scorer and text and LETTER.search(text)) for text in texts]

@@ -1,43 +1,44 @@
 """SentencePiece encoding and decoding as relations.
 
-A text gets a blank in front, as the library puts one there, and is cut before blanks
-and around every line end. The distinct units of the corpus are encoded once. A unit's substrings, up to the longest piece, are exploded and
-joined to the piece table; the edges found are grouped by unit, and a Viterbi fold over
-them, in order of their ends, gives the best path. Of equal paths the one whose last piece
-starts first wins, and so on backwards. A character without a piece becomes its bytes.
+A text gets a blank in front, as the library puts one there, and is cut into units: between
+two characters that stand next to each other in no piece of the model. No piece can lie across
+such a cut, so the best paths of the units are the best path of the text. The distinct units of
+the corpus are encoded once. A unit's substrings, up to the longest piece, are exploded and
+joined to the piece table; the edges found are grouped by unit, and a Viterbi fold over them, in
+order of their ends, gives the best path. Of equal paths the one whose last piece starts first
+wins, and so on backwards. A character without a piece becomes its bytes.
+
+A unit may be long (a text of one letter is one unit). Edges are grouped by ``CHUNK`` ends; the
+fold takes one such group after the other and carries on the last ends, as many as the longest
+piece has characters, so its work stays in proportion to the length. A unit is in memory with
+about fifty bytes a character.
 
 The pieces of the model at hand carry merge ranks and no probabilities, and sums of ranks
 mean nothing. So a piece of rank r gets the logarithm of its share under Zipf's law; a
 model with real scores can be used as it is (``zipf=False``). Decoding needs no scores and
 takes ids from any encoder.
 
-``encoded`` returns the ids of every document, the text they decode to and sums of both.
-It cuts by ``spans_of``, between which no piece of the model lies, so its paths are the best
-of the whole text: a run of blanks stays with the word behind it. Spans that are common in a
-sample of rows, at most ``COMMON_UNITS``, are encoded first and looked up where the texts
-are read. Spans of over ``MAX_UNIT`` characters get the same lattice in a loop over their
-characters, in place, with the last few ends as its state. Only the others travel, one row
-for each document and span, to be joined with the encoded spans; a document's rows are then
-sorted together and put in place. The ``checksum`` is the sum over spans of their place
-(from 1, modulo 65,521) times the low 16 bits of the CRC-32 of their ids, so it depends on
-the order. ``round_trip`` says whether the ids of the whole document decode to its text.
-
-``encode`` and ``encoded_totals`` are an older form which cuts by ``units_of``, before every
-blank and after every ``MAX_UNIT`` characters: the pieces join to the text, but none goes
-across these cuts. No query uses them.
+``encoded`` returns the ids of every document, the text they decode to and sums of both. Units
+that are common in a sample of rows, at most ``COMMON_UNITS``, are encoded first and looked up
+where the texts are read; which these are changes no result. Only the others travel, one row
+for each document and unit, to be joined with the encoded units; a document's rows are then
+sorted together and put in place. ``checksum`` is the CRC-32 of a document's ids as
+little-endian 32-bit integers. ``round_trip`` says whether the ids of the whole document decode
+to its text.
 
 Results for odd rows: a null text is encoded as an empty one, which is a single blank. The
-blank sign of the pieces is read as a blank. Repeated rows are each answered. Columns other than ``doc_id`` and
-``text`` are not read.
+blank sign of the pieces is read as a blank. Repeated rows are each answered. An empty table
+gives no rows. Columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import zlib
-from collections.abc import Callable, Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +46,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netbehave.llm.words import count_words, slices, stored
+from netbehave.llm.words import bounds, count_words, ragged, slices, stored
 
 BLANK = "▁"
-MAX_UNIT = 128
+CHUNK = 256  # ends that one fold takes; units that are longer are known by a hash
 COMMON_UNITS = 250_000
 SAMPLE_ROWS = 60_000  # bound of the sample that common units are looked for in
-PLACES = 65_521
 PARTITIONS_FACTOR = 4  # partitions of units, to each shuffle partition of the session
-GROUPS_IN_MEMORY = 60_000  # about 150 MB in a task
-UNIT = re.compile(r"\n| [^ \n]*|[^ \n]+")
-SPAN = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+# A group is a unit with some twenty edges of eight bytes. By default Spark sorts on disk from
+# 128 groups on; so many of this size fit in memory.
+GROUPING = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "60000"}
+SLICE = 500_000  # characters that are cut at once
+ROWS = 1000  # rows that are put together at once
+LONG_MARK = "\0#"
 
 
 # ---------------------------------------------------------------- pieces and units
@@ -83,149 +86,274 @@ def read_pieces(spark: SparkSession, path: str, zipf: bool = True) -> DataFrame:
         ordinary += 1
         score = -float(np.log((ordinary + 2.7) * share)) if zipf else model.get_score(at)
         text = piece.replace(BLANK, " ")
-        if len(SPAN.findall(text)) != 1:
-            raise ValueError(f"a piece goes across a cut: {piece!r}")
         rows.append((text, at, score, text.encode()))
     return spark.createDataFrame(rows, "piece string, id int, score double, raw binary")
 
 
-def units_of(text: str | None) -> list[str]:
-    """Units of a text, in order; they join to a blank and the text."""
-    units = UNIT.findall(" " + (text or "").replace(BLANK, " "))
-    if any(len(unit) > MAX_UNIT for unit in units):
-        units = [
-            unit[at : at + MAX_UNIT] for unit in units for at in range(0, max(1, len(unit)), MAX_UNIT)
-        ]
-    return units
-
-
 def spaced(text: str | None) -> str:
     return " " + (text or "").replace(BLANK, " ")
 
 
-def spans_of(text: str | None) -> list[str]:
-    """Parts of a text between which no piece lies; they join to a blank and the text."""
-    return SPAN.findall(spaced(text))
+class Cutter:
+    """Cuts texts between characters that stand next to each other in no piece."""
+
+    def __init__(self, pieces: Iterable[str]):
+        pairs = {piece[at : at + 2] for piece in pieces for at in range(len(piece) - 1)}
+        known = sorted({c for pair in pairs for c in pair})
+        kinds = {c: at for at, c in enumerate(known, 1)}
+        self.kind = np.zeros(0x110000, np.uint16)  # 0: in no pair
+        self.kind[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        self.joins = np.zeros((len(known) + 1, len(known) + 1), bool)
+        for left, right in pairs:
+            self.joins[kinds[left], kinds[right]] = True
+
+    def starts(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a unit starts at each character; the first starts one."""
+        kinds = self.kind[codes]
+        return np.concatenate([[True], ~self.joins[kinds[:-1], kinds[1:]]])[: len(codes)]
+
+    def units(self, text: str | None) -> list[str]:
+        """Units of a text, in order; they join to a blank and the text."""
+        given = spaced(text)
+        at = np.flatnonzero(self.starts(codes_of(given))).tolist()
+        return [given[a:b] for a, b in zip(at, [*at[1:], len(given)])]
 
 
-def short_span_bytes(text: str | None) -> list[bytes]:
-    return [span.encode() for span in spans_of(text) if len(span) <= MAX_UNIT]
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def unit_bytes(text: str | None) -> list[bytes]:
-    return [unit.encode() for unit in units_of(text)]
+def cutter_of(pieces: DataFrame) -> Cutter:
+    return Cutter(row["piece"] for row in pieces.where("piece IS NOT NULL").select("piece").collect())
 
 
 # ---------------------------------------------------------------- lattice
 
+# An edge is one number: its end (31 bits), 255 less its length (8 bits) and a code (24 bits),
+# so edges sort by their ends and then by their starts. A code is an id or, from ``CHARACTER``
+# on, the number of a character without a piece.
+END, LENGTH, CHARACTER = 32, 24, 1 << 23
+
+
+def end_of(edge: Column) -> Column:
+    return F.shiftright(edge, END).cast("int")
+
+
+def length_of(edge: Column) -> Column:
+    return F.lit(255) - F.shiftright(edge, LENGTH).bitwiseAND(F.lit(255)).cast("int")
 
-def lattice(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The rows of ``units`` with their edges: the pieces found, as (end, start, id, score).
 
-    Every single character has an edge; without a piece its id is -1, for bytes. Rows must
-    be distinct. Dealt out by unit, they stay where they are.
+def code_of(edge: Column) -> Column:
+    return edge.bitwiseAND(F.lit((1 << LENGTH) - 1)).cast("int")
+
+
+def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """Rows (unit, chunk, edges): the edges of each ``CHUNK`` ends of a unit, in order.
+
+    ``units`` are distinct (unit, text). Dealt out by unit, they stay where they are. Every
+    single character has an edge.
     """
-    keys = units.columns
-    real = pieces.where("piece IS NOT NULL")
-    facts = real.agg(F.max(F.length("piece")), F.min("score")).first()
-    longest, worst = facts
+    size = F.length("text")
+    chunks = F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))
+    placed = units.select("unit", "text", F.explode(chunks).alias("chunk"))
+    # What lies before the chunk, as far as pieces that end in it may reach back.
+    low = F.greatest(F.col("chunk") * CHUNK - (longest - 1), F.lit(0))
+    high = F.least((F.col("chunk") + 1) * CHUNK, F.length("text"))
+    part = F.when(size <= CHUNK, F.col("text")).otherwise(F.substring(F.col("text"), low + 1, high - low))
+    placed = placed.select("unit", "chunk", low.alias("low"), high.alias("high"), part.alias("part"))
     # Two plain explodes run as generated code, unlike nested arrays of substrings.
-    length = F.length("unit")
-    starts = units.select(*keys, F.explode(F.sequence(F.lit(1), length)).alias("start"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), length - F.col("start") + 1))
-    parts = starts.select(*keys, "start", F.explode(sizes).alias("size")).withColumn(
-        "piece", F.substring("unit", F.col("start"), F.col("size"))
+    ends = placed.select(
+        "unit", "chunk", "low", "part", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, "high")).alias("end")
+    )
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.col("end") - F.col("low")))
+    found = ends.select("unit", "chunk", "low", "part", "end", F.explode(sizes).alias("size")).select(
+        "unit",
+        "chunk",
+        "end",
+        "size",
+        F.substring(F.col("part"), F.col("end") - F.col("size") - F.col("low") + 1, F.col("size")).alias("piece"),
     )
     # The piece table has as many rows as the model, which bounds the broadcast.
-    found = parts.join(F.broadcast(real.select("piece", "id", "score")), "piece", "left")
-    edges = found.where("id IS NOT NULL OR size = 1").select(
-        *keys,
-        F.struct(
-            (F.col("start") + F.col("size") - 1).alias("end"),
-            (F.col("start") - 1).alias("start"),
-            F.coalesce("id", F.lit(-1)).alias("id"),
-            # A byte is worse than any piece.
-            F.coalesce("score", F.octet_length("piece") * F.lit(worst - 10.0)).alias("score"),
-        ).alias("edge"),
+    known = pieces.where("piece IS NOT NULL").select("piece", "id")
+    joined = found.join(F.broadcast(known), "piece", "left").where("id IS NOT NULL OR size = 1")
+    edge = (
+        F.shiftleft(F.col("end").cast("bigint"), END)
+        + F.shiftleft((F.lit(255) - F.col("size")).cast("bigint"), LENGTH)
+        + F.coalesce("id", F.ascii("piece") + CHARACTER).cast("bigint")
+    )
+    return (
+        joined.select("unit", "chunk", edge.alias("edge"))
+        .groupBy("unit", "chunk")
+        .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    )
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def character_bytes(number: Column) -> Column:
+    """The bytes of a character, from its number."""
+
+    def led(first: int, n_more: int) -> Column:
+        lead = F.shiftright(number, 6 * n_more) + first
+        more = [F.shiftright(number, 6 * at).bitwiseAND(F.lit(63)) + 128 for at in range(n_more - 1, -1, -1)]
+        return F.array(lead, *more)
+
+    return (
+        F.when(number < 0x80, F.array(number))
+        .when(number < 0x800, led(0xC0, 1))
+        .when(number < 0x10000, led(0xE0, 2))
+        .otherwise(led(0xF0, 3))
     )
-    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-def best_ends(edges: Column) -> Column:
-    """Viterbi fold: for each end, the score and the last edge of the best path to it."""
-    first = F.struct(
-        F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")
-    )
+@dataclass
+class Scores:
+    """Scores of edges: an array by id, and that of a byte for characters without a piece."""
+
+    by_id: Column
+    byte: float
+
+    def of(self, edge: Column) -> Column:
+        number = code_of(edge) - CHARACTER
+        n_bytes = F.when(number < 0x80, 1).when(number < 0x800, 2).when(number < 0x10000, 3).otherwise(4)
+        return F.when(number < 0, F.get(self.by_id, code_of(edge))).otherwise(n_bytes * F.lit(self.byte))
+
+
+def forward(edges: Column, tail: Column, base: Column, scores: Scores) -> Column:
+    """Viterbi fold: the ends in ``tail``, of which the first is end ``base``, and those of
+    ``edges``, each with its score and last edge."""
 
     def step(best: Column, edge: Column) -> Column:
+        start = end_of(edge) - length_of(edge)
         arrived = F.struct(
-            (F.get(best, edge["start"])["score"] + edge["score"]).alias("score"),
-            edge["start"].alias("start"),
-            edge["id"].alias("id"),
+            (F.get(best, start - base)["score"] + scores.of(edge)).alias("score"),
+            edge.alias("edge"),
         )
         size = F.size(best)
-        better = arrived["score"] > F.element_at(best, -1)["score"]
         return (
-            F.when(size == edge["end"], F.concat(best, F.array(arrived)))
-            .when(better, F.concat(F.slice(best, F.lit(1), size - 1), F.array(arrived)))
+            F.when(size + base == end_of(edge), F.concat(best, F.array(arrived)))
+            .when(
+                arrived["score"] > F.element_at(best, -1)["score"],
+                F.concat(F.slice(best, F.lit(1), size - 1), F.array(arrived)),
+            )
             .otherwise(best)
         )
 
-    return F.aggregate(edges, F.array(first), step)
-
-
-def best_path(best: Column) -> Column:
-    """Score and edges of the best path: a walk back from the last end."""
-
-    def back(state: Column, end: Column) -> Column:
-        last = F.get(state["best"], end)
-        edge = F.struct(last["start"].alias("start"), last["id"].alias("id"))
-        return F.when(
-            state["at"] == end,
-            F.struct(
-                state["best"].alias("best"),
-                last["start"].alias("at"),
-                F.concat(F.array(edge), state["path"]).alias("path"),
-            ),
-        ).otherwise(state)
-
-    none = F.array().cast("array<struct<start:int,id:int>>")
-    start = F.struct(best.alias("best"), (F.size(best) - 1).alias("at"), none.alias("path"))
-    return F.aggregate(
-        F.reverse(F.sequence(F.lit(1), F.size(best) - 1)),
-        start,
-        back,
-        lambda state: F.struct(
-            F.element_at(state["best"], -1)["score"].alias("score"), state["path"].alias("path")
-        ),
-    )
+    return F.aggregate(edges, tail, step)
+
+
+def backward(edges: Column, at: Column) -> Column:
+    """The edges of the path that comes to end ``at``, and where it starts, from last edges in
+    descending order of their ends."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(at.alias("at"), none.alias("path"))
+
+    def back(state: Column, edge: Column) -> Column:
+        further = F.struct(
+            (end_of(edge) - length_of(edge)).alias("at"), F.concat(F.array(edge), state["path"]).alias("path")
+        )
+        return F.when(state["at"] == end_of(edge), further).otherwise(state)
+
+    return F.aggregate(edges, start, back)
+
+
+def first_end() -> Column:
+    return F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("edge")))
+
+
+def short_path(edges: Column, scores: Scores) -> Column:
+    """Score and edges of the best path of a unit of one chunk."""
+
+    def path(best: Column) -> Column:
+        last = F.reverse(F.slice(best, F.lit(2), F.size(best) - 1))["edge"]
+        return F.struct(
+            F.element_at(best, -1)["score"].alias("score"), backward(last, F.size(best) - 1)["path"].alias("path")
+        )
+
+    return let(forward(edges, first_end(), F.lit(0), scores), path)
+
+
+def long_path(chunks: Column, longest: int, scores: Scores) -> Column:
+    """Score and edges of the best path of a unit, from the edges of its chunks in order."""
+    none = F.array().cast("array<array<bigint>>")
+    start = F.struct(first_end().alias("tail"), F.lit(0).alias("done"), none.alias("last"))
+
+    def on(state: Column, edges: Column) -> Column:
+        tail = state["tail"]
+        known = F.size(tail)
+
+        def carried(best: Column) -> Column:
+            new = F.size(best) - known
+            keep = F.least(F.lit(longest), F.size(best))
+            return F.struct(
+                F.slice(best, -keep, keep).alias("tail"),
+                (state["done"] + new).alias("done"),
+                F.concat(state["last"], F.array(F.slice(best, known + 1, new)["edge"])).alias("last"),
+            )
+
+        return let(forward(edges, tail, state["done"] - known + 1, scores), carried)
+
+    def path(ended: Column) -> Column:
+        def back(state: Column, edges: Column) -> Column:
+            return let(
+                backward(F.reverse(edges), state["at"]),
+                lambda found: F.struct(
+                    found["at"].alias("at"), F.concat(F.array(found["path"]), state["paths"]).alias("paths")
+                ),
+            )
+
+        start = F.struct(ended["done"].alias("at"), none.alias("paths"))
+        return F.struct(
+            F.element_at(ended["tail"], -1)["score"].alias("score"),
+            F.flatten(F.aggregate(F.reverse(ended["last"]), start, back)["paths"]).alias("path"),
+        )
+
+    return let(F.aggregate(chunks, start, on), path)
 
 
 def encoded_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The distinct rows of ``units`` with ids, score and characters without a piece."""
+    """The distinct rows of ``units`` with ids, score and number of characters without a piece.
+
+    ``units`` are (unit) or (unit, text), where ``unit`` stands for a longer ``text``.
+    """
+    if "text" not in units.columns:
+        units = units.select("unit", F.col("unit").alias("text"))
+    real = pieces.where("piece IS NOT NULL").select("piece", "id", "score").collect()  # as long as the model
     first_byte = pieces.where("piece IS NULL").agg(F.min("id")).first()[0]
     if first_byte is None:
         raise ValueError("the model has no pieces for bytes")
+    longest = max(len(row["piece"]) for row in real)
+    by_id = [0.0] * (1 + max(row["id"] for row in real))
+    for row in real:
+        by_id[row["id"]] = row["score"]
+    # Folded into one literal. A byte is worse than any piece.
+    array = F.from_json(F.lit(json.dumps(by_id)), "array<double>")
+    scores = Scores(array, min(row["score"] for row in real) - 10.0)
 
     def ids(edge: Column) -> Column:
-        raw = F.hex(F.encode(F.substring(F.col("unit"), edge["start"] + 1, F.lit(1)), "UTF-8"))
-        places = F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1)
-        values = F.transform(
-            places,
-            lambda at: F.conv(F.substring(raw, 2 * at + 1, F.lit(2)), 16, 10).cast("int") + first_byte,
-        )
-        return F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(values)
-
-    keys = units.columns
-    # Column by column, for each is used several times and worked out once.
-    ends = lattice(units, pieces).select(*keys, best_ends(F.col("edges")).alias("ends"))
-    found = ends.select(*keys, best_path(F.col("ends")).alias("best"))
-    steps = F.col("best")["path"]
-    return found.select(
-        *keys,
-        F.flatten(F.transform(steps, ids)).alias("ids"),
-        F.col("best")["score"].alias("score"),
-        F.size(F.filter(steps, lambda edge: edge["id"] < 0)).alias("n_unknown"),
+        raw = F.transform(character_bytes(code_of(edge) - CHARACTER), lambda one: one + first_byte)
+        return F.when(code_of(edge) < CHARACTER, F.array(code_of(edge))).otherwise(raw)
+
+    grouped = lattice(units, pieces, longest)
+    is_long = F.startswith(F.col("unit"), F.lit(LONG_MARK)) | (F.length("unit") > CHUNK)
+    short = grouped.where(~is_long).select("unit", short_path(F.col("edges"), scores).alias("best"))
+    chunks = grouped.where(is_long).groupBy("unit").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", "edges"))).alias("chunks")
+    )
+    long = chunks.select("unit", long_path(F.col("chunks")["edges"], longest, scores).alias("best"))
+    best = short.union(long).select("unit", "best.score", "best.path")
+    n_unknown = F.size(F.filter("path", lambda edge: code_of(edge) >= CHARACTER))
+    counted = best.withColumn("n_unknown", n_unknown)
+    plain = F.transform("path", code_of)
+    with_bytes = F.flatten(F.transform("path", ids))
+    return counted.select(
+        "unit",
+        F.when(F.col("n_unknown") == 0, plain).otherwise(with_bytes).alias("ids"),
+        "score",
+        "n_unknown",
     )
 
 
@@ -245,78 +373,57 @@ def decoded(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     return together.select(*keys, F.decode(raw, "UTF-8").alias("text"))
 
 
-# ---------------------------------------------------------------- documents
-
-
-def encode(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Rows (doc_id, row, ids): the ids of every row of ``docs``.
-
-    ``row`` numbers the rows, for several may have one ``doc_id``.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, size=500_000):
-            units = [units_of(text) for text in part.column("text").to_pylist()]
-            sizes = [len(one) for one in units]
-            owner = pa.array(np.repeat(np.arange(len(units)), sizes))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").take(owner),
-                    part.column("row").take(owner),
-                    pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int64)),
-                    pa.array([unit for one in units for unit in one], pa.string()),
-                ],
-                names=["doc_id", "row", "at", "unit"],
-            )
-
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = stored(numbered.mapInArrow(run, "doc_id long, row long, at long, unit string"), "units")
-    ids = encoded_units(rows.select("unit").distinct(), pieces).select("unit", "ids")
-    return (
-        rows.join(ids, "unit")
-        .groupBy("doc_id", "row")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-        .select("doc_id", "row", F.flatten(F.col("parts")["ids"]).alias("ids"))
-    )
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that are put back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def unit_values(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """What one occurrence of each unit adds to its document; ``units`` are (unit), distinct.
+    """Rows (unit, ids, score, unknown) of the distinct (unit, text), as a written table.
 
     The work on a unit is many times its size, so units are dealt out over all partitions
     of the session, and everything up to the values happens where they then are.
     """
     spark = units.sparkSession
     n = PARTITIONS_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A group here is a unit with some twenty edges. By default Spark sorts on disk from 128
-    # groups on; so many of this size fit in memory.
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", GROUPS_IN_MEMORY)
-    dealt = units.select("unit").repartition(n, "unit").distinct()
-    raw = F.concat_ws("", F.transform("ids", lambda one: F.format_string("%04x", one)))
-    found = encoded_units(dealt, pieces).select(
-        "unit",
-        "ids",
-        F.size("ids").cast("long").alias("pieces"),
-        F.col("n_unknown").cast("long").alias("unknown"),
-        "score",
-        (F.crc32(raw.cast("binary")) % 65_536).alias("digest"),
-    )
-    return decoded(found, pieces).select(
-        "unit", "pieces", "unknown", "score", "digest", (F.col("text") == F.col("unit")).alias("same")
-    )
+    dealt = units.select("unit", "text").repartition(n, "unit").distinct()
+    dealt = dealt.select("unit", F.coalesce("text", "unit").alias("text"))
+    values = encoded_units(dealt, pieces).select("unit", "ids", "score", F.col("n_unknown").alias("unknown"))
+    with settings(spark, GROUPING):
+        return stored(values, "unit-values")
 
 
-def common_units(
-    docs: DataFrame, most: int, split: Callable[[str | None], list[bytes]] = unit_bytes
-) -> DataFrame:
-    """Units that are common in a bounded sample of rows: whole classes of one count.
+class Split:
+    """Short units of a text as bytes; tasks make their own tables from the pieces."""
 
-    Which units these are changes no result, only how much has to travel.
-    """
+    def __init__(self, pieces: list[str]):
+        self.pieces, self.cutter = pieces, None
+
+    def __getstate__(self) -> list[str]:
+        return self.pieces
+
+    def __setstate__(self, pieces: list[str]) -> None:
+        self.pieces, self.cutter = pieces, None
+
+    def __call__(self, text: str | None) -> list[bytes]:
+        self.cutter = self.cutter or Cutter(self.pieces)
+        return [unit.encode() for unit in self.cutter.units(text) if len(unit) <= CHUNK]
+
+
+def common_units(docs: DataFrame, most: int, pieces: list[str]) -> DataFrame:
+    """Units that are common in a bounded sample of rows: whole classes of one count."""
     share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = docs.where(near).select("text", F.lit(0).alias("one"))
-    counted = count_words(sample, "one", split).select(F.decode("word", "UTF-8").alias("unit"), "n")
+    counted = count_words(sample, "one", Split(pieces)).select(F.decode("word", "UTF-8").alias("unit"), "n")
     counted = stored(counted, "unit-counts")
     least, total = None, 0
     for row in counted.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect():
@@ -324,82 +431,82 @@ def common_units(
         if total > most:
             break
         least = row["n"]
-    return counted.where(F.lit(False) if least is None else F.col("n") >= least).select("unit")
-
+    common = counted.where(F.lit(False) if least is None else F.col("n") >= least)
+    return common.select("unit", F.lit(None).cast("string").alias("text"))
 
-# ---------------------------------------------------------------- whole documents
 
+# ---------------------------------------------------------------- units of a slice
 
-def digest_of(ids: list[int]) -> int:
-    return zlib.crc32("".join(f"{one:04x}" for one in ids).encode()) % 65_536
 
+@dataclass
+class Units:
+    """The units of several texts, each a number of a distinct one."""
 
-Encoded = tuple[list[int], float, int]
+    names: list[str]  # distinct units
+    which: np.ndarray  # the unit at each place
+    limits: np.ndarray  # places at which the texts begin, and the last one ends
 
 
-def path_finder(pieces: list) -> Callable[[str], Encoded]:
-    """The lattice of one unit in a loop over its characters: ids, score, unknown characters.
+def units_of(texts: list[str], cutter: Cutter) -> Units:
+    """Units of texts that begin with a blank.
 
-    Edges, scores and the choice of equal paths are those of ``lattice`` and ``best_ends``;
-    scores are kept for as many ends as the longest piece has characters.
+    Equal units are found by 64-bit hashes of their characters and compared character by
+    character; should two hashes ever meet, the units are numbered by their text instead.
     """
-    table = {row["piece"]: (row["id"], row["score"]) for row in pieces if row["piece"] is not None}
-    first_byte = min(row["id"] for row in pieces if row["piece"] is None)
-    byte = min(score for _, score in table.values()) - 10.0
-    longest = max(map(len, table))
-
-    def find(unit: str) -> Encoded:
-        scores = [0.0]
-        starts, ids = np.zeros(len(unit) + 1, np.int64), np.full(len(unit) + 1, -1, np.int64)
-        for end in range(1, len(unit) + 1):
-            best = None
-            low = max(0, end - longest)
-            for start in range(low, end):
-                edge = table.get(unit[start:end])
-                if edge is None:
-                    if start < end - 1:
-                        continue
-                    edge = (-1, len(unit[start].encode()) * byte)
-                score = scores[start - end] + edge[1]
-                if best is None or score > best:
-                    best, starts[end], ids[end] = score, start, edge[0]
-            scores.append(best)
-            del scores[:-longest]
-        path: list[list[int]] = []
-        at, unknown = len(unit), 0
-        while at:
-            if ids[at] < 0:
-                unknown += 1
-                path.append([first_byte + value for value in unit[at - 1].encode()])
-            else:
-                path.append([int(ids[at])])
-            at = int(starts[at])
-        return [one for part in reversed(path) for one in part], scores[-1], unknown
-
-    return find
-
-
-def span_values(spans: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Rows (unit, ids, score, unknown) of distinct (unit), dealt out over all partitions."""
-    spark = spans.sparkSession
-    n = PARTITIONS_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # As in unit_values: groups of some twenty edges fit in memory.
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", GROUPS_IN_MEMORY)
-    dealt = spans.select("unit").repartition(n, "unit").distinct()
-    return encoded_units(dealt, pieces).select(
-        "unit", "ids", "score", F.col("n_unknown").cast("long").alias("unknown")
-    )
-
+    joined = "".join(texts)
+    codes = codes_of(joined)
+    begins = bounds([len(text) for text in texts])
+    first = cutter.starts(codes)
+    first[begins[:-1]] = True
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(codes)))
+    limits = np.searchsorted(starts, begins)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(codes) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
+        inverse = np.cumprod(np.full(len(codes) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        hashes = (sums[starts + sizes] - sums[starts]) * inverse[starts]
+    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    if not (sizes[at][which] == sizes).all() or not (codes[ragged(starts[at][which], sizes)] == codes).all():
+        found: dict[str, int] = {}
+        parts = [joined[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
+        which = np.array([found.setdefault(part, len(found)) for part in parts], np.int64)
+        return Units(list(found), which, limits)
+    names = [joined[a : a + n] for a, n in zip(starts[at].tolist(), sizes[at].tolist())]
+    return Units(names, which, limits)
+
+
+@dataclass
+class Known:
+    """Encoded common units: their numbers, and ids, scores and unknown characters by number."""
+
+    number: dict[str, int]
+    ids: np.ndarray
+    limits: np.ndarray
+    scores: np.ndarray
+    unknown: np.ndarray
 
-def common_spans(docs: DataFrame, most: int) -> DataFrame:
-    """Short spans that are common in a bounded sample of rows; these change no result."""
-    return common_units(docs, most, short_span_bytes)
 
+# ---------------------------------------------------------------- whole documents
 
+PARTS = pa.schema(
+    [
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.string()), ("text", pa.string()),
+        ("packed", pa.binary()), ("n_units", pa.int32()), ("n_unknown", pa.int32()),
+        ("score", pa.float64()), ("hash", pa.binary()),
+    ]
+)
 PARTS_SCHEMA = (
-    "row long, doc_id long, unit string, packed binary, n_units int, n_unknown int, score double, "
-    "checksum long, hash binary"
+    "row long, doc_id long, unit string, text string, packed binary, n_units int, n_unknown int, "
+    "score double, hash binary"
 )
+ENCODED = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string()),
+        ("n_units", pa.int64()), ("n_pieces", pa.int64()), ("n_unknown", pa.int64()),
+        ("score", pa.float64()), ("checksum", pa.int64()), ("round_trip", pa.bool_()),
+    ]
+)
 ENCODED_SCHEMA = (
     "doc_id long, ids array<int>, text string, n_units long, n_pieces long, n_unknown long, "
     "score double, checksum long, round_trip boolean"
@@ -407,237 +514,213 @@ ENCODED_SCHEMA = (
 
 
 def text_hash(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(column, field.type) for column, field in zip(columns, schema)], schema=schema
-    )
+def of_groups(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Sums of groups of consecutive values."""
+    sums = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    return sums[limits[1:]] - sums[limits[:-1]]
 
 
-PARTS = pa.schema(
-    [
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.string()), ("packed", pa.binary()),
-        ("n_units", pa.int32()), ("n_unknown", pa.int32()), ("score", pa.float64()),
-        ("checksum", pa.int64()), ("hash", pa.binary()),
-    ]
-)
-ENCODED = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string()),
-        ("n_units", pa.int64()), ("n_pieces", pa.int64()), ("n_unknown", pa.int64()),
-        ("score", pa.float64()), ("checksum", pa.int64()), ("round_trip", pa.bool_()),
+def batch_of(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    arrays = [columns.get(field.name, pa.nulls(n, field.type)).cast(field.type) for field in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def binaries(raw: bytes, sizes: np.ndarray) -> pa.Array:
+    offsets = bounds(sizes).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def cut_slice(part: pa.RecordBatch, row: int, cutter: Cutter, known: Known) -> Iterator[pa.RecordBatch]:
+    """A row for each document with the ids of its common units, and one for each of its others.
+
+    The latter tell places among the units and how many of the ids come before each.
+    """
+    texts = [spaced(text) for text in part.column("text").to_pylist()]
+    units = units_of(texts, cutter)
+    found = np.fromiter((known.number.get(name, -1) for name in units.names), np.int64, len(units.names))
+    at = found[units.which]
+    hit = at >= 0
+    near = np.where(hit, at, 0)
+    sizes = np.where(hit, np.diff(known.limits)[near], 0) if len(known.number) else np.zeros(len(at), np.int64)
+    before = np.cumsum(sizes) - sizes
+    ids = known.ids[ragged(known.limits[near[hit]], sizes[hit])].tobytes()
+    ends = np.append(before, sizes.sum())[units.limits]
+    width = known.ids.dtype.itemsize
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        taken = np.where(hit, values[near], 0) if len(values) else np.zeros(len(at), values.dtype)
+        return of_groups(taken, units.limits)
+
+    n = len(texts)
+    rows = np.arange(row, row + n)
+    packed = [zlib.compress(ids[a * width : b * width], 1) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    yield batch_of(
+        PARTS,
+        n,
+        row=pa.array(rows),
+        doc_id=part.column("doc_id"),
+        packed=pa.array(packed, pa.binary()),
+        n_units=pa.array(np.diff(units.limits)),
+        n_unknown=pa.array(summed(known.unknown)),
+        score=pa.array(summed(known.scores)),
+        hash=pa.array([text_hash(text) for text in texts], pa.binary()),
+    )
+    other = np.flatnonzero(~hit)
+    if not len(other):
+        return
+    owner = np.searchsorted(units.limits, other, "right") - 1
+    which = units.which[other]
+    order = np.lexsort((which, owner))
+    other, owner, which = other[order], owner[order], which[order]
+    opens = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(which) != 0)])
+    groups = np.flatnonzero(opens)
+    pairs = np.stack([other - units.limits[owner], before[other] - ends[owner]], 1).astype("<u4")
+    counts = np.diff(np.append(groups, len(other)))
+    names = [units.names[one] for one in which[groups].tolist()]
+    keys = [
+        name if len(name) <= CHUNK else LONG_MARK + hashlib.sha256(name.encode()).hexdigest() for name in names
     ]
-)
+    yield batch_of(
+        PARTS,
+        len(groups),
+        row=pa.array(rows[owner[groups]]),
+        unit=pa.array(keys, pa.string()),
+        text=pa.array([name if len(name) > CHUNK else None for name in names], pa.string()),
+        packed=binaries(pairs.tobytes(), counts * 8),
+    )
+
+
+def put_together(rows: pa.Table, kind: str, raw: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Whole documents from their rows, which lie together."""
+    rows = rows.combine_chunks()
+    number = rows.column("row").to_numpy()
+    is_other = np.asarray(rows.column("path").is_valid())
+    own = np.flatnonzero(~is_other)
+    docs = rows.take(pa.array(own))
+    n = len(own)
+    ids = [np.frombuffer(zlib.decompress(one), kind) for one in docs.column("packed").to_pylist()]
+    limits = bounds([len(one) for one in ids])
+    known = np.concatenate([*ids, np.zeros(0, kind)]).astype(np.int32)
+    others = rows.filter(pa.array(is_other))
+    # By place: document, place among its units, ids before it, and the row with its path.
+    packed = others.column("packed").to_pylist()
+    times = np.array([len(one) // 8 for one in packed], np.int64)
+    pairs = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 2).astype(np.int64)
+    order_of_docs = np.argsort(number[own], kind="stable")
+    doc_of_other = order_of_docs[np.searchsorted(number[own][order_of_docs], number[is_other])]
+    source = np.repeat(np.arange(len(times)), times)
+    doc = doc_of_other[source]
+    order = np.lexsort((pairs[:, 0], doc))
+    source, doc, to = source[order], doc[order], (pairs[:, 1] + limits[doc])[order]
+    path = others.column("path").combine_chunks() if len(others) else pa.array([], pa.list_(pa.int32()))
+    path = path.chunk(0) if isinstance(path, pa.ChunkedArray) else path
+    starts, values = path.offsets.to_numpy(), path.values.to_numpy()
+    sizes = np.diff(starts)[source]
+    added = np.cumsum(sizes) - sizes
+    total = len(known) + int(sizes.sum())
+    places = ragged(to + added, sizes)
+    whole = np.empty(total, np.int32)
+    rest = np.ones(total, bool)
+    rest[places] = False
+    whole[places] = values[ragged(starts[:-1][source], sizes)]
+    whole[rest] = known
+    lengths = np.diff(limits) + np.bincount(doc, sizes, n).astype(np.int64)
+    ends = bounds(lengths)
+
+    def summed(name: str) -> np.ndarray:
+        mine = docs.column(name).to_numpy().astype(np.float64)
+        if not len(others):
+            return mine
+        return mine + np.bincount(doc_of_other, times * others.column(name).to_numpy().astype(np.float64), n)
+
+    text_bytes, text_limits = raw
+    widths = np.diff(text_limits)[whole]
+    decoded_bytes = text_bytes[ragged(text_limits[:-1][whole], widths)].tobytes()
+    byte_ends = bounds(widths)[ends].tolist()
+    texts = [decoded_bytes[a:b].decode("utf-8", "replace") for a, b in zip(byte_ends, byte_ends[1:])]
+    little = whole.astype("<u4").tobytes()
+    edges = (4 * ends).tolist()
+    hashes = docs.column("hash").to_pylist()
+    return batch_of(
+        ENCODED,
+        n,
+        doc_id=docs.column("doc_id").combine_chunks(),
+        ids=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(whole)),
+        text=pa.array(texts, pa.string()),
+        n_units=docs.column("n_units").combine_chunks(),
+        n_pieces=pa.array(lengths),
+        n_unknown=pa.array(summed("n_unknown").astype(np.int64)),
+        score=pa.array(summed("score")),
+        checksum=pa.array([zlib.crc32(little[a:b]) for a, b in zip(edges, edges[1:])], pa.int64()),
+        round_trip=pa.array([text_hash(text) == one for text, one in zip(texts, hashes)]),
+    )
 
 
 def encoded(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNITS) -> DataFrame:
     """For every row of ``docs`` its ids, the text they decode to (with the blank in front),
-    spans, pieces, characters without a piece, score, checksum and whether the text is the same."""
-    context = docs.sparkSession.sparkContext
+    units, pieces, characters without a piece, score, checksum and whether the text is the same."""
+    spark = docs.sparkSession
+    context = spark.sparkContext
     rows = pieces.collect()
-    kind = "<u2" if max(row["id"] for row in rows) < 65_536 else "<u4"
-    model = context.broadcast(rows)
-    known = span_values(common_spans(docs, common), pieces).toPandas()
+    top = max(row["id"] for row in rows)
+    kind = "<u2" if top < 65_536 else "<u4"
+    texts = [row["piece"] for row in rows if row["piece"] is not None]
+    raw = [b""] * (top + 1)
+    for row in rows:
+        raw[row["id"]] = bytes(row["raw"])
+    model = context.broadcast((texts, b"".join(raw), bounds([len(one) for one in raw])))
+    del rows, raw
+    table = unit_values(common_units(docs, common, texts), pieces).toArrow()
+    ids = table.column("ids").combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    # One block of names instead of an object for each: at most ``COMMON_UNITS`` rows.
     carried = context.broadcast(
         (
-            known["unit"].tolist(),
-            [np.asarray(ids, kind).tobytes() for ids in known["ids"]],
-            known["score"].to_numpy(),
-            known["unknown"].to_numpy(),
-            np.array([digest_of(ids) for ids in known["ids"]], np.int64),
+            "".join(names := table.column("unit").to_pylist()),
+            bounds([len(name) for name in names]),
+            ids.values.to_numpy().astype(kind) if len(table) else np.zeros(0, kind),
+            ids.offsets.to_numpy().astype(np.int64) if len(table) else np.zeros(1, np.int64),
+            table.column("score").to_numpy(),
+            table.column("unknown").to_numpy().astype(np.int64),
         )
     )
-    del known
+    del table, ids, names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids, scores, unknown, digests = carried.value
-        number = dict(zip(names, range(len(names))))
-        find = path_finder(model.value)
+        names, limits, *arrays = carried.value
+        limits = limits.tolist()
+        number = {names[a:b]: at for at, (a, b) in enumerate(zip(limits, limits[1:]))}
+        known = Known(number, *arrays)
+        cutter = Cutter(model.value[0])
         row = TaskContext.get().partitionId() << 40
-        width = np.dtype(kind).itemsize
-        for part in slices(batches, size=500_000):
-            made: list[tuple] = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                row += 1
-                spans = spans_of(text)
-                found, n_unknown, score, checksum, length = [], 0, 0.0, 0, 0
-                others: dict[str, list[int]] = {}
-                for place, span in enumerate(spans, 1):
-                    at = number.get(span)
-                    if at is not None:
-                        found.append(ids[at])
-                        length += len(ids[at])
-                        n_unknown += int(unknown[at])
-                        score += float(scores[at])
-                        checksum += place % PLACES * int(digests[at])
-                    elif len(span) > MAX_UNIT:
-                        path, more, missing = find(span)
-                        found.append(np.asarray(path, kind).tobytes())
-                        length += len(found[-1])
-                        n_unknown += missing
-                        score += more
-                        checksum += place % PLACES * digest_of(path)
-                    else:
-                        others.setdefault(span, []).extend((place, length // width))
-                made.append(
-                    (row, doc_id, None, zlib.compress(b"".join(found), 1), len(spans), n_unknown,
-                     score, checksum, text_hash(spaced(text)))
-                )
-                made += [
-                    (row, None, span, np.array(at, "<u4").tobytes(), *[None] * 5)
-                    for span, at in others.items()
-                ]
-            yield as_batch(made, PARTS)
+        for part in slices(batches, size=SLICE):
+            yield from cut_slice(part, row, cutter, known)
+            row += part.num_rows
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = {row["id"]: bytes(row["raw"]) for row in model.value}
-        width = np.dtype(kind).itemsize
-
-        def lines() -> Iterator[dict]:
-            for part in batches:
-                for at in range(0, part.num_rows, 2000):
-                    yield from part.slice(at, 2000).to_pylist()
-
-        made: list[tuple] = []
-        size = 0
-        for _, group in groupby(lines(), key=lambda one: one["row"]):
-            doc: dict = {}
-            n_unknown, score, checksum = 0, 0.0, 0
-            parts: list[tuple[int, int, bytes]] = []
-            for one in group:
-                path = one["path"]
-                if path is None:
-                    doc = one
-                    continue
-                coded, digest = np.asarray(path, kind).tobytes(), digest_of(path)
-                at = np.frombuffer(one["packed"], "<u4").tolist()
-                n_unknown += len(at) // 2 * one["n_unknown"]
-                score += len(at) // 2 * one["score"]
-                checksum += digest * sum(place % PLACES for place in at[::2])
-                parts += [(place, to, coded) for place, to in zip(at[::2], at[1::2])]
-            parts.sort()
-            known_ids = zlib.decompress(doc["packed"])
-            filled, before = [], 0
-            for _, to, coded in parts:
-                filled += [known_ids[before * width : to * width], coded]
-                before = to
-            ids = np.frombuffer(b"".join([*filled, known_ids[before * width :]]), kind).astype(np.int32)
-            text = b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
-            made.append(
-                (doc["doc_id"], ids, text, doc["n_units"], len(ids), doc["n_unknown"] + n_unknown,
-                 doc["score"] + score, doc["checksum"] + checksum, text_hash(text) == doc["hash"])
-            )
-            size += len(ids)
-            if size > 500_000 or len(made) >= 1000:
-                yield as_batch(made, ENCODED)
-                made, size = [], 0
-        yield as_batch(made, ENCODED)
-
-    parts = stored(docs.select("doc_id", "text").mapInArrow(cut, PARTS_SCHEMA), "span-parts")
-    rest = parts.where("unit IS NOT NULL").select("row", "unit", "packed")
-    values = span_values(rest, pieces).select(
-        "unit", F.col("ids").alias("path"), F.col("score"), F.col("unknown").cast("int").alias("n_unknown")
-    )
-    # Dealt out as the spans are, so that those do not travel again.
-    n = PARTITIONS_FACTOR * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filled = rest.repartition(n, "unit").join(values, "unit").select(
-        "row", "packed", "path", "score", "n_unknown"
-    )
+        text = np.frombuffer(model.value[1], np.uint8), model.value[2]
+        held: list[pa.RecordBatch] = []
+        few = (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS))
+        for part in few:
+            number = part.column("row").to_numpy()
+            # All rows of the last document may not be here yet.
+            at = int(np.searchsorted(number, number[-1]))
+            if at or (held and held[-1].column("row")[-1].as_py() != number[0]):
+                yield put_together(pa.Table.from_batches([*held, part.slice(0, at)]), kind, text)
+                held = []
+            held.append(part.slice(at))
+        if held:
+            yield put_together(pa.Table.from_batches(held), kind, text)
+
+    parts = stored(docs.select("doc_id", "text").mapInArrow(cut, PARTS_SCHEMA), "unit-parts")
+    rest = parts.where("unit IS NOT NULL")
+    values = unit_values(rest, pieces).select("unit", F.col("ids").alias("path"), "score", F.col("unknown").alias("n_unknown"))
+    filled = rest.select("row", "unit", "packed").join(values, "unit").drop("unit")
     # Only a document's own row has no path.
-    own = parts.where("unit IS NULL").drop("unit")
-    rows = own.unionByName(filled, allowMissingColumns=True)
-    dealt = rows.repartition(n, "row").sortWithinPartitions("row")
+    own = parts.where("unit IS NULL").drop("unit", "text")
+    n = PARTITIONS_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.unionByName(filled, allowMissingColumns=True).repartition(n, "row").sortWithinPartitions("row")
     return dealt.mapInArrow(together, ENCODED_SCHEMA)
-
-
-# ---------------------------------------------------------------- totals of the older form
-
-
-TOTALS = ("n_units", "n_pieces", "n_unknown", "score", "checksum", "n_changed")
-TOTALS_SCHEMA = (
-    "row long, doc_id long, unit string, n long, places long, n_units long, n_pieces long, "
-    "n_unknown long, score double, checksum long, n_changed long"
-)
-
-
-def encoded_totals(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNITS) -> DataFrame:
-    """For every row of ``docs``: units, pieces, characters without a piece, score, checksum
-    and whether the ids decode to the text."""
-    known = unit_values(common_units(docs, common), pieces).toPandas()
-    columns = ["pieces", "unknown", "score", "digest", "same"]
-    carried = docs.sparkSession.sparkContext.broadcast(
-        (known["unit"].tolist(), [known[name].to_numpy() for name in columns])
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, arrays = carried.value
-        number = dict(zip(names, range(len(names))))
-        n_pieces, unknown, score, digest, same = arrays
-        row = TaskContext.get().partitionId() << 40
-        for part in slices(batches, size=500_000):
-            ids = part.column("doc_id").to_pylist()
-            rest: list[tuple] = []
-            sums: list[tuple] = []
-            for doc_id, text in zip(ids, part.column("text").to_pylist()):
-                row += 1
-                units = units_of(text)
-                found = np.fromiter((number.get(unit, -1) for unit in units), np.int64, len(units))
-                weights = np.arange(1, len(units) + 1) % PLACES
-                hit = found >= 0
-                at = found[hit]
-                sums.append(
-                    (
-                        row, doc_id, len(units), int(n_pieces[at].sum()), int(unknown[at].sum()),
-                        float(score[at].sum()), int((weights[hit] * digest[at]).sum()),
-                        int((~same[at].astype(bool)).sum()),
-                    )
-                )
-                others: dict[str, list[int]] = {}
-                for place in np.flatnonzero(~hit).tolist():
-                    entry = others.setdefault(units[place], [0, 0])
-                    entry[0] += 1
-                    entry[1] += int(weights[place])
-                rest += [(row, unit, n, places) for unit, (n, places) in others.items()]
-            yield batch(sums, rest)
-
-    mixed = stored(docs.select("doc_id", "text").mapInArrow(run, TOTALS_SCHEMA), "unit-sums")
-    sums = mixed.where("unit IS NULL").select("row", "doc_id", *TOTALS)
-    rest = mixed.where("unit IS NOT NULL").select("row", "unit", F.col("n").alias("times"), "places")
-    n = F.col("times")
-    added = rest.join(unit_values(rest, pieces), "unit").select(
-        "row",
-        F.lit(None).cast("long").alias("doc_id"),
-        F.lit(0).cast("long").alias("n_units"),
-        (n * F.col("pieces")).alias("n_pieces"),
-        (n * F.col("unknown")).alias("n_unknown"),
-        (n * F.col("score")).alias("score"),
-        (F.col("places") * F.col("digest")).alias("checksum"),
-        F.when(F.col("same"), F.lit(0)).otherwise(n).cast("long").alias("n_changed"),
-    )
-    return (
-        sums.union(added)
-        .groupBy("row")
-        # Only one of a document's rows carries its id.
-        .agg(F.max("doc_id").alias("doc_id"), *[F.sum(name).alias(name) for name in TOTALS])
-        .select("doc_id", *TOTALS[:-1], (F.col("n_changed") == 0).alias("round_trip"))
-    )
-
-
-def batch(sums: list[tuple], rest: list[tuple]) -> pa.RecordBatch:
-    """Rows of sums, without a unit, and rows of units that were not looked up."""
-    n, m = len(sums), len(rest)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-    left = list(zip(*sums)) if sums else [()] * 8
-    right = list(zip(*rest)) if rest else [()] * 4
-    arrays = [
-        pa.array([*left[0], *right[0]], pa.int64()),
-        pa.array([*left[1], *[None] * m], pa.int64()),
-        pa.array([*[None] * n, *right[1]], pa.string()),
-        pa.array([*[None] * n, *right[2]], pa.int64()),
-        pa.array([*[None] * n, *right[3]], pa.int64()),
-        *(pa.array([*column, *[None] * m], kind) for column, kind in zip(left[2:], kinds)),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in TOTALS_SCHEMA.split(", ")])

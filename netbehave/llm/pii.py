@@ -2,7 +2,7 @@
 
 A candidate that fits a pattern counts only if it is valid: card numbers by their check
 digit, bank accounts by their remainder, addresses by their octets, dates by the calendar,
-social security numbers and telephone numbers by the ranges in use. A valid value is a
+social security numbers by the ranges in use, telephone numbers by their number of digits. A valid value is a
 number in a range; a Feistel network keyed for its kind permutes the range, and what falls
 outside is permuted again until it falls inside. So a pseudonym is valid too, has the same
 format, the same value has the same pseudonym in every document however it is punctuated,
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
@@ -49,6 +50,10 @@ class Permutation:
     def mix(self, turn: int, value: int) -> int:
         message = b"%s|%d|%d|%d" % (self.label, self.size, turn, value)
         digest = hashlib.blake2b(message, key=self.key, digest_size=16).digest()
+        # Halves wider than a digest get further ones, so that every bit is mixed.
+        for block in range(1, -(-self.half // 128)):
+            more = b"%s|%d" % (message, block)
+            digest += hashlib.blake2b(more, key=self.key, digest_size=16).digest()
         return int.from_bytes(digest, "little") & self.mask
 
     def once(self, value: int) -> int:
@@ -241,6 +246,7 @@ PATTERNS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...]
 )
 
 COMPILED = tuple((kind, re.compile(pattern), permute) for kind, pattern, permute in PATTERNS)
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + LETTERS + "0123456789._%+-")
 SIGNS = re.compile("[0-9@]")
 GAP = re.compile("[ -]")
 
@@ -254,25 +260,52 @@ def pseudonyms(text: str, key: bytes, back: bool = False) -> list[Span]:
     """
     if not SIGNS.search(text):
         return []
-    taken: list[Span] = []
+    taken: list[Span] = []  # in order and disjoint
+
+    def place(low: int, high: int) -> int | None:
+        """Where a span belongs, or None if it overlaps one that is taken."""
+        at = bisect_left(taken, high, key=lambda span: span[0])
+        return None if at and taken[at - 1][1] > low else at
+
     for kind, pattern, permute in COMPILED:
+        search = email_match if kind == "email" else pattern.search
         at = 0
-        while match := pattern.search(text, at):
+        while match := search(text, at):
             found = None
             for low, high in parts_of(pattern, match):
-                if any(low < end and start < high for start, end, *_ in taken):
+                where = place(low, high)
+                if where is None:
                     continue
                 new = permute(text[low:high], key, back)
                 if new is not None:
                     found = (low, high, kind, new)
                     break
             if found:
-                taken.append(found)
+                taken.insert(where, found)
                 at = found[1]
             else:
                 next_group = GAP.search(text, match.start(), match.end())
                 at = next_group.end() if next_group else match.end()
-    return sorted(taken)
+    return taken
+
+
+def email_match(text: str, at: int) -> re.Match | None:
+    """What the pattern of addresses finds from ``at`` on, looked for from its sign backwards.
+
+    A search by the pattern itself would read a long run of letters without a sign once for
+    each of its characters.
+    """
+    pattern = COMPILED[0][1]
+    sign = text.find("@", at)
+    while sign >= 0:
+        start = sign
+        while start > at and text[start - 1] in LOCAL:
+            start -= 1
+        if start < sign and (match := pattern.match(text, start)):
+            return match
+        at = sign + 1
+        sign = text.find("@", at)
+    return None
 
 
 def parts_of(pattern: re.Pattern, match: re.Match) -> Iterator[tuple[int, int]]:

@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -313,12 +314,23 @@ class Tagger:
         return result
 
 
-def covered(start: int, end: int, base: list[Span]) -> bool:
-    """Whether spans of the rules, which are in order of their starts, cover all of a span."""
-    for low, high, _ in base:
-        if low <= start < high:
-            start = high
-    return start >= end
+def joined(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans, in order of their starts, cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for low, high, _ in spans:
+        if ends and low <= ends[-1]:
+            ends[-1] = max(ends[-1], high)
+        else:
+            starts.append(low)
+            ends.append(high)
+    return starts, ends
+
+
+def covered(start: int, end: int, stretches: tuple[list[int], list[int]]) -> bool:
+    """Whether one of the stretches covers all of a span."""
+    at = bisect_right(stretches[0], start) - 1
+    return at >= 0 and end <= stretches[1][at]
 
 
 def all_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
@@ -327,11 +339,8 @@ def all_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[list
     result = []
     for text, more in zip(texts, tagged):
         base = rule_spans(text)
-        free = [
-            (start, end, "crf")
-            for start, end in more
-            if not covered(start, end, base)
-        ]
+        stretches = joined(base)
+        free = [(start, end, "crf") for start, end in more if not covered(start, end, stretches)]
         result.append((base, in_order(base + free)))
     return result
 

@@ -20,7 +20,9 @@ and ``text`` are read only if named as ``sections``.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,9 @@ from netbehave.llm.words import slices, utf8
 
 Spans = list[tuple[int, int]]
 
+# The encoder looks back over a run of blanks and overflows its stack at about a million.
+LONG_RUN = re.compile(r"\s{65536}")
+
 SCHEMA = (
     "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, n_bytes long"
 )
@@ -55,6 +60,38 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+def encoder(tokens: list[bytes], pattern: str) -> Callable[[str], list[int]]:
+    """Ids of a whole text.
+
+    Texts with a very long run of blanks are split by the same pattern in another engine,
+    and each part is encoded by itself, which is what an encoding of the whole does.
+    """
+    import tiktoken
+
+    ranks = {token: rank for rank, token in enumerate(tokens)}
+
+    def encoding(split: str) -> tiktoken.Encoding:
+        return tiktoken.Encoding("given", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+
+    whole = encoding(pattern)
+
+    @cache
+    def by_parts() -> tuple[re.Pattern, tiktoken.Encoding]:
+        import regex
+
+        # The two engines differ in what a blank is unless it is named.
+        named = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        return regex.compile(named), encoding("(?s).+")
+
+    def encode(text: str) -> list[int]:
+        if not LONG_RUN.search(text):
+            return whole.encode_ordinary(text)
+        split, single = by_parts()
+        return [one for part in split.finditer(text) for one in single.encode_ordinary(part.group())]
+
+    return encode
+
+
 def token_spans(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character spans of tokens that have these numbers of bytes."""
     ends = np.cumsum(sizes)
@@ -115,10 +152,7 @@ def section_counts(
     carried = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks = {token: rank for rank, token in enumerate(carried.value)}
-        encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encode = encoder(carried.value, pattern)
         sizes = np.array([len(token) for token in carried.value], np.int64)
         for part in slices(batches):
             columns: list[list[np.ndarray]] = [[] for _ in range(7)]
@@ -130,7 +164,7 @@ def section_counts(
                     spans = [tuple(one.values()) for one in spans or []]
                 else:
                     spans = sections(text)
-                size = sizes[np.array(encoding.encode_ordinary(text), np.int64)]
+                size = sizes[np.array(encode(text), np.int64)]
                 section, crossing = allocate(*token_spans(text, size), spans, rule)
                 n = len(spans)
                 # One more place, for the tokens outside every section, comes last.

@@ -7,9 +7,10 @@ repeated batch replaces itself and nothing is stored twice or left out.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Mapping
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ PARTITIONS = ("alert_date", "severity")
 DATED_SCHEMA = T.StructType([*ALERT_SCHEMA.fields, T.StructField("alert_date", T.DateType())])
 STORE_SCHEMA = T.StructType([*DATED_SCHEMA.fields, T.StructField("batch", T.StringType())])
 LATEST = 50
+DATE_FOLDER = re.compile(r"/alert_date=(\d{4}-\d{2}-\d{2})/")
 
 
 def alert_id():
@@ -116,7 +118,34 @@ class AlertStore:
         return self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
 
     def recent(self, limit: int = LATEST, severity: str | None = None) -> DataFrame:
-        return latest(self.alerts().select(*ALERT_COLUMNS), limit, severity)
+        """The most recent alerts. Only the newest dates that are sure to hold them are read.
+
+        Dates are counted from the newest on, twice as many at a time, until there are alerts
+        enough; the counts come from the footers of the files. Alerts without a time come last
+        and are read only if all others are too few. Alerts must be stored under one time
+        zone, for their dates to be in the order of their times.
+        """
+        first = self._first_date(limit, severity)
+        found = self.alerts() if first is None else self.alerts().where(F.col("alert_date") >= F.lit(first))
+        return latest(found.select(*ALERT_COLUMNS), limit, severity)
+
+    def _first_date(self, limit: int, severity: str | None) -> date | None:
+        """Oldest date that the latest alerts can have, or None if all are needed."""
+        alerts = self.alerts().where(F.col("alert_date").isNotNull())
+        if severity:
+            alerts = alerts.where(F.col("severity") == severity)
+        # As many as there are folders of dates; the list of files has them all.
+        named = {found for file in self.alerts().inputFiles() if (found := DATE_FOLDER.search(file))}
+        days = sorted({date.fromisoformat(found[1]) for found in named}, reverse=True)
+        total, done, step = 0, 0, 1
+        while done < len(days):
+            span = days[done : done + step]
+            in_span = F.col("alert_date").between(F.lit(span[-1]), F.lit(span[0]))
+            total += alerts.where(in_span).count()
+            if total >= limit:
+                return span[-1]
+            done, step = done + step, 2 * step
+        return None
 
     def count(self) -> int:
         return self.alerts().count()

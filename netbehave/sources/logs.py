@@ -91,8 +91,8 @@ def plain_name(uri: str) -> str:
     return re.sub("^file:/+", "file:/", unquote(uri))
 
 
-def layouts(spark: SparkSession, path: str) -> Layouts:
-    """Layouts of the files of a path, by one job over all of them.
+def layouts(spark: SparkSession, path: str | list[str]) -> Layouts:
+    """Layouts of the files of one or more paths, by one job over all of them.
 
     The first header line of a file counts. What reaches the driver is the list of files,
     which it needs to read them, and one header for each.
@@ -148,6 +148,16 @@ def read_log(
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return empty_log(spark, log_name, tuple(fields))
+    return read_log_files(spark, path, log_name, headerless)
+
+
+def read_log_files(
+    spark: SparkSession,
+    path: str | list[str],
+    log_name: str,
+    headerless: list[str] | None = None,
+) -> DataFrame:
+    """The files of one or more paths as a log, each read by its own header."""
     found = layouts(spark, path)
     for file in found.headerless:
         log.warning("%s has no header and is left out", file)

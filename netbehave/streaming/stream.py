@@ -12,11 +12,15 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from netbehave.sources.alert_store import AlertStore
-from netbehave.sources.logs import CSV_OPTIONS, layouts, text_schema, typed
-from netbehave.sources.schemas import fields_of
+from netbehave.sources.logs import CSV_OPTIONS, empty_log, layouts, read_log_files, text_schema, typed
+from netbehave.sources.schemas import column_name, fields_of
+
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_log_stream(
@@ -41,6 +45,59 @@ def read_log_stream(
     return typed(reader.csv(folder), log_name, names)
 
 
+def stage_log_stream(
+    spark: SparkSession,
+    folder: str,
+    log_name: str,
+    staged: str,
+    checkpoint: str | None = None,
+    max_files: int | None = None,
+    once: bool = False,
+) -> StreamingQuery:
+    """Turn log files of any layouts, as they arrive in a folder, into one Parquet table.
+
+    Each micro-batch looks up the headers of its own files and reads every file by its own
+    header, so layouts may change from file to file. Fields that the log is not known to have
+    become text columns; files without a header are left out with a warning. A batch is a
+    folder of its own, so one that is repeated replaces itself. Read the table as a stream
+    with ``read_staged_stream``.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        # The names of a batch's new files, which Spark's source has listed in the driver too.
+        files = [row["path"] for row in batch.collect()]
+        if files:
+            read_log_files(spark, files, log_name).write.mode("overwrite").parquet(f"{staged}/batch={batch_id}")
+
+    # Nothing but the names is read here: the content is a column that is not asked for.
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    writer = (
+        reader.load(folder).select("path").writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint or checkpoint_location(spark, f"staged-{log_name}"))
+    )
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_staged(
+    spark: SparkSession, staged: str, log_name: str, more: tuple[str, ...] = (), stream: bool = False
+) -> DataFrame:
+    """A table of ``stage_log_stream``, with the fields of the log and ``more`` text fields."""
+    schema = empty_log(spark, log_name).schema
+    for name in more:
+        schema = schema.add(column_name(name), "string")
+    reader = spark.readStream if stream else spark.read
+    rows = reader.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(staged)
+    return rows.drop("batch")
+
+
+def read_staged_stream(
+    spark: SparkSession, staged: str, log_name: str, more: tuple[str, ...] = ()
+) -> DataFrame:
+    return read_staged(spark, staged, log_name, more, stream=True)
+
+
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     """Folder for a stream's progress under the checkpoint folder the session names."""
     root = spark.conf.get("spark.checkpoint.dir", None)

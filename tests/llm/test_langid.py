@@ -67,3 +67,38 @@ def test_odd_rows(spark, odd, none):
     assert {row["lang_pred"] for row in langid.predict(odd, None).collect()} == {"und"}
     assert langid.predict(none, identifier).collect() == []
     assert langid.fit(frame(spark, [(1, "", "aa"), (2, None, "bb"), (3, "x", None)])) is None
+
+
+def test_features_of_many_words_equal_those_of_each():
+    words = ["a", "ab", "the", "ñandú", "日本", "x" * 5000, "", "wörd-with'signs", "\x7f", "\xff"]
+    cores = [word.encode() for word in words] + [b"\xff\xfe", b""]
+    lexicon = {b"the": [0, 2], b"a": [1]}
+    found = langid.features_of(cores, lexicon, langid.BUCKETS + 3)
+    for at, core in enumerate(cores):
+        assert sorted(found.features[found.types == at].tolist()) == sorted(langid.features(core, lexicon))
+    none = langid.features_of([], lexicon, langid.BUCKETS + 3)
+    assert none.n_types == 0 and not len(none.features)
+
+
+def test_document_scores_equal_a_plain_sum(docs, spark):
+    """The share of each language over the words, from the probabilities of whole chains."""
+    texts = ["der hund und die katze sind hier", "the dog and the cat are here", "the hund 12 und . the katze", "a"]
+    rows = [(at, text, "de" if at % 2 == 0 else "en") for at, text in enumerate(texts[:2] * 6)]
+    identifier = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = {row["doc_id"]: row for row in langid.predict(docs(texts), identifier).collect()}
+    weights, transitions = identifier.model.weights[0], identifier.model.transitions
+    for at, text in enumerate(texts):
+        words = text.encode().split()
+        scores = [sum((weights[f] for f in langid.features(langid.core_of(w), identifier.lexicon)), np.zeros(2)) for w in words]
+        totals, weight = np.zeros((len(words), 2)), 0.0
+        for path in itertools.product(range(2), repeat=len(words)):
+            score = sum(scores[n][label] for n, label in enumerate(path))
+            score += sum(transitions[a, b] for a, b in zip(path, path[1:]))
+            weight += np.exp(score)
+            for n, label in enumerate(path):
+                totals[n, label] += np.exp(score)
+        lettered = [bool(langid.LETTER.search(langid.core_of(w).decode())) for w in words]
+        sums = (totals / weight)[lettered].sum(0)
+        best = int(sums.argmax())
+        assert found[at]["lang_pred"] == identifier.langs[best]
+        assert found[at]["score"] == pytest.approx(sums[best] / sums.sum(), abs=1e-6)

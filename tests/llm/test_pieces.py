@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -63,39 +64,73 @@ def plain(known):
     return plain_encoder(known)
 
 
+@pytest.fixture(scope="module")
+def cutter(known):
+    return pieces.cutter_of(known)
+
+
+def pieces_of(known, kept={}):
+    if "all" not in kept:
+        kept["all"] = {row["piece"] for row in known.where("piece IS NOT NULL").collect()}
+    return kept["all"]
+
+
 def spaced(text):
     return " " + (text or "").replace("▁", " ")
 
 
-def test_units_join_to_the_text():
+def test_units_join_to_the_text(cutter):
     for text in TEXTS:
-        units = pieces.units_of(text)
+        units = cutter.units(text)
         assert "".join(units) == spaced(text)
-        assert all(0 < len(unit) <= pieces.MAX_UNIT for unit in units)
-        assert all(" " not in unit[1:] for unit in units)
+        assert all(" " not in unit.lstrip(" ") for unit in units)
 
 
-def test_units_equal_plain_viterbi(spark, known, plain):
-    units = sorted({unit for text in TEXTS for unit in pieces.units_of(text)})
-    frame = spark.createDataFrame([(unit,) for unit in units], "unit string")
+def test_units_equal_plain_viterbi(spark, known, plain, cutter):
+    """Units of one chunk and of several, among them one that ends at the edge of a chunk."""
+    units = {unit for text in TEXTS for unit in cutter.units(text)}
+    draw = random.Random(5)
+    sizes = [pieces.CHUNK + n for n in (-1, 0, 1, 16, 17)] + [2 * pieces.CHUNK, 3 * pieces.CHUNK + 5, 2000]
+    units |= {"".join(draw.choice(signs) for _ in range(n)) for n in sizes for signs in ("a", "ab", "etaoinsh 日", "日本😀é\0")}
+    frame = spark.createDataFrame([(unit,) for unit in sorted(units)], "unit string")
     found = {row["unit"]: row for row in pieces.encoded_units(frame, known).collect()}
-    assert set(found) == set(units)
+    assert set(found) == units
     for unit in units:
         ids, score = plain(unit)
         assert (found[unit]["ids"], found[unit]["score"]) == (ids, score)
 
 
-def test_encode_and_decode(docs, known, plain):
-    given = docs(TEXTS)
-    found = pieces.encode(given, known).cache()
-    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    for row in found.collect():
-        text = TEXTS[row["doc_id"]]
-        assert row["ids"] == [one for unit in pieces.units_of(text) for one in plain(unit)[0]]
-        # The library leaves out the blank in front.
-        assert model.decode(row["ids"]) == spaced(text)[1:]
-    back = by_id(pieces.decoded(found.select("doc_id", "ids"), known))
-    assert {at: row["text"] for at, row in back.items()} == {at: spaced(t) for at, t in enumerate(TEXTS)}
+def test_cuts_are_where_no_piece_lies(known, cutter):
+    rows = [row["piece"] for row in known.where("piece IS NOT NULL").collect()]
+    pairs = {piece[at : at + 2] for piece in rows for at in range(len(piece) - 1)}
+    for piece in rows:
+        assert cutter.starts(pieces.codes_of(piece)).tolist() == [True] + [False] * (len(piece) - 1)
+    for text in MORE:
+        units = cutter.units(text)
+        assert "".join(units) == spaced(text)
+        for left, right in zip(units, units[1:]):
+            assert left[-1] + right[0] not in pairs
+
+
+def test_units_of_a_slice_equal_those_of_each_text(cutter, monkeypatch):
+    texts = [spaced(text) for text in MORE]
+    for _ in range(2):
+        found = pieces.units_of(texts, cutter)
+        assert len(set(found.names)) == len(found.names)
+        for at, text in enumerate(MORE):
+            own = found.which[found.limits[at] : found.limits[at + 1]]
+            assert [found.names[one] for one in own.tolist()] == cutter.units(text)
+        # Once more with hashes that meet.
+        original = np.unique
+        monkeypatch.setattr(pieces.np, "unique", lambda h, **more: original(h % np.uint64(7), **more))
+
+
+def test_settings_are_put_back(spark):
+    name = next(iter(pieces.GROUPING))
+    before = spark.conf.get(name, None)
+    with pytest.raises(KeyError), pieces.settings(spark, pieces.GROUPING):
+        raise KeyError
+    assert spark.conf.get(name, None) == before
 
 
 def test_decodes_ids_of_the_library(spark, known):
@@ -107,34 +142,6 @@ def test_decodes_ids_of_the_library(spark, known):
     }
 
 
-@pytest.mark.parametrize("common", [0, 12, 10_000])
-def test_totals_equal_ids(docs, known, plain, common):
-    """Whichever units are looked up in place, the totals are those of the ids."""
-    texts = TEXTS * 2 + ["the the the of of fox"]
-    found = by_id(pieces.encoded_totals(docs(texts), known, common=common))
-    for at, text in enumerate(texts):
-        units = pieces.units_of(text)
-        ids = [plain(unit) for unit in units]
-        digest = [zlib.crc32("".join(f"{i:04x}" for i in one).encode()) % 65_536 for one, _ in ids]
-        row = found[at]
-        assert row["n_units"] == len(units)
-        assert row["n_pieces"] == sum(len(one) for one, _ in ids)
-        assert np.isclose(row["score"], sum(score for _, score in ids))
-        assert row["checksum"] == sum((n + 1) % pieces.PLACES * d for n, d in enumerate(digest))
-        assert row["round_trip"]
-
-
-def test_odd_rows(odd, none, known):
-    found = pieces.encoded_totals(odd, known)
-    rows = found.collect()
-    assert len(rows) == odd.count()
-    assert all(row["round_trip"] for row in rows)
-    empty = [row for row in rows if row["doc_id"] in (1, 2)]
-    assert [(row["n_units"], row["n_pieces"]) for row in empty] == [(1, 1)] * 2
-    assert pieces.encoded_totals(none, known).collect() == []
-    assert pieces.encode(none, known).collect() == []
-
-
 MORE = TEXTS + [
     "def f(x):\n    if x:\n        return  x\n" + " " * 20 + "end   ",
     "a\n b c     d\n   \n",
@@ -144,27 +151,30 @@ MORE = TEXTS + [
 ]
 
 
-def test_spans_are_cut_where_no_piece_lies(known):
-    for text in MORE:
-        assert "".join(pieces.spans_of(text)) == spaced(text)
-    for row in known.where("piece IS NOT NULL").collect():
-        assert len(pieces.SPAN.findall(row["piece"])) == 1
-
-
 @pytest.mark.parametrize("common", [0, 12, 10_000])
-def test_whole_documents_have_the_best_path(docs, known, plain, common):
+def test_whole_documents_have_the_best_path(docs, known, plain, cutter, common):
     """Ids, text and sums are those of one lattice over the whole text, without any cut."""
     found = by_id(pieces.encoded(docs(MORE * 2), known, common=common))
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert len(found) == 2 * len(MORE)
     for at, text in enumerate(MORE * 2):
         row, (ids, score) = found[at], plain(spaced(text))
         assert row["ids"] == ids
         assert row["text"] == spaced(text) and row["round_trip"]
-        assert (row["n_pieces"], row["n_units"]) == (len(ids), len(pieces.spans_of(text)))
+        # The library leaves out the blank in front.
+        assert model.decode(row["ids"]) == spaced(text)[1:]
+        assert (row["n_pieces"], row["n_units"]) == (len(ids), len(cutter.units(text)))
+        assert row["n_unknown"] == sum(len(plain(c)[0]) > 1 or plain(c)[1] < -20 for c in row["text"] if c not in pieces_of(known))
         assert np.isclose(row["score"], score)
-        paths = [plain(span)[0] for span in pieces.spans_of(text)]
-        digests = [pieces.digest_of(path) for path in paths]
-        assert row["checksum"] == sum((n + 1) % pieces.PLACES * d for n, d in enumerate(digests))
+        assert row["checksum"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("sign", ["a", " ", "\n", "7", "日"])
+def test_long_unbroken_texts(docs, known, sign):
+    text = sign * 60_000
+    row = pieces.encoded(docs([text, "x"]), known).where("doc_id = 0").first()
+    assert row["text"] == " " + text and row["round_trip"]
+    assert row["n_pieces"] < len(text) or sign == "\n"
 
 
 def test_runs_of_blanks_take_one_piece(docs, known):

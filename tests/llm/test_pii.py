@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from netbehave.llm import pii
 from tests.llm.conftest import by_id
@@ -96,3 +99,42 @@ def test_values_next_to_other_groups():
         spans = pii.pseudonyms(text, KEY)
         assert value in [text[start:end] for start, end, *_ in spans], text
         assert value not in pii.replaced(text, spans)
+
+
+@pytest.mark.parametrize("n", [60, 64, 100, 300])
+def test_long_local_parts_are_mixed_throughout(n):
+    """No stretch of a long address stays readable, and the pseudonym turns back."""
+    local = "".join("abcdefghijklmnopqrstuvwxyz"[i % 26] for i in range(n))
+    found = pii.pseudonyms(f"{local}@example.com", KEY)[0][3]
+    same = sum(a == b for a, b in zip(local, found))
+    assert same < n / 6 and sum(a == b for a, b in zip(local[:20], found)) < 7
+    assert pii.pseudonyms(found, KEY, back=True)[0][3] == f"{local}@example.com"
+
+
+def test_long_texts_take_time_in_proportion():
+    day = "on 2024-03-17, "
+    texts = [day * 50_000, "a1B2" * 250_000, "x@" * 200_000, "a" * 1_000_000 + "@b.cd", "a.b-" * 250_000 + "@"]
+    before = time.monotonic()
+    spans = [pii.pseudonyms(text, KEY) for text in texts]
+    assert time.monotonic() - before < 30
+    assert [len(one) for one in spans] == [50_000, 0, 0, 1, 0]
+
+
+def test_addresses_equal_a_search_by_the_pattern():
+    draw = random.Random(8)
+    pattern = pii.COMPILED[0][1]
+    for _ in range(3000):
+        text = "".join(draw.choice("ab1.-_@@ +") for _ in range(draw.randrange(1, 25)))
+        text += draw.choice(["", "@a.bc", "@a-b.c.de "])
+        for at in range(len(text)):
+            want, got = pattern.search(text, at), pii.email_match(text, at)
+            assert (want and want.span()) == (got and got.span()), (text, at)
+
+
+def test_taken_spans_are_in_order_and_disjoint():
+    draw = random.Random(9)
+    parts = ["4111 1111 1111 1111", "2024-03-17", "078-05-1120", "10.0.0.1", "a1@b.cd", "+1 555 123 4567", "12", "-", " "]
+    for _ in range(500):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(1, 12)))
+        spans = pii.pseudonyms(text, KEY)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -109,3 +111,89 @@ def test_tails_behind_rules_are_kept():
     assert secretscan.masked(text, spans) == "x [secret] y"
     for inside in ("abc123", "password=abc123"):
         assert secretscan.all_spans([text], Tagged([inside])) == [(base, base)]
+
+
+def plain_covered(start, end, base):
+    inside = {at for low, high, _ in base for at in range(low, high)}
+    return all(at in inside for at in range(start, end))
+
+
+def test_covered_by_spans_of_the_rules():
+    draw = random.Random(3)
+    for _ in range(2000):
+        base = sorted((low, low + draw.randrange(1, 9), "hex") for low in (draw.randrange(40) for _ in range(draw.randrange(6))))
+        start = draw.randrange(45)
+        end = start + draw.randrange(1, 9)
+        assert secretscan.covered(start, end, secretscan.joined(base)) == plain_covered(start, end, base)
+
+
+def test_many_spans_in_one_text_take_time_in_proportion():
+    base = [(at, at + 3, "hex") for at in range(0, 400_000, 4)]
+    stretches = secretscan.joined(base)
+    before = time.monotonic()
+    assert sum(secretscan.covered(at, at + 2, stretches) for at in range(0, 400_000, 4)) == 100_000
+    assert time.monotonic() - before < 5
+
+
+def letters(c):
+    return "a" <= c <= "z" or "A" <= c <= "Z"
+
+
+def plain_rules(text):
+    """The rules once more, character by character, as (start, end, kind)."""
+    found = []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, signs):
+        end = at
+        while end < len(text) and text[end] in signs:
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):
+        end = None
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(key)].translate(FOLD) == key:
+                rest = at + len(key)
+                rest += rest < len(text) and text[rest] in "\"'"
+                rest = run(rest, " ")
+                if rest < len(text) and text[rest] in ":=":
+                    rest = run(rest + 1, " ")
+                    rest += rest < len(text) and text[rest] in "\"'"
+                    if run(rest, value) > rest:
+                        end = run(rest, value)
+                        if end - rest >= 6:
+                            found.append((at, end, "assign"))
+                        break
+        at = end or at + 1
+    for kind, first, signs, least in (
+        ("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20),
+        ("hex", "", set("0123456789abcdef"), 24),
+    ):
+        at = 0
+        while at < len(text):
+            end = run(at + len(first), signs)
+            if text.startswith(first, at) and end > at + len(first):
+                if end - at >= least:
+                    found.append((at, end, kind))
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda span: (span[0], secretscan.KINDS.index(span[2])))
+
+
+FOLD = {n: n + 32 for n in range(65, 91)}
+
+
+def test_rules_equal_a_plain_reading():
+    draw = random.Random(4)
+    parts = ["password", "PassWD", "secret", "ToKen", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abc", "XY9", "AKIA", "Z" * 9,
+             "0123456789ab", "f" * 12, "é", "ſ", "K", "\n", ".", "-", "A" * 16, "/"]
+    hits = 0
+    for _ in range(6000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(1, 14)))
+        found = secretscan.rule_spans(text)
+        hits += bool(found)
+        assert found == plain_rules(text), text
+    assert hits > 500

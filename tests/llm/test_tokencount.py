@@ -82,3 +82,17 @@ def test_odd_rows(odd, none):
     assert total[1] == total[2] == 0 and total[4] > 30_000
     assert found.where("doc_id = 5").count() == 2
     assert tokencount.section_counts(none, TOKENS, PATTERN).collect() == []
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\x1c", "\u2003", "\x85"])
+def test_long_runs_of_blanks_equal_the_whole_encoding(run):
+    """Beyond the limit from which parts are encoded, and under that of the encoder."""
+    encode = tokencount.encoder(TOKENS, PATTERN)
+    for text in (f"a{run * 70_000}b c", run * 70_000, f"it's{run * 70_000}\n", f"1 {run * 70_000}é"):
+        assert encode(text) == ENCODING.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000 + "x", " \n" * 1_000_000])
+def test_runs_beyond_the_encoder(docs, text):
+    found = tokencount.section_counts(docs([text, "x"]), TOKENS, PATTERN, sections=lambda t: [(0, len(t))]).collect()
+    assert sum(row["n_bytes"] for row in found if row["doc_id"] == 0) == len(text)

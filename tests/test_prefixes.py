@@ -1,0 +1,128 @@
+"""Addresses as numbers, and the longest known prefix, against Python's own reading of both."""
+
+import ipaddress
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from netbehave.functions.addresses import masked_to, masks, prefix_bits, with_bits
+from netbehave.operators.prefixes import enrich_prefixes, known_prefixes
+from tests.test_plans import NEVER, static_plan
+
+
+def bits(text):
+    """Family and the two signed halves, or None."""
+    try:
+        found = ipaddress.ip_address(text)
+    except ValueError:
+        return None
+    if "%" in text:
+        return None
+    value = int(found) << 96 if found.version == 4 else int(found)
+    halves = [value >> 64, value & (1 << 64) - 1]
+    return found.version, *[half - (1 << 64) if half >> 63 else half for half in halves]
+
+
+SPELLINGS = [
+    "0.0.0.0", "255.255.255.255", "128.0.0.1", "1.2.3.4", "01.2.3.4", "1.2.3", "1.2.3.4.5", "1.2.3.256",
+    " 1.2.3.4", "1.2.3.4 ", "", ":", "::", ":::", "::1", "1::", "1::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7",
+    "1:2:3:4:5:6:7:8:9", "1::2::3", "1:2:3:4::5:6:7:8", "1:2:3::5:6:7:8", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff",
+    "FE80::A", "fe80::a%eth0", "12345::", "g::", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4",
+    "::1.2.3", "::01.2.3.4", "1.2.3.4::", "::1.2.3.4:5", "8000::", "::8000:0:0:0", "1:", ":1", "1:2:3:4:5:6:7::",
+    "::2:3:4:5:6:7:8", "::1:2:3:4:5:6:7:8", "a", "1.2.3.x", "１.2.3.4",
+]
+
+
+def test_addresses_are_read_as_python_reads_them(spark):
+    draw = random.Random(1)
+    texts = list(SPELLINGS)
+    for _ in range(300):
+        texts.append(str(ipaddress.IPv4Address(draw.getrandbits(32))))
+        six = ipaddress.IPv6Address(draw.getrandbits(128) & draw.getrandbits(128) & draw.choice([-1, (1 << 64) - 1, -1 << 64]) % (1 << 128))
+        texts += [six.compressed, six.exploded, six.compressed.upper()]
+        texts.append("".join(draw.choice("0123456789af:.") for _ in range(draw.randrange(1, 12))))
+    rows = spark.createDataFrame([(text,) for text in texts] + [(None,)], "text string")
+    found = {row["text"]: row["bits"] for row in with_bits(rows, "text", "bits").collect()}
+    assert found.pop(None) is None
+    assert {text: tuple(one) if one else None for text, one in found.items()} == {text: bits(text) for text in texts}
+
+
+@pytest.mark.parametrize("n_bits", [0, 1, 8, 31, 32, 33, 63, 64, 65, 100, 127, 128])
+def test_masks(spark, n_bits):
+    high, low = masks(n_bits)
+    value = (high % (1 << 64)) << 64 | low % (1 << 64)
+    assert value == (1 << 128) - (1 << 128 - n_bits)
+    row = spark.range(1).select(
+        prefix_bits(F.lit(-1).cast("long"), F.lit(-1).cast("long"), n_bits).alias("a"),
+        masked_to(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.lit(n_bits)).alias("b"),
+    )
+    found = row.first()
+    assert tuple(found["a"]) == tuple(found["b"]) == (high, low)
+
+
+def alerts(spark, addresses):
+    rows = [(at, one, '{"old":1}') for at, one in enumerate(addresses)]
+    return spark.createDataFrame(rows, "n int, dst_ip string, cti_context string")
+
+
+def expected(addresses, indicators):
+    networks = {}
+    for text, confidence in indicators:
+        try:
+            if text is None or text.count("/") > 1 or "%" in text or "." in text.partition("/")[2]:
+                continue
+            network = ipaddress.ip_network(text.strip(), strict=False)
+        except ValueError:
+            continue
+        networks.setdefault(network, []).append((text, confidence))
+    found = []
+    for one in addresses:
+        best = None
+        if one is not None and bits(one):
+            address = ipaddress.ip_address(one)
+            fitting = [n for n in networks if n.version == address.version and address in n]
+            best = max(fitting, key=lambda n: n.prefixlen, default=None)
+        if best is None:
+            found.append({"old": 1})
+            continue
+        known = [c for _, c in networks[best] if c is not None]
+        told = {"prefix": min(t for t, _ in networks[best]), "matches": len(networks[best])}
+        found.append(told | ({"confidence": max(known)} if known else {}))
+    return found
+
+
+def test_longest_prefix_of_nested_ranges(spark):
+    draw = random.Random(2)
+    addresses, indicators = [None, "", "host", "10.0.0.0", "::"], []
+    for _ in range(400):
+        addresses.append(f"10.{draw.randrange(4)}.{draw.randrange(4)}.{draw.randrange(256)}")
+        addresses.append(f"2001:db8:{draw.randrange(3):x}:{draw.randrange(3):x}::{draw.randrange(65536):x}")
+    addresses += ["10.1.1.1"] * 300
+    for _ in range(120):
+        indicators.append((f"{draw.choice(addresses[5:])}/{draw.choice([8, 15, 16, 23, 24, 30, 32])}", draw.choice([None, 1, 2, 3])))
+        indicators.append((f"2001:db8:{draw.randrange(3):x}::/{draw.choice([32, 47, 48, 63, 64, 65, 128])}", draw.randrange(9)))
+    indicators += [("10.2.2.2", 5), ("::/0", None), ("0.0.0.0/1", 1), ("10.0.0.0/33", 9), ("10.0.0.0/", 9)]
+    indicators += [("10.0.0.0/8/8", 9), ("x/8", 9), (None, 9), ("10.0.0.0/-1", 9), ("10.0.0.0/255.0.0.0", 9)]
+    indicators += [("10.1.1.0/24", 4)] * 3
+    known = spark.createDataFrame(indicators, "prefix string, confidence int")
+    found = enrich_prefixes(alerts(spark, addresses), known, "dst_ip").orderBy("n").collect()
+    assert [json.loads(row["cti_context"]) for row in found] == expected(addresses, indicators)
+
+
+def test_no_range_join(spark):
+    known = spark.createDataFrame([("10.0.0.0/8", 1), ("::/0", 2)], "prefix string, confidence int")
+    plan = static_plan(enrich_prefixes(alerts(spark, ["10.0.0.1"]), known, "dst_ip"))
+    assert not [bad for bad in NEVER if bad in plan]
+
+
+def test_no_indicators_and_other_columns(spark):
+    known = spark.createDataFrame([], "prefix string, confidence int")
+    rows = alerts(spark, ["10.0.0.1", None]).withColumn("prefix", F.lit("mine")).withColumn("family", F.lit(4))
+    found = enrich_prefixes(rows, known, "dst_ip")
+    assert found.columns == rows.columns and found.collect() == rows.collect()
+    assert known_prefixes(known).collect() == []
+    some = spark.createDataFrame([("10.0.0.0/8", 1)], "prefix string, confidence int")
+    row = enrich_prefixes(rows, some, "dst_ip").where("dst_ip IS NOT NULL").first()
+    assert row["prefix"] == "mine" and json.loads(row["cti_context"])["prefix"] == "10.0.0.0/8"

@@ -1,0 +1,214 @@
+"""Streams whose state outlives windows, log files of several layouts, alerts by dates."""
+
+import logging
+import os
+import random
+import shutil
+from datetime import date, datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+import netbehave as nb
+from netbehave.sources.alert_store import alert_id, latest
+from netbehave.sources.logs import read_log
+from netbehave.sources.schemas import ALERT_COLUMNS
+from netbehave.streaming.stream import read_staged, read_staged_stream, stage_log_stream
+from tests.conftest import rows_of
+from tests.test_plans import static_plan
+
+SCHEMA = "src_ip string, dst_ip string, ts double"
+DAY = 86_400.0
+START = 1000 * DAY  # a stream's clock begins at 0, so rows of that time would be late
+
+
+def run_stream(spark, result, folder):
+    query = (
+        result.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination(240)
+    assert query.exception() is None
+    return spark.read.schema(result.schema).parquet(f"{folder}/out")
+
+
+def files_in_order(spark, parts, folder, schema=SCHEMA):
+    """One file for each part, older first."""
+    os.makedirs(folder)
+    for at, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}-{at}")
+        name = next(name for name in os.listdir(f"{folder}-{at}") if name.endswith(".parquet"))
+        shutil.copy(f"{folder}-{at}/{name}", f"{folder}/{at}.parquet")
+        os.utime(f"{folder}/{at}.parquet", (1000 + at, 1000 + at))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+# ---------------------------------------------------------------- beaconing
+
+
+@pytest.fixture
+def beats():
+    """Regular and irregular pairs over two days, ties, and one pair with a third of the rows."""
+    draw = random.Random(1)
+    rows = []
+    for pair in range(12):
+        at = START + draw.random() * 1000
+        for _ in range(120):
+            rows.append((f"s{pair % 4}", f"d{pair}", round(at, 3)))
+            at += draw.choice([0, 600, 600 + draw.random(), draw.random() * 3000])
+    rows += [("hot", "d", START + n * 97 % 170_000) for n in range(700)] + [("one", "d", START), (None, "d", START)]
+    return sorted(rows, key=lambda row: row[2])
+
+
+@pytest.mark.parametrize("n_files", [1, 5])
+def test_stateful_beacons_equal_those_of_all_rows(spark, beats, tmp_path, n_files):
+    """Some rows come a file late but within the watermark."""
+    draw = random.Random(2)
+    parts = [[] for _ in range(n_files)]
+    for at, row in enumerate(beats):
+        late = at % 10 == 0 and at * n_files % len(beats) > len(beats) * 0.97
+        parts[min(n_files - 1, at * n_files // len(beats) + late)].append(row)
+    for part in parts:
+        draw.shuffle(part)
+    parts.append([("end", "end", START + 400 * DAY)])
+    stream = files_in_order(spark, parts, str(tmp_path / "log"))
+    found = run_stream(spark, nb.beaconing_stateful(stream, "100 days", "6 hours"), tmp_path)
+    expected = nb.beaconing_features(spark.createDataFrame(beats, SCHEMA))
+    assert rows_of(found) == rows_of(expected)
+    assert expected.count() == 13
+
+
+def test_runs_end_with_a_silence_and_late_rows_are_dropped(spark, tmp_path):
+    beat = [("a", "b", START + 100.0 * n) for n in range(10)]
+    again = [("a", "b", START + DAY + 900.0 + 200.0 * n) for n in range(10)]
+    apart = [("c", "d", START + one) for one in (0, DAY - 1, 2 * DAY - 2, 3 * DAY - 2)]
+    late, end = ("a", "b", START + 50.0), ("end", "end", START + 99 * DAY)
+    parts = [beat + apart[:1], apart[1:2] + again, [*apart[2:], late], [end]]
+    stream = files_in_order(spark, parts, str(tmp_path / "log"))
+    found = run_stream(spark, nb.beaconing_stateful(stream, "1 day", "1 minute"), tmp_path)
+    # The last step of c is a whole day, so it is none of the run's.
+    assert rows_of(found) == [("a", "b", 10, 100.0, 0.0), ("a", "b", 10, 200.0, 0.0), ("c", "d", 3, DAY - 1, 0.0)]
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    rows = [("a", "b", START + 60.0 * n) for n in range(30)]
+    stream = files_in_order(spark, [rows[:10]], str(tmp_path / "log"))
+    run_stream(spark, nb.beaconing_stateful(stream, "1 day"), tmp_path)
+    for at, part in enumerate((rows[10:], [("end", "end", START + 99 * DAY)]), 1):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"more{at}"))
+        name = next(name for name in os.listdir(tmp_path / f"more{at}") if name.endswith(".parquet"))
+        shutil.copy(tmp_path / f"more{at}" / name, tmp_path / "log" / f"{at}.parquet")
+    found = run_stream(spark, nb.beaconing_stateful(stream, "1 day"), tmp_path)
+    assert rows_of(found) == [("a", "b", 30, 60.0, 0.0)]
+
+
+# ---------------------------------------------------------------- log files
+
+
+def write(path, fields, rows, at):
+    path.write_text("\n".join(["#separator \\x09", "#fields\t" + "\t".join(fields), *("\t".join(r) for r in rows), "#close"]) + "\n")
+    os.utime(path, (1000 + at, 1000 + at))
+
+
+def test_layouts_may_change_from_file_to_file(spark, tmp_path, caplog):
+    folder = tmp_path / "conn.log"
+    folder.mkdir()
+    first = ("ts", "uid", "id.orig_h", "id.resp_h", "id.resp_p")
+    turned = ("id.resp_p", "extra", "ts", "id.orig_h", "uid")
+    staged, state = str(tmp_path / "staged"), str(tmp_path / "state")
+
+    def stage():
+        query = stage_log_stream(spark, str(folder), "conn", staged, state, max_files=1, once=True)
+        query.awaitTermination(240)
+        assert query.exception() is None
+
+    write(folder / "a.log", first, [("1.5", "u1", "h", "d", "22"), ("2.5", "u2", "h", "-", "x")], 0)
+    write(folder / "b.log", turned, [("80", "e", "3.5", "i", "u3"), ("-", "(empty)", "4", "i", "u4")], 1)
+    stage()
+    (folder / "c.log").write_text("no header\n")
+    write(folder / "d.log", first, [("9", "u5", "h", "d", "23")], 3)
+    with caplog.at_level(logging.WARNING):
+        stage()
+    assert "c.log has no header" in caplog.text
+    names = ["ts", "uid", "id_orig_h", "id_resp_h", "id_resp_p", "event_time", "extra"]
+    found = read_staged(spark, staged, "conn", ("extra",)).select(names)
+    expected = read_log(spark, str(tmp_path), "conn").select(names)
+    assert rows_of(found) == rows_of(expected)
+    assert found.count() == 5
+    stage()  # nothing new
+    assert found.count() == 5
+
+
+def test_features_of_a_staged_stream(spark, tmp_path):
+    folder = tmp_path / "conn.log"
+    folder.mkdir()
+    fields = ("ts", "uid", "id.orig_h", "id.resp_h", "id.resp_p")
+    for at in range(3):
+        rows = [(str(at * 600 + n), f"u{at}{n}", "h", f"d{n % 2}", str(n)) for n in range(40)]
+        write(folder / f"{at}.log", fields if at != 1 else fields[::-1], rows if at != 1 else [r[::-1] for r in rows], at)
+    write(folder / "z.log", fields, [("9000000", "end", "end", "end", "1")], 9)
+    staged = str(tmp_path / "staged")
+    stage_log_stream(spark, str(folder), "conn", staged, str(tmp_path / "s"), once=True).awaitTermination(240)
+    log = read_staged_stream(spark, staged, "conn")
+    found = run_stream(spark, nb.port_bitmap_windowed(log, "60 seconds"), tmp_path)
+    expected = nb.port_scan_windowed(read_log(spark, str(tmp_path), "conn"), "60 seconds")
+    assert rows_of(found) == rows_of(expected.where("src_ip <> 'end'"))
+    assert [row["distinct_ports"] for row in found.collect()] == [40, 40, 40]
+
+
+# ---------------------------------------------------------------- alerts by dates
+
+
+def alerts_of(spark, times, severity="HIGH"):
+    rows = [(time, "D", severity, "s", None, f"alert {n}", "", "{}", "{}") for n, time in enumerate(times)]
+    schema = (
+        "timestamp timestamp, detector string, severity string, src_ip string, dst_ip string, "
+        "description string, mitre string, evidence string, cti_context string"
+    )
+    return spark.createDataFrame(rows, schema).withColumn("id", alert_id()).select(*ALERT_COLUMNS)
+
+
+@pytest.fixture
+def hundred_days(spark, tmp_path):
+    store = nb.AlertStore(spark, str(tmp_path / "alerts"))
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    times = [start + timedelta(days=day, hours=hour) for day in range(100) for hour in (0, 12)]
+    store.append(alerts_of(spark, times))
+    store.append(alerts_of(spark, [start + timedelta(days=50), None], "LOW"))
+    return store
+
+
+def test_recent_reads_the_newest_dates_alone(hundred_days):
+    """Three alerts lie in the newest date, counted first, and the two before it."""
+    assert hundred_days._first_date(2, "HIGH") == date(2024, 4, 9)
+    assert hundred_days._first_date(3, "HIGH") == date(2024, 4, 7)
+    found = hundred_days.recent(2, "HIGH")
+    (line,) = {line.strip() for line in static_plan(found).splitlines() if "PartitionFilters" in line}
+    assert "(alert_date" in line and ">= 2024-04-09" in line
+    whole = latest(hundred_days.alerts().select(*ALERT_COLUMNS), 2, "HIGH")
+    assert [row["id"] for row in found.collect()] == [row["id"] for row in whole.collect()]
+
+
+@pytest.mark.parametrize(("limit", "severity"), [(1, None), (2, None), (7, "HIGH"), (200, "HIGH"), (500, None), (1, "LOW"), (2, "LOW"), (5, "NONE")])
+def test_recent_equals_the_latest_of_all(hundred_days, limit, severity):
+    found = hundred_days.recent(limit, severity).select("id").collect()
+    whole = latest(hundred_days.alerts().select(*ALERT_COLUMNS), limit, severity).select("id").collect()
+    assert found == whole
+
+
+def test_recent_of_ties_and_of_nothing(spark, tmp_path):
+    store = nb.AlertStore(spark, str(tmp_path / "alerts"))
+    assert store.recent(5).collect() == []
+    tie = datetime(2024, 2, 1, tzinfo=timezone.utc)
+    store.append(alerts_of(spark, [tie] * 30 + [tie - timedelta(seconds=1)] * 30))
+    found = [row["id"] for row in store.recent(35).collect()]
+    whole = [row["id"] for row in latest(store.alerts().select(*ALERT_COLUMNS), 35).collect()]
+    assert found == whole
+    assert "PartitionFilters: [isnotnull(alert_date" in static_plan(store.recent(5))
+
+
+def test_staged_files_are_listed_without_their_content(spark, tmp_path):
+    (tmp_path / "a.log").write_text("#fields\tts\n1\n")
+    reader = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    assert "content" not in static_plan(reader).split("ReadSchema")[1]
+    assert reader.where(F.col("path").endswith("a.log")).count() == 1
