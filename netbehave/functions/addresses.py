@@ -7,10 +7,10 @@ bits count. A prefix of n bits is the same with all further bits cleared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from netbehave.functions.columns import ref
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 DOTTED = rf"{OCTET}(?:\.{OCTET}){{3}}"
@@ -18,6 +18,11 @@ GROUPS = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
 BITS = {4: 32, 6: 128}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dotted_number(text: Column) -> Column:
     """The 32 bits of a dotted address as a non-negative number."""
     parts = F.split(text, r"\.")
@@ -42,57 +47,70 @@ def no_groups() -> Column:
     return F.array().cast("array<string>")
 
 
-def with_bits(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` with a column ``name``: the struct (family, high, low) of the address in
-    ``text``, null for what is no address.
+def plain_groups(text: Column) -> Column:
+    """``text`` in lower case; a dotted end, which stands for the last two groups, as these."""
+
+    def read(last: Column) -> Column:
+        as_groups = let(
+            dotted_number(last),
+            lambda bits: F.concat(
+                F.substring(text, F.lit(1), F.length(text) - F.length(last)),
+                F.hex(F.shiftrightunsigned(bits, 16)),
+                F.lit(":"),
+                F.hex(bits.bitwiseAND(F.lit(0xFFFF))),
+            ),
+        )
+        return F.lower(F.when(last.rlike(f"^{DOTTED}$"), as_groups).otherwise(text))
+
+    return let(F.substring_index(text, ":", -1), read)
+
+
+def digits_of(halves: Column) -> Column:
+    """The 32 digits of an address from its groups before and behind the two colons, or null."""
+    gap = F.size(halves) == 2
+    tail = F.when(gap, padded(F.get(halves, F.lit(1)))).otherwise(no_groups())
+
+    def fill(both: Column) -> Column:
+        missing = F.lit(8) - F.size(both["head"]) - F.size(both["tail"])
+        filled = F.concat(both["head"], F.array_repeat(F.lit("0000"), missing), both["tail"])
+        # Two colons stand for one group at least.
+        fits = F.when(gap, missing >= 1).otherwise(missing == 0)
+        return F.when(fits, F.array_join(filled, ""))
+
+    return let(F.struct(padded(F.get(halves, F.lit(0))).alias("head"), tail.alias("tail")), fill)
+
+
+def address_bits(text: Column) -> Column:
+    """The struct (family, high, low) of an address, null for what is no address.
 
     Octets are decimal numbers without zeros in front. A zone (``%eth0``) is no part of an
-    address. An IPv4 address inside an IPv6 one stays one of family 6. The steps are columns of
-    their own, for each is used several times.
+    address. An IPv4 address inside an IPv6 one stays one of family 6. Values that are used
+    several times are bound once, so that the expression does not grow with its depth.
     """
-    names = rows.columns
-    given, a = ref(text), {step: f"__{name}_{step}" for step in ("last", "plain", "halves", "head", "tail", "digits")}
-    col = {step: F.col(column) for step, column in a.items()}
-    # A dotted end stands for the last two groups.
-    found = rows.withColumn(a["last"], F.substring_index(given, ":", -1))
-    is_dotted = col["last"].rlike(f"^{DOTTED}$")
-    bits = dotted_number(F.when(is_dotted, col["last"]))
-    as_groups = F.concat(
-        F.substring(given, F.lit(1), F.length(given) - F.length(col["last"])),
-        F.hex(F.shiftrightunsigned(bits, 16)),
-        F.lit(":"),
-        F.hex(bits.bitwiseAND(F.lit(0xFFFF))),
-    )
-    plain = F.lower(F.when(is_dotted, as_groups).otherwise(given))
-    formed = f"^(?:{GROUPS})?(?:::(?:{GROUPS})?)?$"
-    found = found.withColumn(a["plain"], F.when(F.contains(given, F.lit(":")), plain))
-    found = found.withColumn(
-        a["halves"], F.when((col["plain"] != "") & col["plain"].rlike(formed), F.split(col["plain"], "::"))
-    )
-    gap = F.size(col["halves"]) == 2
-    found = found.withColumns(
-        {
-            a["head"]: padded(F.get(col["halves"], F.lit(0))),
-            a["tail"]: F.when(gap, padded(F.get(col["halves"], F.lit(1)))).otherwise(no_groups()),
-        }
-    )
-    missing = F.lit(8) - F.size(col["head"]) - F.size(col["tail"])
-    filled = F.concat(col["head"], F.array_repeat(F.lit("0000"), missing), col["tail"])
-    # Two colons stand for one group at least.
-    fits = col["halves"].isNotNull() & F.when(gap, missing >= 1).otherwise(missing == 0)
-    found = found.withColumn(a["digits"], F.when(fits, F.array_join(filled, "")))
     four = F.struct(
         F.lit(4).alias("family"),
-        F.shiftleft(dotted_number(given), 32).alias("high"),
+        F.shiftleft(dotted_number(text), 32).alias("high"),
         F.lit(0).cast("bigint").alias("low"),
     )
-    six = F.struct(
-        F.lit(6).alias("family"),
-        signed(F.substring(col["digits"], 1, 16)).alias("high"),
-        signed(F.substring(col["digits"], 17, 16)).alias("low"),
-    )
-    address = F.when(given.rlike(f"^{DOTTED}$"), four).when(col["digits"].isNotNull(), six)
-    return found.select(*[ref(one) for one in names], address.alias(name))
+
+    def six(digits: Column) -> Column:
+        both = F.struct(
+            F.lit(6).alias("family"),
+            signed(F.substring(digits, 1, 16)).alias("high"),
+            signed(F.substring(digits, 17, 16)).alias("low"),
+        )
+        return F.when(digits.isNotNull(), both)
+
+    formed = f"^(?:{GROUPS})?(?:::(?:{GROUPS})?)?$"
+
+    def grouped(plain: Column) -> Column:
+        is_formed = (plain != "") & plain.rlike(formed)
+        return F.when(is_formed, let(let(F.split(plain, "::"), digits_of), six))
+
+    return (
+        F.when(text.rlike(f"^{DOTTED}$"), four)
+        .when(F.contains(text, F.lit(":")), let(plain_groups(text), grouped))
+    )
 
 
 def masks(n_bits: int) -> tuple[int, int]:

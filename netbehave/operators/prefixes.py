@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netbehave.functions.addresses import BITS, masked_to, prefix_bits, with_bits
+from netbehave.functions.addresses import BITS, address_bits, masked_to, prefix_bits
 from netbehave.functions.columns import ref
 
 KEY = ["family", "n_bits", "high", "low"]
@@ -33,7 +33,7 @@ def known_prefixes(indicators: DataFrame) -> DataFrame:
         bits.alias("bits"),
         F.size(parts).alias("n_parts"),
     ).where("n_parts <= 2")
-    read = with_bits(split, "start", "address").where("address IS NOT NULL")
+    read = split.withColumn("address", address_bits(F.col("start"))).where("address IS NOT NULL")
     family = F.col("address.family")
     most = F.when(family == 4, F.lit(BITS[4])).otherwise(F.lit(BITS[6]))
     length = F.when(F.col("n_parts") == 1, most).when(
@@ -63,7 +63,7 @@ def longest_prefixes(addresses: DataFrame, known: DataFrame, column: str) -> Dat
     if not lengths:
         lengths = [(0, 0)]  # no address is of this family
     distinct = addresses.select(ref(column).alias("given")).where("given IS NOT NULL").distinct()
-    placed = with_bits(distinct, "given", "address").where("address IS NOT NULL")
+    placed = distinct.withColumn("address", address_bits(F.col("given"))).where("address IS NOT NULL")
     keys = F.array(
         *[
             F.struct(
