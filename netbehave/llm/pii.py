@@ -34,6 +34,7 @@ from netbehave.llm.words import map_slices
 ROUNDS = 10
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LOCAL_BLOCK = 512  # characters of the part before the sign that are permuted together
 
 
 # ---------------------------------------------------------------- permutation
@@ -194,8 +195,21 @@ def day(text: str, key: bytes, back: bool) -> str | None:
 
 
 def email(text: str, key: bytes, back: bool) -> str | None:
-    """Letters and digits of the part before the sign are permuted, each among its own."""
+    """Letters and digits of the part before the sign are permuted, each among its own.
+
+    A part of over ``LOCAL_BLOCK`` characters, which no mailbox has, is permuted block by block,
+    so that the work stays in proportion to its length.
+    """
     local, _, domain = text.partition("@")
+    blocks = [local[at : at + LOCAL_BLOCK] for at in range(0, len(local), LOCAL_BLOCK)]
+    made = [local_part(block, "" if not at else f"|{at}|", key, back) for at, block in enumerate(blocks)]
+    if all(one is None for one in made):
+        return None
+    return "".join(block if one is None else one for block, one in zip(blocks, made)) + "@" + domain
+
+
+def local_part(local: str, place: str, key: bytes, back: bool) -> str | None:
+    """``local`` permuted within its format, or None if it has no letter or digit."""
     size, value, places = 1, 0, []
     for c in local:
         if c in "0123456789":
@@ -208,20 +222,20 @@ def email(text: str, key: bytes, back: bool) -> str | None:
         size, value = size * radix, value * radix + number
     if size < 2:
         return None
-    value = permuted(key, f"email{local_shape(local)}", size, value, back)
+    value = permuted(key, f"email{place}{local_shape(local)}", size, value, back)
     new = []
     for radix in reversed(places):
         value, number = divmod(value, radix)
         new.append(str(number) if radix == 10 else LETTERS[number])
     fill = iter(reversed(new))
-    made = ""
+    made = []
     for c in local:
         if c.isascii() and c.isalnum():
             d = next(fill)
-            made += d.upper() if c.isupper() else d
+            made.append(d.upper() if c.isupper() else d)
         else:
-            made += c
-    return f"{made}@{domain}"
+            made.append(c)
+    return "".join(made)
 
 
 def local_shape(local: str) -> str:

@@ -1,5 +1,9 @@
+import itertools
 import random
 
+import numpy as np
+import pytest
+
 from netbehave.llm import langid
 from tests.llm.conftest import by_id
 
