@@ -15,7 +15,9 @@ about fifty bytes a character.
 
 The pieces of the model at hand carry merge ranks and no probabilities, and sums of ranks
 mean nothing. So a piece of rank r gets the logarithm of its share under Zipf's law; a
-model with real scores can be used as it is (``zipf=False``). Decoding needs no scores and
+model with real scores can be used as it is (``zipf=False``). Scores are rounded to multiples of
+``1 / GRID``, so their sums are exact: paths of the same pieces are equal in whatever order they
+are added up and wherever a text is cut. Decoding needs no scores and
 takes ids from any encoder.
 
 ``encoded`` returns the ids of every document, the text they decode to and sums of both. Units
@@ -57,6 +59,7 @@ PARTITIONS_FACTOR = 4  # partitions of units, to each shuffle partition of the s
 # 128 groups on; so many of this size fit in memory.
 GROUPING = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "60000"}
 SLICE = 500_000  # characters that are cut at once
+GRID = 1 << 20  # scores are multiples of 1 / GRID
 ROWS = 1000  # rows that are put together at once
 LONG_MARK = "\0#"
 
@@ -85,6 +88,7 @@ def read_pieces(spark: SparkSession, path: str, zipf: bool = True) -> DataFrame:
             continue
         ordinary += 1
         score = -float(np.log((ordinary + 2.7) * share)) if zipf else model.get_score(at)
+        score = round(score * GRID) / GRID
         text = piece.replace(BLANK, " ")
         rows.append((text, at, score, text.encode()))
     return spark.createDataFrame(rows, "piece string, id int, score double, raw binary")
