@@ -139,6 +139,16 @@ def odd_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of the pages, a third of the rows moved to names of their own below one domain."""
+    page = F.col("page_id")
+    return table(spark, sf_dir, "pages").select(
+        F.when(page % 3 == 0, F.concat(F.lit("X"), page, F.lit(".cdn.Hot.example.")))
+        .otherwise(F.regexp_extract("url", "://([^/?#]*)", 1))
+        .alias("query")
+    )
+
+
 def found(detector: nb.Detector, **logs: DataFrame) -> DataFrame:
     return detector.analyze(logs)
 
@@ -546,6 +556,43 @@ def recent_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest alerts of a table of five appends, of which compaction made one folder."""
+    store = nb.AlertStore(spark, f"{scratch(spark)}/alerts")
+    alerts = dated_alerts(spark, sf_dir)
+    for part in range(5):
+        store.append(alerts.where(F.pmod(F.xxhash64("id"), F.lit(5)) == part), f"part-{part}")
+    store.compact()
+    store.append(alerts, "part-0")
+    store.vacuum(0)
+    return store.alerts().groupBy(F.col("alert_date"), F.col("severity")).agg(
+        F.count("*").alias("alerts"), F.count_distinct("id").alias("ids"), F.count_distinct("batch").alias("folders")
+    )
+
+
+def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts by detector and severity after a run that is repeated, and as the runs count them."""
+    folder = written_log(spark, sf_dir, log_columns() | {"id.resp_p": F.col("dst_port").cast("string")})
+    store = nb.AlertStore(spark, f"{folder}/alerts")
+    runs = []
+    for _ in range(2):
+        runs.append(nb.run(spark, folder, [PORT_SCAN, BEACONING], store, once=True))
+        runs[-1].release()
+    counted = F.coalesce(
+        *[
+            F.when((F.col("detector") == name) & (F.col("severity") == severity), F.lit(n))
+            for (name, severity), n in runs[0].counts.items()
+        ],
+        F.lit(0),
+    )
+    return (
+        store.alerts()
+        .groupBy("detector", "severity")
+        .agg(F.count("*").alias("alerts"))
+        .withColumns({"counted": counted.cast("bigint"), "repeated": F.lit(runs[1].stored).cast("bigint")})
+    )
+
+
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written log of two layouts, read as a stream of files and staged."""
     folder = written_log(spark, sf_dir, log_columns())
@@ -639,6 +686,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sketch_span": sketch_span,
         "exfil_sessions": exfil_sessions,
         "recent_from_store": recent_from_store,
+        "compacted_store": compacted_store,
+        "repeated_runs": repeated_runs,
+        "parent_domains": lambda s, d: nb.parent_domain_features(hot_names(s, d), 0.005),
         "log_stream": log_stream,
         "beaconing_stateful": streamed(
             lambda log: nb.beaconing_stateful(log, "400 days"), times=()
@@ -998,6 +1048,25 @@ FROM (SELECT CASE WHEN page_id % 9 = 1 THEN '' WHEN page_id % 9 <> 0 THEN url EN
 FROM conn WHERE CAST(event_time AS DATE) BETWEEN '{SPAN[0]}' AND '{SPAN[1]}' GROUP BY src_ip""",
         "exfil_sessions": WITH_CONN + SESSIONS_SQL,
         "recent_from_store": RECENT_SQL,
+        "compacted_store": """
+SELECT CAST(ts AS DATE) AS alert_date, if(event_type = 'error', 'HIGH', 'LOW') AS severity,
+       count(*) AS alerts, count(*) AS ids, CAST(1 AS BIGINT) AS folders
+FROM events GROUP BY ALL""",
+        "repeated_runs": WITH_CONN
+        + """SELECT detector, severity, count(*) AS alerts, count(*) AS counted,
+       CAST(0 AS BIGINT) AS repeated
+FROM (SELECT * FROM scan_alerts UNION ALL SELECT * FROM beacon_alerts) GROUP BY ALL""",
+        "parent_domains": """
+WITH asked AS (
+  SELECT CASE WHEN page_id % 3 = 0 THEN concat('x', page_id, '.cdn.hot.example')
+              ELSE lower(regexp_extract(url, '://([^/?#]*)', 1)) END AS name FROM pages),
+names AS (SELECT string_split(name, '.') AS labels, count(*) AS n FROM asked GROUP BY name),
+below AS (SELECT labels, n, unnest(range(1, len(labels) + 1)) AS level FROM names)
+SELECT array_to_string(labels[-level:], '.') AS domain, CAST(level AS INTEGER) AS level,
+       CAST(sum(n) AS BIGINT) AS queries, count(*) AS names,
+       round_even(greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0), 3) AS entropy
+FROM below GROUP BY 1, 2
+HAVING sum(n) >= 0.005 * (SELECT count(*) FROM asked)""",
         "log_stream": WITH_CONN + LOG_SQL,
         "beaconing_stateful": WITH_CONN + "SELECT * FROM beacons",
         "exfil_sessions_stream": WITH_CONN + SESSIONS_SQL,

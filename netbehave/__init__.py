@@ -7,6 +7,7 @@ from netbehave.operators.connections import (
     port_scan_features,
 )
 from netbehave.operators.dns import dns_features, text_entropy
+from netbehave.operators.domains import parent_domain_features
 from netbehave.operators.enrich import enrich
 from netbehave.operators.pair_state import beaconing_stateful
 from netbehave.operators.port_bitmaps import merged_ports, port_bitmap_windowed, port_words
@@ -60,6 +61,7 @@ __all__ = [
     "load_logs",
     "merged_ports",
     "new_alert",
+    "parent_domain_features",
     "port_bitmap_windowed",
     "port_scan_features",
     "port_scan_windowed",

@@ -9,4 +9,5 @@ BEACONING = (
     "src_ip string, dst_ip string, n_conns bigint, mean_interval double, jitter double"
 )
 DNS = "src_ip string, query string, qlen int, entropy double"
+PARENTS = "domain string, level int, queries bigint, names bigint, entropy double"
 EXFILTRATION = "src_ip string, dst_ip string, total_orig_bytes decimal(38,0), n_conns bigint"

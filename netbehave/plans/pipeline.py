@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netbehave.constants import SEVERITIES
 from netbehave.plans.detectors import Detector, default_detectors
 from netbehave.sources.alert_store import AlertStore
 from netbehave.sources.logs import load_logs
@@ -21,12 +22,16 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class Run:
-    """Alerts of a run, detectors that failed and the number of stored alerts."""
+    """Alerts of a run, detectors that failed and the number of stored alerts.
+
+    ``counts`` has the stored alerts by detector and severity, as far as there are any.
+    """
 
     alerts: DataFrame
     failures: dict[str, str] = field(default_factory=dict)
     stored: int = 0
     persisted: list[DataFrame] = field(default_factory=list)
+    counts: dict[tuple[str, str], int] = field(default_factory=dict)
 
     def release(self) -> None:
         for frame in self.persisted:
@@ -83,6 +88,20 @@ def stage_logs(logs: Mapping[str, DataFrame], path: str) -> dict[str, DataFrame]
     return staged
 
 
+def store_alerts(
+    store: AlertStore, alerts: DataFrame, detectors: Sequence[Detector], once: bool
+) -> tuple[int, dict[tuple[str, str], int]]:
+    """Append alerts; their number, and that by detector and severity, from the same job."""
+    names = dict.fromkeys(detector.NAME for detector in detectors)
+    pairs = [(name, severity) for name in names for severity in SEVERITIES]
+    counts = {
+        f"{name} {severity}": F.count_if((F.col("detector") == name) & (F.col("severity") == severity))
+        for name, severity in pairs
+    }
+    found = store.append_new(alerts, counts=counts) if once else store.append_counted(alerts, counts)
+    return found["alerts"], {pair: n for pair in pairs if (n := found[" ".join(pair)])}
+
+
 def run(
     spark: SparkSession,
     logs_dir: str,
@@ -91,9 +110,12 @@ def run(
     staging: str | None = None,
     isolate: bool = False,
     fields: Mapping[str, tuple[str, ...]] | None = None,
+    once: bool = False,
 ) -> Run:
     """Load logs, detect and, with a store, append the alerts.
 
+    ``once`` stores only alerts that the store does not have, so that a run may be repeated.
+
     Only the logs of the chosen detectors are looked at. ``fields`` gives the layouts that
     are known, by log; others are looked up in the headers. Files without a header are
     named in ``Run.failures``. Staging parses the text once for all detectors.
@@ -112,13 +134,17 @@ def run(
     failures |= {file: "no header" for file in headerless}
     if not isolate:
         alerts = union(list(plans.values())).persist(StorageLevel.MEMORY_AND_DISK)
-        return Run(alerts, failures, store.append(alerts) if store else 0, [alerts])
+        stored, counts = store_alerts(store, alerts, chosen, once) if store else (0, {})
+        return Run(alerts, failures, stored, [alerts], counts)
 
-    kept, stored = [], 0
+    kept, stored, counts = [], 0, {}
     for position, plan in plans.items():
         plan.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            found = store.append(plan) if store else plan.count()
+            if store:
+                found, by_kind = store_alerts(store, plan, [chosen[position]], once)
+            else:
+                found, by_kind = plan.count(), {}
         except Exception as error:
             log.warning("%s failed: %s", chosen[position].NAME, error)
             failures[place_of(chosen, position)] = str(error)
@@ -127,4 +153,6 @@ def run(
         log.info("%s: %d alerts", chosen[position].NAME, found)
         kept.append(plan)
         stored += found if store else 0
-    return Run(union(kept), failures, stored, kept)
+        for kind, n in by_kind.items():
+            counts[kind] = counts.get(kind, 0) + n
+    return Run(union(kept), failures, stored, kept, counts)
