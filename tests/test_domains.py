@@ -1,0 +1,93 @@
+"""Parent domains against a count by hand."""
+
+import math
+from collections import Counter, defaultdict
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+import netbehave as nb
+
+COLUMNS = ["domain", "level", "queries", "names", "entropy"]
+
+
+def plain(queries, share, levels=127):
+    """The definition, row by row."""
+    names = []
+    for query in queries:
+        if query is not None:
+            name = "".join(c.lower() if "A" <= c <= "Z" else c for c in query)
+            names.append(name[:-1] if name.endswith(".") else name)
+    below = defaultdict(Counter)
+    for name in names:
+        labels = name.split(".") if name else []
+        for level in range(1, min(len(labels), levels) + 1):
+            below[".".join(labels[-level:]), level][name] += 1
+    rows = {}
+    for (domain, level), counts in below.items():
+        total = sum(counts.values())
+        if total >= share * len(names):
+            bits = -sum(c / total * math.log2(c / total) for c in counts.values())
+            rows[domain, level] = (total, len(counts), bits)
+    return rows
+
+
+def check(spark, queries, share=0.0, levels=127):
+    log = spark.createDataFrame([(query,) for query in queries], "query string")
+    result = nb.parent_domain_features(log, share, levels)
+    assert result.columns == COLUMNS
+    found = {(row.domain, row.level): row for row in result.collect()}
+    want = plain(queries, share, levels)
+    assert found.keys() == want.keys()
+    for key, (total, names, bits) in want.items():
+        assert (found[key].queries, found[key].names) == (total, names)
+        assert found[key].entropy == pytest.approx(bits, abs=0.00051)
+    return found
+
+
+def test_a_tunnel_stands_out(spark):
+    queries = [f"x{n}.t.evil.org" for n in range(64)] + ["www.good.org"] * 64
+    found = check(spark, queries, 0.4)
+    assert found["t.evil.org", 3].entropy == 6.0
+    assert found["good.org", 2].entropy == 0.0
+    assert found["org", 1].names == 65
+    assert set(found) == {("org", 1), ("evil.org", 2), ("t.evil.org", 3), ("good.org", 2), ("www.good.org", 3)}
+
+
+def test_odd_names(spark):
+    odd = [None, "", ".", "..", "a", "A.", "a..b", ".a", "é.Ä.x", "a.b", "A.B.", "x." * 300 + "y", "z" * 100_000, "a.b"]
+    check(spark, odd)
+    check(spark, odd, 0.2)
+    check(spark, odd, levels=2)
+
+
+def test_no_rows_and_no_column(spark):
+    assert check(spark, []) == {}
+    assert check(spark, [None, None, ""]) == {}
+    other = spark.createDataFrame([("h",)], "host string")
+    assert nb.parent_domain_features(other).columns == COLUMNS
+    assert nb.parent_domain_features(other).count() == 0
+
+
+def test_clashing_columns(spark):
+    log = spark.createDataFrame([("a.b", 1, "x", 2.0)], "query string, n int, name string, level double")
+    assert {row.domain for row in nb.parent_domain_features(log).collect()} == {"b", "a.b"}
+
+
+def test_shares_count_queries_without_a_domain(spark):
+    assert set(check(spark, ["a", "", "", ""], 0.25)) == {("a", 1)}
+    assert check(spark, ["a", "", "", "", ""], 0.25) == {}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.text("aAb.", max_size=7)), max_size=30), st.sampled_from([0.0, 0.1, 0.5]))
+def test_any_names(spark, queries, share):
+    check(spark, queries, share)
+
+
+def test_counts_are_combined_before_they_are_shuffled(spark):
+    log = spark.createDataFrame([("a.b",)], "query string")
+    plan = nb.parent_domain_features(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_") >= 3
+    assert "collect" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
