@@ -14,6 +14,8 @@ class of the group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 SPAN = 16
@@ -62,9 +64,10 @@ def bias(params: Params) -> np.ndarray:
 
 
 def soft(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=-1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=-1, keepdims=True)
+    """Shares of each row of scores, which are changed."""
+    # Far from what training reaches, and within what an exponential can hold.
+    np.exp(np.clip(scores, -80, 80, out=scores), out=scores)
+    scores /= (scores @ np.ones(scores.shape[-1], scores.dtype))[..., None]
     return scores
 
 
@@ -80,23 +83,23 @@ def gradients(
     them exist, ``target`` (n, SPAN) classes, ``counted`` which of them are predicted,
     ``prior`` the log shares of both steps."""
     scale = np.float32(1 / np.sqrt(WIDTH))
-    x = p["embed"][seen]
-    own = x[:, SPAN:]
-    q, k, v = own @ p["query"] * scale, x @ p["key"], x @ p["value"]
-    blocked = np.where(there, np.float32(0), BLOCKED)[:, None, :]
-    a = soft(q @ k.transpose(0, 2, 1) + bias(p) + blocked)
+    embed = p["embed"]
+    last = seen[:, SPAN:]
+    own = embed[last]
+    # What a token alone decides is worked out once for each.
+    q, k, v = (embed @ p["query"] * scale)[last], (embed @ p["key"])[seen], (embed @ p["value"])[seen]
+    scores = q @ k.transpose(0, 2, 1) + bias(p)
+    if not there.all():
+        scores += np.where(there, np.float32(0), BLOCKED)[:, None, :]
+    a = soft(scores)
     z = a @ v
-    h = own + z @ p["out"]
+    h = flat(own + z @ p["out"])
     r = np.maximum(h @ p["in"] + p["in_bias"], 0)
-    top = h + r @ p["hidden"]
+    rows = h + r @ p["hidden"]
     n = max(1, int(counted.sum()))
     g: Params = {}
-
-    def flat(array: np.ndarray) -> np.ndarray:
-        return array.reshape(-1, array.shape[-1])
-
-    rows, last = flat(top), seen[:, SPAN:].reshape(-1)
-    weight = (counted / n).reshape(-1, 1).astype(top.dtype)
+    last = last.reshape(-1)
+    weight = (counted / n).reshape(-1, 1).astype(rows.dtype)
     goal = target.reshape(-1)
 
     def missed(likely: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
@@ -112,62 +115,88 @@ def gradients(
     g["group"] = rows.T @ d
     dtop = d @ p["group"].T
     g["class"] = np.zeros_like(p["class"])
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
     for one in range(GROUPS):
-        mine = np.flatnonzero(group == one)
-        scores = rows[mine] @ p["class"][:, one] + class_prior[last[mine], one]
+        mine = order[ends[one] : ends[one + 1]]
+        if not len(mine):
+            continue
+        mine_rows = rows[mine]
+        scores = mine_rows @ p["class"][:, one] + class_prior[last[mine], one]
         lost, d = missed(soft(scores), goal[mine] % GROUP, weight[mine])
         loss += lost
-        g["class"][:, one] = rows[mine].T @ d
+        g["class"][:, one] = mine_rows.T @ d
         dtop[mine] += d @ p["class"][:, one].T
-    dtop = dtop.reshape(top.shape)
-    g["hidden"] = flat(r).T @ flat(dtop)
+    g["hidden"] = r.T @ dtop
     dr = (dtop @ p["hidden"].T) * (r > 0)
-    g["in"], g["in_bias"] = flat(h).T @ flat(dr), flat(dr).sum(0)
+    g["in"], g["in_bias"] = h.T @ dr, dr.sum(0)
     dh = dtop + dr @ p["in"].T
-    g["out"] = flat(z).T @ flat(dh)
-    dz = dh @ p["out"].T
+    g["out"] = flat(z).T @ dh
+    dz = (dh @ p["out"].T).reshape(z.shape)
     da = dz @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    ds = a * (da - np.einsum("ijk,ijk->ij", da, a)[:, :, None])
     g["distance"] = np.bincount(DISTANCE[CAUSAL], ds.sum(0)[CAUSAL], 2 * SPAN).astype(np.float32)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    g["query"], g["key"], g["value"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, SPAN:] += dh + dq @ p["query"].T
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], seen.reshape(-1), flat(dx))
+    by_seen = added(
+        np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2), seen, len(embed)
+    )
+    dk, dv = by_seen[:, :WIDTH], by_seen[:, WIDTH:]
+    by_last = added(np.concatenate([flat(ds @ k) * scale, dh], axis=1), last, len(embed))
+    dq, down = by_last[:, :WIDTH], by_last[:, WIDTH:]
+    g["query"], g["key"], g["value"] = embed.T @ dq, embed.T @ dk, embed.T @ dv
+    g["embed"] = dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T + down
     return loss, g
 
 
-def train(
-    seen: np.ndarray,
-    there: np.ndarray,
-    target: np.ndarray,
-    counted: np.ndarray,
-    prior: np.ndarray,
-    steps: int,
-    batch: int = 256,
-    rate: float = 0.01,
-    seed: int = 7,
-) -> Params:
-    """Adam over random batches of windows; ``prior`` stays as it is."""
-    params, shares = initial(seed), steps_of(prior)
-    random = np.random.default_rng(seed)
-    first = {name: np.zeros_like(value) for name, value in params.items()}
-    second = {name: np.zeros_like(value) for name, value in params.items()}
-    for step in range(1, steps + 1):
-        if not len(seen):
-            break
-        chosen = random.integers(0, len(seen), min(batch, len(seen)))
-        rows = (one[chosen] for one in (seen, there, target, counted))
-        _, found = gradients(params, *rows, shares)
-        now = rate * min(1, step / 30) * (1 - 0.9 * step / steps)
+def flat(array: np.ndarray) -> np.ndarray:
+    return array.reshape(-1, array.shape[-1])
+
+
+def added(rows: np.ndarray, tokens: np.ndarray, n_tokens: int) -> np.ndarray:
+    """Sum of the rows of each token."""
+    tokens = tokens.reshape(-1).astype(np.uint16)
+    order = np.argsort(tokens, kind="stable")
+    inside = tokens[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(inside) != 0]))
+    result = np.zeros((n_tokens, rows.shape[-1]), rows.dtype)
+    result[inside[starts]] = np.add.reduceat(flat(rows)[order], starts, axis=0)
+    return result
+
+
+def gradient_sums(
+    params: Params, inputs: np.ndarray, classes: np.ndarray, limits: np.ndarray,
+    prior: tuple[np.ndarray, np.ndarray], batch: int = 256,
+) -> tuple[int, Params]:
+    """Targets of all windows of the texts within ``limits``, and sums of their gradients."""
+    total, sums = 0, {name: np.zeros(value.shape) for name, value in params.items()}
+    for places, there in batches_of_windows(limits, batch):
+        inside = np.clip(places, 0, len(inputs) - 1)
+        seen = np.where(there, inputs[inside], START)
+        counted = there[:, SPAN:]
+        n = int(counted.sum())
+        _, found = gradients(params, seen, there, classes[inside[:, SPAN:]], counted, prior)
+        total += n
+        for name, g in found.items():
+            sums[name] += g.astype(np.float64) * n
+    return total, sums
+
+
+class Adam:
+    """Steps by Adam, of which the first tenth grow and the others shrink."""
+
+    def __init__(self, params: Params, steps: int, rate: float = 0.06):
+        self.params, self.steps, self.rate, self.step = params, steps, rate, 0
+        self.first = {name: np.zeros_like(value) for name, value in params.items()}
+        self.second = {name: np.zeros_like(value) for name, value in params.items()}
+
+    def move(self, found: Params) -> None:
+        self.step += 1
+        step, first, second = self.step, self.first, self.second
+        now = self.rate * min(1, 10 * step / self.steps) * (1 - 0.9 * step / self.steps)
         for name, g in found.items():
             first[name] += 0.1 * (g - first[name])
             second[name] += 0.01 * (g * g - second[name])
             move = first[name] / (1 - 0.9**step)
-            params[name] -= now * move / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-    return params | {"prior": prior}
+            self.params[name] -= now * move / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
 
 
 # ---------------------------------------------------------------- scoring
@@ -197,7 +226,7 @@ class Predictor:
         scores += self.bias
         if not there.all():
             scores += np.where(there, np.float32(0), BLOCKED)[:, None, :]
-        scores -= scores.max(axis=-1, keepdims=True)
+        np.clip(scores, -80, 80, out=scores)
         found = np.exp(scores, out=scores) @ self.value[seen]
         h = (p["embed"][own] + found[:, :, :-1] / found[:, :, -1:]).reshape(-1, WIDTH)
         r = h @ p["in"]
@@ -245,6 +274,14 @@ def window_places(
     return places, (places >= low[:, None]) & (places < high[:, None])
 
 
+def batches_of_windows(limits: np.ndarray, batch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and which of them exist, ``batch`` windows at a time."""
+    first, low, high = windows(limits)
+    for at in range(0, len(first), batch):
+        part = slice(at, at + batch)
+        yield window_places(first[part], low[part], high[part])
+
+
 def log_scores(
     predictor: Predictor, inputs: np.ndarray, classes: np.ndarray, limits: np.ndarray, batch: int = 256
 ) -> np.ndarray:
@@ -253,10 +290,7 @@ def log_scores(
     ``inputs`` holds, at the place of a token, the token before it.
     """
     result = np.zeros(len(inputs))
-    first, low, high = windows(limits)
-    for at in range(0, len(first), batch):
-        part = slice(at, at + batch)
-        places, there = window_places(first[part], low[part], high[part])
+    for places, there in batches_of_windows(limits, batch):
         inside = np.clip(places, 0, len(inputs) - 1)
         found = predictor.log_likely(inputs[inside], there, classes[inside[:, SPAN:]])
         counted = there[:, SPAN:]

@@ -6,8 +6,8 @@ drops blanks and so the ids of a text are those of its words; the commonest ids
 place of their own in the attention model and the others share one, by their counts. How
 often an id follows another inside the words, and how words begin, is the prior that the
 attention model adds to. The
-model is fitted on windows from a bounded sample of training rows and then scores every
-token of every text once, from the window of tokens before it.
+model learns from every token of every training row, in one pass of ``STEPS`` steps, and then
+scores every token of every text once, from the window of tokens before it.
 
 A word's probability is that of its ids under the attention model, mixed with that of the
 base (``MIX``), which knows the word as a whole. The base has one share for all words that
@@ -25,6 +25,7 @@ Columns other than ``doc_id`` and ``text`` are not read by ``score``.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,20 +34,30 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netbehave.llm import attention
-from netbehave.llm.attention import INPUTS, OUTPUTS, RARE, SPAN, START
+from netbehave.llm.attention import INPUTS, OUTPUTS, RARE, START
 from netbehave.llm.tokenfile import WordEncoder
-from netbehave.llm.words import bounds, count_words, lower_words, map_slices, slices, stored, worker_state
+from netbehave.llm.words import (
+    bounds,
+    count_words,
+    lower_words,
+    map_slices,
+    shared_folder,
+    slices,
+    stored,
+    worker_state,
+)
 
 COMMON_WORDS = 400_000
 MIX = 0.5  # weight of the base
-SAMPLE_WINDOWS = 12_000  # bound of the sample that the model is fitted on
-WINDOWS_PER_ROW = 4
-STEPS = 400
+STEPS = 100  # of training, each over a share of all training rows
+PIECES, PIECE_TOKENS = 256, 100_000  # files of a share, at most, and tokens of one, about
+SEED = 7
 SLICE = 500_000
 
 MIXED = (
@@ -189,58 +200,96 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-def sample(training: DataFrame, carried, limit: int) -> list[np.ndarray]:
-    """Windows of ids from at most ``limit / WINDOWS_PER_ROW`` rows, drawn by a hash."""
-    n_rows = training.count()
-    share = min(1.0, 3 * limit / WINDOWS_PER_ROW / max(1, n_rows))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def token_shares(training: DataFrame, carried, end: int, shares: int, pieces: int) -> DataFrame:
+    """Rows (share, draw, tokens): the ids of every row with the end behind, as a written table.
+
+    A hash deals the rows to shares, of which each has at most ``pieces`` files.
+    """
+    kind = np.uint16 if end < 65_536 else np.uint32
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         encoder = encoder_of(carried.value)
-        draws, taken = [], []
-        for text, at in zip(part.column("text").to_pylist(), part.column("draw").to_pylist()):
-            ids, _ = encoder.ids_of_words(lower_words(text))
-            n_windows = -(-(len(ids) + 1) // SPAN)
-            # -1 stands for the start, -2 for the end.
-            framed = np.concatenate([[-1], ids.astype(np.int64), [-2]])
-            for turn in range(min(WINDOWS_PER_ROW, n_windows)):
-                window = zlib.crc32(f"{at}/{turn}".encode()) % n_windows
-                low = max(0, (window - 1) * SPAN)
-                first = window * SPAN
-                draws.append(at + turn * 1e-12)
-                taken.append([first - low, *framed[low : first + SPAN + 1].tolist()])
+        words = [lower_words(text) for text in part.column("text").to_pylist()]
+        encoder.know({word for one in words for word in one})
+        last, get = np.array([end], "<u4").tobytes(), encoder.known.__getitem__
+        tokens = [np.frombuffer(b"".join(map(get, one)) + last, "<u4").astype(kind).tobytes() for one in words]
         return pa.RecordBatch.from_arrays(
-            [pa.array(draws, pa.float64()), pa.array(taken, pa.list_(pa.int64()))], names=["draw", "ids"]
+            [part.column("draw"), pa.array(tokens, pa.binary())], names=["draw", "tokens"]
         )
 
-    near = training.select("text", draw.alias("draw")).where(F.col("draw") < share)
-    drawn = map_slices(near, work, "draw double, ids array<long>")
-    return [np.array(row["ids"]) for row in drawn.orderBy("draw", "ids").limit(limit).collect()]
+    drawn = training.select("text", F.xxhash64("doc_id", "text").alias("draw"))
+    share = F.pmod("draw", F.lit(shares)).cast("int").alias("share")
+    piece = F.pmod(F.xxhash64("draw"), F.lit(pieces)).cast("int").alias("piece")
+    rows = map_slices(drawn, work, "draw long, tokens binary").select(share, piece, "draw", "tokens")
+    dealt = rows.repartition("share", "piece").sortWithinPartitions("share", "draw").drop("piece")
+    folder = shared_folder(training.sparkSession, "tokens")
+    dealt.write.partitionBy("share").parquet(folder)
+    return training.sparkSession.read.schema("draw long, tokens binary, share int").parquet(folder)
 
 
 def fit(
-    windows: list[np.ndarray], vocabulary: Vocabulary, prior: np.ndarray, end: int
-) -> attention.Params:
-    n = len(windows)
-    seen = np.full((n, 2 * SPAN), START)
-    there = np.zeros((n, 2 * SPAN), bool)
-    target = np.zeros((n, SPAN), np.int64)
-    counted = np.zeros((n, SPAN), bool)
-    for row, (before, *ids) in enumerate(windows):
-        tokens = np.array(ids)
-        tokens[tokens == -2] = end
-        inputs = np.where(tokens < 0, START, vocabulary.inputs[tokens])
-        predicted = len(tokens) - 1 - before
-        places = SPAN - before + np.arange(len(tokens) - 1)
-        seen[row, places], there[row, places] = inputs[:-1], True
-        target[row, :predicted] = vocabulary.classes[tokens[before + 1 :]]
-        counted[row, :predicted] = True
-    return attention.train(seen, there, target, counted, prior, STEPS)
+    training: DataFrame, carried, vocabulary: Vocabulary, prior: np.ndarray, end: int, n_tokens: int
+) -> tuple[attention.Params, int]:
+    """The model after one pass over all training rows, and how many tokens it predicted.
+
+    The rows are dealt into ``STEPS`` shares. A step takes the gradient of all windows of
+    the next share, summed by tasks; at most ``PIECES`` sums come to the driver.
+    """
+    spark = training.sparkSession
+    pieces = int(np.clip(-(-n_tokens // (STEPS * PIECE_TOKENS)), 1, PIECES))
+    rows = token_shares(training, carried, end, STEPS, pieces)
+    tables = spark.sparkContext.broadcast((vocabulary.inputs, vocabulary.classes, attention.steps_of(prior)))
+    kind = np.uint16 if end < 65_536 else np.uint32
+    adam, learned = attention.Adam(attention.initial(SEED), STEPS), 0
+    shapes = {name: value.shape for name, value in adam.params.items()}
+
+    def gradient(params: attention.Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            inputs_of, classes_of, shares = tables.value
+            total, sums = 0, np.zeros(sum(value.size for value in params.values()))
+            for part in slices(batches, "tokens"):
+                raw = part.column("tokens").to_pylist()
+                tokens = np.frombuffer(b"".join(raw), kind)
+                limits = bounds([len(one) // tokens.itemsize for one in raw])
+                inputs = np.concatenate([[START], inputs_of[tokens[:-1]]])
+                inputs[limits[:-1]] = START
+                n, found = attention.gradient_sums(params, inputs, classes_of[tokens], limits, shares)
+                total += n
+                sums += np.concatenate([found[name].ravel() for name in params])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([total], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"]
+            )
+
+        return run
+
+    for step in range(STEPS):
+        share = rows.where(F.col("share") == step).select("tokens")
+        parts = share.mapInArrow(gradient(adam.params), "n long, sums binary").collect()
+        n = sum(part["n"] for part in parts)
+        if not n:
+            continue
+        learned += n
+        mean = sum(np.frombuffer(part["sums"]) for part in parts) / n
+        ends = np.cumsum([math.prod(shape) for shape in shapes.values()])
+        found = np.split(mean.astype(np.float32), ends[:-1])
+        adam.move({name: one.reshape(shape) for (name, shape), one in zip(shapes.items(), found)})
+    return adam.params | {"prior": prior}, learned
 
 
 # ---------------------------------------------------------------- scoring
 
 
+def block_of(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+    """Binary values in one block, and where each starts and the last ends."""
+    sizes = pc.binary_length(column).to_numpy()
+    parts = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if len(chunk) else b"")
+    return b"".join(parts), bounds(sizes)
+
+
 class Numbers(dict):
     """Numbers of words; -1 for others."""
 
@@ -342,25 +391,30 @@ def score(docs: DataFrame, training: DataFrame, tokenizer: str, end: int) -> Dat
     by_id[end] += end_count
     vocabulary = Vocabulary.of(by_id)
     prior = class_prior(words, vocabulary, end, end_count)
-    params = fit(sample(training, text, SAMPLE_WINDOWS), vocabulary, prior, end)
+    params, _ = fit(training, text, vocabulary, prior, end, int(by_id.sum()))
 
-    known = commonest(words, COMMON_WORDS).toPandas()
-    raw = [bytes(one) for one in known["ids"]]
+    # One block of words and one of ids instead of an object for each.
+    known = commonest(words, COMMON_WORDS).toArrow()
+    raw, limits = block_of(known.column("word"))
+    raw_ids, id_limits = block_of(known.column("ids"))
     carried = spark.sparkContext.broadcast(
         (
-            [bytes(word) for word in known["word"]],
-            known["n"].to_numpy(np.int64),
-            np.frombuffer(b"".join(raw), "<u4").astype(np.uint16 if n_ids <= 65_536 else np.uint32),
-            np.array([len(one) // 4 for one in raw], np.int64),
+            (raw, limits),
+            known.column("n").to_numpy(),
+            np.frombuffer(raw_ids, "<u4").astype(np.uint16 if n_ids <= 65_536 else np.uint32),
+            np.diff(id_limits) // 4,
             denominator,
             (vocabulary.inputs, vocabulary.classes, vocabulary.shares),
             params,
             end,
         )
     )
+    del known, raw, raw_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*carried.value, text.value)
+        (raw, limits), *tables = carried.value
+        cuts = limits.tolist()
+        scorer = Scorer([raw[a:b] for a, b in zip(cuts, cuts[1:])], *tables, text.value)
         number = TaskContext.get().partitionId() << 40
         for part in slices(batches, size=SLICE):
             texts = part.column("text").to_pylist()

@@ -125,6 +125,36 @@ def test_training_learns(docs, tokenizer, monkeypatch):
     assert scores[1] > scores[0]
 
 
+def test_every_training_token_is_learned_from(spark, docs, tokenizer, monkeypatch):
+    """Long rows whole, short and repeated ones too, each once: a step is that of all windows."""
+    texts = ["one two three " * 200, "four", None, "", "four", "five six seven eight " * 30]
+    rng = np.random.default_rng(4)
+    vocabulary = lm.Vocabulary.of(rng.integers(0, 50, END + 1))
+    prior = np.log(np.full((attention.INPUTS + 2, attention.OUTPUTS + 1), 1 / 257, np.float32))
+    encoder = lm.encoder_of(tokenizer)
+    tokens = [np.append(encoder.ids_of_words(lm.lower_words(text))[0], END).astype(int) for text in texts]
+    n_tokens = sum(map(len, tokens))
+    carried = spark.sparkContext.broadcast(tokenizer)
+    monkeypatch.setattr(lm, "PIECE_TOKENS", 100)
+    for steps in (1, 4):
+        monkeypatch.setattr(lm, "STEPS", steps)
+        params, learned = lm.fit(docs(texts), carried, vocabulary, prior, END, n_tokens)
+        assert learned == n_tokens
+        if steps == 1:
+            limits = np.cumsum([0, *map(len, tokens)])
+            whole = np.concatenate(tokens)
+            inputs = np.concatenate([[attention.START], vocabulary.inputs[whole[:-1]]])
+            inputs[limits[:-1]] = attention.START
+            adam = attention.Adam(attention.initial(lm.SEED), 1)
+            n, sums = attention.gradient_sums(
+                adam.params, inputs, vocabulary.classes[whole], limits, attention.steps_of(prior)
+            )
+            assert n == n_tokens
+            adam.move({name: (g / n).astype(np.float32) for name, g in sums.items()})
+            for name, value in adam.params.items():
+                assert np.allclose(params[name], value, atol=2e-3), name
+
+
 def test_odd_rows(odd, none, tokenizer, monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 2)
     found = lm.score(odd, odd, tokenizer, END).collect()
