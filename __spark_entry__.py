@@ -386,15 +386,21 @@ def log_columns() -> dict[str, Column]:
 
 
 def write_log(rows: DataFrame, path: str, columns: dict[str, Column]) -> None:
-    """Rows as a Zeek log of one file with a header, comment lines and a closing line."""
+    """Rows as a Zeek log of one file for each partition, and one without rows.
+
+    Every file has a header, and the one without rows comment lines and a closing line too.
+    """
     line = F.concat_ws("\t", *columns.values())
     fields = "\t".join(["#fields", *columns])
     marks = rows.sparkSession.createDataFrame(
-        [(0, "#path\tconn"), (1, fields), (2, "#note"), (4, "#close\tnow")], "place int, line string"
+        [("#path\tconn",), (fields,), ("#note",), ("#close\tnow",)], "line string"
     )
-    body = rows.select(F.lit(3).alias("place"), line.alias("line"))
-    ordered = marks.union(body).coalesce(1).sortWithinPartitions("place")
-    ordered.select("line").write.mode("append").text(path)
+    # The lower 33 bits number the rows of a partition.
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    body = rows.select(number.alias("number"), line.alias("line"))
+    headed = F.when(F.col("number") == 0, F.array(F.lit(fields), "line", F.lit("#note"))).otherwise(F.array("line"))
+    files = marks.coalesce(1).union(body.select(F.explode(headed).alias("line")))
+    files.write.mode("append").text(path)
 
 
 def written_log(spark: SparkSession, sf_dir: str, columns: dict[str, Column]) -> str:

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 import netbehave as nb
 from netbehave.sources.logs import layouts
@@ -208,3 +209,20 @@ def test_only_used_columns_are_parsed(spark, logs):
     plan = nb.exfil_features(conn)._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.index("ReadSchema") :]
     assert "orig_bytes" in scan and "history" not in scan and "ts:" not in scan
+
+
+def test_driver_logs_are_written_by_all_tasks(spark, tmp_path):
+    """A file for each partition with rows, each with a header, and one where there are none."""
+    import __spark_entry__ as entry
+
+    columns = {"ts": F.col("id").cast("string"), "uid": F.concat(F.lit("u"), F.col("id").cast("string"))}
+    rows = spark.range(0, 1000, 1, 5).where("id >= 200")
+    entry.write_log(rows, f"{tmp_path}/conn.log", columns)
+    files = list((tmp_path / "conn.log").glob("part-*"))
+    assert len(files) == 5 and all(file.read_text().startswith(("#fields\tts\tuid\n", "#path")) for file in files)
+    found = nb.read_log(spark, str(tmp_path), "conn").select("ts", "uid")
+    assert sorted(map(tuple, found.collect())) == [(float(n), f"u{n}") for n in range(200, 1000)]
+    (tmp_path / "none").mkdir()
+    entry.write_log(rows.where("id < 0"), f"{tmp_path}/none/conn.log", columns)
+    log = nb.read_log(spark, f"{tmp_path}/none", "conn")
+    assert log.columns == ["ts", "uid", "event_time"] and log.isEmpty()
