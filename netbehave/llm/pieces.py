@@ -58,6 +58,11 @@ PARTITIONS_FACTOR = 4  # partitions of units, to each shuffle partition of the s
 # A group is a unit with some twenty edges of eight bytes. By default Spark sorts on disk from
 # 128 groups on; so many of this size fit in memory.
 GROUPING = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "60000"}
+# The scores are a literal as long as the model. Spark writes a plan out whenever a stage ends,
+# by default whole, with megabytes for the driver to hold.
+SHORT_PLANS = {"spark.sql.maxPlanStringLength": "20000"}
+# Tables are read once or twice and lie on disk until the end.
+SMALL_TABLES = {"spark.sql.parquet.compression.codec": "zstd"}
 SLICE = 500_000  # characters that are cut at once
 GRID = 1 << 20  # scores are multiples of 1 / GRID
 ROWS = 1000  # rows that are put together at once
@@ -401,7 +406,7 @@ def unit_values(units: DataFrame, pieces: DataFrame) -> DataFrame:
     dealt = units.select("unit", "text").repartition(n, "unit").distinct()
     dealt = dealt.select("unit", F.coalesce("text", "unit").alias("text"))
     values = encoded_units(dealt, pieces).select("unit", "ids", "score", F.col("n_unknown").alias("unknown"))
-    with settings(spark, GROUPING):
+    with settings(spark, GROUPING | SHORT_PLANS | SMALL_TABLES):
         return stored(values, "unit-values")
 
 
@@ -428,7 +433,8 @@ def common_units(docs: DataFrame, most: int, pieces: list[str]) -> DataFrame:
     near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = docs.where(near).select("text", F.lit(0).alias("one"))
     counted = count_words(sample, "one", Split(pieces)).select(F.decode("word", "UTF-8").alias("unit"), "n")
-    counted = stored(counted, "unit-counts")
+    with settings(docs.sparkSession, SMALL_TABLES):
+        counted = stored(counted, "unit-counts")
     least, total = None, 0
     for row in counted.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect():
         total += row["units"]
@@ -719,7 +725,8 @@ def encoded(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNITS) -> D
         if held:
             yield put_together(pa.Table.from_batches(held), kind, text)
 
-    parts = stored(docs.select("doc_id", "text").mapInArrow(cut, PARTS_SCHEMA), "unit-parts")
+    with settings(spark, SMALL_TABLES):
+        parts = stored(docs.select("doc_id", "text").mapInArrow(cut, PARTS_SCHEMA), "unit-parts")
     rest = parts.where("unit IS NOT NULL")
     values = unit_values(rest, pieces).select("unit", F.col("ids").alias("path"), "score", F.col("unknown").alias("n_unknown"))
     filled = rest.select("row", "unit", "packed").join(values, "unit").drop("unit")

@@ -211,3 +211,19 @@ def test_whole_documents_of_odd_rows(odd, none, known):
     rows = pieces.encoded(odd, known).collect()
     assert len(rows) == odd.count() and all(row["round_trip"] for row in rows)
     assert pieces.encoded(none, known).collect() == []
+
+
+def test_plans_are_not_written_out_with_the_scores(spark, known, monkeypatch):
+    """A plan as the driver keeps it is short, while the literal of the scores is long."""
+    lengths = []
+
+    def seen(df, name):
+        lengths.append(len(df._jdf.queryExecution().toString()))
+        return stored(df, name)
+
+    stored = pieces.stored
+    monkeypatch.setattr(pieces, "stored", seen)
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    pieces.unit_values(spark.createDataFrame([("ab", None)], "unit string, text string"), known).collect()
+    assert max(lengths) < 100_000
+    assert spark.conf.get("spark.sql.maxPlanStringLength") == before
