@@ -23,9 +23,11 @@ takes ids from any encoder.
 ``encoded`` returns the ids of every document, the text they decode to and sums of both. Units
 that are common in a sample of rows, at most ``COMMON_UNITS``, are encoded first and looked up
 where the texts are read; which these are changes no result. Only the others travel, one row
-for each document and unit, to be joined with the encoded units; a document's rows are then
-sorted together and put in place. ``checksum`` is the CRC-32 of a document's ids as
-little-endian 32-bit integers. ``round_trip`` says whether the ids of the whole document decode
+for each slice of documents and unit, to be joined with the encoded units; what a task of the
+join has for a slice goes back in one row, and the rows of a slice are sorted together and put
+in place. Where its units belong stays with the slice, as a number for each; common units have
+the same number everywhere. Sums are those of the ids put together. ``checksum`` is the CRC-32
+of a document's ids as little-endian 32-bit integers. ``round_trip`` says whether the ids of the whole document decode
 to its text.
 
 Results for odd rows: a null text is encoded as an empty one, which is a single blank. The
@@ -36,7 +38,6 @@ gives no rows. Columns other than ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import hashlib
-import json
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -44,11 +45,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netbehave.llm.words import bounds, count_words, ragged, slices, stored
+from netbehave.llm.words import bounds, count_words, folders_of, ragged, remove, shared_folder, slices, stored
 
 BLANK = "▁"
 CHUNK = 256  # ends that one fold takes; units that are longer are known by a hash
@@ -58,15 +61,18 @@ PARTITIONS_FACTOR = 4  # partitions of units, to each shuffle partition of the s
 # A group is a unit with some twenty edges of eight bytes. By default Spark sorts on disk from
 # 128 groups on; so many of this size fit in memory.
 GROUPING = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "60000"}
-# The scores are a literal as long as the model. Spark writes a plan out whenever a stage ends,
-# by default whole, with megabytes for the driver to hold.
+# Spark writes a plan out whenever a stage ends, by default whole, for the driver to hold.
 SHORT_PLANS = {"spark.sql.maxPlanStringLength": "20000"}
-# Tables are read once or twice and lie on disk until the end.
-SMALL_TABLES = {"spark.sql.parquet.compression.codec": "zstd"}
+# What was shuffled for a table is of no use once the table is written.
+SMALL_TABLES = {
+    "spark.sql.parquet.compression.codec": "zstd",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 SLICE = 500_000  # characters that are cut at once
 GRID = 1 << 20  # scores are multiples of 1 / GRID
-ROWS = 1000  # rows that are put together at once
+PACKED_ROWS = 100_000  # encoded units that are packed by slices at once
 LONG_MARK = "\0#"
+BYTE_SCORE = -10.0  # of a byte, from the worst piece on
 
 
 # ---------------------------------------------------------------- pieces and units
@@ -140,7 +146,7 @@ def cutter_of(pieces: DataFrame) -> Cutter:
 
 # An edge is one number: its end (31 bits), 255 less its length (8 bits) and a code (24 bits),
 # so edges sort by their ends and then by their starts. A code is an id or, from ``CHARACTER``
-# on, the number of a character without a piece.
+# on, the number of a character without a piece. Beside it stands the edge's score.
 END, LENGTH, CHARACTER = 32, 24, 1 << 23
 
 
@@ -156,11 +162,12 @@ def code_of(edge: Column) -> Column:
     return edge.bitwiseAND(F.lit((1 << LENGTH) - 1)).cast("int")
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """Rows (unit, chunk, edges): the edges of each ``CHUNK`` ends of a unit, in order.
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, byte_score: float) -> DataFrame:
+    """Rows (unit, chunk, edges): the edges of each ``CHUNK`` ends of a unit, in order, each
+    with its score.
 
     ``units`` are distinct (unit, text). Dealt out by unit, they stay where they are. Every
-    single character has an edge.
+    single character has an edge; without a piece it scores ``byte_score`` for each byte.
     """
     size = F.length("text")
     chunks = F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))
@@ -183,17 +190,18 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
         F.substring(F.col("part"), F.col("end") - F.col("size") - F.col("low") + 1, F.col("size")).alias("piece"),
     )
     # The piece table has as many rows as the model, which bounds the broadcast.
-    known = pieces.where("piece IS NOT NULL").select("piece", "id")
+    known = pieces.where("piece IS NOT NULL").select("piece", "id", "score")
     joined = found.join(F.broadcast(known), "piece", "left").where("id IS NOT NULL OR size = 1")
     edge = (
         F.shiftleft(F.col("end").cast("bigint"), END)
         + F.shiftleft((F.lit(255) - F.col("size")).cast("bigint"), LENGTH)
         + F.coalesce("id", F.ascii("piece") + CHARACTER).cast("bigint")
     )
+    score = F.coalesce("score", F.octet_length("piece") * F.lit(byte_score))
     return (
-        joined.select("unit", "chunk", edge.alias("edge"))
+        joined.select("unit", "chunk", F.struct(edge.alias("edge"), score.alias("score")).alias("scored"))
         .groupBy("unit", "chunk")
-        .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+        .agg(F.sort_array(F.collect_list("scored")).alias("edges"))
     )
 
 
@@ -218,27 +226,15 @@ def character_bytes(number: Column) -> Column:
     )
 
 
-@dataclass
-class Scores:
-    """Scores of edges: an array by id, and that of a byte for characters without a piece."""
-
-    by_id: Column
-    byte: float
-
-    def of(self, edge: Column) -> Column:
-        number = code_of(edge) - CHARACTER
-        n_bytes = F.when(number < 0x80, 1).when(number < 0x800, 2).when(number < 0x10000, 3).otherwise(4)
-        return F.when(number < 0, F.get(self.by_id, code_of(edge))).otherwise(n_bytes * F.lit(self.byte))
-
-
-def forward(edges: Column, tail: Column, base: Column, scores: Scores) -> Column:
+def forward(edges: Column, tail: Column, base: Column) -> Column:
     """Viterbi fold: the ends in ``tail``, of which the first is end ``base``, and those of
     ``edges``, each with its score and last edge."""
 
-    def step(best: Column, edge: Column) -> Column:
+    def step(best: Column, scored: Column) -> Column:
+        edge = scored["edge"]
         start = end_of(edge) - length_of(edge)
         arrived = F.struct(
-            (F.get(best, start - base)["score"] + scores.of(edge)).alias("score"),
+            (F.get(best, start - base)["score"] + scored["score"]).alias("score"),
             edge.alias("edge"),
         )
         size = F.size(best)
@@ -273,7 +269,7 @@ def first_end() -> Column:
     return F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("edge")))
 
 
-def short_path(edges: Column, scores: Scores) -> Column:
+def short_path(edges: Column) -> Column:
     """Score and edges of the best path of a unit of one chunk."""
 
     def path(best: Column) -> Column:
@@ -282,10 +278,10 @@ def short_path(edges: Column, scores: Scores) -> Column:
             F.element_at(best, -1)["score"].alias("score"), backward(last, F.size(best) - 1)["path"].alias("path")
         )
 
-    return let(forward(edges, first_end(), F.lit(0), scores), path)
+    return let(forward(edges, first_end(), F.lit(0)), path)
 
 
-def long_path(chunks: Column, longest: int, scores: Scores) -> Column:
+def long_path(chunks: Column, longest: int) -> Column:
     """Score and edges of the best path of a unit, from the edges of its chunks in order."""
     none = F.array().cast("array<array<bigint>>")
     start = F.struct(first_end().alias("tail"), F.lit(0).alias("done"), none.alias("last"))
@@ -303,7 +299,7 @@ def long_path(chunks: Column, longest: int, scores: Scores) -> Column:
                 F.concat(state["last"], F.array(F.slice(best, known + 1, new)["edge"])).alias("last"),
             )
 
-        return let(forward(edges, tail, state["done"] - known + 1, scores), carried)
+        return let(forward(edges, tail, state["done"] - known + 1), carried)
 
     def path(ended: Column) -> Column:
         def back(state: Column, edges: Column) -> Column:
@@ -330,29 +326,24 @@ def encoded_units(units: DataFrame, pieces: DataFrame) -> DataFrame:
     """
     if "text" not in units.columns:
         units = units.select("unit", F.col("unit").alias("text"))
-    real = pieces.where("piece IS NOT NULL").select("piece", "id", "score").collect()  # as long as the model
+    real = pieces.where("piece IS NOT NULL").select("piece", "score").collect()  # as long as the model
     first_byte = pieces.where("piece IS NULL").agg(F.min("id")).first()[0]
     if first_byte is None:
         raise ValueError("the model has no pieces for bytes")
     longest = max(len(row["piece"]) for row in real)
-    by_id = [0.0] * (1 + max(row["id"] for row in real))
-    for row in real:
-        by_id[row["id"]] = row["score"]
-    # Folded into one literal. A byte is worse than any piece.
-    array = F.from_json(F.lit(json.dumps(by_id)), "array<double>")
-    scores = Scores(array, min(row["score"] for row in real) - 10.0)
+    byte_score = min(row["score"] for row in real) + BYTE_SCORE
 
     def ids(edge: Column) -> Column:
         raw = F.transform(character_bytes(code_of(edge) - CHARACTER), lambda one: one + first_byte)
         return F.when(code_of(edge) < CHARACTER, F.array(code_of(edge))).otherwise(raw)
 
-    grouped = lattice(units, pieces, longest)
+    grouped = lattice(units, pieces, longest, byte_score)
     is_long = F.startswith(F.col("unit"), F.lit(LONG_MARK)) | (F.length("unit") > CHUNK)
-    short = grouped.where(~is_long).select("unit", short_path(F.col("edges"), scores).alias("best"))
+    short = grouped.where(~is_long).select("unit", short_path(F.col("edges")).alias("best"))
     chunks = grouped.where(is_long).groupBy("unit").agg(
         F.sort_array(F.collect_list(F.struct("chunk", "edges"))).alias("chunks")
     )
-    long = chunks.select("unit", long_path(F.col("chunks")["edges"], longest, scores).alias("best"))
+    long = chunks.select("unit", long_path(F.col("chunks")["edges"], longest).alias("best"))
     best = short.union(long).select("unit", "best.score", "best.path")
     n_unknown = F.size(F.filter("path", lambda edge: code_of(edge) >= CHARACTER))
     counted = best.withColumn("n_unknown", n_unknown)
@@ -396,7 +387,7 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 def unit_values(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Rows (unit, ids, score, unknown) of the distinct (unit, text), as a written table.
+    """Rows (unit, ids) of the distinct (unit, text), as a written table.
 
     The work on a unit is many times its size, so units are dealt out over all partitions
     of the session, and everything up to the values happens where they then are.
@@ -405,7 +396,7 @@ def unit_values(units: DataFrame, pieces: DataFrame) -> DataFrame:
     n = PARTITIONS_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = units.select("unit", "text").repartition(n, "unit").distinct()
     dealt = dealt.select("unit", F.coalesce("text", "unit").alias("text"))
-    values = encoded_units(dealt, pieces).select("unit", "ids", "score", F.col("n_unknown").alias("unknown"))
+    values = encoded_units(dealt, pieces).select("unit", "ids")
     with settings(spark, GROUPING | SHORT_PLANS | SMALL_TABLES):
         return stored(values, "unit-values")
 
@@ -442,7 +433,7 @@ def common_units(docs: DataFrame, most: int, pieces: list[str]) -> DataFrame:
             break
         least = row["n"]
     common = counted.where(F.lit(False) if least is None else F.col("n") >= least)
-    return common.select("unit", F.lit(None).cast("string").alias("text"))
+    return common.select("unit", F.lit(None).cast("string").alias("text"), "n")
 
 
 # ---------------------------------------------------------------- units of a slice
@@ -486,30 +477,35 @@ def units_of(texts: list[str], cutter: Cutter) -> Units:
     return Units(names, which, limits)
 
 
-@dataclass
-class Known:
-    """Encoded common units: their numbers, and ids, scores and unknown characters by number."""
+class Model:
+    """What an id decodes to and scores."""
 
-    number: dict[str, int]
-    ids: np.ndarray
-    limits: np.ndarray
-    scores: np.ndarray
-    unknown: np.ndarray
+    def __init__(self, rows: list, worst: float):
+        top = max(row["id"] for row in rows)
+        self.kind = "<u2" if top < 65_536 else "<u4"
+        raw, self.scores = [b""] * (top + 1), np.zeros(top + 1)
+        self.opens = np.zeros(top + 1, bool)  # bytes that begin a character
+        for row in rows:
+            raw[row["id"]] = bytes(row["raw"])
+            is_byte = row["piece"] is None
+            self.scores[row["id"]] = worst if is_byte else row["score"]
+            self.opens[row["id"]] = is_byte and not 0x80 <= raw[row["id"]][0] < 0xC0
+        self.raw, self.limits = np.frombuffer(b"".join(raw), np.uint8), bounds([len(one) for one in raw])
 
 
 # ---------------------------------------------------------------- whole documents
 
+# A slice has one row without a unit, and one for each of its units that are not common. The
+# latter have numbers (``at``). ``packed`` has for each place the number of its common unit, from
+# 1 on by falling counts, or 0; ``others`` has the numbers of the other units in turn.
 PARTS = pa.schema(
     [
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.string()), ("text", pa.string()),
-        ("packed", pa.binary()), ("n_units", pa.int32()), ("n_unknown", pa.int32()),
-        ("score", pa.float64()), ("hash", pa.binary()),
+        ("slice", pa.int64()), ("at", pa.int32()), ("unit", pa.string()), ("text", pa.string()),
+        ("packed", pa.binary()), ("others", pa.binary()), ("docs", pa.binary()),
     ]
 )
-PARTS_SCHEMA = (
-    "row long, doc_id long, unit string, text string, packed binary, n_units int, n_unknown int, "
-    "score double, hash binary"
-)
+PARTS_SCHEMA = "slice long, at int, unit string, text string, packed binary, others binary, docs binary"
+DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_units", "<i8"), ("hash", "V16")])
 ENCODED = pa.schema(
     [
         ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string()),
@@ -538,132 +534,142 @@ def batch_of(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def binaries(raw: bytes, sizes: np.ndarray) -> pa.Array:
-    offsets = bounds(sizes).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 with their first bytes together, and so on, which packs better."""
+    columns = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(columns.tobytes())
 
 
-def cut_slice(part: pa.RecordBatch, row: int, cutter: Cutter, known: Known) -> Iterator[pa.RecordBatch]:
-    """A row for each document with the ids of its common units, and one for each of its others.
+def unsqueezed(content: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(content)
+    columns = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(columns.T).view("<u4").ravel().astype(np.int64)
 
-    The latter tell places among the units and how many of the ids come before each.
-    """
+
+def cut_slice(part: pa.RecordBatch, number: int, cutter: Cutter, known: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """A row for the slice with the numbers of its common units, and one for each of its others."""
     texts = [spaced(text) for text in part.column("text").to_pylist()]
     units = units_of(texts, cutter)
-    found = np.fromiter((known.number.get(name, -1) for name in units.names), np.int64, len(units.names))
+    found = np.fromiter((known.get(name, 0) for name in units.names), np.int64, len(units.names))
+    others = np.flatnonzero(found == 0)
+    numbers = np.zeros(len(found), np.int64)
+    numbers[others] = np.arange(len(others))
     at = found[units.which]
-    hit = at >= 0
-    near = np.where(hit, at, 0)
-    sizes = np.where(hit, np.diff(known.limits)[near], 0) if len(known.number) else np.zeros(len(at), np.int64)
-    before = np.cumsum(sizes) - sizes
-    ids = known.ids[ragged(known.limits[near[hit]], sizes[hit])].tobytes()
-    ends = np.append(before, sizes.sum())[units.limits]
-    width = known.ids.dtype.itemsize
-
-    def summed(values: np.ndarray) -> np.ndarray:
-        taken = np.where(hit, values[near], 0) if len(values) else np.zeros(len(at), values.dtype)
-        return of_groups(taken, units.limits)
-
-    n = len(texts)
-    rows = np.arange(row, row + n)
-    packed = [zlib.compress(ids[a * width : b * width], 1) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    docs = np.zeros(len(texts), DOC)
+    doc_ids = part.column("doc_id")
+    docs["doc_id"] = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    docs["known"] = np.asarray(doc_ids.is_valid())
+    docs["n_units"] = np.diff(units.limits)
+    docs["hash"] = np.frombuffer(b"".join(map(text_hash, texts)), "V16")
     yield batch_of(
         PARTS,
-        n,
-        row=pa.array(rows),
-        doc_id=part.column("doc_id"),
-        packed=pa.array(packed, pa.binary()),
-        n_units=pa.array(np.diff(units.limits)),
-        n_unknown=pa.array(summed(known.unknown)),
-        score=pa.array(summed(known.scores)),
-        hash=pa.array([text_hash(text) for text in texts], pa.binary()),
+        1,
+        slice=pa.array([number]),
+        packed=pa.array([squeezed(at)], pa.binary()),
+        others=pa.array([squeezed(numbers[units.which[at == 0]])], pa.binary()),
+        docs=pa.array([docs.tobytes()], pa.binary()),
     )
-    other = np.flatnonzero(~hit)
-    if not len(other):
+    if not len(others):
         return
-    owner = np.searchsorted(units.limits, other, "right") - 1
-    which = units.which[other]
-    order = np.lexsort((which, owner))
-    other, owner, which = other[order], owner[order], which[order]
-    opens = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(which) != 0)])
-    groups = np.flatnonzero(opens)
-    pairs = np.stack([other - units.limits[owner], before[other] - ends[owner]], 1).astype("<u4")
-    counts = np.diff(np.append(groups, len(other)))
-    names = [units.names[one] for one in which[groups].tolist()]
+    names = [units.names[one] for one in others.tolist()]
     keys = [
         name if len(name) <= CHUNK else LONG_MARK + hashlib.sha256(name.encode()).hexdigest() for name in names
     ]
     yield batch_of(
         PARTS,
-        len(groups),
-        row=pa.array(rows[owner[groups]]),
+        len(others),
+        slice=pa.array(np.full(len(others), number)),
+        at=pa.array(np.arange(len(others))),
         unit=pa.array(keys, pa.string()),
         text=pa.array([name if len(name) > CHUNK else None for name in names], pa.string()),
-        packed=binaries(pairs.tobytes(), counts * 8),
     )
 
 
-def put_together(rows: pa.Table, kind: str, raw: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """Whole documents from their rows, which lie together."""
-    rows = rows.combine_chunks()
-    number = rows.column("row").to_numpy()
-    is_other = np.asarray(rows.column("path").is_valid())
-    own = np.flatnonzero(~is_other)
-    docs = rows.take(pa.array(own))
-    n = len(own)
-    ids = [np.frombuffer(zlib.decompress(one), kind) for one in docs.column("packed").to_pylist()]
-    limits = bounds([len(one) for one in ids])
-    known = np.concatenate([*ids, np.zeros(0, kind)]).astype(np.int32)
-    others = rows.filter(pa.array(is_other))
-    # By place: document, place among its units, ids before it, and the row with its path.
-    packed = others.column("packed").to_pylist()
-    times = np.array([len(one) // 8 for one in packed], np.int64)
-    pairs = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 2).astype(np.int64)
-    order_of_docs = np.argsort(number[own], kind="stable")
-    doc_of_other = order_of_docs[np.searchsorted(number[own][order_of_docs], number[is_other])]
-    source = np.repeat(np.arange(len(times)), times)
-    doc = doc_of_other[source]
-    order = np.lexsort((pairs[:, 0], doc))
-    source, doc, to = source[order], doc[order], (pairs[:, 1] + limits[doc])[order]
-    path = others.column("path").combine_chunks() if len(others) else pa.array([], pa.list_(pa.int32()))
-    path = path.chunk(0) if isinstance(path, pa.ChunkedArray) else path
-    starts, values = path.offsets.to_numpy(), path.values.to_numpy()
-    sizes = np.diff(starts)[source]
-    added = np.cumsum(sizes) - sizes
-    total = len(known) + int(sizes.sum())
-    places = ragged(to + added, sizes)
-    whole = np.empty(total, np.int32)
-    rest = np.ones(total, bool)
-    rest[places] = False
-    whole[places] = values[ragged(starts[:-1][source], sizes)]
-    whole[rest] = known
-    lengths = np.diff(limits) + np.bincount(doc, sizes, n).astype(np.int64)
-    ends = bounds(lengths)
-
-    def summed(name: str) -> np.ndarray:
-        mine = docs.column(name).to_numpy().astype(np.float64)
-        if not len(others):
-            return mine
-        return mine + np.bincount(doc_of_other, times * others.column(name).to_numpy().astype(np.float64), n)
+def pack_by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slice, paths) from rows (slice, at, ids): what a slice has here in one."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        number, at = rows.column("slice").to_numpy(), rows.column("at").to_numpy()
+        order = np.lexsort((at, number))
+        number, at = number[order], at[order]
+        ids = rows.column("ids").chunk(0)
+        starts = ids.offsets.to_numpy()
+        sizes = np.diff(starts)[order]
+        flat = ids.values.to_numpy()[ragged(starts[:-1][order], sizes)]
+        ends = bounds(sizes)
+        opens = np.flatnonzero(np.diff(number, prepend=number[0] - 1)).tolist()
+        packed = [
+            squeezed(np.concatenate([[b - a], np.diff(at[a:b], prepend=0), sizes[a:b], flat[ends[a] : ends[b]]]))
+            for a, b in zip(opens, [*opens[1:], len(number)])
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(number[opens]), pa.array(packed, pa.binary())], names=["slice", "paths"]
+        )
 
-    text_bytes, text_limits = raw
-    widths = np.diff(text_limits)[whole]
-    decoded_bytes = text_bytes[ragged(text_limits[:-1][whole], widths)].tobytes()
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= PACKED_ROWS:
+            yield pack(held)
+            held, n = [], 0
+    if held:
+        yield pack(held)
+
+
+def unpack_paths(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the units of a slice by their numbers, and how many each has."""
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none)]
+    for one in packed:
+        numbers = unsqueezed(one)
+        n = int(numbers[0])
+        found.append((np.cumsum(numbers[1 : n + 1]), numbers[n + 1 : 2 * n + 1], numbers[2 * n + 1 :]))
+    at, sizes, ids = (np.concatenate(column) for column in zip(*found))
+    order = np.argsort(at)
+    if not (at[order] == np.arange(len(at))).all():
+        raise ValueError("a slice needs each of its units once")
+    starts = np.cumsum(sizes) - sizes
+    return ids[ragged(starts[order], sizes[order])], sizes[order]
+
+
+def put_together(
+    own: dict, packed: list[bytes], model: Model, known: tuple[np.ndarray, np.ndarray]
+) -> pa.RecordBatch:
+    """Whole documents of a slice from its own row and the ids of its other units; ``known`` are
+    the ids of the common units and how many each has."""
+    docs = np.frombuffer(own["docs"], DOC)
+    at = unsqueezed(own["packed"])
+    ids, sizes = unpack_paths(packed)
+    # Units of the slice follow the common ones.
+    which = at - 1
+    which[at == 0] = len(known[1]) + unsqueezed(own["others"])
+    ids, sizes = np.concatenate([known[0], ids]), np.concatenate([known[1], sizes])
+    starts, sizes = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    whole = ids[ragged(starts, sizes)].astype(np.int32)
+    n = len(docs)
+    lengths = of_groups(sizes, bounds(docs["n_units"]))
+    ends = bounds(lengths)
+    widths = np.diff(model.limits)[whole]
+    decoded_bytes = model.raw[ragged(model.limits[:-1][whole], widths)].tobytes()
     byte_ends = bounds(widths)[ends].tolist()
     texts = [decoded_bytes[a:b].decode("utf-8", "replace") for a, b in zip(byte_ends, byte_ends[1:])]
     little = whole.astype("<u4").tobytes()
     edges = (4 * ends).tolist()
-    hashes = docs.column("hash").to_pylist()
+    hashes = docs["hash"].tolist()
     return batch_of(
         ENCODED,
         n,
-        doc_id=docs.column("doc_id").combine_chunks(),
+        doc_id=pa.array(docs["doc_id"], mask=docs["known"] == 0),
         ids=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(whole)),
         text=pa.array(texts, pa.string()),
-        n_units=docs.column("n_units").combine_chunks(),
+        n_units=pa.array(docs["n_units"]),
         n_pieces=pa.array(lengths),
-        n_unknown=pa.array(summed("n_unknown").astype(np.int64)),
-        score=pa.array(summed("score")),
+        # Bytes stand for nothing but characters without a piece.
+        n_unknown=pa.array(of_groups(model.opens[whole].astype(np.int64), ends)),
+        score=pa.array(of_groups(model.scores[whole], ends)),
         checksum=pa.array([zlib.crc32(little[a:b]) for a, b in zip(edges, edges[1:])], pa.int64()),
         round_trip=pa.array([text_hash(text) == one for text, one in zip(texts, hashes)]),
     )
@@ -675,63 +681,65 @@ def encoded(docs: DataFrame, pieces: DataFrame, common: int = COMMON_UNITS) -> D
     spark = docs.sparkSession
     context = spark.sparkContext
     rows = pieces.collect()
-    top = max(row["id"] for row in rows)
-    kind = "<u2" if top < 65_536 else "<u4"
     texts = [row["piece"] for row in rows if row["piece"] is not None]
-    raw = [b""] * (top + 1)
-    for row in rows:
-        raw[row["id"]] = bytes(row["raw"])
-    model = context.broadcast((texts, b"".join(raw), bounds([len(one) for one in raw])))
-    del rows, raw
-    table = unit_values(common_units(docs, common, texts), pieces).toArrow()
-    ids = table.column("ids").combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    worst = min(row["score"] for row in rows if row["piece"] is not None) + BYTE_SCORE
+    model = context.broadcast((texts, Model(rows, worst)))
+    del rows
+    counted = common_units(docs, common, texts)
+    values = unit_values(counted, pieces)
+    table = values.join(counted.select("unit", "n"), "unit").select("unit", "ids", "n").toArrow()
+    remove(spark, folders_of(values) + folders_of(counted))
+    table = table.sort_by([("n", "descending"), ("unit", "ascending")]).combine_chunks()
     # One block of names instead of an object for each: at most ``COMMON_UNITS`` rows.
+    names = context.broadcast(
+        ("".join(found := table.column("unit").to_pylist()), bounds([len(name) for name in found]))
+    )
+    kind = model.value[1].kind
     carried = context.broadcast(
         (
-            "".join(names := table.column("unit").to_pylist()),
-            bounds([len(name) for name in names]),
-            ids.values.to_numpy().astype(kind) if len(table) else np.zeros(0, kind),
-            ids.offsets.to_numpy().astype(np.int64) if len(table) else np.zeros(1, np.int64),
-            table.column("score").to_numpy(),
-            table.column("unknown").to_numpy().astype(np.int64),
+            pc.list_flatten(table.column("ids")).to_numpy().astype(kind),
+            pc.list_value_length(table.column("ids")).to_numpy().astype(np.int64),
         )
     )
-    del table, ids, names
+    del table, found
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, limits, *arrays = carried.value
+        joined, limits = names.value
         limits = limits.tolist()
-        number = {names[a:b]: at for at, (a, b) in enumerate(zip(limits, limits[1:]))}
-        known = Known(number, *arrays)
+        known = {joined[a:b]: at for at, (a, b) in enumerate(zip(limits, limits[1:]), 1)}
         cutter = Cutter(model.value[0])
-        row = TaskContext.get().partitionId() << 40
-        for part in slices(batches, size=SLICE):
-            yield from cut_slice(part, row, cutter, known)
-            row += part.num_rows
+        first = TaskContext.get().partitionId() << 40
+        for at, part in enumerate(slices(batches, size=SLICE)):
+            yield from cut_slice(part, first + at, cutter, known)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = np.frombuffer(model.value[1], np.uint8), model.value[2]
-        held: list[pa.RecordBatch] = []
-        few = (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS))
-        for part in few:
-            number = part.column("row").to_numpy()
-            # All rows of the last document may not be here yet.
-            at = int(np.searchsorted(number, number[-1]))
-            if at or (held and held[-1].column("row")[-1].as_py() != number[0]):
-                yield put_together(pa.Table.from_batches([*held, part.slice(0, at)]), kind, text)
-                held = []
-            held.append(part.slice(at))
-        if held:
-            yield put_together(pa.Table.from_batches(held), kind, text)
-
-    with settings(spark, SMALL_TABLES):
-        parts = stored(docs.select("doc_id", "text").mapInArrow(cut, PARTS_SCHEMA), "unit-parts")
-    rest = parts.where("unit IS NOT NULL")
-    values = unit_values(rest, pieces).select("unit", F.col("ids").alias("path"), "score", F.col("unknown").alias("n_unknown"))
-    filled = rest.select("row", "unit", "packed").join(values, "unit").drop("unit")
-    # Only a document's own row has no path.
-    own = parts.where("unit IS NULL").drop("unit", "text")
+        own, packed = None, []
+        # The slice's own row comes first.
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["paths"] is not None:
+                    packed.append(row["paths"])
+                    continue
+                if own is not None:
+                    yield put_together(own, packed, model.value[1], carried.value)
+                own, packed = row, []
+        if own is not None:
+            yield put_together(own, packed, model.value[1], carried.value)
+
+    with settings(spark, SHORT_PLANS | SMALL_TABLES):
+        # In folders of their own, for the units are of no use once their ids are known.
+        folder = shared_folder(spark, "unit-parts")
+        parts = docs.select("doc_id", "text").mapInArrow(cut, PARTS_SCHEMA)
+        parts.withColumn("whole", F.col("unit").isNull()).write.partitionBy("whole").parquet(folder)
+    parts = spark.read.schema(PARTS_SCHEMA + ", whole boolean").parquet(folder)
+    rest = parts.where("NOT whole")
+    values = unit_values(rest, pieces)
+    joined = rest.select("slice", "at", "unit").join(values, "unit").select("slice", "at", "ids")
+    with settings(spark, SHORT_PLANS | SMALL_TABLES):
+        paths = stored(joined.mapInArrow(pack_by_slice, "slice long, paths binary"), "unit-paths")
+    remove(spark, [f"{folder}/whole=false", *folders_of(values)])
+    own = parts.where("whole").select("slice", "packed", "others", "docs")
     n = PARTITIONS_FACTOR * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.unionByName(filled, allowMissingColumns=True).repartition(n, "row").sortWithinPartitions("row")
-    return dealt.mapInArrow(together, ENCODED_SCHEMA)
+    dealt = own.unionByName(paths, allowMissingColumns=True).repartition(n, "slice")
+    first = F.col("paths").isNotNull()
+    return dealt.sortWithinPartitions("slice", first).mapInArrow(together, ENCODED_SCHEMA)

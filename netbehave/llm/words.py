@@ -119,6 +119,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def folders_of(table: DataFrame) -> list[str]:
+    """Folders that a stored table is read from."""
+    return sorted({path.rpartition("/")[0] for path in table.inputFiles()})
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of stored tables that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lower_words(text: str | None) -> list[bytes]:
     return utf8(text).lower().split() if text else []
 

@@ -227,3 +227,33 @@ def test_plans_are_not_written_out_with_the_scores(spark, known, monkeypatch):
     pieces.unit_values(spark.createDataFrame([("ab", None)], "unit string, text string"), known).collect()
     assert max(lengths) < 100_000
     assert spark.conf.get("spark.sql.maxPlanStringLength") == before
+
+
+def test_plans_hold_no_table_of_scores(spark, known):
+    """A literal as long as the model is copied with every plan that the driver keeps."""
+    units = spark.createDataFrame([("ab",)], "unit string")
+    with pieces.settings(spark, {"spark.sql.maxPlanStringLength": str(1 << 30)}):
+        found = pieces.encoded_units(units, known.select("*").coalesce(1))
+        assert len(found._jdf.queryExecution().analyzed().toString()) < 100_000
+
+
+def test_a_document_leaves_no_shuffled_units_and_no_dead_tables(spark, docs, known, tmp_path, monkeypatch):
+    """Behind the whole documents lie their slices and the packed ids, nothing else."""
+    monkeypatch.setattr(pieces, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr("netbehave.llm.words.shared_folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    found = pieces.encoded(docs(MORE * 2), known, common=12)
+    left = {str(path.relative_to(tmp_path)).split("/")[0] for path in tmp_path.rglob("*.parquet")}
+    assert len(left) == 2 and any(name.startswith("unit-paths") for name in left)
+    assert not list(tmp_path.rglob("whole=false/*.parquet"))
+    # What is left is enough, more than once.
+    assert found.count() == found.count() == 2 * len(MORE)
+
+
+def test_slices_send_a_unit_once(spark, docs, known, monkeypatch):
+    """Rows that travel are the distinct units of a slice, however often documents have them."""
+    rows = []
+    real = pieces.unit_values
+    monkeypatch.setattr(pieces, "unit_values", lambda units, known: rows.append(units.count()) or real(units, known))
+    found = by_id(pieces.encoded(docs(["zyx wvu"] * 50, partitions=1), known, common=0))
+    assert all(row["text"] == " zyx wvu" and row["round_trip"] for row in found.values())
+    assert rows[-1] == len(pieces.cutter_of(known).units("zyx wvu"))
