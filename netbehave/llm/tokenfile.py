@@ -80,19 +80,21 @@ class WordEncoder:
         return np.array(found.ids, "<u4")
 
     def learn(self, new: list[bytes]) -> None:
-        texts = [word.decode("utf-8", "surrogatepass") for word in new]
-        apart = [at for at, text in enumerate(texts) if self.SEPARATOR in text]
+        # Words hold no blank, so they are read as one text and parted again.
+        texts = b" ".join(new).decode("utf-8", "surrogatepass").split(" ") if new else []
+        apart = {at for at, text in enumerate(texts) if self.SEPARATOR in text}
         for at in apart:
             self.known[new[at]] = self.ids_of(texts[at]).tobytes()
-        together = sorted(set(range(len(new))).difference(apart)) if apart else range(len(new))
-        for start in range(0, len(together), 500):
-            part = together[start : start + 500]
-            ids = self.ids_of(f" {self.SEPARATOR} ".join([texts[at] for at in part]))
-            cuts = np.flatnonzero(ids == self.mark[0])
-            raw, low = ids.tobytes(), 0
-            for at, cut in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                self.known[new[at]] = raw[4 * low : 4 * cut]
-                low = cut + 1
+        if apart:
+            new = [word for at, word in enumerate(new) if at not in apart]
+            texts = [text for at, text in enumerate(texts) if at not in apart]
+        for start in range(0, len(new), 500):
+            part = slice(start, start + 500)
+            ids = self.ids_of(f" {self.SEPARATOR} ".join(texts[part]))
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark[0])).tolist()
+            starts = [0, *[end + 4 for end in ends]]
+            found = [raw[a:b] for a, b in zip(starts, [*ends, len(raw)], strict=True)]
+            self.known.update(zip(new[part], found, strict=True))
 
     def know(self, words: set[bytes]) -> None:
         """Have the ids of these words at hand."""

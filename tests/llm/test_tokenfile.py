@@ -122,3 +122,11 @@ def test_odd_rows(spark, odd, none, tokenizer):
     first = min(found, key=lambda row: row["start"])
     assert first["doc_id"] is None
     assert tokenfile.token_digests(none, shared_folder(spark, "test"), tokenizer).collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 499, 500, 501, 1200])
+def test_words_learned_together_equal_words_alone(tokenizer, n):
+    words = [f"w{at}~{at}" if at % 7 == 3 else f"Wört-{at}" for at in range(n)] + ["~", "a~b"][: n % 2 * 2]
+    raw = [word.encode("utf-8", "surrogatepass") for word in words]
+    encoder, alone = tokenfile.WordEncoder(tokenizer), tokenfile.WordEncoder(tokenizer)
+    assert encoder.encode_words(raw) == [alone.ids_of(word).tobytes() for word in words]
