@@ -14,7 +14,9 @@ class of the group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -63,14 +65,254 @@ def bias(params: Params) -> np.ndarray:
     return np.where(CAUSAL, params["distance"][np.maximum(DISTANCE, 0)], BLOCKED).astype(np.float32)
 
 
-def soft(scores: np.ndarray) -> np.ndarray:
+class Space:
+    """Arrays by name that are used again: new memory costs more than the sums worked out in it."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype, self.arrays = np.dtype(dtype), {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.arrays or self.arrays[name].size < size:
+            self.arrays[name] = np.empty(size, self.dtype)
+        return self.arrays[name][:size].reshape(shape)
+
+
+@dataclass
+class Batch:
+    """Windows over rows of tokens: one starts every ``step`` rows, and has ``2 * SPAN``.
+
+    With a step of ``SPAN`` windows share rows, which are then worked on once.
+    """
+
+    tokens: np.ndarray  # input token of each row
+    step: int
+    there: np.ndarray | None  # (n, 2 * SPAN), which places exist; None: all but those of ``opens``
+    opens: np.ndarray  # windows without the first ``SPAN`` places
+
+    @classmethod
+    def of(cls, seen: np.ndarray, there: np.ndarray) -> Batch:
+        return cls(seen.reshape(-1), 2 * SPAN, there, np.zeros(0, np.int64))
+
+    def __len__(self) -> int:
+        return (len(self.tokens) - 2 * SPAN) // self.step + 1
+
+    def seen(self, rows: np.ndarray, first: int, width: int) -> np.ndarray:
+        """(n, 2 * SPAN, width) of the rows, which lie in turn, from the column ``first`` on."""
+        row, item = rows.strides
+        shape, strides = (len(self), 2 * SPAN, width), (self.step * row, row, item)
+        return np.ndarray(shape, rows.dtype, rows, first * item, strides)
+
+    def last(self) -> np.ndarray:
+        """Tokens that stand before the predicted ones."""
+        return self.tokens[SPAN:] if self.step == SPAN else self.tokens.reshape(-1, 2 * SPAN)[:, SPAN:].ravel()
+
+    def block(self, scores: np.ndarray) -> None:
+        """Let places that do not exist have no weight in scores (n, SPAN, 2 * SPAN)."""
+        if self.there is not None and not self.there.all():
+            scores += np.where(self.there, np.float32(0), BLOCKED)[:, None, :]
+        scores[self.opens, :, :SPAN] = BLOCKED
+
+    def by_row(self, found: np.ndarray, result: np.ndarray) -> np.ndarray:
+        """Sums over the windows of what was found at their places, by row."""
+        if self.step == 2 * SPAN:
+            return flat(found)
+        n = len(self) * SPAN
+        result[:SPAN] = 0
+        result[SPAN:].reshape(-1, SPAN, found.shape[2])[:] = found[:, SPAN:]
+        result[:n].reshape(-1, SPAN, found.shape[2])[:] += found[:, :SPAN]
+        return result
+
+
+class Tables:
+    """What a token alone decides, worked out once for each: itself, its query and its value.
+
+    Queries are taken to where keys are the embedding itself, values to where they are added.
+    """
+
+    def __init__(self, p: Params):
+        scale = np.float32(1 / np.sqrt(WIDTH))
+        embed = p["embed"]
+        self.mix = p["query"] @ p["key"].T * scale
+        self.through = p["value"] @ p["out"]
+        self.rows = np.concatenate([embed, embed @ self.mix, embed @ self.through], axis=1)
+        self.bias = bias(p)
+        # A block of its own for each group.
+        self.classes = np.ascontiguousarray(p["class"].transpose(1, 0, 2))
+
+
+def exponentials(scores: np.ndarray) -> np.ndarray:
+    """In place. Far from what training reaches, and within what an exponential can hold."""
+    return np.exp(np.clip(scores, -80, 80, out=scores), out=scores)
+
+
+def inverse_sums(powers: np.ndarray, space: Space) -> np.ndarray:
+    """One column."""
+    sums = np.matmul(powers, np.ones((powers.shape[1], 1), powers.dtype), out=space("sums", len(powers), 1))
+    return np.divide(1, sums, out=sums)
+
+
+def soft(scores: np.ndarray, space: Space) -> np.ndarray:
     """Shares of each row of scores, which are changed."""
-    # Far from what training reaches, and within what an exponential can hold.
-    np.exp(np.clip(scores, -80, 80, out=scores), out=scores)
-    scores /= (scores @ np.ones(scores.shape[-1], scores.dtype))[..., None]
+    scores *= inverse_sums(exponentials(scores), space)
+    return scores
+
+
+def taken(table: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows of a table; all of ``at`` are there, and "clip" alone fills ``out`` directly."""
+    return table.take(at, axis=0, out=out, mode="clip")
+
+
+def grouped(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Places in the order of the groups of their classes, the groups in this order, and where
+    each group starts and the last ends. Behind them stand those of the class of all others."""
+    group = (goal // GROUP).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS + 1))])
+    return order, group[order].astype(np.int64), ends.tolist()
+
+
+def group_scores(p: Params, top: np.ndarray, prior: np.ndarray, last: np.ndarray, space: Space) -> np.ndarray:
+    scores = np.matmul(top, p["group"], out=space("group scores", len(top), GROUPS + 1))
+    scores += taken(prior, last, space("group prior", *scores.shape))
     return scores
 
 
+def class_scores(
+    t: Tables, top: np.ndarray, ends: list[int], prior: np.ndarray, at: np.ndarray, space: Space
+) -> np.ndarray:
+    """Scores of the classes of each row's group. Rows are in the order of groups, ``prior`` has
+    a row for each token and group, ``at`` tells which."""
+    scores = space("class scores", len(at), GROUP)
+    for one, (low, high) in enumerate(zip(ends, ends[1:-1])):
+        np.matmul(top[low:high], t.classes[one], out=scores[low:high])
+    scores += taken(prior.reshape(-1, GROUP), at, space("class prior", *scores.shape))
+    return scores
+
+
+@dataclass
+class Seen:
+    """Rows of ``Tables`` of a batch, by window, and what attention makes of them."""
+
+    queries: np.ndarray  # (n, SPAN, WIDTH)
+    keys: np.ndarray  # (n, 2 * SPAN, WIDTH)
+    values: np.ndarray  # (n, 2 * SPAN, WIDTH)
+    powers: np.ndarray  # (n, SPAN, 2 * SPAN), weights before they are divided by their sums
+    inverse: np.ndarray  # (n * SPAN, 1) of the sums
+    found: np.ndarray  # (n * SPAN, WIDTH)
+    state: np.ndarray  # (n * SPAN, WIDTH)
+
+    @classmethod
+    def of(cls, t: Tables, batch: Batch, space: Space) -> Seen:
+        n = len(batch)
+        rows = taken(t.rows, batch.tokens, space("rows", len(batch.tokens), 3 * WIDTH))
+        keys, queries, values = (batch.seen(rows, at * WIDTH, WIDTH) for at in range(3))
+        queries = queries[:, SPAN:]
+        scores = np.matmul(queries, keys.transpose(0, 2, 1), out=space("powers", n, SPAN, 2 * SPAN))
+        scores += t.bias
+        batch.block(scores)
+        inverse = inverse_sums(exponentials(scores).reshape(-1, 2 * SPAN), space).copy()
+        found = np.matmul(scores, values, out=space("found", n, SPAN, WIDTH))
+        flat(found)[:] *= inverse
+        state = np.add(found, keys[:, SPAN:], out=space("state", n, SPAN, WIDTH))
+        return cls(queries, keys, values, scores, inverse, flat(found), flat(state))
+
+
+def hidden_layer(p: Params, h: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """The hidden units and what they make of the state."""
+    r = np.matmul(h, p["in"], out=space("r", len(h), HIDDEN))
+    r += p["in_bias"]
+    np.maximum(r, 0, out=r)
+    top = np.matmul(r, p["hidden"], out=space("top", len(h), WIDTH))
+    top += h
+    return r, top
+
+
+def missed(likely: np.ndarray, right: np.ndarray, weight: np.ndarray) -> float:
+    """Loss of one step, whose shares become its gradient by the scores."""
+    every, at = likely.reshape(-1), np.arange(0, likely.size, likely.shape[1]) + right
+    found = every[at]
+    every[at] = found - 1
+    likely[~weight] = 0
+    return -float(np.log(np.maximum(found, 1e-30)) @ weight)
+
+
+def gradient_sum(
+    p: Params, t: Tables, batch: Batch, target: np.ndarray, counted: np.ndarray,
+    prior: tuple[np.ndarray, np.ndarray], space: Space, by_row: np.ndarray,
+) -> tuple[float, Params]:
+    """Sums over the counted targets of losses and gradients. That of ``embed`` is written to
+    ``by_row``, and those of the attention are by the two products that ``Tables`` makes."""
+    seen = Seen.of(t, batch, space)
+    n = len(seen.state)
+    g: Params = {}
+    # The layers above work on tokens one by one, here in the order of their targets' groups.
+    order, group, ends = grouped(target.reshape(-1))
+    goal, weight, last = target.reshape(-1)[order], counted.reshape(-1)[order], batch.last()[order]
+    group_prior, class_prior = prior
+    h = taken(seen.state, order, space("h", n, WIDTH))
+    r, top = hidden_layer(p, h, space)
+    d = soft(group_scores(p, top, group_prior, last, space), space)
+    loss = missed(d, group, weight)
+    g["group"] = top.T @ d
+    dtop = np.matmul(d, p["group"].T, out=space("dtop", n, WIDTH))
+    inside = slice(ends[GROUPS])
+    at = last[inside] * GROUPS + group[inside]
+    d = soft(class_scores(t, top, ends, class_prior, at, space), space)
+    loss += missed(d, goal[inside] % GROUP, weight[inside])
+    back = space("back", len(d), WIDTH)
+    by_class = np.empty_like(t.classes)
+    for one, (low, high) in enumerate(zip(ends, ends[1:-1])):
+        np.matmul(top[low:high].T, d[low:high], out=by_class[one])
+        np.matmul(d[low:high], t.classes[one].T, out=back[low:high])
+    g["class"] = by_class.transpose(1, 0, 2)
+    dtop[inside] += back
+    g["hidden"] = r.T @ dtop
+    dr = np.matmul(dtop, p["hidden"].T, out=space("dr", n, HIDDEN))
+    dr *= r > 0
+    g["in"], g["in_bias"] = h.T @ dr, np.ones(n, dr.dtype) @ dr
+    dtop += np.matmul(dr, p["in"].T, out=space("from hidden", n, WIDTH))
+    back_to = np.empty(n, np.int64)
+    back_to[order] = np.arange(n)
+    dh = taken(dtop, back_to, space("dh", n, WIDTH))
+
+    scaled = np.multiply(dh, seen.inverse, out=space("scaled", n, WIDTH))
+    windows = scaled.reshape(-1, SPAN, WIDTH)
+    ds = np.matmul(windows, seen.values.transpose(0, 2, 1), out=space("ds", *seen.powers.shape))
+    ds -= np.einsum("ij,ij->i", scaled, seen.found).reshape(-1, SPAN, 1)
+    ds *= seen.powers
+    by_place = (np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)).reshape(CAUSAL.shape)
+    g["distance"] = np.bincount(DISTANCE[CAUSAL], by_place[CAUSAL], 2 * SPAN)
+    places = space("places", len(batch), 2 * SPAN, WIDTH)
+    np.matmul(seen.powers.transpose(0, 2, 1), windows, out=places)
+    dv = batch.by_row(places, space("dv", *by_row.shape))
+    embed = space("rows", len(by_row), 3 * WIDTH)[:, :WIDTH]
+    g["through"] = embed.T @ dv
+    from_value = np.matmul(dv, t.through.T, out=space("from value", *by_row.shape))
+    np.matmul(ds.transpose(0, 2, 1), seen.queries, out=places)
+    np.add(batch.by_row(places, space("dv", *by_row.shape)), from_value, out=by_row)
+    dq = flat(np.matmul(ds, seen.keys, out=space("dq", len(ds), SPAN, WIDTH)))
+    own = slice(SPAN, None)
+    mine = embed[own] if batch.step == SPAN else seen.keys[:, own].reshape(-1, WIDTH)
+    g["mix"] = mine.T @ dq
+    dh += np.matmul(dq, t.mix.T, out=space("from query", n, WIDTH))
+    if batch.step == SPAN:
+        by_row[own] += dh
+    else:
+        by_row.reshape(-1, 2 * SPAN, WIDTH)[:, own] += dh.reshape(-1, SPAN, WIDTH)
+    return loss, g
+
+
+def unmixed(p: Params, g: Params) -> Params:
+    """Gradients of the parameters from those of the products of ``Tables``."""
+    scale = np.float32(1 / np.sqrt(WIDTH))
+    mix, through = g.pop("mix") * scale, g.pop("through")
+    return g | {
+        "query": mix @ p["key"], "key": mix.T @ p["query"],
+        "value": through @ p["out"].T, "out": p["value"].T @ through,
+    }
+
+
 def gradients(
     p: Params,
     seen: np.ndarray,
@@ -82,69 +324,12 @@ def gradients(
     """Mean loss and its gradients. ``seen`` (n, 2 * SPAN) input tokens, ``there`` which of
     them exist, ``target`` (n, SPAN) classes, ``counted`` which of them are predicted,
     ``prior`` the log shares of both steps."""
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    embed = p["embed"]
-    last = seen[:, SPAN:]
-    own = embed[last]
-    # What a token alone decides is worked out once for each.
-    q, k, v = (embed @ p["query"] * scale)[last], (embed @ p["key"])[seen], (embed @ p["value"])[seen]
-    scores = q @ k.transpose(0, 2, 1) + bias(p)
-    if not there.all():
-        scores += np.where(there, np.float32(0), BLOCKED)[:, None, :]
-    a = soft(scores)
-    z = a @ v
-    h = flat(own + z @ p["out"])
-    r = np.maximum(h @ p["in"] + p["in_bias"], 0)
-    rows = h + r @ p["hidden"]
+    space, batch = Space(p["embed"].dtype), Batch.of(seen, there)
+    rows = space("by row", len(batch.tokens), WIDTH)
+    loss, g = gradient_sum(p, Tables(p), batch, target, counted, prior, space, rows)
+    g["embed"] = added(rows, batch.tokens, len(p["embed"]))
     n = max(1, int(counted.sum()))
-    g: Params = {}
-    last = last.reshape(-1)
-    weight = (counted / n).reshape(-1, 1).astype(rows.dtype)
-    goal = target.reshape(-1)
-
-    def missed(likely: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-        """Loss of one step, and its gradient by the scores."""
-        at = likely[np.arange(len(right)), right]
-        lost = -float((np.log(np.maximum(at, 1e-30)) * weight[:, 0]).sum())
-        likely[np.arange(len(right)), right] -= 1
-        return lost, likely * weight
-
-    group = goal // GROUP
-    group_prior, class_prior = prior
-    loss, d = missed(soft(rows @ p["group"] + group_prior[last]), group, weight)
-    g["group"] = rows.T @ d
-    dtop = d @ p["group"].T
-    g["class"] = np.zeros_like(p["class"])
-    order = np.argsort(group.astype(np.uint16), kind="stable")
-    ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for one in range(GROUPS):
-        mine = order[ends[one] : ends[one + 1]]
-        if not len(mine):
-            continue
-        mine_rows = rows[mine]
-        scores = mine_rows @ p["class"][:, one] + class_prior[last[mine], one]
-        lost, d = missed(soft(scores), goal[mine] % GROUP, weight[mine])
-        loss += lost
-        g["class"][:, one] = mine_rows.T @ d
-        dtop[mine] += d @ p["class"][:, one].T
-    g["hidden"] = r.T @ dtop
-    dr = (dtop @ p["hidden"].T) * (r > 0)
-    g["in"], g["in_bias"] = h.T @ dr, dr.sum(0)
-    dh = dtop + dr @ p["in"].T
-    g["out"] = flat(z).T @ dh
-    dz = (dh @ p["out"].T).reshape(z.shape)
-    da = dz @ v.transpose(0, 2, 1)
-    ds = a * (da - np.einsum("ijk,ijk->ij", da, a)[:, :, None])
-    g["distance"] = np.bincount(DISTANCE[CAUSAL], ds.sum(0)[CAUSAL], 2 * SPAN).astype(np.float32)
-    by_seen = added(
-        np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2), seen, len(embed)
-    )
-    dk, dv = by_seen[:, :WIDTH], by_seen[:, WIDTH:]
-    by_last = added(np.concatenate([flat(ds @ k) * scale, dh], axis=1), last, len(embed))
-    dq, down = by_last[:, :WIDTH], by_last[:, WIDTH:]
-    g["query"], g["key"], g["value"] = embed.T @ dq, embed.T @ dk, embed.T @ dv
-    g["embed"] = dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T + down
-    return loss, g
+    return loss / n, {name: value / n for name, value in unmixed(p, g).items()}
 
 
 def flat(array: np.ndarray) -> np.ndarray:
@@ -158,7 +343,7 @@ def added(rows: np.ndarray, tokens: np.ndarray, n_tokens: int) -> np.ndarray:
     inside = tokens[order]
     starts = np.flatnonzero(np.concatenate([[True], np.diff(inside) != 0]))
     result = np.zeros((n_tokens, rows.shape[-1]), rows.dtype)
-    result[inside[starts]] = np.add.reduceat(flat(rows)[order], starts, axis=0)
+    result[inside[starts]] = np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
     return result
 
 
@@ -167,17 +352,27 @@ def gradient_sums(
     prior: tuple[np.ndarray, np.ndarray], batch: int = 256,
 ) -> tuple[int, Params]:
     """Targets of all windows of the texts within ``limits``, and sums of their gradients."""
-    total, sums = 0, {name: np.zeros(value.shape) for name, value in params.items()}
-    for places, there in batches_of_windows(limits, batch):
-        inside = np.clip(places, 0, len(inputs) - 1)
-        seen = np.where(there, inputs[inside], START)
-        counted = there[:, SPAN:]
-        n = int(counted.sum())
-        _, found = gradients(params, seen, there, classes[inside[:, SPAN:]], counted, prior)
-        total += n
+    total, sums = 0, {}
+    tables, space = Tables(params), Space(np.float32)
+    embed = np.zeros(params["embed"].shape)
+    # Many rows are added up at a time, for the sum of a token costs more than a row does.
+    most = 16 * (batch + 1) * SPAN
+    rows, tokens, held = space("by row", most, WIDTH), np.empty(most, np.uint16), 0
+    for part, places, counted in batches_of_windows(inputs, limits, batch):
+        if held + len(part.tokens) > most:
+            embed += added(rows[:held], tokens[:held], len(embed))
+            held = 0
+        here = slice(held, held + len(part.tokens))
+        held, tokens[here] = here.stop, part.tokens
+        _, found = gradient_sum(params, tables, part, classes[places], counted, prior, space, rows[here])
+        total += int(counted.sum())
         for name, g in found.items():
-            sums[name] += g.astype(np.float64) * n
-    return total, sums
+            sums[name] = sums.get(name, 0) + g.astype(np.float64)
+    if held:
+        embed += added(rows[:held], tokens[:held], len(embed))
+    if not total:
+        return 0, {name: np.zeros(value.shape) for name, value in params.items()}
+    return total, unmixed(params, sums) | {"embed": embed}
 
 
 class Adam:
@@ -206,80 +401,59 @@ class Predictor:
     """Log probabilities of classes; what a token alone decides is worked out beforehand."""
 
     def __init__(self, params: Params):
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        embed = params["embed"]
-        self.p = params
-        self.query = embed @ params["query"] * scale
-        self.key = embed @ params["key"]
-        value = embed @ params["value"] @ params["out"]
-        # One more column adds up the weights while the values are.
-        self.value = np.concatenate([value, np.ones_like(value[:, :1])], axis=1)
-        self.bias = bias(params)
-        self.group_prior, class_prior = steps_of(params["prior"])
-        self.class_prior = np.ascontiguousarray(class_prior.transpose(1, 0, 2))
-        self.classes = np.ascontiguousarray(params["class"].transpose(1, 0, 2))
+        self.p, self.tables, self.space = params, Tables(params), Space(np.float32)
+        self.group_prior, self.class_prior = steps_of(params["prior"])
 
     def log_likely(self, seen: np.ndarray, there: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target (n, SPAN)."""
-        p, own = self.p, seen[:, SPAN:]
-        scores = self.query[own] @ self.key[seen].transpose(0, 2, 1)
-        scores += self.bias
-        if not there.all():
-            scores += np.where(there, np.float32(0), BLOCKED)[:, None, :]
-        np.clip(scores, -80, 80, out=scores)
-        found = np.exp(scores, out=scores) @ self.value[seen]
-        h = (p["embed"][own] + found[:, :, :-1] / found[:, :, -1:]).reshape(-1, WIDTH)
-        r = h @ p["in"]
-        r += p["in_bias"]
-        np.maximum(r, 0, out=r)
-        top = h + r @ p["hidden"]
-        last, goal = own.reshape(-1), target.reshape(-1)
-        group = goal // GROUP
-        result = log_share(top @ p["group"] + self.group_prior[last], group)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for one in range(GROUPS):
-            mine = order[ends[one] : ends[one + 1]]
-            if len(mine):
-                scores = top[mine] @ self.classes[one] + self.class_prior[one][last[mine]]
-                result[mine] += log_share(scores, goal[mine] % GROUP)
-        return result.reshape(target.shape)
+        return self.of_batch(Batch.of(seen, there), target)
+
+    def of_batch(self, batch: Batch, target: np.ndarray) -> np.ndarray:
+        p, t, space = self.p, self.tables, self.space
+        state = Seen.of(t, batch, space).state
+        order, group, ends = grouped(target.reshape(-1))
+        goal, last = target.reshape(-1)[order], batch.last()[order]
+        _, top = hidden_layer(p, taken(state, order, space("h", *state.shape)), space)
+        found = log_share(group_scores(p, top, self.group_prior, last, space), group)
+        inside = slice(ends[GROUPS])
+        at = last[inside] * GROUPS + group[inside]
+        scores = class_scores(t, top, ends, self.class_prior, at, space)
+        found[inside] += log_share(scores, goal[inside] % GROUP)
+        result = np.empty(target.shape, found.dtype)
+        result.reshape(-1)[order] = found
+        return result
 
 
 def log_share(scores: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Log probability of one entry of each row of scores."""
-    # Far from what training reaches, and within what an exponential can hold.
+    """Log probability of one entry of each row of scores, which are changed."""
     np.clip(scores, -80, 80, out=scores)
-    at = scores[np.arange(len(scores)), right]
+    at = scores.reshape(-1)[np.arange(0, scores.size, scores.shape[1]) + right]
     return at - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
 
 
-def windows(limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over texts whose tokens lie in turn within ``limits``.
+def batches_of_windows(
+    inputs: np.ndarray, limits: np.ndarray, batch: int
+) -> Iterator[tuple[Batch, np.ndarray, np.ndarray]]:
+    """Windows over texts whose tokens lie in turn within ``limits``, ``batch`` at a time: with
+    the predicted places (n, SPAN), and which of them exist.
 
-    Returns the first predicted place of each window and the bounds of its text.
+    A window's first half is the predicted half of the window before it, if that is of its text.
+    Places behind the end of a text are seen from no place of it.
     """
     lengths = np.diff(limits)
     counts = -(-lengths // SPAN)
     owner = np.repeat(np.arange(len(lengths)), counts)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return limits[:-1][owner] + within * SPAN, limits[:-1][owner], limits[1:][owner]
-
-
-def window_places(
-    first: np.ndarray, low: np.ndarray, high: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tokens of each window, (n, 2 * SPAN), and which lie in its text."""
-    places = first[:, None] - SPAN + np.arange(2 * SPAN)
-    return places, (places >= low[:, None]) & (places < high[:, None])
-
-
-def batches_of_windows(limits: np.ndarray, batch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and which of them exist, ``batch`` windows at a time."""
-    first, low, high = windows(limits)
+    first, high = limits[:-1][owner] + within * SPAN, limits[1:][owner]
     for at in range(0, len(first), batch):
         part = slice(at, at + batch)
-        yield window_places(first[part], low[part], high[part])
+        before = first[max(0, at - 1) : at + batch] if at else np.concatenate([first[:1], first[part]])
+        rows = np.minimum(before[:, None] + np.arange(SPAN), len(inputs) - 1)
+        places = rows[1:]
+        counted = first[part, None] + np.arange(SPAN) < high[part, None]
+        tokens = inputs[rows]
+        tokens[1:][~counted] = START
+        yield Batch(tokens.reshape(-1), SPAN, None, np.flatnonzero(within[part] == 0)), places, counted
 
 
 def log_scores(
@@ -290,9 +464,7 @@ def log_scores(
     ``inputs`` holds, at the place of a token, the token before it.
     """
     result = np.zeros(len(inputs))
-    for places, there in batches_of_windows(limits, batch):
-        inside = np.clip(places, 0, len(inputs) - 1)
-        found = predictor.log_likely(inputs[inside], there, classes[inside[:, SPAN:]])
-        counted = there[:, SPAN:]
-        result[places[:, SPAN:][counted]] = found[counted]
+    for part, places, counted in batches_of_windows(inputs, limits, batch):
+        found = predictor.of_batch(part, classes[places])
+        result[places[counted]] = found[counted]
     return result

@@ -15,12 +15,15 @@ training has not, and so has the mixture: words of training and the class of all
 are what the probabilities are over, and together they have 1 at most. The end counts as a
 word.
 
-The commonest words (at most ``COMMON_WORDS``) with counts and ids go to every task. What a
-text needs of other words travels: one row for each of them, joined to the counts.
+Every text is read and encoded once: a table holds the number of each word of a text among
+the commonest (at most ``COMMON_WORDS``), which with counts and ids go to every task, and the
+other words with their ids. Counts of ids, training and scores come from that table. What a
+text needs of other words' counts travels: one row for each of them, joined to the counts.
 
 Results for odd rows: a null or empty text is the end token alone. Repeated rows are scored
 each. Without a training row all counts are 0, and the model keeps its starting values.
-Columns other than ``doc_id`` and ``text`` are not read by ``score``.
+Columns other than ``doc_id`` and ``text`` are not read by ``score``, nor others than those of
+the condition that says which rows are learned from.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netbehave.llm import attention
@@ -46,7 +50,8 @@ from netbehave.llm.words import (
     bounds,
     count_words,
     lower_words,
-    map_slices,
+    ragged,
+    remove,
     shared_folder,
     slices,
     stored,
@@ -60,6 +65,11 @@ PIECES, PIECE_TOKENS = 256, 100_000  # files of a share, at most, and tokens of
 SEED = 7
 SLICE = 500_000
 
+ENCODED = (
+    "row long, doc_id long, learned boolean, scored boolean, draw long, "
+    "numbers binary, rest binary, rest_sizes binary, rest_ids binary"
+)
+WORDS = ("numbers", "rest_sizes", "rest_ids")  # what ``CommonWords.tokens`` reads
 MIXED = (
     "row long, doc_id long, word binary, log double, n_tokens long, n_known long, "
     "base double, score double"
@@ -96,6 +106,110 @@ def encoder_of(tokenizer: str) -> WordEncoder:
 # ---------------------------------------------------------------- corpus
 
 
+class Numbers(dict):
+    """Numbers of words; -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+@dataclass
+class CommonWords:
+    """The commonest words by their numbers, and last the end, which counts as a word.
+
+    One block of words and one of ids instead of an object for each. The parts travel, and not the
+    object, whose class tasks may not have.
+    """
+
+    raw: bytes
+    cuts: np.ndarray  # where each word starts in ``raw``, and the last ends
+    counts: np.ndarray
+    ids: np.ndarray
+    sizes: np.ndarray  # ids of each word
+
+    @classmethod
+    def of(cls, found: pa.Table, end: int, end_count: int) -> CommonWords:
+        """From rows (word, n, ids), the commonest first, since these have the shortest numbers."""
+        found = found.sort_by([("n", "descending"), ("word", "ascending")])
+        raw, cuts = block_of(found.column("word"))
+        raw_ids, id_cuts = block_of(found.column("ids"))
+        ids = np.append(np.frombuffer(raw_ids, "<u4"), np.uint32(end)).astype(kind_of(end))
+        return cls(
+            raw, cuts, np.append(found.column("n").to_numpy(), end_count), ids, np.append(np.diff(id_cuts) // 4, 1)
+        )
+
+    def parts(self) -> tuple:
+        return self.raw, self.cuts, self.counts, self.ids, self.sizes
+
+    def numbers(self) -> Numbers:
+        cuts = self.cuts.tolist()
+        return Numbers((self.raw[a:b], at) for at, (a, b) in enumerate(zip(cuts, cuts[1:])))
+
+    def tokens(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts of a batch in turn, each with the end behind; numbers of their words
+        (-1 for others), where each word's ids start and the last's end, and so for texts' words."""
+        number = np.frombuffer(b"".join(raw := part.column("numbers").to_pylist()), "<i4").astype(np.int64)
+        limits = bounds([len(one) // 4 for one in raw])
+        rest = np.frombuffer(b"".join(part.column("rest_ids").to_pylist()), self.ids.dtype)
+        other = number < 0
+        # Ids of other words lie behind those of the commonest.
+        sizes, starts = self.sizes[number], (np.cumsum(self.sizes) - self.sizes)[number]
+        sizes[other] = np.frombuffer(b"".join(part.column("rest_sizes").to_pylist()), "<i4")
+        starts[other] = len(self.ids) + np.cumsum(sizes[other]) - sizes[other]
+        return np.concatenate([self.ids, rest])[ragged(starts, sizes)], number, bounds(sizes), limits
+
+
+def kind_of(end: int) -> type:
+    return np.uint16 if end < 65_536 else np.uint32
+
+
+def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values of what lies between ``cuts``."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]
+    )
+
+
+def encoded(docs: DataFrame, common: Broadcast, carried: Broadcast) -> DataFrame:
+    """Rows (doc_id, text, learned, scored) with the numbers, ids and other words of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, encoder = CommonWords(*common.value), encoder_of(carried.value)
+        number_of, end_number = known.numbers(), len(known.sizes) - 1
+        row = TaskContext.get().partitionId() << 40
+        for part in slices(batches, size=SLICE):
+            words = [lower_words(text) for text in part.column("text").to_pylist()]
+            limits = bounds([len(one) for one in words])
+            every = list(chain.from_iterable(words))
+            number = np.fromiter(map(number_of.__getitem__, every), np.int32, len(every))
+            others = np.flatnonzero(number < 0)
+            rest = [every[at] for at in others.tolist()]
+            ids = encoder.encode_words(rest)
+            sizes = np.array([len(one) // 4 for one in ids], np.int32)
+            cuts = np.searchsorted(others, limits)
+            joined = [b" ".join(rest[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+            n = len(words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(row, row + n)),
+                    part.column("doc_id"),
+                    part.column("learned"),
+                    part.column("scored"),
+                    part.column("draw"),
+                    binary(np.insert(number, limits[1:], end_number), limits + np.arange(n + 1)),
+                    pa.array(joined, pa.binary()),
+                    binary(sizes, cuts),
+                    binary(np.frombuffer(b"".join(ids), "<u4").astype(known.ids.dtype), bounds(sizes)[cuts]),
+                ],
+                names=[field.split()[0] for field in ENCODED.split(", ")],
+            )
+            row += n
+
+    drawn = docs.select("doc_id", "text", "learned", "scored", F.xxhash64("doc_id", "text").alias("draw"))
+    return drawn.mapInArrow(run, ENCODED)
+
+
 def with_ids(counts: DataFrame, carried) -> DataFrame:
     """Rows (word, n, ids) from rows (word, n): every distinct word encoded once."""
 
@@ -113,16 +227,9 @@ def with_ids(counts: DataFrame, carried) -> DataFrame:
     return counts.select("word", "n").mapInArrow(run, "word binary, n long, ids binary")
 
 
-def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the words of a batch in turn, ids per word, and the words' counts."""
-    raw = batch.column("ids").to_pylist()
-    sizes = np.array([len(one) // 4 for one in raw], np.int64)
-    ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
-    return ids, sizes, batch.column("n").to_numpy(zero_copy_only=False)
-
-
-def summed(words: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int) -> np.ndarray:
-    """Sum over all tasks of an array of ``size`` numbers that ``add`` adds batches to.
+def summed(texts: DataFrame, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], size: int) -> np.ndarray:
+    """Sum over all tasks of an array of ``size`` numbers that ``add`` adds to, from the ids of
+    the words of learned texts that are not among the commonest, and their sizes.
 
     Only the sums that are not 0 travel, at most ``size`` rows to the driver.
     """
@@ -130,30 +237,34 @@ def summed(words: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            add(total, batch)
+            sizes = np.frombuffer(b"".join(batch.column("rest_sizes").to_pylist()), "<i4")
+            raw = b"".join(batch.column("rest_ids").to_pylist())
+            if len(sizes) and (n_ids := int(sizes.sum(dtype=np.int64))):
+                kind = f"<u{len(raw) // n_ids}"
+                add(total, np.frombuffer(raw, kind).astype(np.int64), sizes.astype(np.int64))
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(there.astype(np.int64)), pa.array(total[there])], names=["id", "n"]
         )
 
-    found = words.select("n", "ids").mapInArrow(run, "id long, n double")
+    found = texts.where("learned").select("rest_sizes", "rest_ids").mapInArrow(run, "id long, n double")
     rows = found.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     result = np.zeros(size)
     result[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return result
 
 
-def id_counts(words: DataFrame, n_ids: int) -> np.ndarray:
+def id_counts(texts: DataFrame, common: CommonWords, n_ids: int) -> np.ndarray:
     """How often each id occurs in the training rows."""
 
-    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        ids, sizes, n = unpacked(batch)
-        total += np.bincount(ids, np.repeat(n, sizes), len(total))
+    def add(total: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        total += np.bincount(ids, minlength=len(total))
 
-    return summed(words, add, n_ids)
+    listed = np.bincount(common.ids, np.repeat(common.counts, common.sizes), n_ids)
+    return summed(texts, add, n_ids) + listed
 
 
-def class_prior(words: DataFrame, vocabulary: Vocabulary, end: int, n_rows: int) -> np.ndarray:
+def class_prior(texts: DataFrame, common: CommonWords, vocabulary: Vocabulary, n_rows: int) -> np.ndarray:
     """Natural log of each class's share after each input, from the counts of all words.
 
     Inside a word its ids follow each other. Behind a word stands the first id of any
@@ -162,11 +273,10 @@ def class_prior(words: DataFrame, vocabulary: Vocabulary, end: int, n_rows: int)
     inputs, classes = vocabulary.inputs, vocabulary.classes
     shape = (INPUTS + 2, OUTPUTS + 1)
 
-    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        ids, sizes, n = unpacked(batch)
+    def add(total: np.ndarray, ids: np.ndarray, sizes: np.ndarray, n: np.ndarray | None = None) -> None:
         last = np.cumsum(sizes)[sizes > 0] - 1
         first = last + 1 - sizes[sizes > 0]
-        times = np.repeat(n, sizes)
+        times = np.ones(len(ids)) if n is None else np.repeat(n, sizes)
         inner = np.ones(len(ids), bool)
         inner[last] = False
         at = np.flatnonzero(inner)
@@ -177,16 +287,17 @@ def class_prior(words: DataFrame, vocabulary: Vocabulary, end: int, n_rows: int)
         # Behind the pairs: how often each input ends a word.
         total[-shape[0] :] += np.bincount(inputs[ids[last]], times[last], shape[0])
 
-    total = summed(words, add, shape[0] * shape[1] + shape[0])
+    total = summed(texts, add, shape[0] * shape[1] + shape[0])
+    add(total, common.ids.astype(np.int64), common.sizes, common.counts)
     pairs, ends = total[: -shape[0]].reshape(shape), total[-shape[0] :]
-    opening = pairs[START].copy()
-    opening[classes[end]] += n_rows
-    opening /= max(1, opening.sum())
+    # Nothing stands behind an end.
+    ends[inputs[common.ids[-1]]] -= n_rows
+    opening = pairs[START] / max(1, pairs[START].sum())
     pairs += ends[:, None] * opening
     pairs[START] = opening * max(1, n_rows)
-    common = pairs.sum(0) + 1
-    common /= common.sum()
-    return np.log((pairs + 10 * common) / (pairs.sum(1, keepdims=True) + 10)).astype(np.float32)
+    common_shares = pairs.sum(0) + 1
+    common_shares /= common_shares.sum()
+    return np.log((pairs + 10 * common_shares) / (pairs.sum(1, keepdims=True) + 10)).astype(np.float32)
 
 
 def commonest(counts: DataFrame, most: int) -> DataFrame:
@@ -200,60 +311,56 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-def token_shares(training: DataFrame, carried, end: int, shares: int, pieces: int) -> DataFrame:
-    """Rows (share, draw, tokens): the ids of every row with the end behind, as a written table.
+def token_shares(texts: DataFrame, shares: int, pieces: int) -> tuple[DataFrame, str]:
+    """The learned texts of ``encoded`` dealt into shares, as a written table, and its folder.
 
     A hash deals the rows to shares, of which each has at most ``pieces`` files.
     """
-    kind = np.uint16 if end < 65_536 else np.uint32
-
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = encoder_of(carried.value)
-        words = [lower_words(text) for text in part.column("text").to_pylist()]
-        encoder.know({word for one in words for word in one})
-        last, get = np.array([end], "<u4").tobytes(), encoder.known.__getitem__
-        tokens = [np.frombuffer(b"".join(map(get, one)) + last, "<u4").astype(kind).tobytes() for one in words]
-        return pa.RecordBatch.from_arrays(
-            [part.column("draw"), pa.array(tokens, pa.binary())], names=["draw", "tokens"]
-        )
-
-    drawn = training.select("text", F.xxhash64("doc_id", "text").alias("draw"))
     share = F.pmod("draw", F.lit(shares)).cast("int").alias("share")
     piece = F.pmod(F.xxhash64("draw"), F.lit(pieces)).cast("int").alias("piece")
-    rows = map_slices(drawn, work, "draw long, tokens binary").select(share, piece, "draw", "tokens")
-    dealt = rows.repartition("share", "piece").sortWithinPartitions("share", "draw").drop("piece")
-    folder = shared_folder(training.sparkSession, "tokens")
+    rows = texts.where("learned").select(share, piece, "draw", *WORDS)
+    dealt = rows.repartition("share", "piece").sortWithinPartitions("share", "draw").drop("piece", "draw")
+    folder = shared_folder(texts.sparkSession, "tokens")
     dealt.write.partitionBy("share").parquet(folder)
-    return training.sparkSession.read.schema("draw long, tokens binary, share int").parquet(folder)
+    kinds = ", ".join(f"{name} binary" for name in WORDS)
+    return texts.sparkSession.read.schema(f"{kinds}, share int").parquet(folder), folder
 
 
 def fit(
-    training: DataFrame, carried, vocabulary: Vocabulary, prior: np.ndarray, end: int, n_tokens: int
+    training: DataFrame, carried: Broadcast, vocabulary: Vocabulary, prior: np.ndarray, end: int, n_tokens: int
+) -> tuple[attention.Params, int]:
+    """``learn`` from documents of which nothing is known yet."""
+    nothing = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+    common = training.sparkSession.sparkContext.broadcast(CommonWords.of(nothing, end, 0).parts())
+    rows = training.select("doc_id", "text", F.lit(True).alias("learned"), F.lit(False).alias("scored"))
+    return learn(encoded(rows, common, carried), common, vocabulary, prior, n_tokens)
+
+
+def learn(
+    texts: DataFrame, common: Broadcast, vocabulary: Vocabulary, prior: np.ndarray, n_tokens: int
 ) -> tuple[attention.Params, int]:
     """The model after one pass over all training rows, and how many tokens it predicted.
 
     The rows are dealt into ``STEPS`` shares. A step takes the gradient of all windows of
     the next share, summed by tasks; at most ``PIECES`` sums come to the driver.
     """
-    spark = training.sparkSession
+    spark = texts.sparkSession
     pieces = int(np.clip(-(-n_tokens // (STEPS * PIECE_TOKENS)), 1, PIECES))
-    rows = token_shares(training, carried, end, STEPS, pieces)
+    rows, folder = token_shares(texts, STEPS, pieces)
     tables = spark.sparkContext.broadcast((vocabulary.inputs, vocabulary.classes, attention.steps_of(prior)))
-    kind = np.uint16 if end < 65_536 else np.uint32
     adam, learned = attention.Adam(attention.initial(SEED), STEPS), 0
     shapes = {name: value.shape for name, value in adam.params.items()}
 
     def gradient(params: attention.Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inputs_of, classes_of, shares = tables.value
+            known = CommonWords(*common.value)
             total, sums = 0, np.zeros(sum(value.size for value in params.values()))
-            for part in slices(batches, "tokens"):
-                raw = part.column("tokens").to_pylist()
-                tokens = np.frombuffer(b"".join(raw), kind)
-                limits = bounds([len(one) // tokens.itemsize for one in raw])
-                inputs = np.concatenate([[START], inputs_of[tokens[:-1]]])
-                inputs[limits[:-1]] = START
-                n, found = attention.gradient_sums(params, inputs, classes_of[tokens], limits, shares)
+            for part in slices(batches, "numbers", SLICE):
+                tokens, _, cuts, limits = known.tokens(part)
+                n, found = attention.gradient_sums(
+                    params, before(inputs_of, tokens, cuts[limits]), classes_of[tokens], cuts[limits], shares
+                )
                 total += n
                 sums += np.concatenate([found[name].ravel() for name in params])
             yield pa.RecordBatch.from_arrays(
@@ -263,7 +370,7 @@ def fit(
         return run
 
     for step in range(STEPS):
-        share = rows.where(F.col("share") == step).select("tokens")
+        share = rows.where(F.col("share") == step).select(*WORDS)
         parts = share.mapInArrow(gradient(adam.params), "n long, sums binary").collect()
         n = sum(part["n"] for part in parts)
         if not n:
@@ -273,9 +380,17 @@ def fit(
         ends = np.cumsum([math.prod(shape) for shape in shapes.values()])
         found = np.split(mean.astype(np.float32), ends[:-1])
         adam.move({name: one.reshape(shape) for (name, shape), one in zip(shapes.items(), found)})
+    remove(spark, [folder])
     return adam.params | {"prior": prior}, learned
 
 
+def before(inputs_of: np.ndarray, tokens: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The input at the place of each token: that before it, or the start."""
+    inputs = np.concatenate([[START], inputs_of[tokens[:-1]]]) if len(tokens) else tokens
+    inputs[limits[:-1]] = START
+    return inputs
+
+
 # ---------------------------------------------------------------- scoring
 
 
@@ -290,144 +405,79 @@ def block_of(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
     return b"".join(parts), bounds(sizes)
 
 
-class Numbers(dict):
-    """Numbers of words; -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Scorer:
-    """Scores slices of texts; common words by table, others by encoding them here."""
-
-    def __init__(
-        self, words, counts, ids, sizes, denominator, vocabulary, params, end, tokenizer
-    ):
-        self.number = Numbers(zip(words, range(len(words))))
-        self.counts, self.ids, self.sizes = counts, ids, sizes
-        self.starts = np.cumsum(sizes) - sizes
-        self.denominator = denominator
-        self.of, self.end = Vocabulary(*vocabulary), end
+    """Scores batches of encoded texts."""
+
+    def __init__(self, common: CommonWords, denominator: float, vocabulary: Vocabulary, params: attention.Params):
+        self.common, self.of = common, vocabulary
+        self.share = (common.counts + 1) / denominator
+        self.base = np.log10(self.share)
         self.predictor = attention.Predictor(params)
-        self.encoder = encoder_of(tokenizer)
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / self.denominator)
-
-    def mixed(self, log: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Log10 probability of words from that of their ids and their counts."""
-        return np.log10(MIX * (counts + 1) / self.denominator + (1 - MIX) * 10.0**log)
-
-    def score(self, texts: list[str | None], end_count: int):
-        """Per text: tokens, and known tokens, base score and model score of what is in the
-        table; and the other words as (text, word, log10 probability of the ids)."""
-        words = [lower_words(text) for text in texts]
-        sizes = np.array([len(one) for one in words], np.int64)
-        limits = bounds(sizes.tolist())
-        number = np.fromiter(
-            map(self.number.__getitem__, chain.from_iterable(words)), np.int64, limits[-1]
-        )
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        # Other words get the next numbers, in this slice alone.
-        others = np.flatnonzero(number < 0)
-        local: dict[bytes, int] = {}
-        unlisted = []
-        for place in others.tolist():
-            text = int(owner[place])
-            word = words[text][place - limits[text]]
-            number[place] = len(self.sizes) + local.setdefault(word, len(local))
-            unlisted.append(word)
-        more, more_sizes = self.encoder.ids_of_words(list(local))
-        all_sizes = np.concatenate([self.sizes, more_sizes])
-        all_starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(more_sizes) - more_sizes])
-        common = number < len(self.sizes)
-        base = np.bincount(owner[common], self.base(self.counts[number[common]]), len(texts)).astype(float)
-        known = np.bincount(owner[common], minlength=len(texts)) + int(end_count > 0)
-        base += self.base(np.array([end_count]))[0]
-        # Ids of all words in turn, with the end id behind each text.
-        n_ids = all_sizes[number]
-        per_text = np.bincount(owner, n_ids, len(texts)).astype(np.int64) + 1
-        ends = np.cumsum(per_text)
-        source = np.repeat(all_starts[number] - (np.cumsum(n_ids) - n_ids), n_ids) + np.arange(n_ids.sum())
-        tokens = np.full(ends[-1] if len(ends) else 0, self.end, np.int64)
-        place = np.ones(len(tokens), bool)
-        place[ends - 1] = False
-        table, extra = source < len(self.ids), source - len(self.ids)
-        taken = np.empty(len(source), np.int64)
-        taken[table] = self.ids[source[table]]
-        taken[~table] = more[extra[~table]]
-        tokens[place] = taken
-        inputs = np.concatenate([[START], self.of.inputs[tokens[:-1]]]) if len(tokens) else tokens
-        inputs[ends[:-1]] = START
-        token_limits = np.concatenate([[0], ends])
+
+    def score(self, part: pa.RecordBatch):
+        """Per text: tokens, and known tokens, base score and model score of the commonest words
+        and the end; and the other words as (text, log10 probability of the ids)."""
+        tokens, number, cuts, limits = self.common.tokens(part)
+        n_texts = len(limits) - 1
+        token_limits = cuts[limits]
+        inputs = before(self.of.inputs, tokens, token_limits)
         scores = attention.log_scores(self.predictor, inputs, self.of.classes[tokens], token_limits)
         scores += self.of.shares[tokens]
-        # Behind the ids of every earlier text stands an end.
         running = np.concatenate([[0], np.cumsum(scores / np.log(10))])
-        start = np.cumsum(n_ids) - n_ids + owner
-        log = running[start + n_ids] - running[start]
-        ends_log = scores[ends - 1] / np.log(10)
-        model = self.mixed(ends_log, np.full(len(texts), end_count))
-        listed = self.mixed(log[common], self.counts[number[common]])
-        model += np.bincount(owner[common], listed, len(texts))
-        return sizes + 1, known, base, model, (owner[others], unlisted, log[others])
+        log = running[cuts[1:]] - running[cuts[:-1]]
+        owner = np.repeat(np.arange(n_texts), np.diff(limits))
+        listed = number >= 0
+        mine, of = owner[listed], number[listed]
+        known = np.bincount(mine, self.common.counts[of] > 0, n_texts).astype(np.int64)
+        base = np.bincount(mine, self.base[of], n_texts)
+        mixed = np.log10(MIX * self.share[of] + (1 - MIX) * 10.0 ** log[listed])
+        model = np.bincount(mine, mixed, n_texts)
+        return np.diff(limits), known, base, model, (owner[~listed], log[~listed])
+
 
+def score(docs: DataFrame, training: DataFrame | Column, tokenizer: str, end: int) -> DataFrame:
+    """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
-def score(docs: DataFrame, training: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    ``training`` tells which of the rows are learned from, or holds other rows to learn from.
+    """
     spark = docs.sparkSession
     text = spark.sparkContext.broadcast(tokenizer)
-    n_ids = end + 1
+    if isinstance(training, Column):
+        every = docs.select("doc_id", "text", training.alias("learned"), F.lit(True).alias("scored"))
+        training = docs.where(training)
+    else:
+        every = docs.select("doc_id", "text", F.lit(False).alias("learned"), F.lit(True).alias("scored")).union(
+            training.select("doc_id", "text", F.lit(True).alias("learned"), F.lit(False).alias("scored"))
+        )
     counted = count_words(training.select("text", F.lit(0).alias("one")), "one")
-    words = stored(with_ids(counted, text), "words")
-    counts = words.select("word", "n")
+    counts = stored(counted.select("word", "n"), "words")
     end_count = training.count()
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train_tokens = int(row["n"]) + end_count
     distinct = int(row["v"]) + (end_count > 0)
     denominator = float(train_tokens + distinct + 1)
 
-    by_id = id_counts(words, n_ids)
-    by_id[end] += end_count
+    known = CommonWords.of(with_ids(commonest(counts, COMMON_WORDS), text).toArrow(), end, end_count)
+    common = spark.sparkContext.broadcast(known.parts())
+    texts = stored(encoded(every, common, text), "texts")
+    by_id = id_counts(texts, known, end + 1)
     vocabulary = Vocabulary.of(by_id)
-    prior = class_prior(words, vocabulary, end, end_count)
-    params, _ = fit(training, text, vocabulary, prior, end, int(by_id.sum()))
-
-    # One block of words and one of ids instead of an object for each.
-    known = commonest(words, COMMON_WORDS).toArrow()
-    raw, limits = block_of(known.column("word"))
-    raw_ids, id_limits = block_of(known.column("ids"))
-    carried = spark.sparkContext.broadcast(
-        (
-            (raw, limits),
-            known.column("n").to_numpy(),
-            np.frombuffer(raw_ids, "<u4").astype(np.uint16 if n_ids <= 65_536 else np.uint32),
-            np.diff(id_limits) // 4,
-            denominator,
-            (vocabulary.inputs, vocabulary.classes, vocabulary.shares),
-            params,
-            end,
-        )
-    )
-    del known, raw, raw_ids
+    prior = class_prior(texts, known, vocabulary, end_count)
+    params, _ = learn(texts, common, vocabulary, prior, int(by_id.sum()))
+    carried = spark.sparkContext.broadcast((vocabulary.inputs, vocabulary.classes, vocabulary.shares, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (raw, limits), *tables = carried.value
-        cuts = limits.tolist()
-        scorer = Scorer([raw[a:b] for a, b in zip(cuts, cuts[1:])], *tables, text.value)
-        number = TaskContext.get().partitionId() << 40
-        for part in slices(batches, size=SLICE):
-            texts = part.column("text").to_pylist()
-            n_tokens, n_known, base, model, rest = scorer.score(texts, end_count)
-            at, unlisted, log = rest
-            n, m = len(texts), len(unlisted)
-            rows = np.arange(number, number + n)
-            number += n
-            ids = part.column("doc_id")
+        *ids, params = carried.value
+        scorer = Scorer(CommonWords(*common.value), denominator, Vocabulary(*ids), params)
+        for part in slices(batches, "numbers", SLICE):
+            n_tokens, n_known, base, model, (at, log) = scorer.score(part)
+            unlisted = [word for one in part.column("rest").to_pylist() for word in one.split()]
+            n, m = part.num_rows, len(unlisted)
             none = [None] * m
+            at = pa.array(at)
             values = [
-                np.concatenate([rows, rows[at]]),
-                pa.concat_arrays([ids, ids.take(pa.array(at))]),
+                pa.concat_arrays([part.column("row"), part.column("row").take(at)]),
+                pa.concat_arrays([part.column("doc_id"), part.column("doc_id").take(at)]),
                 [*[None] * n, *unlisted],
                 [*[None] * n, *log.tolist()],
                 [*n_tokens.tolist(), *none],
@@ -438,7 +488,8 @@ def score(docs: DataFrame, training: DataFrame, tokenizer: str, end: int) -> Dat
             arrays = [pa.array(value, kind) for value, kind in zip(values, MIXED_KINDS)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in MIXED.split(", ")])
 
-    mixed = stored(docs.select("doc_id", "text").mapInArrow(run, MIXED), "scores")
+    asked = texts.where("scored").select("row", "doc_id", "rest", *WORDS)
+    mixed = stored(asked.mapInArrow(run, MIXED), "scores")
     sums = mixed.where("word IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
     others = mixed.where("word IS NOT NULL").select("row", "doc_id", "word", "log")
     count = F.coalesce("n", F.lit(0))

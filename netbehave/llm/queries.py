@@ -83,7 +83,7 @@ def op8_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(langid.remainder(7) == 2, F.lit(False))
-    found = lm.score(docs, docs.where(~held_out), word_tokenizer(), END_OF_TEXT)
+    found = lm.score(docs, ~held_out, word_tokenizer(), END_OF_TEXT)
     return found.withColumn("held_out", held_out)
 
 

@@ -1,9 +1,12 @@
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from netbehave.llm import attention, lm
 from netbehave.llm.queries import QUERIES
@@ -186,3 +189,66 @@ def test_held_out_texts_score_better_than_the_base(spark):
     tokens = sum(row["n_tokens"] for row in held)
     assert sum(row["score"] for row in held) / tokens > sum(row["base_score"] for row in held) / tokens + 0.05
     assert sum(row["score"] > row["base_score"] for row in held) > 0.7 * len(held)
+
+
+def test_windows_that_share_rows_give_the_sums_of_windows_by_themselves():
+    rng = np.random.default_rng(5)
+    span = attention.SPAN
+    limits = np.array([0, 1, 1, 40, 55, 120, 120 + 2 * span, 200])
+    inputs, classes = rng.integers(0, attention.INPUTS, 200), rng.integers(0, attention.OUTPUTS + 1, 200)
+    prior = attention.steps_of(rng.normal(size=(attention.INPUTS + 2, attention.OUTPUTS + 1)))
+    prior = tuple(part.astype(np.float32) for part in prior)
+    params = attention.initial(6)
+    seen, there = [], []
+    for low, high in zip(limits, limits[1:]):
+        for first in range(low, high, span):
+            places = np.arange(first - span, first + span)
+            there.append((places >= low) & (places < high))
+            seen.append(np.clip(places, 0, 199))
+    seen, there = np.array(seen), np.array(there)
+    counted = there[:, span:]
+    _, mean = attention.gradients(
+        params, np.where(there, inputs[seen], attention.START), there, classes[seen[:, span:]], counted, prior
+    )
+    for batch in (1, 3, 256):
+        n, sums = attention.gradient_sums(params, inputs, classes, limits, prior, batch)
+        assert n == counted.sum() == limits[-1] and set(sums) == set(params)
+        for name, value in sums.items():
+            assert np.allclose(value / n, mean[name], atol=1e-6), name
+
+
+@pytest.mark.parametrize("common", [0, 5, 10_000])
+def test_rows_that_are_learned_and_scored_are_encoded_once(docs, odd, tokenizer, monkeypatch, common):
+    """A condition on the rows gives what a table of the rows it holds for does."""
+    monkeypatch.setattr(lm, "COMMON_WORDS", common)
+    monkeypatch.setattr(lm, "STEPS", 3)
+    given = docs(TEXTS * 3)
+    apart = by_id(lm.score(given, given.where("doc_id % 6 < 4"), tokenizer, END))
+    once = by_id(lm.score(given, F.expr("doc_id % 6 < 4"), tokenizer, END))
+    assert set(once) == set(apart)
+    for doc_id, row in once.items():
+        for name in ("n_tokens", "n_known", "train_tokens"):
+            assert row[name] == apart[doc_id][name]
+        assert np.isclose(row["base_score"], apart[doc_id]["base_score"])
+        assert np.isclose(row["score"], apart[doc_id]["score"], rtol=0.01)
+
+
+def test_tokens_come_back_from_numbers(spark, odd, tokenizer):
+    """Whole texts, whether their words are among the commonest or not; what travels is plain."""
+    encoder = lm.encoder_of(tokenizer)
+    words = [b"one", b"two", b"w7"]
+    found = pa.table({"word": words, "n": [3, 2, 1], "ids": encoder.encode_words(words)})
+    common = lm.CommonWords.of(found, END, 5)
+    assert b"netbehave" not in pickle.dumps(common.parts())
+    rows = odd.select("doc_id", "text", F.lit(True).alias("learned"), F.lit(True).alias("scored"))
+    context = spark.sparkContext
+    texts = lm.encoded(rows, context.broadcast(common.parts()), context.broadcast(tokenizer)).toArrow()
+    given = {row["doc_id"]: lm.lower_words(row["text"]) for row in odd.collect()}
+    assert len(texts) == odd.count()
+    for batch in texts.to_batches():
+        tokens, number, cuts, limits = common.tokens(batch)
+        for at, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            want = np.append(encoder.ids_of_words(given[doc_id])[0], END)
+            assert np.array_equal(tokens[cuts[limits[at]] : cuts[limits[at + 1]]], want)
+            rest = batch.column("rest")[at].as_py().split()
+            assert rest == [word for word in given[doc_id] if word not in words]
